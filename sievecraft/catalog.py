@@ -1,0 +1,11 @@
+"""Registered queries over the reference operators and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+ORACLE_SQL: dict[str, str] = {}

@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,12 @@ class PairIndexBPE:
         return ragged_take(self.token_values, self.token_offsets, ids)[0].tobytes().decode("utf-8", "replace")
 
 
+@lru_cache(1)
+def model_of(path: str) -> PairIndexBPE:
+    """One model for all tasks of a worker."""
+    return PairIndexBPE(path)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, ids (array<int>) and decoded, the text that the ids give back.
 
@@ -179,7 +186,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PairIndexBPE(path)
+        model = model_of(path)
         for batch in slabs(batches, "t", 2 * SLAB_BYTES):
             values, lengths = model.encode_batch(texts(batch, "t"))
             at = offsets_of(lengths)
@@ -202,7 +209,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PairIndexBPE(path)
+        model = model_of(path)
         for batch in slabs(batches, "t", 2 * SLAB_BYTES):
             values, lengths = model.encode_batch(texts(batch, "t"))
             at = offsets_of(lengths)

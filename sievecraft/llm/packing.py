@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,17 @@ from sievecraft.llm.common import SLAB_BYTES, list_parts, offsets_of, ragged_tak
 #: Longest window, and the tokens of a step group.
 WINDOW = 4096
 STEP_TOKENS = 64 * WINDOW
-#: Words whose ids a worker remembers.
-WORDS = 400_000
+#: Parts of words whose ids a worker remembers.
+PARTS = 500_000
+#: Words that stay whole: contractions, special tokens, and characters that composition may join.
+_WHOLE = r"'|<\||[\x{130}]|[^\x00-\x{24f}]"
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, each distinct word between ASCII blanks encoded once.
+    """Ids of texts by the tokenizers library, each distinct part of a word encoded once.
 
-    The vocabulary drops white space and never merges across it, so words encode alike wherever they stand.
+    The vocabulary drops white space, and its pre-tokenizer parts letters from other characters, so runs of
+    letters and the runs between them encode alike wherever they stand. Words of `_WHOLE` are not parted.
     """
 
     def __init__(self, path: str):
@@ -41,28 +45,49 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values and offsets of all known parts, and which of them the given ones are."""
+        names = parts.to_pylist()
+        new = [w for w in names if w not in self.known]
+        if len(self.known) + len(new) > PARTS:
+            self._forget()
+            new = names
+        for i in range(0, len(new), 10_000):
+            found = [e.ids for e in self.tokenizer.encode_batch(new[i : i + 10_000], add_special_tokens=False)]
+            self.ids.append(np.array([x for ids in found for x in ids], np.int64))
+            self.lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
+        return self.ids[0], offsets_of(self.lengths[0]), np.fromiter((self.known[w] for w in names), np.int64, len(names))
 
     def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts, counts = list_parts(pc.ascii_split_whitespace(column))
-        coded = parts.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORDS:
-            self.known, new = {}, words
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
-        ids = [self.known[w] for w in words]
-        if len(self.known) > WORDS:
-            self.known = {}
-        at = offsets_of(np.fromiter(map(len, ids), np.int64, len(ids)))
-        flat = np.fromiter((x for w in ids for x in w), np.int64, int(at[-1]))
-        values, lengths = ragged_take(flat, at, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        words, counts = list_parts(pc.ascii_split_whitespace(column))
+        coded = words.dictionary_encode()
+        names = coded.dictionary
+        parted = pc.replace_substring_regex(pc.ascii_lower(names), r"(\pL+)", r" \1 ")
+        whole = pc.match_substring_regex(names, _WHOLE)
+        parts, per_word = list_parts(pc.ascii_split_whitespace(pc.if_else(whole, names, parted)))
+        parts = parts.dictionary_encode()
+        ids, at, known = self._parts(parts.dictionary)
+        word_ids, lengths = ragged_take(ids, at, known[parts.indices.to_numpy(zero_copy_only=False)])
+        ends = np.concatenate(([0], np.cumsum(lengths)))[offsets_of(per_word)]
+        values, lengths = ragged_take(word_ids, ends, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
         ends = np.concatenate(([0], np.cumsum(lengths)))[offsets_of(counts)]
         return values, np.diff(ends)
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 class Tiers:
     """Pieces (document, start, length) that wait, by length; gives the longest that fits."""
 
@@ -134,7 +159,7 @@ def pack_lengths(lengths: list[int], window: int = WINDOW, waiting: Tiers | None
 OUT = T.StructType().add("key", "long").add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long").add("tier", "long").add("step_group", "long").add("ids", T.ArrayType(T.IntegerType()))
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, with_ids: bool = True, text: str = "text", key: str = "doc_id", slab: int = SLAB_BYTES) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, with_ids: bool = True, text: str = "text", key: str = "doc_id", slab: int = SLAB_BYTES // 2) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, ids.
 
     Null or empty text is the end id alone. Repeated rows and null keys are packed like others. Texts that a
@@ -147,7 +172,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = WordEncoder(path), TaskContext.get().partitionId()
+        encoder, part = encoder_of(path), TaskContext.get().partitionId()
         sequence, in_tier = part << 36, {}
         for batch in slabs(batches, "t", slab):
             values, lengths = encoder.encode_batch(texts(batch, "t"))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import SLAB_BYTES, list_parts, offsets_of, ragged_take, slabs, texts
+from sievecraft.llm.common import SLAB_BYTES, list_parts, map_arrow, offsets_of, ragged_take, slabs, texts
 
 #: Fixed value: the pre-token pattern that the vocabulary file is used with.
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, ids array<int>, decoded string").withColumnRenamed("k", key)
+    return map_arrow(rows, run, f"k {kind}, ids array<int>, decoded string").withColumnRenamed("k", key)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -220,5 +220,5 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = rows.mapInArrow(run, f"k {kind}, n bigint, i string, d string")
+    out = map_arrow(rows, run, f"k {kind}, n bigint, i string, d string")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_tokens"), F.col("i").alias("ids_sha256"), F.col("d").alias("decoded_sha256"))

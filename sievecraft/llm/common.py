@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that they need no copy of their own."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        to = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-package-')}/{package.name}", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(to)
+        _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) where executors know this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def slabs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds at most `limit` bytes of text, or one row."""
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import list_parts, materialise, offsets_of, slabs, texts
+from sievecraft.llm.common import list_parts, map_arrow, materialise, offsets_of, slabs, texts
 
 #: Bands and coordinates in each. A pair of similarity 0.8 shares no band with probability 2e-6.
 BANDS, ROWS = 56, 7
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["key", "node", "n", "bands"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "key bigint, node binary, n bigint, bands array<bigint>")
+    return map_arrow(rows, run, "key bigint, node binary, n bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -124,7 +124,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 node = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "node binary, shingles array<bigint>")
+    return map_arrow(docs, run, "node binary, shingles array<bigint>")
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievecraft.llm.common import SLAB_BYTES, list_parts, offsets_of, ragged_take, slabs, texts
+from sievecraft.llm.common import SLAB_BYTES, list_parts, map_arrow, offsets_of, ragged_take, slabs, texts
 
 #: Longest window, and the tokens of a step group.
 WINDOW = 4096
@@ -207,4 +207,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, with
 
     schema = OUT if with_ids else T.StructType(OUT.fields[:-1])
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return map_arrow(rows, run, schema).withColumnRenamed("key", key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm import bpe, fingerprint, minhash, packing
+from sievecraft.llm import bpe, fingerprint, minhash, packing, toxicity
 from sievecraft.llm.common import table
 from sievecraft.llm.dedup import DigestIndex
 
@@ -35,6 +35,20 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def labelled(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
+    """Labels that may be learnt from: crc32(doc_id as text) mod folds is not held."""
+    return table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
+
+
+def held_out(folds: int, held: int):
+    return (F.crc32(F.col("doc_id").cast("string")) % folds == held).alias("held_out")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.classify(table(spark, sf_dir, "documents"), labelled(spark, sf_dir, 4, 2))
+    return out.select("doc_id", held_out(4, 2), "score", "predicted")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -44,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_packing": op5_packing,
     "op7_fingerprint": op7_fingerprint,
+    "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm import bpe, fingerprint, minhash, packing, toxicity
+from sievecraft.llm import bpe, fingerprint, minhash, packing, quality, toxicity
 from sievecraft.llm.common import table
 from sievecraft.llm.dedup import DigestIndex
 
@@ -53,6 +53,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), labelled(spark, sf_dir, 5, 0))
+    return out.select("doc_id", held_out(5, 0), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprint": op7_fingerprint,
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import SLAB_BYTES, list_parts, map_arrow, materialise, offsets_of, slabs, texts
+from sievecraft.llm.common import SLAB_BYTES, list_parts, logistic, map_arrow, materialise, offsets_of, slabs, texts
 
 #: Characters that stand for letters.
 LOOKALIKES = {
@@ -189,18 +189,6 @@ def features(words: list[str]) -> list[str]:
     return [f for w in words for f in (w, *(w[:k] + "~" for k in range(SHORTEST, min(LONGEST, len(w)) + 1)))]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int = 30) -> np.ndarray:
-    """Coefficients of a ridge logistic regression by Newton steps; the first column is the intercept."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[0] = 1e-6
-    for _ in range(turns):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -5, 5)
-    return w
-
-
 class Evidence:
     """Log-odds of features, and the weights of a document's sum, greatest, number and density of them."""
 

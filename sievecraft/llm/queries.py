@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm import bpe, fingerprint, minhash, packing, quality, toxicity
+from sievecraft.llm import bpe, fingerprint, html, lm, minhash, packing, quality, toxicity
 from sievecraft.llm.common import table
 from sievecraft.llm.dedup import DigestIndex
 
@@ -18,6 +18,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def labelled(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
+    """Labels that may be learnt from: crc32(doc_id as text) mod folds is not held."""
+    return table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
+
+
+def held_out(folds: int, held: int):
+    return (F.crc32(F.col("doc_id").cast("string")) % folds == held).alias("held_out")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -27,21 +36,23 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = lm.score(docs, docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2))
+    return out.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
-def labelled(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
-    """Labels that may be learnt from: crc32(doc_id as text) mod folds is not held."""
-    return table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def held_out(folds: int, held: int):
-    return (F.crc32(F.col("doc_id").cast("string")) % folds == held).alias("held_out")
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +72,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_model": op4_language_model,
     "op5_packing": op5_packing,
+    "op6_html": op6_html,
     "op7_fingerprint": op7_fingerprint,
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,

@@ -139,34 +139,26 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and its component (smallest node reachable) for the nodes of edges (a, b), by star contraction.
 
-    A round gives each node's larger neighbours the smallest one, then its smaller ones. Sums of hashes
-    tell when a round changes nothing. No edges give no rows.
+    A round gives each node's larger neighbours the smallest one, then its smaller ones; it is the last when no
+    edge leads to a node that has an edge of its own. No edges give no rows.
     """
 
     def smallest(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
-    def state(e: DataFrame) -> tuple:
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = state(now)
-    while before[0]:
+    while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "large")
-        low = smallest(large)
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        small = large.join(smallest(large), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         now = materialise(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
-        after = state(now)
-        if after == before:
+        if now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-#: While a bucket of more members than this holds several components, further pivots are tried, at most so often;
+#: While a bucket of more members than this holds several components, further pivots are tried, so often at most;
 #: what then is left is compared in full, whatever its size.
 LARGE, PIVOT_ROUNDS = 64, 4
 
@@ -184,8 +176,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, text:
     nodes = rows.where("node IS NOT NULL AND key IS NOT NULL").groupBy("node").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
     banded = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    shared = nodes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    members = materialise(banded.join(shared, "band"), "members").withColumn("label", F.col("node"))
+    shared = nodes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = materialise(banded.join(shared, "band"), "members")
+    # A node's weight: the sizes of its buckets. The centre of a group of near copies has the greatest.
+    weights = members.groupBy("node").agg(F.sum("c").alias("weight"))
+    members = materialise(members.join(weights, "node").select("band", "node", "n", "weight", F.col("node").alias("label")), "members")
 
     def fits(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {threshold} * greatest({a}, {b})"
@@ -194,44 +189,66 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, text:
     sets = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(wanted, "k", "left_semi")
     sets = materialise(shingle_sets(sets, width).dropDuplicates(["node"]), "sets")
 
-    tested: DataFrame | None = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        # Each bucket's pivot: its smallest node, of those in other components than the earlier pivots.
-        mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        if turn:
-            mixed = mixed.where(F.col("c") > LARGE)
-            if turn == PIVOT_ROUNDS or not mixed.limit(1).count():
-                break
-        order = F.struct(F.xxhash64(F.lit(turn), "label").alias("o"), "node", "n")
-        pivots = members.join(mixed.select("band"), "band").groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
-        pairs = members.join(pivots, "band").where(F.col("node") != F.col("a")).where(fits("n", "na")).select(F.greatest("node", "a").alias("a"), F.least("node", "a").alias("b")).distinct()
-        pairs = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialise(links(pairs, sets), "tested")
-        tested = found if tested is None else tested.unionByName(found)
-        members = _labelled(members, components(tested.where(f"100 * shared >= {threshold} * total").select("a", "b")))
-        members = materialise(members, "members")
+    def linked(found: DataFrame) -> DataFrame:
+        return found.where(f"100 * shared >= {threshold} * total").select("a", "b")
+
+    def find(open_: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Tests the members of buckets against the heaviest one of the component that a hash puts first."""
+        order = F.struct(F.lit(0) if known is None else F.xxhash64(F.lit(turn), "label"), -F.col("weight"), "node", "n")
+        pivots = open_.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+        pairs = open_.join(pivots, "band").where(F.col("node") != F.col("a")).where(fits("n", "na")).select(F.greatest("node", "a").alias("a"), F.least("node", "a").alias("b")).distinct()
+        pairs = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        return materialise(links(pairs, sets), "tested")
+
+    tested, turn = find(members, None), 0
+    joined = components(linked(tested))
+    mixed = _mixed(_labelled(members, joined))
+    left = materialise(_labelled(members, joined).join(mixed.select("band"), "band"), "open")
+    # Of an open bucket only those stay that have enough shingles in common with any others there: a link to
+    # a set of m shingles takes threshold / (100 + threshold) * (n + m) that both have.
+    alive = left.select("node").distinct()
+    each = sets.join(alive, "node").select("node", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
+    support = materialise(each.join(common, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("support")), "support")
+    least = left.groupBy("band").agg(F.min("n").alias("least_n"))
+    left = left.join(support, "node").join(least, "band").where(f"support * (100 + {threshold}) >= {threshold} * (n + least_n)").drop("least_n")
+    left = materialise(left, "open")
+    while turn < PIVOT_ROUNDS:
+        turn += 1
+        large = _mixed(left).where(F.col("c") > LARGE).select("band")
+        found = find(left.join(large, "band"), tested)
+        if found.isEmpty():
+            break
+        tested = tested.unionByName(found)
+        joined = components(linked(tested))
+        left = materialise(_labelled(left, joined), "open")
 
     # What pivots leave open: pairs of one bucket in two components, unless a known similarity to a third
     # member rules them out (1 - Jaccard obeys the triangle inequality).
-    mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    left = materialise(members.join(mixed, "band"), "open")
-    pivot = left.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p")).select("band", F.col("p.node").alias("p"), F.col("p.n").alias("pn"))
+    left = left.join(_mixed(left).select("band"), "band")
+    pivot = left.groupBy("band").agg(F.min(F.struct(-F.col("weight"), "node", "n")).alias("p")).select("band", F.col("p.node").alias("p"), F.col("p.n").alias("pn"))
     known = tested.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("d"))
     known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("p"), F.col("b").alias("node"), "d")
     far = F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")))
     near = F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
-    left = left.join(pivot, "band").join(known, ["p", "node"], "left").select("band", "node", "n", "label", far.alias("least_d"), near.alias("most_d"))
+    left = left.join(pivot, "band").join(known, ["p", "node"], "left").select("band", "node", "n", "label", "support", far.alias("least_d"), near.alias("most_d"))
     left = materialise(left, "open")
-    x = left.select("band", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "label", "least_d", "most_d")])
-    y = left.select("band", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "least_d", "most_d")])
+    x = left.select("band", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "label", "support", "least_d", "most_d")])
+    y = left.select("band", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "support", "least_d", "most_d")])
     reach = 1 - threshold / 100 + 1e-9
     pairs = x.join(y, "band").where("node_x > node_y AND label_x <> label_y").where(fits("n_x", "n_y"))
+    pairs = pairs.where(f"least(support_x, support_y) * (100 + {threshold}) >= {threshold} * (n_x + n_y)")
     pairs = pairs.where(F.col("least_d_x") - F.col("most_d_y") <= reach).where(F.col("least_d_y") - F.col("most_d_x") <= reach)
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = tested.unionByName(materialise(links(pairs, sets), "tested"))
+    late = materialise(linked(links(pairs, sets)), "late")
 
-    joined = components(tested.where(f"100 * shared >= {threshold} * total").select("a", "b"))
     known = nodes.select("node", "rep").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if not late.isEmpty():  # components that a late link joins
+        of = joined.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+        late = late.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("of_a").alias("of_b")), "b", "left")
+        again = components(late.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+        again = again.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        known = known.join(again, "component", "left").select("node", "rep", F.coalesce("whole", "component").alias("component"))
     first = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     known = known.join(first, "component").select("node", "component_id")
     out = rows.where("node IS NOT NULL").select("key", "node", "n").join(known, "node", "left")
@@ -240,8 +257,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, text:
 
 
 def _labelled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of buckets with the component of each as its label."""
     out = members.drop("label").join(joined, "node", "left")
-    return out.select("band", "node", "n", F.coalesce("component", "node").alias("label"))
+    return out.withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Buckets that hold several components, and their members' number c."""
+    return members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "c")
 
 
 def kept_rows(docs: DataFrame, width: int = 5, threshold: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -39,3 +39,35 @@ def near_components(rows: list[tuple[int, str | None]], width: int, threshold: i
             x, y = sorted((root(a), root(b)))
             up[y] = x
     return {k: (len(sets[k]), root(k)) for k in sets}
+
+
+FIELDS = re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+|(?<![0-9A-Za-z])[0-9a-fA-F]{8,}(?![0-9A-Za-z])|[0-9][0-9.,:/-]*", re.ASCII)
+
+
+def deduped_lines(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int, int]]:
+    """key -> (text left, recurring lines, dropped lines), template by template."""
+    leaves: dict = {}
+    for k, t in rows:
+        for i, line in enumerate((t or "").split("\n")):
+            tokens = tuple(re.findall(r"[^ \t\n\x0b\f\r]+", FIELDS.sub("<*>", line.lower())))
+            if len(tokens) >= 5:
+                leaves.setdefault((len(tokens), tokens[:3]), {}).setdefault(tokens, []).append((k, i))
+    templates: dict = {}
+    for leaf, kinds in leaves.items():
+        seen: dict = {}
+        for tokens in kinds:
+            for p, w in enumerate(tokens):
+                seen[p, w] = seen.get((p, w), 0) + 1
+        for tokens, where in kinds.items():
+            general = tuple(w if seen[p, w] > 1 else "<*>" for p, w in enumerate(tokens))
+            enough = sum(seen[p, w] > 1 for p, w in enumerate(tokens)) >= 0.7 * len(tokens)
+            templates.setdefault((leaf, general if enough else tokens), []).extend(where)
+    out = {k: [set(), set()] for k, _ in rows}
+    for where in templates.values():
+        first = min(k for k, _ in where)
+        if any(k != first for k, _ in where):
+            for k, i in where:
+                out[k][0].add(i)
+                if k != first:
+                    out[k][1].add(i)
+    return {k: ("\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in out[k][1]), len(out[k][0]), len(out[k][1])) for k, t in rows}

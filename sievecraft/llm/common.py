@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python worker holds; a longer text is a step of its own.
 SLAB_BYTES = 16 << 20
@@ -115,6 +116,11 @@ def sums_by_row(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def sampled(labels: DataFrame, most: int) -> DataFrame:
+    """At most `most` labels (key, y), those with the least hash of the key: small enough to broadcast."""
+    return labels.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(most)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int = 30) -> np.ndarray:
     """Coefficients of a ridge logistic regression by Newton steps; the first column is the intercept."""
     w = np.zeros(x.shape[1])

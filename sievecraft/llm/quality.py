@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import SLAB_BYTES, list_parts, logistic, map_arrow, offsets_of, slabs, sums_by_row, texts
+from sievecraft.llm.common import SLAB_BYTES, list_parts, logistic, map_arrow, offsets_of, sampled, slabs, sums_by_row, texts
 
 #: Labelled documents to fit on (those with the least hash), and the lines of the longest one among them.
 MAX_LABELLED, MAX_LINES = 4_000, 2_000
@@ -152,8 +152,8 @@ class LineField:
 
 
 def train(labelled: DataFrame) -> LineField:
-    """A field fitted on documents (key, t, y); of more than MAX_LABELLED those with the least hash of the key."""
-    sample = labelled.orderBy(F.xxhash64("key"), "key").limit(MAX_LABELLED).select("t", "y")
+    """A field fitted on documents (key, t, y); see `sampled`."""
+    sample = labelled.select("t", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches, "t", SLAB_BYTES // 4):
@@ -221,8 +221,8 @@ def classify(docs: DataFrame, labelled: DataFrame, label: str = "quality", thres
     repeated rows each give a row; other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    known = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows.join(known, "key")))
+    known = sampled(labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")), MAX_LABELLED)
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows.join(F.broadcast(known), "key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value

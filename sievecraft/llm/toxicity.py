@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import SLAB_BYTES, list_parts, logistic, map_arrow, materialise, offsets_of, slabs, texts
+from sievecraft.llm.common import SLAB_BYTES, list_parts, logistic, map_arrow, materialise, offsets_of, sampled, slabs, texts
 
 #: Characters that stand for letters.
 LOOKALIKES = {
@@ -258,8 +258,8 @@ def ratio(toxic: int, clean: int, share: float) -> float:
 
 
 def train(labelled: DataFrame, char: np.ndarray) -> Evidence:
-    """Evidence from documents (key, t, y); of more than MAX_LABELLED those with the least hash of the key."""
-    sample = labelled.orderBy(F.xxhash64("key"), "key").limit(MAX_LABELLED).select("t", "y")
+    """Evidence from documents (key, t, y); see `sampled`."""
+    sample = labelled.select("t", "y")
     sample = materialise(sample, "labelled")
     sizes = sample.agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     n, toxic = sizes["n"] or 0, sizes["toxic"] or 0
@@ -284,7 +284,7 @@ def _columns(rows: DataFrame, char: np.ndarray, evidence: Evidence, joined: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         char, weights, final = shared.value
         restorer, model = restorer_of(char), Evidence(weights, final)
-        for batch in slabs(batches, "t", SLAB_BYTES // 2):
+        for batch in slabs(batches, "t", SLAB_BYTES // 4):
             column = texts(batch, "t")
             out = pa.array(model.scores(restorer, column)) if joined else pa.array(model.columns(restorer, column).tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), out], names=["key", "score" if joined else "x"])
@@ -323,7 +323,7 @@ def classify(docs: DataFrame, labelled: DataFrame, label: str = "toxic", thresho
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     char = char_counts(docs, text)
-    known = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
-    evidence = train(rows.join(known, "key"), char)
+    known = sampled(labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")), MAX_LABELLED)
+    evidence = train(rows.join(F.broadcast(known), "key"), char)
     out = score(rows, char, evidence)
     return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

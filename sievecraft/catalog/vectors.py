@@ -1,2 +1,74 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over dense vectors: nearest gold, dispersion, entropy, components and projection.
+
+Vectors with an even id are gold, the others generated; label is the category.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievecraft.operators import vector as v
+from sievecraft.sources.records import table
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", (F.col("vec_id") % 2 == 0).alias("gold"))
+
+
+def vec_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold category whose mean vector is nearest to each generated vector, and the cosine to it."""
+    rows = _rows(spark, sf_dir)
+    centres = v.centroid(rows.where("gold"), ["label"], "embedding").select(F.col("label").alias("c"), "centroid")
+    # As many rows as categories, held to that by the aggregation.
+    near = rows.where("NOT gold").join(F.broadcast(centres)).withColumn("sim", v.dot(F.col("embedding"), F.col("centroid")) / (v.norm(F.col("embedding")) * v.norm(F.col("centroid"))))
+    best = near.groupBy("vec_id").agg(F.max_by(F.struct("c", "sim"), F.struct(F.round("sim", 9), -F.col("c"))).alias("b"), F.max("label").alias("label"))
+    return best.select("vec_id", F.col("b.c").alias("nearest"), F.round("b.sim", 5).alias("similarity"), (F.col("b.c") == F.col("label")).alias("same"))
+
+
+def vec_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 - mean cosine of all pairs of a category."""
+    return v.mean_pairwise_cosine(_rows(spark, sf_dir), ["label"], "embedding").select("label", "n", F.round(1 - F.col("mean_cosine"), 5).alias("dispersion"))
+
+
+def cluster_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.normalized_entropy(_rows(spark, sf_dir), ["gold"], "label", 10).select("gold", F.round("entropy", 6).alias("entropy"))
+
+
+def vec_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return rows.select("vec_id", F.round(v.norm(F.col("embedding")), 5).alias("norm"), F.round(v.norm(v.unit(F.col("embedding"))), 5).alias("unit_norm"))
+
+
+def category_nearest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vec_nearest(spark, sf_dir).groupBy("nearest").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"), F.round(F.avg("similarity"), 4).alias("mean_similarity"))
+
+
+def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First two principal components, signs set so that the largest loading is positive; rounded coarsely."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = _rows(spark, sf_dir).select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="x", outputCol="z").fit(rows).transform(rows)
+    model = PCA(k=2, inputCol="z", outputCol="p").fit(centred)
+    loadings = model.pc.toArray()
+    signs = [1.0 if loadings[abs(loadings[:, k]).argmax(), k] >= 0 else -1.0 for k in range(2)]
+    out = model.transform(centred).select("vec_id", vector_to_array("p").alias("p"))
+    return out.select("vec_id", F.round(F.col("p")[0] * signs[0], 4).alias("x"), F.round(F.col("p")[1] * signs[1], 4).alias("y"))
+
+
+QUERIES = {f.__name__: f for f in (vec_nearest, vec_dispersion, cluster_entropy, vec_norms, category_nearest_counts, pca_2d)}
+
+_U = "list_transform(embedding, lambda x: x::DOUBLE)"
+_NEAR = f"""ct AS (SELECT label AS c, list(m ORDER BY d) AS centroid FROM (SELECT label, d, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL) GROUP BY label),
+s AS (SELECT vec_id, label, c, list_dot_product({_U}, centroid) / sqrt(list_dot_product({_U}, {_U}) * list_dot_product(centroid, centroid)) AS sim FROM embeddings, ct WHERE vec_id % 2 = 1),
+nr AS (SELECT vec_id, c AS nearest, round(sim, 5) AS similarity, c = label AS same FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, c) = 1)"""
+ORACLE_SQL = {
+    "vec_nearest": f"WITH {_NEAR} SELECT * FROM nr",
+    "vec_dispersion": f"""SELECT a.label, max(n) AS n, round(1 - avg(list_dot_product(a.u, b.u) / (sqrt(list_dot_product(a.u, a.u)) * sqrt(list_dot_product(b.u, b.u)))), 5) AS dispersion
+        FROM (SELECT vec_id, label, {_U} AS u, count(*) OVER (PARTITION BY label) AS n FROM embeddings) a JOIN (SELECT vec_id, label, {_U} AS u FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""",
+    "cluster_entropy": "SELECT gold, round(-sum(p * ln(p)) / ln(10), 6) AS entropy FROM (SELECT vec_id % 2 = 0 AS gold, label, count(*) / sum(count(*)) OVER (PARTITION BY vec_id % 2 = 0) AS p FROM embeddings GROUP BY vec_id % 2 = 0, label) GROUP BY gold",
+    "vec_norms": f"SELECT vec_id, round(sqrt(list_dot_product({_U}, {_U})), 5) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings",
+    "category_nearest_counts": f"WITH {_NEAR} SELECT nearest, count(*) AS n, count(*) FILTER (same) AS n_same, round(avg(similarity), 4) AS mean_similarity FROM nr GROUP BY nearest",
+}

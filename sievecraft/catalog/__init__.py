@@ -1,7 +1,7 @@
 """Registered queries over the reference operators and the SQL that checks them."""
 
-from sievecraft.catalog import coverage, relations, samples, scalars, vectors
+from sievecraft.catalog import coverage, curation, relations, samples, scalars, vectors
 
-MODULES = (scalars, coverage, relations, samples, vectors)
+MODULES = (scalars, coverage, curation, relations, samples, vectors)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -124,7 +124,7 @@ ORACLE_SQL = {
     "text_scalars": """SELECT conv_id, turn, CASE WHEN length(text) > 160 THEN substr(text, 1, 157) || '...' ELSE text END AS example,
         lower(substr(text, 1, 1)) || substr(text, 2) AS lowered, role || ':' || substr(sha1(role || chr(10) || text), 1, 16) AS stable_id,
         translate(lower(trim(role)), '- ', '__') AS label,
-        coalesce(greatest(0.0, least(1.0, try_cast(lower(trim(text)) AS DOUBLE))), CASE WHEN contains(lower(text), 'yes') OR contains(lower(text), 'satisfied') THEN 1.0 WHEN contains(lower(text), 'no') THEN 0.0 END, 0.0)::DOUBLE AS score,
+        coalesce(CASE WHEN try_cast(lower(trim(text)) AS DOUBLE) IS NOT NULL THEN greatest(0.0, least(1.0, try_cast(lower(trim(text)) AS DOUBLE))) END, CASE WHEN contains(lower(text), 'yes') OR contains(lower(text), 'satisfied') THEN 1.0 WHEN contains(lower(text), 'no') THEN 0.0 END, 0.0)::DOUBLE AS score,
         CASE WHEN lower(role) IN ('1', 'true', 'yes', 'y', 'correct', 'pass', 'passed') THEN true WHEN lower(role) IN ('0', 'false', 'no', 'n', 'incorrect', 'fail', 'failed') THEN false END AS flag,
         turn::DOUBLE AS number FROM conversations""",
     "alias_coalesce": "SELECT event_id, coalesce(nullif(json_extract_string(props, '$.query'), ''), nullif(json_extract_string(props, '$.k'), ''), nullif(event_type, '')) AS picked FROM events",

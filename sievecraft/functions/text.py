@@ -123,7 +123,7 @@ def parse_score(x: Column) -> Column:
     """A score in [0, 1] from JSON, a number or a yes/no word."""
     word = F.lower(strip(x))
     number = F.coalesce(F.get_json_object(x, "$.score").try_cast("double"), word.try_cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.when(word.contains("yes") | word.contains("satisfied"), 1.0).when(word.contains("no"), 0.0), F.lit(0.0))
+    return F.coalesce(F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))), F.when(word.contains("yes") | word.contains("satisfied"), 1.0).when(word.contains("no"), 0.0), F.lit(0.0))
 
 
 def safe_float(x: Column) -> Column:

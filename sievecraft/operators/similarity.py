@@ -76,3 +76,20 @@ def greedy_dedupe(items: DataFrame, sims: DataFrame, tau: float) -> DataFrame:
 
 def composite_reward(coverage: Column, validity: Column, redundant: Column, weights: tuple[float, float, float] = (1.0, 0.5, 0.5)) -> Column:
     return weights[0] * coverage + weights[1] * validity - weights[2] * redundant
+
+
+def near_pairs(left: DataFrame, right: DataFrame, tau: float) -> DataFrame:
+    """a, b, sim of items of two collections (id, token, c, nn) with a cosine of at least tau.
+
+    Candidates share a token among the rarest of the right item: its prefix. A left item that misses all of
+    them meets the rest only, whose norm is below tau by itself. So frequent tokens never meet, and none is lost.
+    """
+    freq = left.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    rank = Window.partitionBy("id").orderBy(F.coalesce("f", F.lit(0)), "token")
+    ranked = right.join(freq, "token", "left").withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("c")).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    prefix = ranked.where(F.col("before") <= (1 - tau * tau) * F.col("nn") + 1e-9).select(F.col("id").alias("b"), "token")
+    pairs = left.select(F.col("id").alias("a"), "token").join(prefix, "token").select("a", "b").distinct()
+    x = left.select(F.col("id").alias("a"), "token", F.col("c").alias("ca"), F.col("nn").alias("na"))
+    y = right.select(F.col("id").alias("b"), "token", F.col("c").alias("cb"), F.col("nn").alias("nb"))
+    dots = pairs.join(y, "b").join(x, ["a", "token"]).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return dots.select("a", "b", cosine(F.col("dot"), F.col("na"), F.col("nb")).alias("sim")).where(F.col("sim") >= tau)

@@ -15,39 +15,57 @@ from sievecraft.llm.common import materialise
 
 #: Leading tokens that lead to a leaf, least tokens of a line that counts, least share of constant tokens.
 DEPTH, LEAST_TOKENS, CONSTANT = 3, 5, 0.7
-#: Fields that vary by their shape.
-FIELDS = r"[\w.+-]+@[\w-]+(\.[\w-]+)+|(?<![0-9A-Za-z])[0-9a-fA-F]{8,}(?![0-9A-Za-z])|[0-9][0-9.,:/-]*"
+#: Fields that vary by their shape; all have a digit or an @.
+FIELDS = r"[\w.+-]+@[\w-]+(\.[\w-]+)+|(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])|[0-9][0-9.,:/-]*"
+
+
+def tokens_of(line: Column) -> Column:
+    """Tokens of a line between ASCII blanks, in lower case, varying fields as <*>."""
+    flat = F.translate(F.lower(line), "\t\r\x0b\f", "    ")
+    flat = F.when(flat.rlike("[0-9@]"), F.regexp_replace(flat, FIELDS, "<*>")).otherwise(flat)
+    return F.filter(F.split(flat, " "), lambda x: x != "")
+
+
+def digest_of(tokens: Column) -> Column:
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), tokens)), 16, "0") for k in ("one", "two")])
 
 
 def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, line (from 0), tokens (fields masked), h and leaf of the lines that count."""
+    """key, line (from 0), h (128-bit digest of the masked tokens) and leaf of the lines that count."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "s"))
-    masked = F.regexp_replace(F.lower("s"), FIELDS, "<*>")
-    rows = rows.withColumn("tokens", F.filter(F.split(masked, r"[\s]+"), lambda x: x != ""))
-    rows = rows.where(F.size("tokens") >= LEAST_TOKENS)
+    rows = rows.where(F.length("s") >= 2 * LEAST_TOKENS - 1).select("key", "line", tokens_of(F.col("s")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
     lead: Column = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return rows.select("key", "line", "tokens", F.sha2(F.array_join("tokens", " "), 256).alias("h"), lead.alias("leaf"))
-
-
-def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """h (digest of a masked line), template and first (smallest key that has it) of lines whose template
-    stands in several documents."""
-    lines = line_rows(docs, text, key)
-    # A leaf that one document fills has no template that recurs.
-    leaves = lines.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("leaf")
-    kinds = lines.join(leaves, "leaf").groupBy("leaf", "h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("tokens").alias("tokens"))
-    kinds = materialise(kinds, "lines")
-    several = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("leaf")
-    places = kinds.join(several, "leaf").select("leaf", "h", F.posexplode("tokens").alias("place", "token"))
+    return rows.select("key", "line", digest_of(F.col("tokens")).alias("h"), lead.alias("leaf"))
+
+
+def recurring(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """h, template and first (smallest key that has it) of lines whose template stands in several documents.
+
+    `lines` are the line_rows of docs. The template is null where all lines of it are alike.
+    """
+    # A leaf that one document fills has no template that recurs; one line alone in its leaf is its own template.
+    leaves = lines.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("h").alias("h"), F.max("h").alias("h2")).where("low <> high")
+    leaves = materialise(leaves, "leaves")
+    alone = leaves.where("h = h2").select("h", F.lit(None).cast("string").alias("template"), F.col("low").alias("first"))
+    mixed = leaves.where("h <> h2").select("leaf")
+    kinds = lines.join(mixed, "leaf").groupBy("leaf", "h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "line")).alias("at"))
+    kinds = materialise(kinds, "kinds")
+    # Their tokens, from one line of each kind.
+    wanted = kinds.groupBy(F.col("at.key").alias("_key")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h", "leaf")).alias("wanted"))
+    found = docs.join(wanted, docs[key] == F.col("_key")).select(F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"), "wanted")
+    found = found.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["leaf"].alias("leaf"), F.get(F.col("lines"), w["line"]).alias("s")))).alias("w"))
+    found = found.select("w.h", "w.leaf", tokens_of(F.col("w.s")).alias("tokens")).where(digest_of(F.col("tokens")) == F.col("h"))
+    found = materialise(found.groupBy("leaf", "h").agg(F.min("tokens").alias("tokens")), "tokens")
+    places = found.select("leaf", "h", F.posexplode("tokens").alias("place", "token"))
     common = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("leaf", "place", "token")
     constant = places.join(common, ["leaf", "place", "token"]).groupBy("h").agg(F.collect_set("place").alias("constant"))
-    kinds = kinds.join(constant, "h", "left")
+    found = found.join(constant, "h", "left")
     general = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.col("constant"), i), t).otherwise("<*>"))
     enough = (F.size("constant") >= CONSTANT * F.size("tokens")) & F.col("constant").isNotNull()
-    kinds = kinds.select("h", "low", "high", F.array_join(F.when(enough, general).otherwise(F.col("tokens")), " ").alias("template"), "leaf")
-    kinds = materialise(kinds, "templates")
-    spread = kinds.groupBy("leaf", "template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("leaf", "template", "first")
-    return kinds.join(spread, ["leaf", "template"]).select("h", "template", "first")
+    named = found.select("h", "leaf", F.array_join(F.when(enough, general).otherwise(F.col("tokens")), " ").alias("template"))
+    named = materialise(named.join(kinds.select("h", "leaf", "low", "high"), ["h", "leaf"]), "templates")
+    spread = named.groupBy("leaf", "template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("leaf", "template", "first")
+    return alone.unionByName(named.join(spread, ["leaf", "template"]).select("h", "template", "first"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -57,15 +75,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     Lines of fewer than LEAST_TOKENS tokens never recur. Null text counts as empty; documents with a null
     key stay as they are; repeated rows share their fate. Columns named like the new ones are replaced.
     """
-    again = materialise(recurring(docs, text, key), "recurring")
-    hits = line_rows(docs, text, key).select("key", "line", "h").join(again.select("h", "first"), "h")
+    lines = materialise(line_rows(docs, text, key), "lines")
+    again = materialise(recurring(docs, lines, text, key).select("h", "first"), "recurring")
+    hits = lines.select("key", "line", "h").join(again, "h")
     marks = hits.groupBy("key").agg(
         F.array_distinct(F.collect_list(F.when(F.col("key") != F.col("first"), F.col("line")))).alias("_gone"), F.count_distinct("line").alias("_recurring")
     )
     rest = [c for c in docs.columns if c not in ("n_lines", "n_recurring", "n_dropped")]
     out = docs.join(marks.withColumnRenamed("key", "_key"), docs[key] == F.col("_key"), "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    new = {text: F.when(F.size(gone) > 0, left).otherwise(F.coalesce(F.col(text), F.lit(""))), "n_lines": F.size(lines).cast("long"), "n_recurring": F.coalesce("_recurring", F.lit(0)).cast("long"), "n_dropped": F.size(gone).cast("long")}
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    new = {text: F.when(F.size(gone) > 0, left).otherwise(F.coalesce(F.col(text), F.lit(""))), "n_lines": F.size(split).cast("long"), "n_recurring": F.coalesce("_recurring", F.lit(0)).cast("long"), "n_dropped": F.size(gone).cast("long")}
     return out.select(*[new[text].alias(text) if c == text else F.col(c) for c in rest], *[new[c].alias(c) for c in ("n_lines", "n_recurring", "n_dropped")])

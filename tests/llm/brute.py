@@ -41,7 +41,7 @@ def near_components(rows: list[tuple[int, str | None]], width: int, threshold: i
     return {k: (len(sets[k]), root(k)) for k in sets}
 
 
-FIELDS = re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+|(?<![0-9A-Za-z])[0-9a-fA-F]{8,}(?![0-9A-Za-z])|[0-9][0-9.,:/-]*", re.ASCII)
+FIELDS = re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+|(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])|[0-9][0-9.,:/-]*", re.ASCII)
 
 
 def deduped_lines(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int, int]]:

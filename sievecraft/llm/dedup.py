@@ -7,6 +7,7 @@ and each document then learns from the index which row stays.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64):
         self.spark, self.name, self.buckets = spark, name or f"digest_index_{uuid.uuid4().hex}", buckets
+        if name is None:  # an index of this run alone goes when the run ends
+            atexit.register(self._forget)
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -42,6 +45,12 @@ class DigestIndex:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
+    def _forget(self) -> None:
+        try:
+            self.drop()
+        except Exception:  # the session has ended
+            pass
+
     def dedup(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """Adds a batch; one row per document: key, digest, keep_id, group_size (in the batch), kept.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.catalog import carriers as c
 from sievecraft.functions import tasks
+from sievecraft.functions.verify import classify_category
 from sievecraft.operators import curate, graph, normalize
 from sievecraft.operators import similarity as s
 from sievecraft.plans.stages import Stage, run_stages
@@ -57,6 +58,13 @@ def sim_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.min_labels(edges, items.select(F.col("id").alias("node"))).select(F.col("node").alias("item"), "component")
 
 
+def consolidate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best item of each category of a document, at most five: their number and lengths."""
+    kind = classify_category(F.col("item"))
+    out = curate.consolidate(c.generated(spark, sf_dir), kind, curate.quality_score(F.col("item"), kind), 5)
+    return out.groupBy("rec").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.length("item")).cast("long").alias("chars"), F.sum("score").alias("score"))
+
+
 def task_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "conversations")
     return x.groupBy(tasks.task_type(F.col("text"), F.col("role")).alias("task_type"), "role").agg(F.count(F.lit(1)).alias("n"))
@@ -84,7 +92,7 @@ def staged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stages(stages, {"documents": table(spark, sf_dir, "documents")})["summary"]
 
 
-QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), filter_items, union_items, sim_components, task_types, declarative_items, resume_pairs, staged_summary)}
+QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), filter_items, union_items, sim_components, consolidate_items, task_types, declarative_items, resume_pairs, staged_summary)}
 
 
 def _any(x: str, words: tuple[str, ...]) -> str:

@@ -41,3 +41,24 @@ def union_items(sides: list[DataFrame], dedup_tau: float = 0.9) -> DataFrame:
     rows = rows.withColumn("i", place).drop("side")
     fresh = rows.withColumn("first", F.min("i").over(Window.partitionBy("rec", item_key(F.col("item"))))).where("i = first").drop("first")
     return fresh.join(greedy_dedupe(fresh, own_similarity(fresh), dedup_tau), ["rec", "i"])
+
+
+def consolidate(items: DataFrame, dimension, score, most: int, dedup_tau: float = 0.9) -> DataFrame:
+    """The best item of each dimension of a record (ties: the first), best first, near copies of better ones left
+    out, at most `most`: rec, place, item, dimension, score. `dimension` and `score` are columns over item.
+    """
+    rows = items.select("rec", "i", "item", dimension.alias("dimension"), score.cast("double").alias("score"))
+    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("rec", "dimension").orderBy(F.desc("score"), "i"))).where("_n = 1")
+    place = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("score"), "i")) - 1
+    ranked = best.select("rec", place.alias("i"), "item", "dimension", "score")
+    kept = ranked.join(greedy_dedupe(ranked, own_similarity(ranked), dedup_tau), ["rec", "i"])
+    out = kept.withColumn("place", F.row_number().over(Window.partitionBy("rec").orderBy("i")))
+    return out.where(F.col("place") <= most).select("rec", "place", "item", "dimension", "score")
+
+
+def quality_score(item, dimension):
+    """An additive score: a sentence of some length that names something definite beats a short or general one."""
+    from sievecraft.functions.text import tokens
+
+    n = F.size(tokens(item))
+    return (n.between(5, 40).cast("int") * 2 + item.rlike(r"[0-9]").cast("int") + item.rlike(r"[.!?]$").cast("int") + (dimension != "completeness").cast("int") - (n < 4).cast("int") * 2).cast("double")

@@ -1,0 +1,79 @@
+"""Checks over small reports on the driver: values by path, comparisons, and the status they fold to."""
+
+from __future__ import annotations
+
+import hashlib
+import operator
+import re
+from collections.abc import Callable
+from pathlib import Path
+from typing import Any
+
+MISSING = object()
+COMPARE: dict[str, Callable[[Any, Any], bool]] = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "in": lambda a, b: a in b, "not in": lambda a, b: a not in b}
+#: From the mildest status to the gravest.
+SEVERITY = ("pass", "warn", "missing", "fail")
+
+
+def nested_get(data: Any, path: str) -> Any:
+    """Value at a dotted path with list places (`a.0`) and selectors (`rows[method=x].score`); MISSING if there is none."""
+    for part in re.findall(r"[^.\[\]]+(?:\[[^\]]*\])?|\[[^\]]*\]", path):
+        name, _, selector = part.partition("[")
+        if name:
+            if isinstance(data, dict):
+                data = data.get(name, MISSING)
+            elif isinstance(data, list) and name.isdigit() and int(name) < len(data):
+                data = data[int(name)]
+            else:
+                return MISSING
+        if selector:
+            key, _, value = selector.rstrip("]").partition("=")
+            data = next((x for x in data if isinstance(x, dict) and str(x.get(key)) == value), MISSING) if isinstance(data, list) else MISSING
+        if data is MISSING:
+            return MISSING
+    return data
+
+
+def check_value(data: Any, path: str, op: str, wanted: Any) -> str:
+    """pass, fail, or missing where there is no value."""
+    found = nested_get(data, path)
+    if found is MISSING or found is None or found == "":
+        return "missing"
+    try:
+        return "pass" if COMPARE[op](found, wanted) else "fail"
+    except TypeError:
+        return "fail"
+
+
+def check_pair(data: Any, left: str, right: str, op: str, threshold: float, how: str = "difference") -> str:
+    """Compares the difference or the ratio of two numbers with a threshold; a ratio to zero fails."""
+    a, b = nested_get(data, left), nested_get(data, right)
+    if MISSING in (a, b) or not all(isinstance(x, (int, float)) for x in (a, b)):
+        return "missing"
+    if how == "ratio" and b == 0:
+        return "fail"
+    return "pass" if COMPARE[op](a / b if how == "ratio" else a - b, threshold) else "fail"
+
+
+def check_file(path: str | Path, sha256: str | None = None) -> str:
+    """A file that is there and not empty, and has the recorded digest."""
+    path = Path(path)
+    if not path.is_file() or not path.stat().st_size:
+        return "missing"
+    return "pass" if sha256 is None or hashlib.sha256(path.read_bytes()).hexdigest() == sha256 else "fail"
+
+
+def worst(statuses: list[str]) -> str:
+    return max(statuses, key=SEVERITY.index, default="pass")
+
+
+def claim_status(statuses: list[str]) -> str:
+    """Where a claim stands by its checks."""
+    if not statuses:
+        return "not_yet_supported"
+    return {"fail": "contradicted", "missing": "missing_evidence"}.get(worst(statuses), "safe_to_claim")
+
+
+def over_limits(totals: dict[str, float], limits: dict[str, float]) -> list[str]:
+    """The limits that totals exceed."""
+    return [f"{k}: {totals[k]} > {limits[k]}" for k in sorted(limits) if totals.get(k, 0) > limits[k]]

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from sievecraft.catalog import carriers as c
 from sievecraft.functions import tasks
-from sievecraft.functions.verify import classify_category
+from sievecraft.functions.verify import KEYWORDS, classify_category
 from sievecraft.operators import curate, graph, normalize
 from sievecraft.operators import similarity as s
+from sievecraft.operators.joins import match_keywords
 from sievecraft.plans.stages import Stage, run_stages
+from sievecraft.sources.profile import profile
 from sievecraft.sources.records import table
 from sievecraft.streaming.resume import not_done
 
@@ -65,6 +67,17 @@ def consolidate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("rec").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.length("item")).cast("long").alias("chars"), F.sum("score").alias("score"))
 
 
+def nested_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and kinds of values of the conversations' records."""
+    return profile(_records(spark, sf_dir)).select("path", "kind", "n")
+
+
+def keyword_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the categories whose keywords they hold."""
+    rows = match_keywords(table(spark, sf_dir, "documents").select("lang", "text"), "text", KEYWORDS)
+    return rows.groupBy("concern", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
 def task_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "conversations")
     return x.groupBy(tasks.task_type(F.col("text"), F.col("role")).alias("task_type"), "role").agg(F.count(F.lit(1)).alias("n"))
@@ -92,7 +105,7 @@ def staged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stages(stages, {"documents": table(spark, sf_dir, "documents")})["summary"]
 
 
-QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), filter_items, union_items, sim_components, consolidate_items, task_types, declarative_items, resume_pairs, staged_summary)}
+QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), filter_items, union_items, sim_components, consolidate_items, nested_profile, keyword_concerns, task_types, declarative_items, resume_pairs, staged_summary)}
 
 
 def _any(x: str, words: tuple[str, ...]) -> str:
@@ -127,5 +140,6 @@ ORACLE_SQL = {
         s3 AS (SELECT *, {c.sql_strip(c.sql_collapse(_STATEMENT))} AS f FROM s2), s4 AS (SELECT *, upper(substr(f, 1, 1)) || substr(f, 2) AS u FROM s3)
         SELECT gold_id, g, CASE WHEN f = '' THEN '' WHEN regexp_matches(u, '[.!?。！？]$') THEN u ELSE regexp_replace(u, '[,;:]+$', '') || '.' END AS statement,
         sha256(array_to_string(list_filter({c.sql_tokens('item')}, lambda w: NOT list_contains({_STOP}, w)), ' ')) AS content_sha256 FROM s4""",
+    "keyword_concerns": "SELECT concern, lang, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS concern, lang FROM documents WHERE {_any('lower(text)', w)}" for k, w in KEYWORDS.items()) + ") GROUP BY ALL",
     "resume_pairs": """SELECT o_custkey, o_orderpriority, max(o_orderkey) AS pos FROM orders o WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_orderstatus = 'F' AND d.o_custkey = o.o_custkey AND d.o_orderpriority = o.o_orderpriority) GROUP BY ALL""",
 }

@@ -48,3 +48,10 @@ def best_per_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The row of each key with the greatest order columns."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_best")).select(*keys, *[F.col(f"_best.{c}") for c in rest])
+
+
+def match_keywords(rows: DataFrame, text: str, concerns: dict[str, tuple[str, ...]], name: str = "concern") -> DataFrame:
+    """Rows once for each concern of which the text holds a keyword: a theta join with a list given in the plan."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hits = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(c)) for c, words in concerns.items()]
+    return rows.withColumn(name, F.explode(F.array_compact(F.array(*hits))))

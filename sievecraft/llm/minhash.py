@@ -5,9 +5,9 @@ a second one gives the bins ranks; circularly shifted by 0, 1, 2, ... it yields
 signature. Bands of coordinates propose links, full shingle sets confirm them, and star contraction joins
 the links to components.
 
-Groups of copies stay cheap: equal sets are one node; a bucket of a band proposes its members to one
-pivot rather than to each other. What a pivot leaves open (members of one bucket in several components)
-is settled by further pivots, so no link between different components is lost.
+Groups of copies stay cheap: equal sets are one node, and a bucket of a band proposes its members to its
+heaviest node rather than to each other. What that leaves open (members of one bucket in several
+components) is compared where two of them share one of their rarest shingles, which every link does.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievecraft.llm.common import list_parts, map_arrow, materialise, offsets_of, slabs, texts
@@ -158,11 +158,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-#: While a bucket of more members than this holds several components, further pivots are tried, so often at most;
-#: what then is left is compared in full, whatever its size.
-LARGE, PIVOT_ROUNDS = 64, 4
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept.
 
@@ -192,53 +187,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, text:
     def linked(found: DataFrame) -> DataFrame:
         return found.where(f"100 * shared >= {threshold} * total").select("a", "b")
 
-    def find(open_: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Tests the members of buckets against the heaviest one of the component that a hash puts first."""
-        order = F.struct(F.lit(0) if known is None else F.xxhash64(F.lit(turn), "label"), -F.col("weight"), "node", "n")
-        pivots = open_.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
-        pairs = open_.join(pivots, "band").where(F.col("node") != F.col("a")).where(fits("n", "na")).select(F.greatest("node", "a").alias("a"), F.least("node", "a").alias("b")).distinct()
-        pairs = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        return materialise(links(pairs, sets), "tested")
-
-    tested, turn = find(members, None), 0
+    # Each bucket's members are tested against its heaviest node.
+    order = F.struct(-F.col("weight"), "node", "n")
+    pivots = members.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+    pairs = members.join(pivots, "band").where(F.col("node") != F.col("a")).where(fits("n", "na")).select(F.greatest("node", "a").alias("a"), F.least("node", "a").alias("b")).distinct()
+    tested = materialise(links(pairs, sets), "tested")
     joined = components(linked(tested))
-    mixed = _mixed(_labelled(members, joined))
-    left = materialise(_labelled(members, joined).join(mixed.select("band"), "band"), "open")
-    # Of an open bucket only those stay that have enough shingles in common with any others there: a link to
-    # a set of m shingles takes threshold / (100 + threshold) * (n + m) that both have.
-    alive = left.select("node").distinct()
-    each = sets.join(alive, "node").select("node", F.explode("shingles").alias("shingle"))
-    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
-    support = materialise(each.join(common, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("support")), "support")
-    least = left.groupBy("band").agg(F.min("n").alias("least_n"))
-    left = left.join(support, "node").join(least, "band").where(f"support * (100 + {threshold}) >= {threshold} * (n + least_n)").drop("least_n")
-    left = materialise(left, "open")
-    while turn < PIVOT_ROUNDS:
-        turn += 1
-        large = _mixed(left).where(F.col("c") > LARGE).select("band")
-        found = find(left.join(large, "band"), tested)
-        if found.isEmpty():
-            break
-        tested = tested.unionByName(found)
-        joined = components(linked(tested))
-        left = materialise(_labelled(left, joined), "open")
-
-    # What pivots leave open: pairs of one bucket in two components, unless a known similarity to a third
-    # member rules them out (1 - Jaccard obeys the triangle inequality).
-    left = left.join(_mixed(left).select("band"), "band")
-    pivot = left.groupBy("band").agg(F.min(F.struct(-F.col("weight"), "node", "n")).alias("p")).select("band", F.col("p.node").alias("p"), F.col("p.n").alias("pn"))
-    known = tested.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("d"))
-    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("p"), F.col("b").alias("node"), "d")
-    far = F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")))
-    near = F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
-    left = left.join(pivot, "band").join(known, ["p", "node"], "left").select("band", "node", "n", "label", "support", far.alias("least_d"), near.alias("most_d"))
+
+    # What that leaves open: members of one bucket in two components. A link between sets of n and m shingles takes
+    # threshold / (100 + threshold) * (n + m) in common; so, with the rarest shingles first, the two share one
+    # among the first n - that + 1 of each (the least m of the node's buckets stands for m).
+    left = _labelled(members, joined)
+    mixed = left.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n")).where("low <> high").select("band", "least_n")
+    left = left.join(mixed, "band").groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("least_n").alias("least_n"))
     left = materialise(left, "open")
-    x = left.select("band", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "label", "support", "least_d", "most_d")])
-    y = left.select("band", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "support", "least_d", "most_d")])
-    reach = 1 - threshold / 100 + 1e-9
-    pairs = x.join(y, "band").where("node_x > node_y AND label_x <> label_y").where(fits("n_x", "n_y"))
-    pairs = pairs.where(f"least(support_x, support_y) * (100 + {threshold}) >= {threshold} * (n_x + n_y)")
-    pairs = pairs.where(F.col("least_d_x") - F.col("most_d_y") <= reach).where(F.col("least_d_y") - F.col("most_d_x") <= reach)
+    each = materialise(sets.join(left.select("node"), "node").select("node", F.explode("shingles").alias("shingle")), "shingles")
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("c", F.lit(1)), "shingle"))
+    front = each.join(common, "shingle", "left").withColumn("rank", rank).join(left, "node")
+    front = front.where(f"c > 1 AND rank <= n - ceil({threshold} * (n + least_n) / {100 + threshold}) + 1").select("shingle", "node", "n", "label", "rank")
+    front = materialise(front, "front")
+    x, y = (front.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "rank")]) for k in ("x", "y"))
+    pairs = x.join(y, "shingle").where("node_x > node_y AND label_x <> label_y").where(fits("n_x", "n_y"))
+    pairs = pairs.where(f"greatest(rank_x - n_x, rank_y - n_y) <= 1 - ceil({threshold} * (n_x + n_y) / {100 + threshold})")
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     late = materialise(linked(links(pairs, sets)), "late")
 
@@ -262,11 +233,6 @@ def _labelled(members: DataFrame, joined: DataFrame) -> DataFrame:
     return out.withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Buckets that hold several components, and their members' number c."""
-    return members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "c")
-
-
 def kept_rows(docs: DataFrame, width: int = 5, threshold: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that stay, one of each component, with all their columns."""
     dropped = near_duplicates(docs, width, threshold, text, key).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()

@@ -33,7 +33,9 @@ def digest_of(tokens: Column) -> Column:
 def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     """key, line (from 0), h (128-bit digest of the masked tokens) and leaf of the lines that count."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "s"))
-    rows = rows.where(F.length("s") >= 2 * LEAST_TOKENS - 1).select("key", "line", tokens_of(F.col("s")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    rows = rows.where(F.length("s") >= 2 * LEAST_TOKENS - 1)
+    # The generator keeps the filter above it, so that tokens are made once.
+    rows = rows.select("key", "line", F.explode(F.array(tokens_of(F.col("s")))).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
     lead: Column = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
     return rows.select("key", "line", digest_of(F.col("tokens")).alias("h"), lead.alias("leaf"))
 

@@ -1,8 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and word pairs are quantised on a logarithmic scale; an n-gram of level q is put into the
-filter once for each level up to q. The filter is broadcast, and a count is read back by probing level after
-level until one is missing. The filter is cut into shards by hash, so that tasks build it side by side.
+filter once for each level up to q, and a count is read back by probing level after level until one is missing.
+The filter is a table of shards, cut by hash; each has the same number of bits for a level at every size of input.
+It is never in one place: the distinct n-grams of a slab of texts go to their shards, and the levels come back.
 
 A text is scored in blocks of words by a mixture of two models: words alone (add one), and words given the one
 before (Dirichlet-smoothed towards the first). The filter's false positives, whose rate its size sets, leave
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -24,13 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import list_parts, map_arrow, materialise, offsets_of, slabs, sums_by_row, texts
+from sievecraft.llm.common import SLAB_BYTES, list_parts, map_arrow, materialise, offsets_of, slabs, sums_by_row, texts
 
-#: Base of the quantisation, probes of a level, bits for each stored level.
-BASE, PROBES, BITS = 1.5, 4, 16
-#: Shards of the filter, and the most bytes of all shards together: the bound of what is broadcast. Beyond it
-#: a level has fewer bits, and false positives grow.
-SHARDS, MAX_BYTES = 256, 48 << 20
+#: Base of the quantisation, probes of a level, least bits for each stored level, levels (from 0 on).
+BASE, PROBES, BITS, LEVELS = 1.5, 4, 16, 64
+#: Least shards of words and of pairs; from there on they grow so that at most so many training tokens belong to one.
+SHARDS, SHARD_TOKENS = 256, 1 << 22
 #: Pairs seen at least so often are stored.
 LEAST_PAIR = 2
 #: Words that stand for at least 1 / HOT of all tokens are broadcast: HOT at most.
@@ -80,10 +81,10 @@ def pairs_of(hashes: np.ndarray, codes: np.ndarray, lengths: np.ndarray, end: in
 
 def level(counts: np.ndarray) -> np.ndarray:
     """Quantised counts: 1 for one, then logarithmic."""
-    return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
+    return np.minimum(1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64), LEVELS - 1)
 
 
-def level_values(most: int = 64) -> np.ndarray:
+def level_values(most: int = LEVELS) -> np.ndarray:
     """Mean of the counts of each level; 0 for level 0."""
     out = [0.0]
     for q in range(1, most):
@@ -93,14 +94,7 @@ def level_values(most: int = 64) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """Shards of bits; an n-gram belongs to the shard that the top bits of its hash name."""
-
-    def __init__(self, shards: dict[int, np.ndarray]):
-        sizes = np.array([len(shards.get(s, ())) for s in range(SHARDS)], np.int64)
-        self.offset = offsets_of(sizes)[:-1] * 8
-        self.mask = np.maximum(sizes * 8, 1) - 1
-        self.empty = sizes == 0
-        self.bits = np.concatenate([shards[s] for s in sorted(shards)]) if shards else np.zeros(0, np.uint8)
+    """Bits of one shard; the top bits of an n-gram's hash name its shard, the low 40 know it there."""
 
     @staticmethod
     def positions(hashes: np.ndarray, q: int, k: int) -> np.ndarray:
@@ -108,12 +102,11 @@ class LogFrequencyFilter:
         return (g + np.uint64(k) * ((g >> np.uint64(32)) | np.uint64(1))).view(np.int64)
 
     @classmethod
-    def shard(cls, hashes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-        """Bits of one shard: a power of two of bytes, BITS for each level where `most` bytes allow it."""
+    def shard(cls, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Bits of one shard: a power of two of bytes, at least BITS for each level it holds."""
         levels = level(counts)
         want = int(levels.sum()) * BITS // 8
-        size = 1 << max(3, min(want, most).bit_length() - (min(want, most).bit_count() == 1))
-        size = size if size <= most else size >> 1
+        size = 1 << max(3, want.bit_length() - (want.bit_count() == 1))
         bits = np.zeros(size, np.uint8)
         for q in range(1, int(levels.max(initial=0)) + 1):
             some = hashes[levels >= q]
@@ -122,70 +115,126 @@ class LogFrequencyFilter:
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return bits
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Level of each n-gram, by probing from the first level on."""
-        out = np.zeros(len(hashes), np.int64)
-        shard = (hashes >> np.uint64(56)).astype(np.int64)
-        live = np.flatnonzero(~self.empty[shard])
-        q = 1
-        while len(live):
+    @classmethod
+    def levels(cls, bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Level of each n-gram in a shard's bits, by probing from the first level to the last there is."""
+        out = np.zeros(len(hashes), np.uint8)
+        live = np.arange(len(hashes) if len(bits) else 0)
+        for q in range(1, LEVELS):
             for k in range(PROBES):
-                at = self.offset[shard[live]] + (self.positions(hashes[live], q, k) & self.mask[shard[live]])
-                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                at = cls.positions(hashes[live], q, k) & (len(bits) * 8 - 1)
+                live = live[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            if not len(live):
+                break
             out[live] = q
-            q += 1
         return out
 
 
-def build_filter(blocks: DataFrame, least: int) -> LogFrequencyFilter:
-    """Filter of n-grams from rows (shard, hashes, counts: packed 64- and 32-bit words), summed over blocks."""
-    most = MAX_BYTES // SHARDS
+def shards_for(tokens: int) -> int:
+    """Shards of words, and as many of pairs: a power of two, so that no shard grows with the input."""
+    return max(SHARDS, 1 << max(0, (tokens - 1) // SHARD_TOKENS).bit_length())
+
+
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int64)
+
+
+def pack_low(hashes: np.ndarray) -> np.ndarray:
+    """The low 40 bits of each hash, five bytes a row."""
+    return np.ascontiguousarray((hashes & np.uint64((1 << 40) - 1)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def unpack_low(packed: bytes) -> np.ndarray:
+    low = np.zeros((len(packed) // 5, 8), np.uint8)
+    low[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return low.view("<u8").ravel()
+
+
+def pack_slab(lengths: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> bytes:
+    """Lengths, hashes of words and codes of tokens, the codes' lowest bytes first: low codes then compress."""
+    planes = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return b"".join((np.array([len(lengths), len(hashes)], "<i8").tobytes(), lengths.astype("<i8").tobytes(), hashes.astype("<u8").tobytes(), planes.tobytes()))
+
+
+def unpack_slab(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, w = np.frombuffer(data, "<i8", 2).tolist()
+    planes = np.frombuffer(data, np.uint8, offset=8 * (2 + m + w)).reshape(4, -1)
+    return np.frombuffer(data, "<i8", m, 16), np.frombuffer(data, "<u8", w, 8 * (2 + m)), np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+
+
+def by_shard(blocks: DataFrame, then: str) -> DataFrame:
+    return blocks.repartition("shard").sortWithinPartitions("shard", then)
+
+
+def build_filter(blocks: DataFrame, shards: int) -> DataFrame:
+    """Shards (shard, bits) of the filter from rows (shard, hashes, counts: packed 40- and 32-bit words), summed over
+    blocks: words from shard 0 on, pairs from `shards` on. A worker holds one shard at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for s, h, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                low = np.zeros((len(h) // 5, 8), np.uint8)
-                low[:, :5] = np.frombuffer(h, np.uint8).reshape(-1, 5)
-                many = np.frombuffer(c, "<u4").astype(np.int64)
-                held.setdefault(s, []).append((low.view("<u8").ravel() | np.uint64(s << 56), np.concatenate((many, np.ones(len(low) - len(many), np.int64)))))
-        for s, parts in held.items():
-            h, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        for s, blocks in groupby(rows, key=lambda row: row[0]):
+            hashes, counts = [], []
+            for _, h, c in blocks:
+                low, many = unpack_low(h), np.frombuffer(c, "<u4").astype(np.int64)
+                hashes.append(low)
+                counts.append(np.concatenate((many, np.ones(len(low) - len(many), np.int64))))
+            h, c = np.concatenate(hashes), np.concatenate(counts)
             order = np.argsort(h)
             h, c = h[order], c[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            c, h = np.add.reduceat(c, first) if len(h) else c, h[first]
-            h, c = h[c >= least], c[c >= least]
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([LogFrequencyFilter.shard(h, c, most).tobytes()], pa.binary())], names=["shard", "bits"])
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            h, c = h[first], np.add.reduceat(c, first)
+            enough = c >= (1 if s < shards else LEAST_PAIR)
+            if enough.any():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([LogFrequencyFilter.shard(h[enough], c[enough]).tobytes()], pa.binary())], names=["shard", "bits"])
+
+    return map_arrow(by_shard(blocks, "hashes"), run, "shard int, bits binary")
 
-    parts = map_arrow(blocks.repartition(SHARDS, "shard"), run, "shard int, bits binary")
-    return LogFrequencyFilter({r["shard"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in parts.collect()})
 
+def probe_filter(filters: DataFrame, asked: DataFrame) -> DataFrame:
+    """Levels (a byte each) of the packed n-grams of rows (slab, shard, data), each shard's rows beside its bits."""
 
-def pack_blocks(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = -1, np.zeros(0, np.uint8)
+        for batch in batches:
+            slabs_, shards_, out = [], [], []
+            for slab, shard, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if shard != held:
+                    held, bits = shard, np.zeros(0, np.uint8)
+                if slab < 0:
+                    bits = np.frombuffer(data, np.uint8)
+                    continue
+                slabs_.append(slab)
+                shards_.append(shard)
+                out.append(LogFrequencyFilter.levels(bits, unpack_low(data)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(slabs_, pa.int64()), pa.array(shards_, pa.int32()), pa.array(out, pa.binary())], names=["slab", "part", "data"])
+
+    # A shard's bits come first, as their slab is -1.
+    both = filters.select(F.lit(-1).cast("long").alias("slab"), "shard", F.col("bits").alias("data")).unionByName(asked.select("slab", "shard", "data"))
+    return map_arrow(by_shard(both, "slab"), run, "slab bigint, part int, data binary")
+
+
+def cut(hashes: np.ndarray, shards: int, first: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Shard numbers (from `first` on) of sorted hashes and the bounds of each."""
+    names, at = np.unique(shard_of(hashes, shards), return_index=True)
+    return names.astype(np.int32) + np.int32(first), list(zip(at.tolist(), [*at[1:].tolist(), len(hashes)], strict=True)) if len(at) else []
+
+
+def pack_blocks(hashes: np.ndarray, counts: np.ndarray, shards: int, first: int) -> pa.RecordBatch:
     """Rows (shard, hashes, counts) of distinct n-grams: 40 bits of each hash, those of several counts first."""
-    shard = (hashes >> np.uint64(56)).astype(np.int64)
-    order = np.lexsort((counts == 1, shard))
-    hashes, counts, shard = hashes[order], counts[order], shard[order]
-    low = np.ascontiguousarray((hashes & np.uint64((1 << 40) - 1)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-    names, first = np.unique(shard, return_index=True)
-    ends = np.append(first[1:], len(shard))
+    order = np.lexsort((counts == 1, shard_of(hashes, shards)))
+    hashes, counts = hashes[order], counts[order]
+    low = pack_low(hashes)
+    names, bounds = cut(hashes, shards, first)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(names.astype(np.int32)),
-            pa.array([low[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-            pa.array([(c := counts[a:b])[c > 1].astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+            pa.array(names),
+            pa.array([low[a:b].tobytes() for a, b in bounds], pa.binary()),
+            pa.array([(c := counts[a:b])[c > 1].astype("<u4").tobytes() for a, b in bounds], pa.binary()),
         ],
         names=["shard", "hashes", "counts"],
     )
 
 
-def key_of(hashes: np.ndarray) -> np.ndarray:
-    """The 48 bits of a hash by which the filter knows an n-gram, as a 64-bit word with the shard on top."""
-    return (hashes & np.uint64((1 << 40) - 1)) | (hashes & np.uint64(0xFF << 56))
-
-
 def word_counts(rows: DataFrame) -> DataFrame:
     """word and c: exact counts over texts (column t), ends (the empty word) included."""
 
@@ -198,24 +247,71 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("t"), run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def pair_blocks(rows: DataFrame) -> DataFrame:
+def pair_blocks(rows: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches, "t"):
             names, codes, lengths = tokens_of(texts(batch, "t"))
             pairs, _ = pairs_of(hash_words(names), codes, lengths, int(np.flatnonzero(names == "")[0]))
-            yield pack_blocks(*np.unique(pairs, return_counts=True))
+            yield pack_blocks(*np.unique(pairs, return_counts=True), shards, shards)
 
     return map_arrow(rows.select("t"), run, "shard int, hashes binary, counts binary")
 
 
-def word_blocks(words: DataFrame) -> DataFrame:
+def word_blocks(words: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pack_blocks(mix(hash_words(batch.column("word").to_numpy(zero_copy_only=False))), np.minimum(batch.column("c").to_numpy(), 2**32 - 1))
+            yield pack_blocks(mix(hash_words(batch.column("word").to_numpy(zero_copy_only=False))), np.minimum(batch.column("c").to_numpy(), 2**32 - 1), shards, 0)
 
     return map_arrow(words.select("word", "c"), run, "shard int, hashes binary, counts binary")
 
 
+def slab_queries(own: DataFrame, shards: int) -> DataFrame:
+    """Distinct words and pairs of each slab for the shards that hold them: (slab, shard, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, data in (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            lengths, hashes, codes = unpack_slab(data)
+            for first, some in ((0, np.sort(mix(hashes))), (shards, np.unique(pairs_of(hashes, codes, lengths, int(codes[-1]))[0]))):
+                low = pack_low(some)
+                parts, bounds = cut(some, shards, first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), slab)), pa.array(parts), pa.array([low[a:b].tobytes() for a, b in bounds], pa.binary())], names=["slab", "shard", "data"])
+
+    return map_arrow(own.select("slab", "data"), run, "slab bigint, shard int, data binary")
+
+
+def model_scores(rows: DataFrame, n: int, v: int) -> DataFrame:
+    """row and score of each document from rows (slab, part, data): of a slab the packed slab itself (part -1),
+    and the levels that the shards gave (parts from 0 on: words, then pairs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = level_values()
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        for slab, parts in groupby(rows, key=lambda row: row[0]):
+            lengths, hashes, codes = unpack_slab(next(parts)[2])
+            found = np.frombuffer(b"".join(data for _, _, data in parts), np.uint8)
+            # The last code is an end. Levels come in the order of the hashes, those of words first.
+            order = np.argsort(mix(hashes), kind="stable")
+            c1 = np.zeros(len(hashes))
+            c1[order] = values[found[: len(hashes)]]
+            p1 = (c1 + 1) / (n + v + 1)
+            pairs, before = pairs_of(hashes, codes, lengths, int(codes[-1]))
+            distinct, which = np.unique(pairs, return_inverse=True)
+            if len(found) != len(hashes) + len(distinct):
+                raise AssertionError((len(found), len(hashes), len(distinct)))
+            c2 = np.minimum(values[found[len(hashes) :]][which], c1[before])
+            p2 = (c2 + PRIOR * p1[codes]) / (c1[before] + PRIOR)
+            # The model: words alone, and words after the one before, block by block.
+            blocks = (lengths + BLOCK - 1) // BLOCK
+            last = offsets_of(blocks)
+            sizes = np.full(int(last[-1]), BLOCK, np.int64)
+            sizes[last[1:] - 1] = lengths - (blocks - 1) * BLOCK
+            s1, s2 = sums_by_row(np.log(p1)[codes], sizes), sums_by_row(np.log(p2), sizes)
+            score = sums_by_row(np.logaddexp(s1 + math.log(1 - PAIR_SHARE), s2 + math.log(PAIR_SHARE)), blocks) / math.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(slab + np.arange(len(lengths))), pa.array(score)], names=["row", "score"])
+
+    return map_arrow(rows.repartition("slab").sortWithinPartitions("slab", "part"), run, "row bigint, score double")
+
+
 def score(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
@@ -228,20 +324,27 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "
     words = materialise(word_counts(train), "words")
     sizes = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sizes["n"] or 0, sizes["v"] or 0
-    single, pair = build_filter(word_blocks(words), 1), build_filter(pair_blocks(train), LEAST_PAIR)
+    shards = shards_for(n)
+    filters = materialise(build_filter(word_blocks(words, shards).unionByName(pair_blocks(train, shards)), shards), "filter")
+    spark.sparkContext._jvm.System.gc()  # shuffle files of jobs that have ended go with the driver's garbage
     least = max(1, n // HOT + 1)
     hot = words.where(F.col("c") >= least).toPandas()
     hot_hash = hash_words(hot["word"].to_numpy(dtype=object))
     order = np.argsort(hot_hash)
-    shared = spark.sparkContext.broadcast((single, pair, hot_hash[order], hot["c"].to_numpy(np.int64)[order]))
+    shared = spark.sparkContext.broadcast((hot_hash[order], hot["c"].to_numpy(np.int64)[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        single, pair, hot_hash, hot_count = shared.value
-        values, unit = level_values(), math.log10(n + v + 1)
+        hot_hash, hot_count = shared.value
+        unit = math.log10(n + v + 1)
         row = TaskContext.get().partitionId() << 40
-        for batch in slabs(batches, "t"):
+
+        def out(kind: pa.DataType, m: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(m, kind if c == "key" else t) for c, t in OUT.items()], names=list(OUT))
+
+        for batch in slabs(batches, "t", SLAB_BYTES // 2):
+            kind = batch.column("key").type
             names, codes, lengths = tokens_of(texts(batch, "t"))
             hashes = hash_words(names)
             end = int(np.flatnonzero(names == "")[0])
@@ -250,42 +353,31 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "
             count = np.where(known, hot_count[at], 0) if len(hot_hash) else np.zeros(len(hashes), np.int64)
             base = sums_by_row(np.log10(count + 1.0)[codes], lengths) - lengths * unit
             found = sums_by_row(known[codes].astype(np.int64), lengths)
-            # The model: words alone, and words after the one before, block by block.
-            c1 = values[single.levels(key_of(mix(hashes)))]
-            p1 = (c1 + 1) / (n + v + 1)
-            pairs, before = pairs_of(hashes, codes, lengths, end)
-            c2 = np.minimum(values[pair.levels(key_of(pairs))], c1[before])
-            p2 = (c2 + PRIOR * p1[codes]) / (c1[before] + PRIOR)
-            blocks = (lengths + BLOCK - 1) // BLOCK
-            last = offsets_of(blocks)
-            sizes = np.full(int(last[-1]), BLOCK, np.int64)
-            sizes[last[1:] - 1] = lengths - (blocks - 1) * BLOCK
-            s1, s2 = sums_by_row(np.log(p1)[codes], sizes), sums_by_row(np.log(p2), sizes)
-            score = sums_by_row(np.logaddexp(s1 + math.log(1 - PAIR_SHARE), s2 + math.log(PAIR_SHARE)), blocks) / math.log(10)
             ids = row + np.arange(batch.num_rows)
-            row += batch.num_rows
-            none = pa.nulls(batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("key"), none, pa.array(lengths), pa.array(found), pa.array(base), pa.array(score)], names=OUT)
+            yield out(kind, batch.num_rows, row=pa.array(ids), key=batch.column("key"), n_tokens=pa.array(lengths), n_known=pa.array(found), base_score=pa.array(base))
+            # The slab itself.
+            yield out(kind, 1, row=pa.array([row], pa.int64()), part=pa.array([-1], pa.int32()), data=pa.array([pack_slab(lengths, hashes, codes)], pa.binary()))
             # Words that are not broadcast leave as rows of (document, word, times).
             cold = np.flatnonzero(~known[codes])
             doc = np.repeat(np.arange(batch.num_rows), lengths)[cold]
             both, times = np.unique(doc * len(names) + codes[cold], return_counts=True)
             for i in range(0, len(both), 100_000):
                 doc, code = both[i : i + 100_000] // len(names), both[i : i + 100_000] % len(names)
-                m = len(doc)
-                nothing = pa.nulls(m, pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.nulls(m, batch.column("key").type), pa.array(names[code], pa.string()), pa.array(times[i : i + 100_000].astype(np.int64)), pa.nulls(m, pa.int64()), nothing, nothing], names=OUT)
+                yield out(kind, len(doc), row=pa.array(ids[doc]), word=pa.array(names[code], pa.string()), n_tokens=pa.array(times[i : i + 100_000].astype(np.int64)))
+            row += batch.num_rows
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = rows.schema["key"].dataType.simpleString()
-    both = materialise(map_arrow(rows, run, f"row bigint, key {kind}, word string, n_tokens bigint, n_known bigint, base_score double, score double"), "scores")
+    both = materialise(map_arrow(rows, run, f"row bigint, key {kind}, word string, n_tokens bigint, n_known bigint, base_score double, part int, data binary"), "scores")
+    own = both.where("part IS NOT NULL").select(F.col("row").alias("slab"), "part", "data")
+    scores = model_scores(own.unionByName(probe_filter(filters, slab_queries(own, shards))), n, v)
     rare = both.where("word IS NOT NULL").select("row", "word", F.col("n_tokens").alias("times")).join(words.where(F.col("c") < least), "word")
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("known"))
-    out = both.where("word IS NULL").drop("word").join(rare, "row", "left")
+    out = both.where("word IS NULL AND part IS NULL").drop("word", "part", "data").join(scores, "row").join(rare, "row", "left")
     return out.select(
         F.col("key").alias(key), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
 
 
-OUT = ["row", "key", "word", "n_tokens", "n_known", "base_score", "score"]
+OUT = {"row": pa.int64(), "key": None, "word": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "part": pa.int32(), "data": pa.binary()}

@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from sievecraft.llm import minhash, packing, quality, toxicity
 from sievecraft.llm.common import materialise, table
-from sievecraft.llm.dedup import DigestIndex
+from sievecraft.llm.dedup import DigestIndex, digest
 from sievecraft.llm.queries import tokenizer_path
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose id is not among the dropped ones; those without an id stay."""
-    return docs.join(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The documents whose id and text are not among the dropped ones; an id may be null or stand for several texts."""
+    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest() == F.col("_digest")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the documents that the noisy-channel classifier does not find toxic; learns from all labels."""
-    return _without(docs, toxicity.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return _without(docs, toxicity.classify(docs, table(spark, sf_dir, "labels"), digests=True).where("predicted = 1"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the documents that the line field finds good; learns from all labels."""
-    return _without(docs, quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    return _without(docs, quality.classify(docs, table(spark, sf_dir, "labels"), digests=True).where("predicted = 0"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievecraft.llm.common import list_parts, map_arrow, materialise, offsets_of, slabs, texts
+from sievecraft.llm.dedup import digest
 
 #: Bands and coordinates in each. A pair of similarity 0.8 shares no band with probability 2e-6.
 BANDS, ROWS = 56, 7
@@ -234,6 +235,16 @@ def _labelled(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, width: int = 5, threshold: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    dropped = near_duplicates(docs, width, threshold, text, key).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
-    return docs.join(dropped, docs[key].cast("long") == dropped["_key"], "left_anti")
+    """The documents that stay, one of each component, with all their columns.
+
+    Rows are told apart by key and text, so those with a null key or the key of another text are linked like all
+    others. The smallest key stays, null as the last, and of its texts the one of the smallest digest; rows that
+    repeat key and text share their fate.
+    """
+    row = F.xxhash64(F.col(key).isNull(), key, digest(text))
+    found = near_duplicates(docs.select(row.alias("_row"), text), width, threshold, text, "_row").select("_row", "component_id").distinct()
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("long").alias("key"), digest(text).alias("digest"))
+    found = materialise(found.join(docs.select(row.alias("_row"), rank.alias("rank")).distinct(), "_row"), "found")
+    first = found.groupBy("component_id").agg(F.min("rank").alias("first"))
+    dropped = found.join(first, "component_id").where("rank <> first").select("_row")
+    return docs.join(dropped, row == F.col("_row"), "left_anti")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievecraft.llm.common import SLAB_BYTES, list_parts, logistic, map_arrow, offsets_of, sampled, slabs, sums_by_row, texts
+from sievecraft.llm.dedup import digest
 
 #: Labelled documents to fit on (those with the least hash), and the lines of the longest one among them.
 MAX_LABELLED, MAX_LINES = 4_000, 2_000
@@ -213,12 +214,13 @@ def label_lines(docs: DataFrame, field: LineField, text: str = "text", key: str
     return map_arrow(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, line bigint, p_good double").withColumnRenamed("key", key)
 
 
-def classify(docs: DataFrame, labelled: DataFrame, label: str = "quality", threshold: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labelled: DataFrame, label: str = "quality", threshold: float = 0.3, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
     """One row per document: key, score (0 to 1, higher: more likely good), predicted (score >= threshold).
 
     `labelled` has key and label of the documents that may be learnt from; labels other than 0 and 1 are
     ignored. Null, empty and blank texts score the share of good labels; without both labels all do. Null keys and
-    repeated rows each give a row; other columns are ignored.
+    repeated rows each give a row; other columns are ignored. With `digests` each row also has the digest of its
+    text, so that rows of one key can be told apart.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     known = sampled(labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")), MAX_LABELLED)
@@ -230,5 +232,7 @@ def classify(docs: DataFrame, labelled: DataFrame, label: str = "quality", thres
             measures, doc, size = lines_of(texts(batch, "t"))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(field.score(field.badness(measures, doc, size, batch.num_rows)))], names=["key", "score"])
 
-    out = map_arrow(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, score double")
-    return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = rows.select(F.struct("key", digest("t").alias("digest")).alias("key"), "t") if digests else rows
+    out = map_arrow(scored, run, f"key {scored.schema['key'].dataType.simpleString()}, score double")
+    out = out.select("key.*", "score") if digests else out
+    return out.select(F.col("key").alias(key), *["digest"] * digests, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievecraft.llm.common import SLAB_BYTES, list_parts, logistic, map_arrow, materialise, offsets_of, sampled, slabs, texts
+from sievecraft.llm.dedup import digest
 
 #: Characters that stand for letters.
 LOOKALIKES = {
@@ -314,16 +315,20 @@ def restore(docs: DataFrame, char: np.ndarray, text: str = "text", key: str = "d
     return map_arrow(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, restored string").withColumnRenamed("key", key)
 
 
-def classify(docs: DataFrame, labelled: DataFrame, label: str = "toxic", threshold: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labelled: DataFrame, label: str = "toxic", threshold: float = 0.3, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
     """One row per document: key, score (0 to 1, higher: more likely toxic), predicted (score >= threshold).
 
     `labelled` has key and label of the documents that may be learnt from. Labels other than 0 and 1 and rows
     without text are ignored there; documents with a null key or text are scored like others (null text:
-    empty), repeated rows each give a row, and without any toxic label all score low alike.
+    empty), repeated rows each give a row, and without any toxic label all score low alike. With `digests` each
+    row also has the digest of its text, so that rows of one key can be told apart.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     char = char_counts(docs, text)
     known = sampled(labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")), MAX_LABELLED)
     evidence = train(rows.join(F.broadcast(known), "key"), char)
-    out = score(rows, char, evidence)
-    return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    if digests:
+        out = score(rows.select(F.struct("key", digest("t").alias("digest")).alias("key"), "t"), char, evidence).select("key.*", "score")
+    else:
+        out = score(rows, char, evidence)
+    return out.select(F.col("key").alias(key), *["digest"] * digests, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,7 +1,9 @@
 """Whole jobs: cases in which an operator once did less."""
 
 import numpy as np
-from sievecraft.llm import lm
+
+import corpus_pipeline
+from sievecraft.llm import lm, minhash, quality, toxicity
 
 
 def test_filter_keeps_its_bits_a_level():
@@ -32,3 +34,38 @@ def test_language_model_is_the_same_with_more_shards(spark, monkeypatch):
     assert lm.shards_for(3000) > lm.SHARDS
     many = {r["doc_id"]: r["score"] for r in lm.score(docs, docs).collect()}
     assert all(abs(few[k] - many[k]) < 0.05 for k in few)
+
+
+def test_pipeline_tells_rows_apart_by_id_and_text(spark, monkeypatch):
+    """A dropped row takes no other row of its id with it, and rows without an id are dropped like others."""
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "changed"])
+    rows = [(None, "bad one"), (None, "good one"), (1, "bad two"), (1, "good two"), (2, " ".join(base)), (3, near), (3, "good three"), (None, near + " more"), (None, near + " extra")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda out: sorted((r["doc_id"] or 0, r["text"]) for r in out.collect())
+    for module, stage, bad in ((toxicity, corpus_pipeline.drop_toxic, 1), (quality, corpus_pipeline.drop_poor, 0)):
+        real = module.classify
+
+        def fake(docs, labelled, real=real, bad=bad, **more):
+            from pyspark.sql import functions as F
+
+            out = real(docs, labelled, **more)
+            assert out.count() == docs.count() and "digest" in out.columns
+            told = docs.select("doc_id", corpus_pipeline.digest().alias("digest"), F.when(F.col("text").startswith("bad"), bad).otherwise(1 - bad).alias("predicted"))
+            return told
+
+        monkeypatch.setattr(module, "classify", fake)
+        assert left(stage(spark, docs, "/root/testdata/sf0.001")) == sorted((i or 0, t) for i, t in rows if not t.startswith("bad"))
+    kept = left(minhash.kept_rows(docs))
+    assert kept == sorted((i or 0, t) for i, t in rows if not t.startswith(near))
+
+
+def test_pipeline_run_is_its_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = {(r["doc_id"], r["text"]) for r in docs.collect()}
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= before
+    total = lambda pieces: {k: sum(p["length"] for p in pieces if p["doc_id"] == k) for k in {p["doc_id"] for p in pieces}}
+    assert total(corpus_pipeline.run(spark, sf).collect()) == total(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect())

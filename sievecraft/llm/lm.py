@@ -15,6 +15,7 @@ those of all others joined.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from itertools import groupby
@@ -326,7 +327,9 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "
     n, v = sizes["n"] or 0, sizes["v"] or 0
     shards = shards_for(n)
     filters = materialise(build_filter(word_blocks(words, shards).unionByName(pair_blocks(train, shards)), shards), "filter")
-    spark.sparkContext._jvm.System.gc()  # shuffle files of jobs that have ended go with the driver's garbage
+    # Shuffle files of jobs that have ended go with the driver's garbage, Python's references first.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     least = max(1, n // HOT + 1)
     hot = words.where(F.col("c") >= least).toPandas()
     hot_hash = hash_words(hot["word"].to_numpy(dtype=object))

@@ -2,15 +2,15 @@
 
 Counts of words and word pairs are quantised on a logarithmic scale; an n-gram of level q is put into the
 filter once for each level up to q, and a count is read back by probing level after level until one is missing.
-The filter is a table of shards, cut by hash; each has the same number of bits for a level at every size of input.
-It is never in one place: the distinct n-grams of a slab of texts go to their shards, and the levels come back.
+The filter is a table of shards, cut by hash; each has the same number of bits for a level at every size of input,
+so the filter grows with what it holds and its rate of false positives does not. It is never in one place: the
+distinct n-grams of a slab of texts go to their shards, and the levels come back.
 
 A text is scored in blocks of words by a mixture of two models: words alone (add one), and words given the one
 before (Dirichlet-smoothed towards the first). The filter's false positives, whose rate its size sets, leave
 the pair model slightly above one in sum.
 
-Beside it stands the exact add-one word model: counts of frequent words (at most HOT of them) are broadcast,
-those of all others joined.
+Beside its bits a shard of words holds their exact counts (by 64-bit hash), which the add-one base model takes.
 """
 
 from __future__ import annotations
@@ -29,14 +29,12 @@ from pyspark.sql import functions as F
 
 from sievecraft.llm.common import SLAB_BYTES, list_parts, map_arrow, materialise, offsets_of, slabs, sums_by_row, texts
 
-#: Base of the quantisation, probes of a level, least bits for each stored level, levels (from 0 on).
+#: Base of the quantisation, probes of a level, bits for each stored level, levels (from 0 on).
 BASE, PROBES, BITS, LEVELS = 1.5, 4, 16, 64
 #: Least shards of words and of pairs; from there on they grow so that at most so many training tokens belong to one.
-SHARDS, SHARD_TOKENS = 256, 1 << 22
-#: Pairs seen at least so often are stored.
-LEAST_PAIR = 2
-#: Words that stand for at least 1 / HOT of all tokens are broadcast: HOT at most.
-HOT = 1 << 20
+SHARDS, SHARD_TOKENS = 64, 1 << 21
+#: Bits of a pair's hash that know it in its shard; words keep all 64.
+PAIR_BITS = 40
 #: Weight of the word model in a pair's probability, words of a block, prior share of the pair model.
 PRIOR, BLOCK, PAIR_SHARE = 4.0, 64, 0.1
 
@@ -49,35 +47,42 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_words(words: np.ndarray) -> np.ndarray:
-    return pd.util.hash_array(words, categorize=False).astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
+    return mix(pd.util.hash_array(words, categorize=False).astype(np.uint64)) if len(words) else np.zeros(0, np.uint64)
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words (the empty one is the end), code of each token, tokens of each text with its end last."""
+    """Hashes of the distinct words, the end's being the last; code of each token; tokens of each text, its end last."""
     words, counts = list_parts(pc.ascii_split_whitespace(pc.ascii_lower(column)))
     coded = words.dictionary_encode()
     names = coded.dictionary.to_numpy(zero_copy_only=False)
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    rows = np.repeat(np.arange(len(counts)), counts)
-    full = (names != "")[codes] if len(codes) else np.zeros(0, bool)
-    codes, rows = codes[full], rows[full]
-    lengths = np.bincount(rows, minlength=len(counts)).astype(np.int64) + 1
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    blank = np.flatnonzero(names == "")
+    if len(blank):  # white space at an end of a text leaves an empty part
+        full = codes != blank[0]
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[full], minlength=len(counts)).astype(np.int64)
+        codes = codes[full]
+        codes = codes - (codes > blank[0])
+        names = np.delete(names, blank[0])
+    lengths = counts + 1
     at = offsets_of(lengths)
-    empty = np.flatnonzero(names == "")
-    end = int(empty[0]) if len(empty) else len(names)
-    names = names if len(empty) else np.append(names, "")
-    out = np.full(int(at[-1]), end, np.int64)
+    out = np.full(int(at[-1]), len(names), np.int32)
     mask = np.ones(len(out), bool)
     mask[at[1:] - 1] = False
     out[mask] = codes
-    return names, out, lengths
+    return hash_words(np.append(names, "")), out, lengths
 
 
-def pairs_of(hashes: np.ndarray, codes: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token with the one before it (at first the end), and the code of that one."""
-    before = np.concatenate(([end], codes[:-1])) if len(codes) else codes
-    before[offsets_of(lengths)[:-1]] = end
-    return mix(mix(hashes[before] + np.uint64(1)) + hashes[codes]), before
+def befores(codes: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """Code of the token before each one; at the first of a text the end's."""
+    out = np.empty_like(codes)
+    out[1:] = codes[:-1]
+    out[offsets_of(lengths)[:-1]] = end
+    return out
+
+
+def pairs_of(hashes: np.ndarray, codes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before it."""
+    return mix(mix(hashes + np.uint64(1))[before] + hashes[codes])
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -95,26 +100,26 @@ def level_values(most: int = LEVELS) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """Bits of one shard; the top bits of an n-gram's hash name its shard, the low 40 know it there."""
+    """Bits of one shard, so many for each level that it holds. The top bits of an n-gram's hash name its shard, the
+    bits after them know it there."""
 
     @staticmethod
-    def positions(hashes: np.ndarray, q: int, k: int) -> np.ndarray:
+    def positions(hashes: np.ndarray, q: int, size: int) -> Iterator[np.ndarray]:
+        """Where each n-gram's probes of level q fall among `size` bits, probe after probe."""
         g = mix(hashes + np.uint64(q * 0x9E3779B97F4A7C15 % 2**64))
-        return (g + np.uint64(k) * ((g >> np.uint64(32)) | np.uint64(1))).view(np.int64)
+        step = (g << np.uint64(32)) | np.uint64(1)
+        for _ in range(PROBES):
+            yield ((g >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
+            g = g + step
 
     @classmethod
-    def shard(cls, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Bits of one shard: a power of two of bytes, at least BITS for each level it holds."""
+    def shard(cls, hashes: np.ndarray, counts: np.ndarray, bits_a_level: int = BITS) -> np.ndarray:
         levels = level(counts)
-        want = int(levels.sum()) * BITS // 8
-        size = 1 << max(3, want.bit_length() - (want.bit_count() == 1))
-        bits = np.zeros(size, np.uint8)
+        bits = np.zeros(max(64, int(levels.sum()) * bits_a_level), bool)
         for q in range(1, int(levels.max(initial=0)) + 1):
-            some = hashes[levels >= q]
-            for k in range(PROBES):
-                at = cls.positions(some, q, k) & (size * 8 - 1)
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return bits
+            for at in cls.positions(hashes[levels >= q], q, len(bits)):
+                bits[at] = True
+        return np.packbits(bits)
 
     @classmethod
     def levels(cls, bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -122,9 +127,10 @@ class LogFrequencyFilter:
         out = np.zeros(len(hashes), np.uint8)
         live = np.arange(len(hashes) if len(bits) else 0)
         for q in range(1, LEVELS):
-            for k in range(PROBES):
-                at = cls.positions(hashes[live], q, k) & (len(bits) * 8 - 1)
-                live = live[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            hit = np.ones(len(live), bool)
+            for at in cls.positions(hashes[live], q, len(bits) * 8):
+                hit &= (bits[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 128 != 0
+            live = live[hit]
             if not len(live):
                 break
             out[live] = q
@@ -136,251 +142,230 @@ def shards_for(tokens: int) -> int:
     return max(SHARDS, 1 << max(0, (tokens - 1) // SHARD_TOKENS).bit_length())
 
 
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int64)
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, only as many as they need: high planes then compress."""
+    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    used = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return bytes([used]) + wide[:, :used].T.tobytes()
 
 
-def pack_low(hashes: np.ndarray) -> np.ndarray:
-    """The low 40 bits of each hash, five bytes a row."""
-    return np.ascontiguousarray((hashes & np.uint64((1 << 40) - 1)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+def unplanes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, n * data[0], 1).reshape(data[0], n).T
+    return out.view("<u8").ravel()
 
 
-def unpack_low(packed: bytes) -> np.ndarray:
-    low = np.zeros((len(packed) // 5, 8), np.uint8)
-    low[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return low.view("<u8").ravel()
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending whole numbers by their differences."""
+    return planes(np.diff(values, prepend=np.uint64(0)))
 
 
-def pack_slab(lengths: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> bytes:
-    """Lengths, hashes of words and codes of tokens, the codes' lowest bytes first: low codes then compress."""
-    planes = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T
-    return b"".join((np.array([len(lengths), len(hashes)], "<i8").tobytes(), lengths.astype("<i8").tobytes(), hashes.astype("<u8").tobytes(), planes.tobytes()))
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unplanes(data, n), dtype=np.uint64)
 
 
-def unpack_slab(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m, w = np.frombuffer(data, "<i8", 2).tolist()
-    planes = np.frombuffer(data, np.uint8, offset=8 * (2 + m + w)).reshape(4, -1)
-    return np.frombuffer(data, "<i8", m, 16), np.frombuffer(data, "<u8", w, 8 * (2 + m)), np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+def cut(hashes: np.ndarray, shards: int, first: int) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """Shard number (from `first` on), place and in-shard hash of the parts of sorted hashes. From shard `shards`
+    on are pairs, of whose hash PAIR_BITS are kept."""
+    top = shards.bit_length() - 1
+    names, at = np.unique(hashes >> np.uint64(64 - top), return_index=True)
+    inside = (hashes << np.uint64(top)) >> np.uint64(top if first == 0 else 64 - PAIR_BITS)
+    for name, a, b in zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(hashes)], strict=True):
+        yield first + name, slice(a, b), inside[a:b]
 
 
 def by_shard(blocks: DataFrame, then: str) -> DataFrame:
     return blocks.repartition("shard").sortWithinPartitions("shard", then)
 
 
-def build_filter(blocks: DataFrame, shards: int) -> DataFrame:
-    """Shards (shard, bits) of the filter from rows (shard, hashes, counts: packed 40- and 32-bit words), summed over
-    blocks: words from shard 0 on, pairs from `shards` on. A worker holds one shard at a time."""
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def train_blocks(training: DataFrame, shards: int) -> DataFrame:
+    """Rows (shard, n, hashes, counts): the distinct words and pairs of each slab of texts (column t) by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        for s, blocks in groupby(rows, key=lambda row: row[0]):
-            hashes, counts = [], []
-            for _, h, c in blocks:
-                low, many = unpack_low(h), np.frombuffer(c, "<u4").astype(np.int64)
-                hashes.append(low)
-                counts.append(np.concatenate((many, np.ones(len(low) - len(many), np.int64))))
+        for batch in slabs(batches, "t", SLAB_BYTES // 2):
+            hashes, codes, lengths = tokens_of(texts(batch, "t"))
+            order = np.argsort(hashes)
+            counts = np.bincount(codes, minlength=len(hashes))
+            pairs = np.sort(pairs_of(hashes, codes, befores(codes, lengths, len(hashes) - 1)))
+            first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+            for kind, found, many in ((0, hashes[order], counts[order]), (shards, pairs[first], np.diff(np.append(first, len(pairs))))):
+                rows = [(s, len(low), pack_sorted(low), planes(many[place])) for s, place, low in cut(found, shards, kind)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "n", "hashes", "counts"])
+
+    return map_arrow(training.select("t"), run, "shard int, n bigint, hashes binary, counts binary")
+
+
+def build_filter(blocks: DataFrame, shards: int, bits_a_level: int) -> DataFrame:
+    """Shards of the filter from train_blocks, counts summed: shard, tokens and distinct (of words, else 0), bits, and of
+    words also n, hashes and counts. A worker holds one shard at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, parts in groupby(rows_of(batches), key=lambda row: row[0]):
+            hashes, counts = zip(*((unpack_sorted(h, n), unplanes(c, n)) for _, n, h, c in parts), strict=True)
             h, c = np.concatenate(hashes), np.concatenate(counts)
             order = np.argsort(h)
             h, c = h[order], c[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             h, c = h[first], np.add.reduceat(c, first)
-            enough = c >= (1 if s < shards else LEAST_PAIR)
-            if enough.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([LogFrequencyFilter.shard(h[enough], c[enough]).tobytes()], pa.binary())], names=["shard", "bits"])
+            bits, word = LogFrequencyFilter.shard(h, c, bits_a_level).tobytes(), s < shards
+            row = (s, int(c.sum()) if word else 0, len(h) if word else 0, bits, pack_sorted(h) if word else None, planes(c) if word else None)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "tokens", "n", "bits", "hashes", "counts"])
 
-    return map_arrow(by_shard(blocks, "hashes"), run, "shard int, bits binary")
+    return map_arrow(by_shard(blocks, "n"), run, "shard int, tokens bigint, n bigint, bits binary, hashes binary, counts binary")
 
 
-def probe_filter(filters: DataFrame, asked: DataFrame) -> DataFrame:
-    """Levels (a byte each) of the packed n-grams of rows (slab, shard, data), each shard's rows beside its bits."""
+def slab_rows(docs: DataFrame) -> DataFrame:
+    """Rows of documents (key, t), cut into slabs: one of each document (row, key), and one of each slab (row of its first
+    document, m texts, w words, their lengths, hashes and codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = -1, np.zeros(0, np.uint8)
-        for batch in batches:
-            slabs_, shards_, out = [], [], []
-            for slab, shard, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if shard != held:
-                    held, bits = shard, np.zeros(0, np.uint8)
-                if slab < 0:
-                    bits = np.frombuffer(data, np.uint8)
-                    continue
-                slabs_.append(slab)
-                shards_.append(shard)
-                out.append(LogFrequencyFilter.levels(bits, unpack_low(data)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(slabs_, pa.int64()), pa.array(shards_, pa.int32()), pa.array(out, pa.binary())], names=["slab", "part", "data"])
-
-    # A shard's bits come first, as their slab is -1.
-    both = filters.select(F.lit(-1).cast("long").alias("slab"), "shard", F.col("bits").alias("data")).unionByName(asked.select("slab", "shard", "data"))
-    return map_arrow(by_shard(both, "slab"), run, "slab bigint, part int, data binary")
-
+        from pyspark import TaskContext
 
-def cut(hashes: np.ndarray, shards: int, first: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Shard numbers (from `first` on) of sorted hashes and the bounds of each."""
-    names, at = np.unique(shard_of(hashes, shards), return_index=True)
-    return names.astype(np.int32) + np.int32(first), list(zip(at.tolist(), [*at[1:].tolist(), len(hashes)], strict=True)) if len(at) else []
+        row = TaskContext.get().partitionId() << 40
+        for batch in slabs(batches, "t", SLAB_BYTES // 2):
+            m = batch.num_rows
+            hashes, codes, lengths = tokens_of(texts(batch, "t"))
+            none = pa.nulls(m, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), batch.column("key"), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), none, none, none], names=SLAB)
+            # The codes of frequent words are small, so their high planes compress.
+            rank = np.empty(len(hashes), np.int64)
+            rank[np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")] = np.arange(len(hashes))
+            swap = np.argsort(hashes)
+            packed = planes(lengths), pack_sorted(hashes[swap]) + planes(rank[swap]), planes(rank[codes])
+            yield pa.RecordBatch.from_arrays([pa.array([row]), pa.nulls(1, batch.column("key").type), pa.array([m]), pa.array([len(hashes)]), *(pa.array([x], pa.binary()) for x in packed)], names=SLAB)
+            row += m
 
+    kind = docs.schema["key"].dataType.simpleString()
+    return map_arrow(docs.select("key", "t"), run, f"row bigint, key {kind}, m bigint, w bigint, lengths binary, hashes binary, codes binary")
 
-def pack_blocks(hashes: np.ndarray, counts: np.ndarray, shards: int, first: int) -> pa.RecordBatch:
-    """Rows (shard, hashes, counts) of distinct n-grams: 40 bits of each hash, those of several counts first."""
-    order = np.lexsort((counts == 1, shard_of(hashes, shards)))
-    hashes, counts = hashes[order], counts[order]
-    low = pack_low(hashes)
-    names, bounds = cut(hashes, shards, first)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(names),
-            pa.array([low[a:b].tobytes() for a, b in bounds], pa.binary()),
-            pa.array([(c := counts[a:b])[c > 1].astype("<u4").tobytes() for a, b in bounds], pa.binary()),
-        ],
-        names=["shard", "hashes", "counts"],
-    )
 
+SLAB = ["row", "key", "m", "w", "lengths", "hashes", "codes"]
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word and c: exact counts over texts (column t), ends (the empty word) included."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "t"):
-            names, codes, _ = tokens_of(texts(batch, "t"))
-            counts = np.bincount(codes, minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(names[counts > 0], pa.string()), pa.array(counts[counts > 0].astype(np.int64))], names=["word", "c"])
+def unpack_slab(m: int, w: int, lengths: bytes, hashes: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, ascending hashes of the words, code (place there) of each token and of the one before it."""
+    sizes = unplanes(lengths, m).astype(np.int64)
+    rank = unplanes(hashes[1 + w * hashes[0] :], w).astype(np.int64)
+    place = np.empty(w, np.int32)
+    place[rank] = np.arange(w)
+    at = place[unplanes(codes, int(sizes.sum())).astype(np.int64)]
+    return sizes, unpack_sorted(hashes, w), at, befores(at, sizes, int(at[-1]))
 
-    return map_arrow(rows.select("t"), run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
+def slab_queries(slabs_: DataFrame, shards: int) -> DataFrame:
+    """Distinct words and pairs of each slab for the shards that hold them: (slab, shard, n, hashes)."""
 
-def pair_blocks(rows: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "t"):
-            names, codes, lengths = tokens_of(texts(batch, "t"))
-            pairs, _ = pairs_of(hash_words(names), codes, lengths, int(np.flatnonzero(names == "")[0]))
-            yield pack_blocks(*np.unique(pairs, return_counts=True), shards, shards)
+        for slab, *data in rows_of(batches):
+            _, hashes, codes, before = unpack_slab(*data)
+            for first, found in ((0, hashes), (shards, np.unique(pairs_of(hashes, codes, before)))):
+                rows = [(slab, s, len(low), pack_sorted(low)) for s, _, low in cut(found, shards, first)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slab", "shard", "n", "hashes"])
 
-    return map_arrow(rows.select("t"), run, "shard int, hashes binary, counts binary")
+    return map_arrow(slabs_.select("row", "m", "w", "lengths", "hashes", "codes"), run, "slab bigint, shard int, n bigint, hashes binary")
 
 
-def word_blocks(words: DataFrame, shards: int) -> DataFrame:
+def probe_filter(filters: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+    """Answers (slab, part, n, levels, counts) to slab_queries, each shard's beside its bits; counts of words only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = -1, np.zeros(0, np.uint8)
+        own, count = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for batch in batches:
-            yield pack_blocks(mix(hash_words(batch.column("word").to_numpy(zero_copy_only=False))), np.minimum(batch.column("c").to_numpy(), 2**32 - 1), shards, 0)
-
-    return map_arrow(words.select("word", "c"), run, "shard int, hashes binary, counts binary")
-
+            out = []
+            for slab, shard, n, data, of_bits, of_counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != held:
+                    held, bits, own = shard, np.zeros(0, np.uint8), np.zeros(0, np.uint64)
+                if slab < 0:
+                    bits = np.frombuffer(of_bits, np.uint8)
+                    if shard < shards:
+                        own, count = unpack_sorted(data, n), unplanes(of_counts, n)
+                    continue
+                some, exact = unpack_sorted(data, n), None
+                if shard < shards:
+                    at = np.minimum(np.searchsorted(own, some), max(0, len(own) - 1))
+                    exact = planes(np.where(own[at] == some, count[at], 0) if len(own) else np.zeros(n, np.int64))
+                out.append((slab, shard, n, LogFrequencyFilter.levels(bits, some).tobytes(), exact))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slab", "part", "n", "levels", "counts"])
 
-def slab_queries(own: DataFrame, shards: int) -> DataFrame:
-    """Distinct words and pairs of each slab for the shards that hold them: (slab, shard, data)."""
+    # A shard's bits come first, as their slab is -1.
+    none = F.lit(None).cast("binary")
+    both = filters.select(F.lit(-1).cast("long").alias("slab"), "shard", "n", "hashes", "bits", "counts").unionByName(asked.select("slab", "shard", "n", "hashes", none.alias("bits"), none.alias("counts")))
+    return map_arrow(by_shard(both, "slab"), run, "slab bigint, part int, n bigint, levels binary, counts binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab, data in (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            lengths, hashes, codes = unpack_slab(data)
-            for first, some in ((0, np.sort(mix(hashes))), (shards, np.unique(pairs_of(hashes, codes, lengths, int(codes[-1]))[0]))):
-                low = pack_low(some)
-                parts, bounds = cut(some, shards, first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), slab)), pa.array(parts), pa.array([low[a:b].tobytes() for a, b in bounds], pa.binary())], names=["slab", "shard", "data"])
 
-    return map_arrow(own.select("slab", "data"), run, "slab bigint, shard int, data binary")
+def block_scores(p1: np.ndarray, p2: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probability of each text from the logarithms of its tokens' probabilities under both models."""
+    blocks = (lengths + BLOCK - 1) // BLOCK
+    last = offsets_of(blocks)
+    sizes = np.full(int(last[-1]), BLOCK, np.int64)
+    sizes[last[1:] - 1] = lengths - (blocks - 1) * BLOCK
+    s1, s2 = sums_by_row(p1, sizes), sums_by_row(p2, sizes)
+    return sums_by_row(np.logaddexp(s1 + math.log(1 - PAIR_SHARE), s2 + math.log(PAIR_SHARE)), blocks) / math.log(10)
 
 
-def model_scores(rows: DataFrame, n: int, v: int) -> DataFrame:
-    """row and score of each document from rows (slab, part, data): of a slab the packed slab itself (part -1),
-    and the levels that the shards gave (parts from 0 on: words, then pairs)."""
+def model_scores(slabs_: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
+    """row, n_tokens, n_known, base_score and score of each document, from slabs and what the shards answered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = level_values()
-        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        for slab, parts in groupby(rows, key=lambda row: row[0]):
-            lengths, hashes, codes = unpack_slab(next(parts)[2])
-            found = np.frombuffer(b"".join(data for _, _, data in parts), np.uint8)
-            # The last code is an end. Levels come in the order of the hashes, those of words first.
-            order = np.argsort(mix(hashes), kind="stable")
-            c1 = np.zeros(len(hashes))
-            c1[order] = values[found[: len(hashes)]]
-            p1 = (c1 + 1) / (n + v + 1)
-            pairs, before = pairs_of(hashes, codes, lengths, int(codes[-1]))
-            distinct, which = np.unique(pairs, return_inverse=True)
-            if len(found) != len(hashes) + len(distinct):
-                raise AssertionError((len(found), len(hashes), len(distinct)))
-            c2 = np.minimum(values[found[len(hashes) :]][which], c1[before])
-            p2 = (c2 + PRIOR * p1[codes]) / (c1[before] + PRIOR)
-            # The model: words alone, and words after the one before, block by block.
-            blocks = (lengths + BLOCK - 1) // BLOCK
-            last = offsets_of(blocks)
-            sizes = np.full(int(last[-1]), BLOCK, np.int64)
-            sizes[last[1:] - 1] = lengths - (blocks - 1) * BLOCK
-            s1, s2 = sums_by_row(np.log(p1)[codes], sizes), sums_by_row(np.log(p2), sizes)
-            score = sums_by_row(np.logaddexp(s1 + math.log(1 - PAIR_SHARE), s2 + math.log(PAIR_SHARE)), blocks) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(slab + np.arange(len(lengths))), pa.array(score)], names=["row", "score"])
-
-    return map_arrow(rows.repartition("slab").sortWithinPartitions("slab", "part"), run, "row bigint, score double")
-
-
-def score(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        values, unit = level_values(), math.log10(n + v + 1)
+        for slab, parts in groupby(rows_of(batches), key=lambda row: row[0]):
+            _, _, m, w, *packed, _, _ = next(parts)
+            lengths, hashes, codes, before = unpack_slab(m, w, *packed)
+            # Answers come in the order of the hashes, those of words first.
+            found = [(size, levels, counts) for _, _, size, _, _, _, _, levels, counts in parts]
+            exact = np.concatenate([unplanes(c, size) for size, _, c in found if c is not None]).astype(np.int64)
+            levels = np.frombuffer(b"".join(x for _, x, _ in found), np.uint8)
+            c1 = values[levels[:w]]
+            l1 = np.log((c1 + 1) / (n + v + 1))[codes]
+            distinct, which = np.unique(pairs_of(hashes, codes, before), return_inverse=True)
+            if len(exact) != w or len(levels) != w + len(distinct):
+                raise AssertionError((len(exact), w, len(levels), len(distinct)))
+            c2 = values[levels[w:]][which]
+            del which, distinct, levels
+            of_before = c1[before]
+            np.minimum(c2, of_before, out=c2)
+            l2 = np.log((c2 + PRIOR * np.exp(l1)) / (of_before + PRIOR))
+            del c2, of_before, before
+            base = sums_by_row(np.log10(exact + 1.0)[codes], lengths) - lengths * unit
+            known = sums_by_row((exact > 0).astype(np.int64)[codes], lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(slab + np.arange(m)), pa.array(lengths), pa.array(known), pa.array(base), pa.array(block_scores(l1, l2, lengths))], names=["row", "n_tokens", "n_known", "base_score", "score"])
+
+    none = F.lit(None).cast("binary")
+    own = slabs_.select(F.col("row").alias("slab"), F.lit(-1).alias("part"), "m", "w", "lengths", "hashes", "codes", none.alias("levels"), none.alias("counts"))
+    rest = answers.select("slab", "part", F.col("n").alias("m"), F.lit(0).cast("long").alias("w"), none.alias("lengths"), none.alias("hashes"), none.alias("codes"), "levels", "counts")
+    rows = own.unionByName(rest).repartition("slab").sortWithinPartitions("slab", "part")
+    return map_arrow(rows, run, "row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+
+
+def score(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "doc_id", bits_a_level: int = BITS) -> DataFrame:
     """One row per document: key, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Learns from the texts of `training`. Words are lower-cased (A-Z) and stand between ASCII blanks; an end
     follows each text, so null and empty texts have one token. Null keys and repeated rows each give a row.
-    Without training texts every word is unknown. Other columns are ignored.
+    Without training texts every word is unknown. Other columns are ignored. More bits a level make fewer of the
+    filter's levels too high.
     """
     spark = docs.sparkSession
     train = training.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    words = materialise(word_counts(train), "words")
-    sizes = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = sizes["n"] or 0, sizes["v"] or 0
-    shards = shards_for(n)
-    filters = materialise(build_filter(word_blocks(words, shards).unionByName(pair_blocks(train, shards)), shards), "filter")
+    # An upper estimate of the tokens: four bytes each, and the ends.
+    shards = shards_for(train.agg(F.sum(F.octet_length("t") / 4 + 1).cast("long").alias("n")).first()["n"] or 0)
+    filters = materialise(build_filter(train_blocks(train, shards), shards, bits_a_level), "filter")
     # Shuffle files of jobs that have ended go with the driver's garbage, Python's references first.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    least = max(1, n // HOT + 1)
-    hot = words.where(F.col("c") >= least).toPandas()
-    hot_hash = hash_words(hot["word"].to_numpy(dtype=object))
-    order = np.argsort(hot_hash)
-    shared = spark.sparkContext.broadcast((hot_hash[order], hot["c"].to_numpy(np.int64)[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        hot_hash, hot_count = shared.value
-        unit = math.log10(n + v + 1)
-        row = TaskContext.get().partitionId() << 40
-
-        def out(kind: pa.DataType, m: int, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(m, kind if c == "key" else t) for c, t in OUT.items()], names=list(OUT))
-
-        for batch in slabs(batches, "t", SLAB_BYTES // 2):
-            kind = batch.column("key").type
-            names, codes, lengths = tokens_of(texts(batch, "t"))
-            hashes = hash_words(names)
-            end = int(np.flatnonzero(names == "")[0])
-            at = np.minimum(np.searchsorted(hot_hash, hashes), max(0, len(hot_hash) - 1))
-            known = hot_hash[at] == hashes if len(hot_hash) else np.zeros(len(hashes), bool)
-            count = np.where(known, hot_count[at], 0) if len(hot_hash) else np.zeros(len(hashes), np.int64)
-            base = sums_by_row(np.log10(count + 1.0)[codes], lengths) - lengths * unit
-            found = sums_by_row(known[codes].astype(np.int64), lengths)
-            ids = row + np.arange(batch.num_rows)
-            yield out(kind, batch.num_rows, row=pa.array(ids), key=batch.column("key"), n_tokens=pa.array(lengths), n_known=pa.array(found), base_score=pa.array(base))
-            # The slab itself.
-            yield out(kind, 1, row=pa.array([row], pa.int64()), part=pa.array([-1], pa.int32()), data=pa.array([pack_slab(lengths, hashes, codes)], pa.binary()))
-            # Words that are not broadcast leave as rows of (document, word, times).
-            cold = np.flatnonzero(~known[codes])
-            doc = np.repeat(np.arange(batch.num_rows), lengths)[cold]
-            both, times = np.unique(doc * len(names) + codes[cold], return_counts=True)
-            for i in range(0, len(both), 100_000):
-                doc, code = both[i : i + 100_000] // len(names), both[i : i + 100_000] % len(names)
-                yield out(kind, len(doc), row=pa.array(ids[doc]), word=pa.array(names[code], pa.string()), n_tokens=pa.array(times[i : i + 100_000].astype(np.int64)))
-            row += batch.num_rows
-
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    kind = rows.schema["key"].dataType.simpleString()
-    both = materialise(map_arrow(rows, run, f"row bigint, key {kind}, word string, n_tokens bigint, n_known bigint, base_score double, part int, data binary"), "scores")
-    own = both.where("part IS NOT NULL").select(F.col("row").alias("slab"), "part", "data")
-    scores = model_scores(own.unionByName(probe_filter(filters, slab_queries(own, shards))), n, v)
-    rare = both.where("word IS NOT NULL").select("row", "word", F.col("n_tokens").alias("times")).join(words.where(F.col("c") < least), "word")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("known"))
-    out = both.where("word IS NULL AND part IS NULL").drop("word", "part", "data").join(scores, "row").join(rare, "row", "left")
-    return out.select(
-        F.col("key").alias(key), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
-    )
-
-
-OUT = {"row": pa.int64(), "key": None, "word": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "part": pa.int32(), "data": pa.binary()}
+    sizes = filters.agg(F.sum("tokens").alias("n"), F.sum("n").alias("v")).first()
+    n, v = sizes["n"] or 0, sizes["v"] or 0
+    rows = materialise(slab_rows(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))), "slabs")
+    own = rows.where("m IS NOT NULL")
+    answers = materialise(probe_filter(filters, slab_queries(own, shards), shards), "answers")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = rows.where("m IS NULL").select("row", "key").join(model_scores(own, answers, n, v), "row")
+    return out.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,6 +1,11 @@
 """Whole jobs: cases in which an operator once did less."""
 
+import math
+from collections import Counter
+
+import brute
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from sievecraft.llm import lm, minhash, quality, toxicity
@@ -20,6 +25,7 @@ def test_filter_keeps_its_bits_a_level():
         assert (lm.LogFrequencyFilter.levels(bits, held) >= lm.level(counts)).all()
         false.append((lm.LogFrequencyFilter.levels(bits, others) > 0).mean())
     assert max(false) < 0.005
+    # A filter whose bits are all set answers the last level, and that has a value.
     values = lm.level_values()
     assert (values[lm.LogFrequencyFilter.levels(np.full(64, 255, np.uint8), held[:9])] > 0).all()
     assert lm.level(np.array([2**62]))[0] < len(values)
@@ -27,13 +33,56 @@ def test_filter_keeps_its_bits_a_level():
     assert 5e9 / lm.shards_for(5 * 10**9) <= lm.SHARD_TOKENS and lm.shards_for(10) == lm.SHARDS
 
 
-def test_language_model_is_the_same_with_more_shards(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, f"a b c d{k % 7} e f{k} a b c") for k in range(300)], "doc_id long, text string")
-    few = {r["doc_id"]: r["score"] for r in lm.score(docs, docs).collect()}
-    monkeypatch.setattr(lm, "SHARD_TOKENS", 4)
-    assert lm.shards_for(3000) > lm.SHARDS
-    many = {r["doc_id"]: r["score"] for r in lm.score(docs, docs).collect()}
-    assert all(abs(few[k] - many[k]) < 0.05 for k in few)
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    for top in (1, 200, 2**20, 2**63):
+        x = np.sort(rng.integers(0, top, 500).astype(np.uint64))
+        assert (lm.unpack_sorted(lm.pack_sorted(x), 500) == x).all() and (lm.unplanes(lm.planes(x), 500) == x).all()
+    assert len(lm.unplanes(lm.planes(np.zeros(0, np.uint64)), 0)) == 0
+
+
+def brute_scores(rows: dict[int, str], train: set[int]) -> dict[int, float]:
+    """The mixture from quantised counts in dictionaries, word by word."""
+    tokens = {k: [*brute.WORD.findall(brute.lower(t)), ""] for k, t in rows.items()}
+    one = Counter(w for k in train for w in tokens[k])
+    two = Counter(p for k in train for p in zip(["", *tokens[k]], tokens[k], strict=False))
+    n, v = sum(one.values()), len(one)
+
+    def quantised(c: int) -> float:
+        return float(lm.level_values()[lm.level(np.array([c]))[0]]) if c else 0.0
+
+    out = {}
+    for k, t in tokens.items():
+        pairs = list(zip(["", *t], t, strict=False))
+        total = 0.0
+        for i in range(0, len(t), lm.BLOCK):
+            alone = after = 0.0
+            for a, b in pairs[i : i + lm.BLOCK]:
+                p1 = (quantised(one[b]) + 1) / (n + v + 1)
+                alone += math.log(p1)
+                after += math.log((min(quantised(two[a, b]), quantised(one[a])) + lm.PRIOR * p1) / (quantised(one[a]) + lm.PRIOR))
+            total += np.logaddexp(alone + math.log(1 - lm.PAIR_SHARE), after + math.log(lm.PAIR_SHARE))
+        out[k] = total / math.log(10)
+    return out
+
+
+@pytest.mark.parametrize("shard_tokens", [lm.SHARD_TOKENS, 1 << 12])
+def test_language_model_is_the_brute_force_one(spark, monkeypatch, shard_tokens):
+    """With bits enough that the filter errs nowhere, every score is that of plain dictionaries, however many shards."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard_tokens)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = brute_scores(rows, {k for k in rows if k % 3})
+    for r in lm.score(docs, docs.where("doc_id % 3 <> 0"), bits_a_level=2048).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, abs(want[r["doc_id"]])), r["doc_id"]
+
+
+def test_false_positives_move_scores_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = brute_scores(rows, {k for k in rows if k % 3})
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, docs.where("doc_id % 3 <> 0")).collect()}
+    assert abs(sum(got.values()) / sum(want.values()) - 1) < 0.002
 
 
 def test_pipeline_tells_rows_apart_by_id_and_text(spark, monkeypatch):

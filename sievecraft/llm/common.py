@@ -50,6 +50,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with at least 1 / HOT_SHARE of a join's rows is hot; there are at most HOT_SHARE such keys.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with `known`, which has each key once and c, the number of rows that bear it (c does not come along).
+
+    At most HOT_SHARE keys are hot: their rows of `known` are broadcast, so their rows stay where they are; all
+    others meet by a shuffle. Both inputs are read twice, so they should be written tables.
+    """
+    total = known.agg(F.sum("c").alias("n")).first()["n"] or 0
+    least = max(2, -(-total // HOT_SHARE))
+    hot = known.where(F.col("c") >= least).drop("c")
+    common = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(known.where(F.col("c") < least).drop("c").hint("merge"), key, how)
+    return common.unionByName(rest)
+
+
+def fresh_name(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 _shipped: set[str] = set()
 
 

@@ -1,92 +1,182 @@
 """Line deduplication by a log-template tree of fixed depth.
 
-A line goes to a leaf by its number of tokens and its leading tokens, in which fields that vary by their shape
-(numbers, addresses, hex strings) already count as one. In a leaf, a token that no other line has at its
-place is a variable field as well; lines that are alike but for few such fields share a template. Templates
-that recur across documents are dropped from all documents but the first.
+Fields that vary by their shape (numbers, addresses, hex strings) count as one token. A line goes to a leaf by its
+number of tokens and its leading tokens, and in a twin tree by its trailing ones; how many is fixed for each number
+of tokens. In a leaf that several kinds of lines share, every short run of tokens beyond the path is tried as a
+variable field: kinds that are alike but for that run have one template. Whether two kinds share a template depends
+on them alone, so more documents never part what fewer have joined. Lines whose template recurs across documents
+are dropped from all of these but the first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import materialise
+from sievecraft.llm.common import SLAB_BYTES, fresh_name, join_hot, list_parts, map_arrow, materialise, offsets_of, slabs, texts
+from sievecraft.llm.lm import mix
 
-#: Leading tokens that lead to a leaf, least tokens of a line that counts, least share of constant tokens.
-DEPTH, LEAST_TOKENS, CONSTANT = 3, 5, 0.7
+#: Share of a line's tokens that leads to a leaf, least share of constant tokens, longest variable run.
+#: A run of 1 - CONSTANT of the tokens cannot touch both the leading and the trailing DEPTH of them.
+DEPTH, CONSTANT, RUN = 0.35, 0.7, 2
+#: Least tokens of a line that counts; one of them at least is no field.
+LEAST_TOKENS = 1
 #: Fields that vary by their shape; all have a digit or an @.
-FIELDS = r"[\w.+-]+@[\w-]+(\.[\w-]+)+|(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])|[0-9][0-9.,:/-]*"
-
-
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line between ASCII blanks, in lower case, varying fields as <*>."""
-    flat = F.translate(F.lower(line), "\t\r\x0b\f", "    ")
-    flat = F.when(flat.rlike("[0-9@]"), F.regexp_replace(flat, FIELDS, "<*>")).otherwise(flat)
-    return F.filter(F.split(flat, " "), lambda x: x != "")
-
-
-def digest_of(tokens: Column) -> Column:
-    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), tokens)), 16, "0") for k in ("one", "two")])
-
-
-def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, line (from 0), h (128-bit digest of the masked tokens) and leaf of the lines that count."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "s"))
-    rows = rows.where(F.length("s") >= 2 * LEAST_TOKENS - 1)
-    # The generator keeps the filter above it, so that tokens are made once.
-    rows = rows.select("key", "line", F.explode(F.array(tokens_of(F.col("s")))).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    lead: Column = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return rows.select("key", "line", digest_of(F.col("tokens")).alias("h"), lead.alias("leaf"))
-
-
-def recurring(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """h, template and first (smallest key that has it) of lines whose template stands in several documents.
-
-    `lines` are the line_rows of docs. The template is null where all lines of it are alike.
+FIELDS = re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+|(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])|[0-9][0-9.,:/-]*", re.ASCII)
+FIELD = "<*>"
+
+
+def depth_of(tokens: np.ndarray) -> np.ndarray:
+    return np.floor(DEPTH * tokens + 1e-9).astype(np.int64)
+
+
+class Lines:
+    """Tokens of lines as arrays: `size` of each line, `fixed` tokens among them, and running sums of two hash lanes of
+    the tokens at their places."""
+
+    def __init__(self, lines: pa.Array):
+        tokens, counts = list_parts(pc.ascii_split_whitespace(pc.utf8_lower(lines)))
+        coded = tokens.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(counts)), counts)
+        full = np.array([w != "" for w in names] or [False], bool)[codes]
+        codes, row = codes[full], row[full]
+        self.size = np.bincount(row, minlength=len(counts)).astype(np.int64)
+        self.at = offsets_of(self.size)
+        masked = np.array([FIELDS.sub(FIELD, w) if re.search("[0-9@]", w) else w for w in names], object)
+        word = pd.util.hash_array(masked, categorize=False).astype(np.uint64) if len(masked) else np.zeros(0, np.uint64)
+        place = (np.arange(len(codes)) - self.at[row]).astype(np.uint64)
+        lane = mix(word[codes] + mix(place + np.uint64(1)))
+        self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x))) for x in (lane, mix(lane + np.uint64(7)))]
+        self.fixed_sum = offsets_of((masked != FIELD)[codes]) if len(codes) else np.zeros(1, np.int64)
+        self.fixed = self.fixed_sum[self.at[1:]] - self.fixed_sum[self.at[:-1]]
+
+    def run(self, a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+        return self.sums[lane][b] - self.sums[lane][a]
+
+    def digests(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """128 bits that know a line's tokens but for those from a to b, and where those are."""
+        tag = mix((self.size[line] << 40 | a - self.at[line] << 8 | b - a).astype(np.uint64))
+        both = [mix(self.run(self.at[line], self.at[line + 1], k) - self.run(a, b, k) + tag) for k in (0, 1)]
+        return np.stack(both, 1)
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each line by its leading tokens and by its trailing ones; 0 for lines too short to have any."""
+        d, n = depth_of(self.size), self.size.astype(np.uint64)
+        start, end = self.at[:-1], self.at[1:]
+        lead, trail = mix(self.run(start, start + d) + mix(2 * n + np.uint64(1))), mix(self.run(end - d, end) + mix(2 * n))
+        return np.where(d > 0, lead, 0).astype(np.uint64), np.where(d > 0, trail, 0).astype(np.uint64)
+
+
+def as_binary(pairs: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs).tobytes())]).cast(pa.binary())
+
+
+def line_rows(docs: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
+    """Lines that count of documents (key, d, t): key, d, line (from 0), h (digest of the masked tokens), lead and trail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slabs(batches, "t", SLAB_BYTES // 4):
+            lines, counts = list_parts(pc.split_pattern(texts(batch, "t"), "\n"))
+            doc, first = np.repeat(np.arange(len(counts)), counts), np.repeat(offsets_of(counts)[:-1], counts)
+            found = Lines(lines)
+            counted = np.flatnonzero((found.size >= least) & (found.fixed > 0))
+            none = found.at[counted]
+            h = found.digests(counted, none, none)
+            lead, trail = found.leaves()
+            own = pa.array(doc[counted])
+            columns = [batch.column("key").take(own), batch.column("d").take(own), pa.array((counted - first[counted]).astype(np.int32)), as_binary(h), pa.array(lead[counted].view(np.int64)), pa.array(trail[counted].view(np.int64))]
+            out = pa.RecordBatch.from_arrays(columns, names=["key", "d", "line", "h", "lead", "trail"])
+            for i in range(0, out.num_rows, 50_000):
+                yield out.slice(i, 50_000)
+
+    return map_arrow(docs.select("key", "d", "t"), run, f"key {docs.schema['key'].dataType.simpleString()}, d binary, line int, h binary, lead bigint, trail bigint")
+
+
+def template_rows(wanted: DataFrame) -> DataFrame:
+    """h, template, low and high of every template that a kind may have. Rows are documents (t) with the kinds that are
+    read from them (line, h, low, high, and whether kinds share the leaf of its leading and of its trailing tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slabs(batches, "t", SLAB_BYTES // 4):
+            kinds, counts = list_parts(batch.column("wanted"))
+            doc, line = np.repeat(np.arange(len(counts)), counts), pc.struct_field(kinds, "line").to_numpy(zero_copy_only=False)
+            parts, many = list_parts(pc.split_pattern(texts(batch, "t"), "\n"))
+            found = Lines(parts.take(pa.array(offsets_of(many)[doc] + line)))
+            d, n = depth_of(found.size), found.size
+            led, trailed = (pc.struct_field(kinds, k).to_numpy(zero_copy_only=False).astype(bool) for k in ("led", "trailed"))
+            for width in range(1, RUN + 1):
+                # Places where the run may begin: behind the leading tokens, or before the trailing ones, that others share.
+                low = np.where(trailed, 0, d)
+                high = np.where(led, n, n - d) - width
+                room = np.where((width <= (1 - CONSTANT) * n + 1e-9) & (led | trailed), np.maximum(0, high - low + 1), 0)
+                kind = np.repeat(np.arange(len(n)), room)
+                begin = np.arange(len(kind)) - np.repeat(offsets_of(room)[:-1], room) + low[kind]
+                a = found.at[kind] + begin
+                left = found.fixed[kind] - (found.fixed_sum[a + width] - found.fixed_sum[a])
+                good = left >= CONSTANT * n[kind] - 1e-9
+                kind, a = kind[good], a[good]
+                template = as_binary(found.digests(kind, a, a + width))
+                at = pa.array(kind)
+                out = pa.RecordBatch.from_arrays([pc.struct_field(kinds, "h").take(at), template, pc.struct_field(kinds, "low").take(at), pc.struct_field(kinds, "high").take(at)], names=["h", "template", "low", "high"])
+                for i in range(0, out.num_rows, 50_000):
+                    yield out.slice(i, 50_000)
+
+    kind = wanted.schema["wanted"].dataType.elementType["low"].dataType.simpleString()
+    return map_arrow(wanted.select("t", "wanted"), run, f"h binary, template binary, low {kind}, high {kind}")
+
+
+def recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """h, first (smallest key that has one of its templates) and c (lines) of lines that recur across documents.
+
+    `docs` has key, d and t; `lines` are their line_rows.
     """
-    # A leaf that one document fills has no template that recurs; one line alone in its leaf is its own template.
-    leaves = lines.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("h").alias("h"), F.max("h").alias("h2")).where("low <> high")
-    leaves = materialise(leaves, "leaves")
-    alone = leaves.where("h = h2").select("h", F.lit(None).cast("string").alias("template"), F.col("low").alias("first"))
-    mixed = leaves.where("h <> h2").select("leaf")
-    kinds = lines.join(mixed, "leaf").groupBy("leaf", "h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "line")).alias("at"))
+    kinds = lines.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "d", "line")).alias("at"), F.min("lead").alias("lead"), F.min("trail").alias("trail"), F.count(F.lit(1)).alias("c"))
     kinds = materialise(kinds, "kinds")
-    # Their tokens, from one line of each kind.
-    wanted = kinds.groupBy(F.col("at.key").alias("_key")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h", "leaf")).alias("wanted"))
-    found = docs.join(wanted, docs[key] == F.col("_key")).select(F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"), "wanted")
-    found = found.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["leaf"].alias("leaf"), F.get(F.col("lines"), w["line"]).alias("s")))).alias("w"))
-    found = found.select("w.h", "w.leaf", tokens_of(F.col("w.s")).alias("tokens")).where(digest_of(F.col("tokens")) == F.col("h"))
-    found = materialise(found.groupBy("leaf", "h").agg(F.min("tokens").alias("tokens")), "tokens")
-    places = found.select("leaf", "h", F.posexplode("tokens").alias("place", "token"))
-    common = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("leaf", "place", "token")
-    constant = places.join(common, ["leaf", "place", "token"]).groupBy("h").agg(F.collect_set("place").alias("constant"))
-    found = found.join(constant, "h", "left")
-    general = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.col("constant"), i), t).otherwise("<*>"))
-    enough = (F.size("constant") >= CONSTANT * F.size("tokens")) & F.col("constant").isNotNull()
-    named = found.select("h", "leaf", F.array_join(F.when(enough, general).otherwise(F.col("tokens")), " ").alias("template"))
-    named = materialise(named.join(kinds.select("h", "leaf", "low", "high"), ["h", "leaf"]), "templates")
-    spread = named.groupBy("leaf", "template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("leaf", "template", "first")
-    return alone.unionByName(named.join(spread, ["leaf", "template"]).select("h", "template", "first"))
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    leaves = kinds.where("lead <> 0").select("h", F.explode(F.array(F.struct(F.col("lead").alias("leaf"), F.lit(1).alias("side")), F.struct(F.col("trail").alias("leaf"), F.lit(2).alias("side")))).alias("x")).select("h", "x.*")
+    shared = materialise(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "leaves")
+    sides = join_hot(leaves, shared, "leaf").groupBy("h").agg(F.bit_or("side").alias("sides"))
+    wanted = kinds.join(sides, "h").select(F.col("at.key").alias("key"), F.col("at.d").alias("d"), F.struct(F.col("at.line").alias("line"), "h", "low", "high", F.expr("(sides & 1) > 0").alias("led"), F.expr("(sides & 2) > 0").alias("trailed")).alias("kind"))
+    wanted = wanted.groupBy("key", "d").agg(F.collect_list("kind").alias("wanted"))
+    rows = docs.join(wanted, ["key", "d"]).select("t", "wanted")
+    tried = materialise(template_rows(rows), "tried")
+    spread = tried.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count(F.lit(1)).alias("c")).where("first <> last")
+    found = join_hot(tried.select("h", "template"), materialise(spread.select("template", "first", "c"), "templates"), "template")
+    found = found.select("h", "first").unionByName(kinds.where("low <> high").select("h", F.col("low").alias("first")))
+    return found.groupBy("h").agg(F.min("first").alias("first")).join(kinds.select("h", "c"), "h")
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST_TOKENS) -> DataFrame:
     """All columns of the documents, the text without recurring lines, and n_lines, n_recurring, n_dropped.
 
-    A recurring line stays in the document of the smallest key that has its template, wherever it stands there.
-    Lines of fewer than LEAST_TOKENS tokens never recur. Null text counts as empty; documents with a null
-    key stay as they are; repeated rows share their fate. Columns named like the new ones are replaced.
+    A line is dropped where a document of a smaller key has a line of one of its templates; lines of the smallest key
+    stay, wherever they stand there. Lines of fewer than `least` tokens, or of fields alone, never recur. Null text
+    counts as empty; documents with a null key stay as they are. Rows of one key are one document to templates, but
+    each row's lines are its own; repeated rows share their fate. Columns named like the new ones are replaced.
     """
-    lines = materialise(line_rows(docs, text, key), "lines")
-    again = materialise(recurring(docs, lines, text, key).select("h", "first"), "recurring")
-    hits = lines.select("key", "line", "h").join(again, "h")
-    marks = hits.groupBy("key").agg(
-        F.array_distinct(F.collect_list(F.when(F.col("key") != F.col("first"), F.col("line")))).alias("_gone"), F.count_distinct("line").alias("_recurring")
-    )
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), _digest(text).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    lines = materialise(line_rows(rows, least), "lines")
+    again = materialise(recurring(rows, lines), "recurring")
+    hits = join_hot(lines.select("key", "d", "line", "h"), again, "h")
+    marks = hits.groupBy("key", "d").agg(F.collect_set(F.when(F.col("key") != F.col("first"), F.col("line"))).alias("gone"), F.count_distinct("line").alias("again"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_recurring", "n_dropped")]
-    out = docs.join(marks.withColumnRenamed("key", "_key"), docs[key] == F.col("_key"), "left")
+    name = {c: fresh_name(c, docs) for c in ("key", "d", "gone", "again")}
+    marks = marks.select(*[F.col(c).alias(new) for c, new in name.items()])
+    out = docs.join(marks, (docs[key] == F.col(name["key"])) & (_digest(text) == F.col(name["d"])), "left")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    gone = F.coalesce(name["gone"], F.array().cast("array<int>"))
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    new = {text: F.when(F.size(gone) > 0, left).otherwise(F.coalesce(F.col(text), F.lit(""))), "n_lines": F.size(split).cast("long"), "n_recurring": F.coalesce("_recurring", F.lit(0)).cast("long"), "n_dropped": F.size(gone).cast("long")}
-    return out.select(*[new[text].alias(text) if c == text else F.col(c) for c in rest], *[new[c].alias(c) for c in ("n_lines", "n_recurring", "n_dropped")])
+    new = {text: F.when(F.size(gone) > 0, left).otherwise(F.coalesce(F.col(text), F.lit(""))), "n_lines": F.size(split).cast("long"), "n_recurring": F.coalesce(name["again"], F.lit(0)).cast("long"), "n_dropped": F.size(gone).cast("long")}
+    return out.select(*[new[text].alias(text) if c == text else docs[c] for c in rest], *[new[c].alias(c) for c in ("n_lines", "n_recurring", "n_dropped")])
+
+
+def _digest(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))

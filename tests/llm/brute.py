@@ -45,29 +45,29 @@ FIELDS = re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+|(?<![0-9a-z])(?=[a-f]*[0-9])[0-
 
 
 def deduped_lines(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int, int]]:
-    """key -> (text left, recurring lines, dropped lines), template by template."""
-    leaves: dict = {}
+    """key -> (text left, recurring lines, dropped lines): all templates of all lines, one by one."""
+    low = lambda s: "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+    having: dict = {}
+    own: dict = {}
     for k, t in rows:
         for i, line in enumerate((t or "").split("\n")):
-            tokens = tuple(re.findall(r"[^ \t\n\x0b\f\r]+", FIELDS.sub("<*>", line.lower())))
-            if len(tokens) >= 5:
-                leaves.setdefault((len(tokens), tokens[:3]), {}).setdefault(tokens, []).append((k, i))
-    templates: dict = {}
-    for leaf, kinds in leaves.items():
-        seen: dict = {}
-        for tokens in kinds:
-            for p, w in enumerate(tokens):
-                seen[p, w] = seen.get((p, w), 0) + 1
-        for tokens, where in kinds.items():
-            general = tuple(w if seen[p, w] > 1 else "<*>" for p, w in enumerate(tokens))
-            enough = sum(seen[p, w] > 1 for p, w in enumerate(tokens)) >= 0.7 * len(tokens)
-            templates.setdefault((leaf, general if enough else tokens), []).extend(where)
-    out = {k: [set(), set()] for k, _ in rows}
-    for where in templates.values():
-        first = min(k for k, _ in where)
-        if any(k != first for k, _ in where):
-            for k, i in where:
-                out[k][0].add(i)
-                if k != first:
-                    out[k][1].add(i)
-    return {k: ("\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in out[k][1]), len(out[k][0]), len(out[k][1])) for k, t in rows}
+            tokens = tuple(FIELDS.sub("<*>", w) for w in re.findall(r"[^ \t\n\x0b\f\r]+", low(line)))
+            if not any(w != "<*>" for w in tokens):
+                continue
+            n = len(tokens)
+            names = [(tokens, None, None)]
+            for width in (1, 2):
+                for p in range(n - width + 1) if 10 * width <= 3 * n else ():
+                    rest = tokens[:p] + tokens[p + width :]
+                    if 10 * sum(w != "<*>" for w in rest) >= 7 * n:
+                        names.append((rest, p, width))
+            own[k, i] = names
+            for name in names:
+                having.setdefault(name, set()).add(k)
+    out = {}
+    for k, t in rows:
+        parts = (t or "").split("\n")
+        again = {i for i in range(len(parts)) if any(len(having[x]) > 1 for x in own.get((k, i), ()))}
+        gone = {i for i in again if any(min(having[x]) < k for x in own[k, i] if len(having[x]) > 1)}
+        out[k] = ("\n".join(x for i, x in enumerate(parts) if i not in gone), len(again), len(gone))
+    return out

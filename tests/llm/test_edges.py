@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievecraft.llm import bpe, fingerprint, html, line_dedup, lm, minhash, packing, quality, toxicity
 from sievecraft.llm.dedup import DigestIndex
@@ -50,12 +51,19 @@ def test_exact_dedup(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == 8
 
 
-def test_line_dedup(docs, none):
+def test_line_dedup(spark, docs, none):
     out = line_dedup.dedup_lines(docs)
     rows = {(r["doc_id"], r["text"]): r for r in out.collect()}
     assert out.count() == len(ROWS) and (1, "one two three four five six") in rows and (2, "") in rows
     assert rows[None, "lonely text with no id at all"]["n_dropped"] == 0 and rows[4, ""]["n_lines"] == 1
     assert line_dedup.dedup_lines(none).count() == 0
+    # Rows of one key keep their own lines; columns may bear any name.
+    again = "this line recurs in other documents too"
+    some = spark.createDataFrame([(1, again, 1), (2, "unique text of the second row\nmore of it", 2), (2, again + "\nkeep me here", 3), (3, "77\n78", 4), (4, "77", 5)], "doc_id long, text string, key int")
+    some = some.select("*", *[F.col("key").alias(c) for c in ("_key", "key_", "d", "gone", "again", "h", "line", "_gone", "_recurring")])
+    out = line_dedup.dedup_lines(some)
+    assert sorted((r["key"], r["text"], r["again"]) for r in out.collect()) == [(1, again, 1), (2, "unique text of the second row\nmore of it", 2), (3, "keep me here", 3), (4, "77\n78", 4), (5, "77", 5)]
+    assert out.columns == [*some.columns, "n_lines", "n_recurring", "n_dropped"]
 
 
 def test_language_model(docs, none):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sievecraft.llm import lm, minhash, quality, toxicity
+from sievecraft.llm import line_dedup, lm, minhash, quality, toxicity
 
 
 def test_filter_keeps_its_bits_a_level():
@@ -33,6 +33,19 @@ def test_filter_keeps_its_bits_a_level():
     assert 5e9 / lm.shards_for(5 * 10**9) <= lm.SHARD_TOKENS and lm.shards_for(10) == lm.SHARDS
 
 
+def test_templates_never_fade(spark):
+    """Fields whose values recur stay fields, and what a few documents share is still shared among many."""
+    names = ["ann", "bob", "cid", "dan", "eve", "fay"]
+    days = ["monday", "tuesday", "friday", "sunday"]
+    rows = [(k, f"written by {names[k % 6]} for the {days[k % 4]} issue of our paper\nbody {'xyzuvw'[k % 6] * (k + 1)}\nshare this\n{names[k // 6]} said this to us all day") for k in range(36)]
+    for some in (rows[:9], rows):
+        want = brute.deduped_lines(some)
+        got = {r["doc_id"]: (r["text"], r["n_recurring"], r["n_dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert got == want
+        assert all(got[k][2] >= 2 for k, _ in some[1:]) and got[0][2] == 0
+        assert all("share this" not in got[k][0] for k, _ in some[1:])
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(2)
     for top in (1, 200, 2**20, 2**63):

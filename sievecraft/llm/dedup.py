@@ -13,10 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import materialise
-
-#: A digest with at least 1 / HOT_SHARE of a batch's rows is hot; there are at most HOT_SHARE such digests.
-HOT_SHARE = 1000
+from sievecraft.llm.common import fresh_name, join_hot, materialise
 
 
 def digest(text: str = "text"):
@@ -25,21 +22,21 @@ def digest(text: str = "text"):
 
 
 class DigestIndex:
-    """Persistent table (digest, keep_id, group_size, batch), bucketed and sorted by digest."""
+    """Persistent table (digest, keep_id, batch), bucketed and sorted by digest; each digest stands there once."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64):
         self.spark, self.name, self.buckets = spark, name or f"digest_index_{uuid.uuid4().hex}", buckets
         if name is None:  # an index of this run alone goes when the run ends
             atexit.register(self._forget)
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
-
-    def read(self) -> DataFrame:
+    def read(self, kind: str = "bigint") -> DataFrame:
+        """The index; made empty, for keys of this kind, where there is none yet."""
+        if not self.spark.catalog.tableExists(self.name):
+            self._write(self.spark.createDataFrame([], f"digest binary, keep_id {kind}, batch string"))
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
-        rows = groups.repartition(self.buckets, "digest")
+    def _write(self, rows: DataFrame) -> None:
+        rows = rows.repartition(self.buckets, "digest")
         rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
 
     def drop(self) -> None:
@@ -51,41 +48,51 @@ class DigestIndex:
         except Exception:  # the session has ended
             pass
 
-    def dedup(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    def add(self, groups: DataFrame, batch: str) -> None:
+        """Appends the rows (digest, keep_id) of a batch whose digests no other batch has brought.
+
+        An append is one job, whole or not there at all; a batch that is already in the index is not added again, so a
+        run that was cut off later can be repeated.
+        """
+        index = self.read(groups.schema["keep_id"].dataType.simpleString())
+        if index.where(F.col("batch") == batch).limit(1).count():
+            return
+        fresh = groups.join(index.select("digest").hint("merge"), "digest", "left_anti")
+        self._write(fresh.select("digest", "keep_id", F.lit(batch).alias("batch")))
+
+    def dedup(self, docs: DataFrame, text: str = "text", key: str = "doc_id", batch: str | None = None, parts: int = 1) -> DataFrame:
         """Adds a batch; one row per document: key, digest, keep_id, group_size (in the batch), kept.
 
         Of equal texts in a batch the row with the largest key stays, unless an earlier batch holds the text;
-        then none does and keep_id is the earlier row's. Null text counts as empty; a null key ranks below
-        every other, and keep_id is null where all keys of a group are. Rows that repeat key and text share
-        their fate (`kept_rows` leaves one of them). An empty batch gives no rows and adds none.
+        then none does and keep_id is the earlier row's. Repeating a batch under its name gives the same rows again.
+        With `parts` the batch comes in so many steps of falling keys, each smaller than the whole. Null text counts as
+        empty; a null key ranks below every other, and keep_id is null where all keys of a group are. Rows that repeat
+        key and text share their fate (`kept_rows` leaves one of them). An empty batch gives no rows and adds none.
         """
+        batch = batch or uuid.uuid4().hex
         keyed = materialise(docs.select(F.col(key).alias("key"), digest(text).alias("digest")), "digests")
-        batch = uuid.uuid4().hex
-        groups = keyed.groupBy("digest").agg(F.max("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.lit(batch).alias("batch"))
-        seen = None
-        if self.exists():
-            groups = materialise(groups, "groups")
-            old = self.read().select("digest", F.col("keep_id").alias("old_id"))
-            seen = groups.join(old.hint("merge"), "digest").select("digest", F.col("old_id").alias("keep_id"), "group_size", "batch", F.lit(True).alias("old"))
-            seen = materialise(seen, "seen")
-            groups = groups.join(old.hint("merge"), "digest", "left_anti")
-        self.append(groups)
-        known = self.read().where(F.col("batch") == batch).withColumn("old", F.lit(False))
-        known = (known.unionByName(seen) if seen is not None else known).drop("batch")
-        # At most HOT_SHARE digests are that frequent: their rows are broadcast, all others are merge-joined.
-        least = max(2, keyed.count() // HOT_SHARE)
-        hot = F.broadcast(known.where(F.col("group_size") >= least))
-        common = keyed.join(hot, "digest")
-        rest = keyed.join(F.broadcast(known.where(F.col("group_size") >= least).select("digest")), "digest", "left_anti")
-        rest = rest.join(known.where(F.col("group_size") < least).hint("merge"), "digest")
-        out = common.unionByName(rest)
-        return out.select(F.col("key").alias(key), "digest", "keep_id", "group_size", (~F.col("old") & F.col("key").eqNullSafe(F.col("keep_id"))).alias("kept"))
-
-    def kept_rows(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        groups = keyed.groupBy("digest").agg(F.max("key").alias("keep_id"), F.count(F.lit(1)).alias("c"))
+        groups = materialise(groups, "groups")
+        cuts = groups.agg(F.percentile_approx("keep_id", [k / parts for k in range(1, parts)], F.lit(10_000))).first()[0] or [] if parts > 1 else []
+        # The largest keys come first, so that the row which an earlier part has brought is the one that stays.
+        part = F.lit(0)
+        for cut in cuts:
+            part = part + F.when(F.col("keep_id") > F.lit(cut), 0).otherwise(1)
+        for p in range(len(cuts) + 1):
+            self.add(groups.where(part == p), batch if p == 0 else f"{batch}/{p}")
+        known = groups.select("digest", "c").join(self.read().hint("merge"), "digest")
+        own = (F.col("batch") == batch) | F.col("batch").startswith(f"{batch}/")
+        known = materialise(known.select("digest", "keep_id", F.col("c").alias("group_size"), own.alias("own"), "c"), "known")
+        out = join_hot(keyed, known, "digest")
+        return out.select(F.col("key").alias(key), "digest", "keep_id", "group_size", (F.col("own") & F.col("key").eqNullSafe(F.col("keep_id"))).alias("kept"))
+
+    def kept_rows(self, docs: DataFrame, text: str = "text", key: str = "doc_id", batch: str | None = None) -> DataFrame:
         """The documents of a batch that stay, with all their columns; of repeated rows one stays."""
-        kept = self.dedup(docs, text, key).where("kept").select(F.col(key).alias("_key"), F.col("digest").alias("_digest"), "group_size")
-        repeats = kept.groupBy("_key", "_digest").count().where("count > 1").limit(1).count() > 0
-        rows = docs.withColumn("_digest", digest(text))
-        out = rows.alias("d").join(kept.alias("k"), (F.col("d._digest") == F.col("k._digest")) & F.col(f"d.{key}").eqNullSafe(F.col("k._key")), "left_semi")
-        out = out.dropDuplicates([key, "_digest"]) if repeats else out
+        kept = self.dedup(docs, text, key, batch).where("kept").select(F.col(key).alias("key"), "digest")
+        repeats = kept.groupBy("key", "digest").count().where("count > 1").limit(1).count() > 0
+        own, id_, of = fresh_name("digest", docs), fresh_name("id", docs), fresh_name("of", docs)
+        kept = kept.select(F.col("key").alias(id_), F.col("digest").alias(of))
+        rows = docs.withColumn(own, digest(text))
+        out = rows.join(kept, (F.col(own) == F.col(of)) & F.col(key).eqNullSafe(F.col(id_)), "left_semi")
+        out = out.dropDuplicates([key, own]) if repeats else out
         return out.select(*docs.columns)

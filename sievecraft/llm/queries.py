@@ -32,7 +32,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = DigestIndex(spark).dedup(table(spark, sf_dir, "documents"))
+    """Documents come to the index in two parts, those of larger ids first."""
+    out = DigestIndex(spark).dedup(table(spark, sf_dir, "documents"), parts=2)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

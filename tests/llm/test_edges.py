@@ -47,8 +47,23 @@ def test_exact_dedup(spark, docs, none):
     assert [r["kept"] for r in index.dedup(docs.where("doc_id = 5")).collect()] == [False]
     index.drop()
     assert DigestIndex(spark, buckets=4).dedup(none).count() == 0
-    kept = DigestIndex(spark, buckets=4).kept_rows(docs)
-    assert kept.columns == docs.columns and kept.count() == 8
+    kept = DigestIndex(spark, buckets=4).kept_rows(docs.withColumn("_digest", F.lit("mine")).withColumn("id", F.lit("own")))
+    assert kept.columns == [*docs.columns, "_digest", "id"] and kept.count() == 8 and {r["_digest"] + r["id"] for r in kept.collect()} == {"mineown"}
+
+
+def test_exact_dedup_in_batches(spark, docs):
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(DigestIndex(spark, buckets=4).dedup(docs))
+    assert rows(DigestIndex(spark, buckets=4).dedup(docs, parts=3)) == want
+    index = DigestIndex(spark, buckets=4)
+    # The result of a batch is lost after its append: repeating the batch gives the same result and adds nothing.
+    assert rows(index.dedup(docs, batch="monday", parts=2)) == want
+    size = index.read().count()
+    assert rows(index.dedup(docs, batch="monday", parts=2)) == want and index.read().count() == size == 8
+    assert index.dedup(docs, batch="tuesday").where("kept").count() == 0
+    more = index.dedup(spark.createDataFrame([(70, "new text"), (71, "a b c"), (72, "new text")], "doc_id long, text string"), batch="wednesday")
+    assert {r["doc_id"]: (r["kept"], r["keep_id"]) for r in more.collect()} == {70: (False, 72), 71: (False, 9), 72: (True, 72)}
+    assert index.read().count() == size + 1
 
 
 def test_line_dedup(spark, docs, none):

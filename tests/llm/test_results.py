@@ -90,10 +90,31 @@ def test_packing(spark, texts):
     assert all(n <= 4096 and n & (n - 1) == 0 for n in sizes)
 
 
-def test_packing_tiers():
-    assert packing.tier_of(1) == 1 and packing.tier_of(5) == 8 and packing.tier_of(9000) == 4096
-    windows = list(packing.pack_lengths([9000, 100, 3, 4096, 50]))
-    assert sum(t for t, _ in windows) == 9000 + 100 + 3 + 4096 + 50 and windows[0] == (4096, [(0, 0, 4096)])
+def test_packing_tiers(spark, texts):
+    assert [packing.tier_of(n) for n in (1, 256, 257, 600, 2048, 9000)] == [256, 256, 512, 1024, 2048, 4096]
+    waiting = packing.Tiers()
+    long = list(packing.cut_windows([9000, 3000, 100, 900, 700, 300, 200, 50], waiting))
+    assert long == [(4096, [(0, 0, 4096)]), (4096, [(0, 4096, 4096)])]
+    # 3000 opens a long window; the longest of shorter tiers that fit fill its gap.
+    made = list(waiting.windows())
+    assert made[0] == (4096, [(1, 0, 3000), (3, 0, 900), (6, 0, 196)]) or made[0][1][:2] == [(1, 0, 3000), (3, 0, 900)]
+    made += list(waiting.rest())
+    assert all(sum(n for _, _, n in pieces) == tier for tier, pieces in made) and sum(t for t, _ in long + made) == 14250
+    # Tokens of a tier's step groups are equal but for the last one, over all partitions.
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for slab in (20_000, 8 << 20):
+        rows = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False, slab=slab, step_tokens=16_384).collect()
+        groups, own = Counter(), Counter()
+        for r in rows:
+            groups[r["tier"], r["step_group"]] += r["length"]
+            own[packing.tier_of(r["length"])] += 1
+        last = {t: max(g for u, g in groups if u == t) for t, _ in groups}
+        assert all(n == 16_384 for (t, g), n in groups.items() if g < last[t])
+        shares = Counter()
+        for (t, _), n in groups.items():
+            shares[t] += n
+        # Every tier has windows; those below the shortest only hold what is over at the end of a partition.
+        assert all(shares[t] for t in (4096, 2048, 1024, 512, 256)) and sum(n for t, n in shares.items() if t < 256) <= 4 * 256
 
 
 def test_html(spark):

@@ -32,9 +32,10 @@ from sievecraft.llm.common import SLAB_BYTES, list_parts, map_arrow, materialise
 #: Base of the quantisation, probes of a level, bits for each stored level, levels (from 0 on).
 BASE, PROBES, BITS, LEVELS = 1.5, 4, 16, 64
 #: Least shards of words and of pairs; from there on they grow so that at most so many training tokens belong to one.
-SHARDS, SHARD_TOKENS = 64, 1 << 21
-#: Bits of a pair's hash that know it in its shard; words keep all 64.
-PAIR_BITS = 40
+SHARDS, SHARD_TOKENS = 8, 1 << 21
+#: Bits of a pair's hash that know it in its shard; words keep all 64. Two pairs of a shard are taken for one with
+#: probability SHARD_TOKENS / 2 ** PAIR_BITS at most, a fraction of the filter's own rate of error.
+PAIR_BITS = 32
 #: Weight of the word model in a pair's probability, words of a block, prior share of the pair model.
 PRIOR, BLOCK, PAIR_SHARE = 4.0, 64, 0.1
 
@@ -143,15 +144,16 @@ def shards_for(tokens: int) -> int:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Whole numbers byte plane by byte plane, only as many as they need: high planes then compress."""
+    """Whole numbers byte plane by byte plane, only as many as they need, compressed."""
     wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
     used = (int(values.max(initial=0)).bit_length() + 7) // 8
-    return bytes([used]) + wide[:, :used].T.tobytes()
+    return bytes([used]) + pa.compress(wide[:, :used].T.tobytes(), "zstd", asbytes=True)
 
 
 def unplanes(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, : data[0]] = np.frombuffer(data, np.uint8, n * data[0], 1).reshape(data[0], n).T
+    if n and data[0]:
+        out[:, : data[0]] = np.frombuffer(pa.decompress(data[1:], n * data[0], "zstd"), np.uint8).reshape(data[0], n).T
     return out.view("<u8").ravel()
 
 
@@ -174,8 +176,9 @@ def cut(hashes: np.ndarray, shards: int, first: int) -> Iterator[tuple[int, slic
         yield first + name, slice(a, b), inside[a:b]
 
 
-def by_shard(blocks: DataFrame, then: str) -> DataFrame:
-    return blocks.repartition("shard").sortWithinPartitions("shard", then)
+def by_shard(blocks: DataFrame, then: str, shards: int) -> DataFrame:
+    """Every shard's rows in one task; there are as many tasks as shards of a kind, so none grows with the input."""
+    return blocks.repartition(shards, "shard").sortWithinPartitions("shard", then)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -216,12 +219,12 @@ def build_filter(blocks: DataFrame, shards: int, bits_a_level: int) -> DataFrame
             row = (s, int(c.sum()) if word else 0, len(h) if word else 0, bits, pack_sorted(h) if word else None, planes(c) if word else None)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "tokens", "n", "bits", "hashes", "counts"])
 
-    return map_arrow(by_shard(blocks, "n"), run, "shard int, tokens bigint, n bigint, bits binary, hashes binary, counts binary")
+    return map_arrow(by_shard(blocks, "n", shards), run, "shard int, tokens bigint, n bigint, bits binary, hashes binary, counts binary")
 
 
 def slab_rows(docs: DataFrame) -> DataFrame:
     """Rows of documents (key, t), cut into slabs: one of each document (row, key), and one of each slab (row of its first
-    document, m texts, w words, their lengths, hashes and codes)."""
+    document, m texts, w words, their lengths, hashes, ranks and codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -231,28 +234,27 @@ def slab_rows(docs: DataFrame) -> DataFrame:
             m = batch.num_rows
             hashes, codes, lengths = tokens_of(texts(batch, "t"))
             none = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), batch.column("key"), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), none, none, none], names=SLAB)
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), batch.column("key"), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), none, none, none, none], names=SLAB)
             # The codes of frequent words are small, so their high planes compress.
             rank = np.empty(len(hashes), np.int64)
             rank[np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")] = np.arange(len(hashes))
             swap = np.argsort(hashes)
-            packed = planes(lengths), pack_sorted(hashes[swap]) + planes(rank[swap]), planes(rank[codes])
+            packed = planes(lengths), pack_sorted(hashes[swap]), planes(rank[swap]), planes(rank[codes])
             yield pa.RecordBatch.from_arrays([pa.array([row]), pa.nulls(1, batch.column("key").type), pa.array([m]), pa.array([len(hashes)]), *(pa.array([x], pa.binary()) for x in packed)], names=SLAB)
             row += m
 
     kind = docs.schema["key"].dataType.simpleString()
-    return map_arrow(docs.select("key", "t"), run, f"row bigint, key {kind}, m bigint, w bigint, lengths binary, hashes binary, codes binary")
+    return map_arrow(docs.select("key", "t"), run, f"row bigint, key {kind}, m bigint, w bigint, lengths binary, hashes binary, ranks binary, codes binary")
 
 
-SLAB = ["row", "key", "m", "w", "lengths", "hashes", "codes"]
+SLAB = ["row", "key", "m", "w", "lengths", "hashes", "ranks", "codes"]
 
 
-def unpack_slab(m: int, w: int, lengths: bytes, hashes: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_slab(m: int, w: int, lengths: bytes, hashes: bytes, ranks: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each text, ascending hashes of the words, code (place there) of each token and of the one before it."""
     sizes = unplanes(lengths, m).astype(np.int64)
-    rank = unplanes(hashes[1 + w * hashes[0] :], w).astype(np.int64)
     place = np.empty(w, np.int32)
-    place[rank] = np.arange(w)
+    place[unplanes(ranks, w).astype(np.int64)] = np.arange(w)
     at = place[unplanes(codes, int(sizes.sum())).astype(np.int64)]
     return sizes, unpack_sorted(hashes, w), at, befores(at, sizes, int(at[-1]))
 
@@ -267,7 +269,7 @@ def slab_queries(slabs_: DataFrame, shards: int) -> DataFrame:
                 rows = [(slab, s, len(low), pack_sorted(low)) for s, _, low in cut(found, shards, first)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slab", "shard", "n", "hashes"])
 
-    return map_arrow(slabs_.select("row", "m", "w", "lengths", "hashes", "codes"), run, "slab bigint, shard int, n bigint, hashes binary")
+    return map_arrow(slabs_.select("row", "m", "w", "lengths", "hashes", "ranks", "codes"), run, "slab bigint, shard int, n bigint, hashes binary")
 
 
 def probe_filter(filters: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
@@ -290,14 +292,14 @@ def probe_filter(filters: DataFrame, asked: DataFrame, shards: int) -> DataFrame
                 if shard < shards:
                     at = np.minimum(np.searchsorted(own, some), max(0, len(own) - 1))
                     exact = planes(np.where(own[at] == some, count[at], 0) if len(own) else np.zeros(n, np.int64))
-                out.append((slab, shard, n, LogFrequencyFilter.levels(bits, some).tobytes(), exact))
+                out.append((slab, shard, n, planes(LogFrequencyFilter.levels(bits, some)), exact))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slab", "part", "n", "levels", "counts"])
 
     # A shard's bits come first, as their slab is -1.
     none = F.lit(None).cast("binary")
     both = filters.select(F.lit(-1).cast("long").alias("slab"), "shard", "n", "hashes", "bits", "counts").unionByName(asked.select("slab", "shard", "n", "hashes", none.alias("bits"), none.alias("counts")))
-    return map_arrow(by_shard(both, "slab"), run, "slab bigint, part int, n bigint, levels binary, counts binary")
+    return map_arrow(by_shard(both, "slab", shards), run, "slab bigint, part int, n bigint, levels binary, counts binary")
 
 
 def block_scores(p1: np.ndarray, p2: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -310,7 +312,7 @@ def block_scores(p1: np.ndarray, p2: np.ndarray, lengths: np.ndarray) -> np.ndar
     return sums_by_row(np.logaddexp(s1 + math.log(1 - PAIR_SHARE), s2 + math.log(PAIR_SHARE)), blocks) / math.log(10)
 
 
-def model_scores(slabs_: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
+def model_scores(slabs_: DataFrame, answers: DataFrame, shards: int, n: int, v: int) -> DataFrame:
     """row, n_tokens, n_known, base_score and score of each document, from slabs and what the shards answered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +321,9 @@ def model_scores(slabs_: DataFrame, answers: DataFrame, n: int, v: int) -> DataF
             _, _, m, w, *packed, _, _ = next(parts)
             lengths, hashes, codes, before = unpack_slab(m, w, *packed)
             # Answers come in the order of the hashes, those of words first.
-            found = [(size, levels, counts) for _, _, size, _, _, _, _, levels, counts in parts]
+            found = [(size, levels, counts) for _, _, size, _, _, _, _, _, levels, counts in parts]
             exact = np.concatenate([unplanes(c, size) for size, _, c in found if c is not None]).astype(np.int64)
-            levels = np.frombuffer(b"".join(x for _, x, _ in found), np.uint8)
+            levels = np.concatenate([unplanes(x, size) for size, x, _ in found]).astype(np.int64)
             c1 = values[levels[:w]]
             l1 = np.log((c1 + 1) / (n + v + 1))[codes]
             distinct, which = np.unique(pairs_of(hashes, codes, before), return_inverse=True)
@@ -338,9 +340,9 @@ def model_scores(slabs_: DataFrame, answers: DataFrame, n: int, v: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(slab + np.arange(m)), pa.array(lengths), pa.array(known), pa.array(base), pa.array(block_scores(l1, l2, lengths))], names=["row", "n_tokens", "n_known", "base_score", "score"])
 
     none = F.lit(None).cast("binary")
-    own = slabs_.select(F.col("row").alias("slab"), F.lit(-1).alias("part"), "m", "w", "lengths", "hashes", "codes", none.alias("levels"), none.alias("counts"))
-    rest = answers.select("slab", "part", F.col("n").alias("m"), F.lit(0).cast("long").alias("w"), none.alias("lengths"), none.alias("hashes"), none.alias("codes"), "levels", "counts")
-    rows = own.unionByName(rest).repartition("slab").sortWithinPartitions("slab", "part")
+    own = slabs_.select(F.col("row").alias("slab"), F.lit(-1).alias("part"), "m", "w", "lengths", "hashes", "ranks", "codes", none.alias("levels"), none.alias("counts"))
+    rest = answers.select("slab", "part", F.col("n").alias("m"), F.lit(0).cast("long").alias("w"), none.alias("lengths"), none.alias("hashes"), none.alias("ranks"), none.alias("codes"), "levels", "counts")
+    rows = own.unionByName(rest).repartition(shards, "slab").sortWithinPartitions("slab", "part")
     return map_arrow(rows, run, "row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
@@ -367,5 +369,5 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "
     answers = materialise(probe_filter(filters, slab_queries(own, shards), shards), "answers")
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    out = rows.where("m IS NULL").select("row", "key").join(model_scores(own, answers, n, v), "row")
+    out = rows.where("m IS NULL").select("row", "key").join(model_scores(own, answers, shards, n, v), "row")
     return out.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,8 +1,9 @@
 """Main text of web pages from flat text blocks.
 
-A page is cut into blocks at block-level tags. Each block has its number of words and its link density,
-those of the blocks before and after it, and what its surroundings say (article, or menu, notice and the like).
-A decision tree, trained on the small labelled table below, keeps or drops each block.
+A page is cut into blocks at block-level tags. Each block has its number of words and its link density, those of the
+blocks before and after it, and hints: its place inside an article, tags and class names that speak against it, a
+heading, the end of a sentence, a rights notice outside an article. A decision tree, trained on the small labelled table below, keeps or
+drops each block; in pages without hints it goes by the neighbours.
 """
 
 from __future__ import annotations
@@ -19,98 +20,171 @@ from pyspark.sql import types as T
 
 from sievecraft.llm.common import map_arrow, slabs, texts
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A tag whose quotes are closed, and any other. Quantifiers never give back, so a match takes one pass.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 HINT = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-#: Tags whose content is no text, tags that bound blocks, tags that never close.
-SILENT = frozenset("script style noscript template svg math iframe object canvas head title select option textarea button audio video".split())
+NOTICE = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b|all rights reserved", re.I)
+#: Tags whose content is raw text that is not shown; tags whose content is not shown as text; those among
+#: these that end where a block begins; tags that bound blocks; tags that never close.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+SILENT = frozenset("noscript template svg math object canvas head select option optgroup datalist button audio video".split())
+SHORT = frozenset("svg math select option optgroup datalist".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Surroundings that speak for and against a block, as tags and as words of class, id and role.
+#: Surroundings that speak for and against a block, as tags and as words of class, id and role; words that
+#: speak against articles too; words that make a class name tell a state of the page and not what it holds.
 FOR, AGAINST = frozenset(["article", "main"]), frozenset("nav header footer aside form fieldset menu dialog".split())
 AGAINST_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disqus footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup privacy promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
 )
+THREAD_WORDS = frozenset("comment comments commentlist disqus related recommended reply replies respond sidebar teaser widget widgets".split())
 FOR_WORDS = frozenset("article articlebody content entry main post story".split())
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "surroundings", "heading", "sentence")
+STATE_WORDS = frozenset("has with without no is not js".split())
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "outside", "against", "heading", "sentence", "notice")
 
 
-def blocks(page: str) -> list[tuple[str, np.ndarray]]:
-    """Text and features of each block of a page, in order."""
-    out: list[tuple[str, int, float, int, bool]] = []
-    stack: list[tuple[str, int]] = []  # open tags and what they say
-    parts: list[str] = []
-    state = {"linked": 0, "in_link": 0, "heading": False}
-
-    def close() -> None:
-        if parts:
-            whole = entities.unescape("".join(parts))
-            text = " ".join(whole.split())
+def hints(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the names of a tag speak for its content, against it, and against articles inside it."""
+    good = bad = thread = False
+    for value in HINT.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            if not words or words[0] in STATE_WORDS or "with" in words:
+                continue
+            favour = not FOR_WORDS.isdisjoint(words)
+            against = any(w in AGAINST_WORDS and not (favour and w == "header") for w in words)  # an article's own header
+            good |= favour and not against
+            bad |= against
+            thread |= not THREAD_WORDS.isdisjoint(words)
+    return good, bad, thread
+
+
+class Page:
+    """Reads a page once from front to back and keeps its text blocks with what their surroundings say."""
+
+    def __init__(self, page: str):
+        self.out: list[tuple[str, int, float, bool, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # open tags: for, against, against articles too
+        self.parts: list[str] = []
+        self.linked = self.links = self.silent = 0
+        self.read(page)
+        self.close()
+
+    def close(self) -> None:
+        """Ends the block."""
+        if self.parts:
+            text = " ".join(entities.unescape("".join(self.parts)).split())
             if text:
-                linked = min(1.0, state["linked"] / max(1, len(text)))
-                says = [s for _, s in stack if s]
-                around = -1 if -1 in says else 1 if says else 0
-                out.append((text, len(text.split()), linked, around, any(t[:1] == "h" and t[1:].isdigit() for t, _ in stack)))
-        parts.clear()
-        state["linked"] = 0
-
-    def add(text: str) -> None:
-        parts.append(text)
-        if state["in_link"]:
-            state["linked"] += len(text.strip())
-
-    at = 0
-    while at < len(page):
-        found = TOKEN.search(page, at)
-        if not found:
-            add(page[at:])
-            break
-        if found.start() > at:
-            add(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or found[5] or "").lower()
-        if not tag:
-            continue
-        end, attributes = found[1] or found[4], found[3] or found[6] or ""
-        if tag in SILENT:
+                # What stands around the innermost article says nothing about it, unless articles are what it holds.
+                last = max((k for k, x in enumerate(self.stack) if x[0] in FOR), default=0)
+                against = any(x[2] for x in self.stack[last:]) or any(x[3] for x in self.stack[:last])
+                heading = any(x[0][:1] == "h" and x[0][1:].isdigit() for x in self.stack)
+                self.out.append((text, len(text.split()), min(1.0, self.linked / len(text)), any(x[1] for x in self.stack), against, heading))
+        self.parts.clear()
+        self.linked = 0
+
+    def add(self, text: str) -> None:
+        if not self.silent:
+            self.parts.append(text)
+            if self.links:
+                self.linked += len(text.strip())
+
+    def pop(self, k: int) -> None:
+        """Closes the open tags from place k on."""
+        for tag, *_ in self.stack[k:]:
+            self.links -= tag == "a"
+            self.silent -= tag in SILENT
+        del self.stack[k:]
+
+    def last(self, tags: frozenset | tuple, until: frozenset = frozenset()) -> int | None:
+        """Place of the innermost open tag among some, not further out than one of `until`."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in tags:
+                return k
+            if self.stack[k][0] in until:
+                return None
+        return None
+
+    def open(self, tag: str, attributes: str) -> None:
+        if tag in ("p", "li", "dd", "dt", "tr", "td", "th") or tag in BLOCK and self.stack and self.stack[-1][0] == "p":
+            own = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "li": ("li",), "tr": ("tr",)}.get(tag, ("p",))
+            k = self.last(own, BLOCK - {"p"} - set(own))
+            if k is not None:
+                self.pop(k)
+        good, bad, thread = hints(attributes) if attributes else (False, False, False)
+        whole = tag in ("body", "html") or tag in FOR and not thread
+        against = not whole and (tag in AGAINST or bad)
+        if tag == "header" and not bad and self.last(("article",)) is not None:
+            against = False  # an article's own heading
+        self.stack.append((tag, not against and (tag in FOR or tag in ("div", "section") and good), against, thread and not whole))
+        self.links += tag == "a"
+        self.silent += tag in SILENT
+
+    def tag(self, page: str, at: int, end: str, tag: str, attributes: str) -> int:
+        """Takes a tag that ends before `at`; the place to read on from."""
+        if tag in RAW:
             if not end and not attributes.rstrip().endswith("/"):
-                shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                inner = page.find("<body", at) if tag == "head" and not shut else -1
-                at = shut.end() if shut else inner if inner >= 0 else at if tag == "head" else len(page)
-                parts.append(" ")
-            continue
+                shut = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                at = shut.end() if shut else len(page)
+                self.parts.append(" ")
+            return at
         if tag in BLOCK:
-            close()
-        elif tag == "br":
-            parts.append("\n")
+            if not end and (k := self.last(SHORT)) is not None:
+                self.pop(k)
+            if tag == "body" and (k := self.last(("head",))) is not None:
+                self.pop(k)
+            self.close()
+        elif tag == "br" or tag in SILENT:
+            self.parts.append(" ")
         if end:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                for gone, _ in stack[depth:]:
-                    state["in_link"] -= gone == "a"
-                del stack[depth:]
+            k = self.last((tag,))
+            if k is not None:
+                self.pop(k)
         elif tag not in VOID and not attributes.endswith("/"):
-            if tag in ("p", "li", "dd", "dt", "tr", "td", "th") or tag in BLOCK and stack and stack[-1][0] == "p":
-                own = "p" if tag not in ("li", "dd", "dt", "tr", "td", "th") else tag
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == own:
-                        for gone, _ in stack[k:]:
-                            state["in_link"] -= gone == "a"
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK and stack[k][0] != "p":
-                        break
-            hints = {w for h in HINT.findall(attributes) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", h).lower())}
-            against = (tag in AGAINST or hints & AGAINST_WORDS) and tag not in ("body", "html")
-            says = -1 if against else 1 if tag in FOR or tag in ("div", "section") and hints & FOR_WORDS else 0
-            if tag == "header" and any(t == "article" for t, _ in stack) and not hints & AGAINST_WORDS:
-                says = 0  # an article's own heading
-            stack.append((tag, says))
-            state["in_link"] += tag == "a"
-    close()
-    words, links = np.array([b[1] for b in out], float), np.array([b[2] for b in out], float)
+            self.open(tag, attributes)
+        return at
+
+    def read(self, page: str) -> None:
+        at, quotes_end = 0, True
+        while (start := page.find("<", at)) >= 0:
+            if start > at:
+                self.add(page[at:start])
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                at = stop + 3 if stop >= 0 else len(page)
+                continue
+            if page.startswith(("<!", "<?"), start):
+                stop = page.find(">", start)
+                at = stop + 1 if stop >= 0 else len(page)
+                continue
+            found = TAG.match(page, start) if quotes_end else None
+            if not found and (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] == "/"):
+                if page.find(">", start) < 0:
+                    self.add(page[start:])
+                    return
+                found = OPEN_QUOTE.match(page, start)
+                # No tag from here on has its quotes closed before the page ends: do not look for that again.
+                quotes_end = quotes_end and not found
+            if found:
+                at = self.tag(page, found.end(), found[1], found[2].lower(), found[3])
+            else:
+                self.add("<")
+                at = start + 1
+        self.add(page[at:])
+
+
+def blocks(page: str) -> list[tuple[str, np.ndarray]]:
+    """Text and features of each block of a page, in order."""
+    out = Page(page).out
+    if not out:
+        return []
+    words, links, inside = (np.array([b[k] for b in out], float) for k in (1, 2, 3))
     pad = lambda x: np.concatenate(([0.0], x, [0.0]))
-    sentence = np.array([b[0][-1] in ".!?:;\"')" for b in out], float)
-    table = np.stack([words, links, pad(words)[:-2], pad(links)[:-2], pad(words)[2:], pad(links)[2:], np.array([b[3] for b in out], float), np.array([b[4] for b in out], float), sentence], 1) if out else np.zeros((0, len(FEATURES)))
+    against, heading = np.array([b[4] for b in out], float), np.array([b[5] for b in out], float)
+    sentence, notice = np.array([b[0][-1] in ".!?:;\"')" for b in out], float), np.array([not b[3] and len(b[0]) < 200 and bool(NOTICE.search(b[0])) for b in out], float)
+    outside = (1 - inside) * ((inside * (1 - against)).sum() > 0)
+    table = np.stack([words, links, pad(words)[:-2], pad(links)[:-2], pad(words)[2:], pad(links)[2:], inside, outside, against, heading, sentence, notice], 1)
     return [(b[0], row) for b, row in zip(out, table, strict=True)]
 
 
@@ -126,21 +200,35 @@ def _menu(n: int) -> str:
 
 
 def labelled_table() -> list[tuple[np.ndarray, int]]:
-    """The labelled blocks: features and whether the block is main text. Built from a few typical pages,
-    whose blocks are marked in order, in three lengths of paragraphs."""
+    """The labelled blocks: features and whether the block is main text. Built from typical pages, with and without hints,
+    whose blocks are marked in order, in four lengths of paragraphs."""
     out = []
-    for long, short in ((60, 12), (25, 5), (8, 2)):
-        p, q = f"<p>{_words(long)}</p>", f"<p>{_words(short)}</p>"
+    for long, short in ((90, 30), (60, 12), (25, 6), (12, 4)):
+        p, q, h = f"<p>{_words(long)}</p>", f"<p>{_words(short)}</p>", f"<h2>{_words(5, '')}</h2>"
+        label, rights = f"<div>{_words(2, '')}</div>", "<div>© 2020 one two</div>"
         pages = [
+            # With hints: an article, or names of classes.
             (f"<body><nav>{_menu(4)}</nav><div class=ad>{_words(short)}</div><article><h1>{_words(6, '')}</h1>{p}{q}{p}</article><footer>{_words(9)}</footer></body>", "0000" + "0" + "1111" + "0"),
             (f"<main><h1>{_words(4, '')}</h1>{q}{p}<ul><li>{_words(short)}</li><li>{_words(3, '')}</li></ul>{p}</main><aside>{q}{_menu(3)}</aside>", "111111" + "0000"),
-            (f"<div>{_menu(5)}</div><div><h2>{_words(5, '')}</h2>{p}{p}{p}</div><div>{_menu(3)}</div>", "00000" + "1111" + "000"),
             (f"<header>{_words(3, '')}</header><article><header><h1>{_words(7, '')}</h1></header>{p}<form>{_words(4, ':')}</form>{p}<div class=comments>{p}{q}</div></article>", "0" + "11" + "0" + "1" + "00"),
             (f"<div class=cookie-notice>{_words(20)}</div><article>{q}</article><section id=comments><p>{_words(30)}</p></section>", "010"),
-            (f"<div>{_words(2, '')}</div><div>{_words(3, '')}</div><div>{_menu(2)}</div><article>{p}</article>", "0000" + "1"),
-            (f"<article><p>{_words(3)}</p><p>{_words(1)}</p><p><a href=x>{_words(2, '')}</a></p>{p}</article><div class=related>{_menu(3)}</div>", "1111000"),
-            (f"<table><tr><td>{_menu(3)}</td><td>{p}{p}{_words(short)}</td></tr></table><div>{_words(4, '')}</div>", "000" + "111" + "0"),
+            (f"{label}<div>{_words(long)}</div><div>{_menu(2)}</div><article>{p}</article><div>{_words(short)}</div>", "0000" + "1" + "0"),
+            (f"<article><p>{_words(3)}</p><p>{_words(1)}</p><p><a href=x>{_words(2, '')}</a></p>{p}</article><div class=related>{_menu(3)}{p}</div>", "1111000" + "0"),
+            (f"<div class=content>{h}{p}{q}</div><div class=sidebar>{h}{p}{p}</div>{rights}", "111" + "000" + "0"),
+            (f"<article>{p}{p}<p>{_words(3)}</p></article><article class=comment><p>{_words(long)}</p></article>", "1110"),
+            # Without hints only the blocks themselves and their neighbours tell.
+            (f"<div>{_menu(5)}</div><div>{h}{p}{p}{p}</div><div>{_menu(3)}</div>", "00000" + "1111" + "000"),
+            (f"{label}<div>{_menu(3)}</div><div><h1>{_words(4, '')}</h1>{p}{q}<p>{_words(2)}</p>{p}{h}{p}</div>{label}<div>{_menu(3)}</div>{rights}", "0" + "000" + "1111111" + "0" + "000" + "0"),
+            (f"<table><tr><td>{_menu(3)}</td><td>{p}{p}{q}{p}</td></tr></table>{label}<div>{_menu(2)}</div>", "000" + "1111" + "0" + "00"),
             (f"<div><p><a href=x>{_words(long)}</a></p><p><a href=y>{_words(long)}</a></p></div><div>{p}{p}</div><div>{_menu(2)}</div>", "00" + "11" + "00"),
+            (f"<div>{_menu(3)}{label}{_menu(3)}{label}{_menu(2)}</div><div>{p}{q}{p}</div>{rights}", "000" + "0" + "000" + "0" + "00" + "111" + "0"),
+            (f"<div><h1>{_words(3, '')}</h1>{p}<ul><li>{_words(3, '')}</li><li>{_words(4, '')}</li></ul>{p}<p>{_words(3)}</p></div>{rights}", "11" + "11" + "11" + "0"),
+            (f"<h1>{_words(4, '')}</h1>{p}{p}", "111"),
+            (f"<div>{_words(4, '')}</div><div>{_menu(3)}</div><div>{_words(5)}</div><div>{_menu(2)}</div><div>{p}<p>{_words(4, '')}</p>{p}<p>{_words(1)}</p>{p}</div>", "0" + "000" + "0" + "00" + "11111"),
+            (f"<div><h3><a href=x>{_words(6, '')}</a></h3><p>{_words(12)}</p><h3><a href=y>{_words(5, '')}</a></h3><p>{_words(14)}</p><h3><a href=z>{_words(7, '')}</a></h3></div><div>{p}<div>{_words(2, '')}</div>{p}{p}</div>", "00000" + "1111"),
+            (f"<div>{_menu(2)}</div><div>{_words(3)}</div><div>{_menu(2)}</div><div><h2>{_words(1, '')}</h2>{p}{p}<h2>{_words(2, '')}</h2>{p}</div><div>{_words(5)}</div><div>{_menu(3)}</div>", "00" + "0" + "00" + "11111" + "0" + "000"),
+            (f"{p}", "1"),
+            (f"{label}<div>{_menu(3)}</div>{label}<div>{_menu(4)}</div>", "0" + "000" + "0" + "0000"),
         ]
         for page, marks in pages:
             found = blocks(page)

@@ -3,9 +3,12 @@
 import hashlib
 import math
 import random
+import re
 import struct
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import brute
 import pytest
@@ -120,8 +123,45 @@ def test_packing_tiers(spark, texts):
 def test_html(spark):
     page = "<html><head><title>T</title><script>if (a < b) '<p>'</script></head><body><header>Site name</header><nav><a href=/>home</a></nav><div class='cookie-notice'>We use cookies.</div><article><h1>Head</h1><p>First &eacute; <b>bold\n text</b>.<p>Second.<form>Sign up</form><div class=comments><p>I disagree.</p></div></article><aside>More</aside><footer>&copy;</footer></body></html>"
     assert [r["text"] for r in html.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()] == ["Head\nFirst é bold text.\nSecond."]
+    # The given pages: what their articles hold, by a plain cut.
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     out = QUERIES["op6_html"](spark, SF).collect()
-    assert all(r["n_chars"] == len(r["text"]) for r in out) and len(out) == spark.read.parquet(f"{SF}/pages.parquet").count()
+    assert len(out) == len(pages)
+    for r in out:
+        inside = re.search(r"(?s)<article>(.*?)</article>", pages[r["page_id"]])[1]
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", " " if re.match("<br", x) else "", x)).split()) for x in re.split(r"</?(?:p|h1|li|ul)>", inside.replace("<br>", "\n").replace("<b>", "").replace("</b>", ""))]
+        assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
+
+
+_P = "The quick brown fox jumps over the lazy dog near an old river bank, and nobody in the village had seen it before that day."
+LABELLED = [
+    (f"<article class='has-comments'><p>{_P}</p></article>", [_P]),
+    (f"<div class='post-with-sidebar'><p>{_P}</p></div>", [_P]),
+    (f"<datalist><option value=a>A<option value=b>B</datalist><article><h1>Old bank</h1><p>{_P}</article>", ["Old bank", _P]),
+    (f"<div>Villages</div><div><h1>Four words are here</h1><p>{_P}</p><p>Yes.</p><p>{_P}</p></div><div>Copyright 2020 Acme Ltd</div>", ["Villages", "Four words are here", _P, "Yes.", _P]),
+    (f"<form><main><p>{_P}</p><p>ok.</p></main></form>", [_P, "ok."]),
+    (f"<body class='page-header-fixed'><div class='article-header'><h1>Old bank</h1></div><div class='article-body'><p>{_P}</p></div><div id=sidebar><p>{_P}</p></div></body>", ["Old bank", _P]),
+    (f"<div><ul><li><a href=/a>one</a><li><a href=/b>two</a></ul></div><div>Top stories</div><div><ul><li><a href=/c>three</a></ul></div><div><p>{_P}</p><p>{_P}</p></div>", [_P, _P]),
+    (f"<article><p>{_P}</p></article><section id=comments><article><p>{_P}</p></article></section>", [_P]),
+    (f"<svg><text>logo</text><p>{_P}</p><p>{_P}</p>", [_P, _P]),
+    (f"<article><p>{_P}<table><tr><td>left<td>right</table></article><aside><p>{_P}</aside>", [_P, "left", "right"]),
+    (f"<article><p>a &lt; b &#233;&nbsp;c</p></article><noscript><p>{_P}</p></noscript><textarea>{_P}</textarea>", ["a < b é c"]),
+]
+
+
+def test_html_of_labelled_pages(spark):
+    nodes = html.train(spark)
+    # The tree asks for neighbours, not only for a block's own features.
+    assert {html.FEATURES[n[0]] for n in nodes if len(n) > 1} & {"words_before", "links_before", "words_after", "links_after"}
+    for page, want in LABELLED:
+        assert [text for text, row in html.blocks(page) if html.keep(nodes, row)] == want, page
+
+
+def test_html_of_long_broken_pages():
+    for piece in ('<a href="x ', '<a href=">" ', '<a href="x>y ', "<p", "<!-- ", "<option>", "<title>", "<<", "<div>", "<button>x"):
+        began = time.time()
+        html.blocks(piece * (1_000_000 // len(piece)) if piece not in ("<div>", "<option>", "<button>x") else piece * 5_000)
+        assert time.time() - began < 20, piece
 
 
 def test_fingerprint(spark, texts):

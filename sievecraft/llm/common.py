@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of ended jobs go, which Spark keeps until the driver's garbage is collected."""
+    gc.collect()  # Python's references first
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A key with at least 1 / HOT_SHARE of a join's rows is hot; there are at most HOT_SHARE such keys.
 HOT_SHARE = 1000
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import SLAB_BYTES, fresh_name, join_hot, list_parts, map_arrow, materialise, offsets_of, slabs, texts
+from sievecraft.llm.common import SLAB_BYTES, fresh_name, join_hot, list_parts, map_arrow, materialise, offsets_of, release, slabs, texts
 from sievecraft.llm.lm import mix
 
 #: Share of a line's tokens that leads to a leaf, least share of constant tokens, longest variable run.
@@ -102,15 +102,15 @@ def line_rows(docs: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
 
 
 def template_rows(wanted: DataFrame) -> DataFrame:
-    """h, template, low and high of every template that a kind may have. Rows are documents (t) with the kinds that are
+    """h, low, high and the templates (digests) that each kind may have, one row for each length of their run. Rows are documents (t) with the kinds that are
     read from them (line, h, low, high, and whether kinds share the leaf of its leading and of its trailing tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches, "t", SLAB_BYTES // 4):
             kinds, counts = list_parts(batch.column("wanted"))
             doc, line = np.repeat(np.arange(len(counts)), counts), pc.struct_field(kinds, "line").to_numpy(zero_copy_only=False)
-            parts, many = list_parts(pc.split_pattern(texts(batch, "t"), "\n"))
-            found = Lines(parts.take(pa.array(offsets_of(many)[doc] + line)))
+            parts, in_doc = list_parts(pc.split_pattern(texts(batch, "t"), "\n"))
+            found = Lines(parts.take(pa.array(offsets_of(in_doc)[doc] + line)))
             d, n = depth_of(found.size), found.size
             led, trailed = (pc.struct_field(kinds, k).to_numpy(zero_copy_only=False).astype(bool) for k in ("led", "trailed"))
             for width in range(1, RUN + 1):
@@ -124,14 +124,12 @@ def template_rows(wanted: DataFrame) -> DataFrame:
                 left = found.fixed[kind] - (found.fixed_sum[a + width] - found.fixed_sum[a])
                 good = left >= CONSTANT * n[kind] - 1e-9
                 kind, a = kind[good], a[good]
-                template = as_binary(found.digests(kind, a, a + width))
-                at = pa.array(kind)
-                out = pa.RecordBatch.from_arrays([pc.struct_field(kinds, "h").take(at), template, pc.struct_field(kinds, "low").take(at), pc.struct_field(kinds, "high").take(at)], names=["h", "template", "low", "high"])
-                for i in range(0, out.num_rows, 50_000):
-                    yield out.slice(i, 50_000)
+                many = offsets_of(np.bincount(kind, minlength=len(n)))
+                lists = pa.ListArray.from_arrays(pa.array(many.astype(np.int32)), as_binary(found.digests(kind, a, a + width)))
+                yield pa.RecordBatch.from_arrays([pc.struct_field(kinds, "h"), pc.struct_field(kinds, "low"), pc.struct_field(kinds, "high"), lists], names=["h", "low", "high", "templates"])
 
     kind = wanted.schema["wanted"].dataType.elementType["low"].dataType.simpleString()
-    return map_arrow(wanted.select("t", "wanted"), run, f"h binary, template binary, low {kind}, high {kind}")
+    return map_arrow(wanted.select("t", "wanted"), run, f"h binary, low {kind}, high {kind}, templates array<binary>")
 
 
 def recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -147,7 +145,8 @@ def recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
     wanted = kinds.join(sides, "h").select(F.col("at.key").alias("key"), F.col("at.d").alias("d"), F.struct(F.col("at.line").alias("line"), "h", "low", "high", F.expr("(sides & 1) > 0").alias("led"), F.expr("(sides & 2) > 0").alias("trailed")).alias("kind"))
     wanted = wanted.groupBy("key", "d").agg(F.collect_list("kind").alias("wanted"))
     rows = docs.join(wanted, ["key", "d"]).select("t", "wanted")
-    tried = materialise(template_rows(rows), "tried")
+    tried = materialise(template_rows(rows).where(F.size("templates") > 0), "tried").select("h", "low", "high", F.explode("templates").alias("template"))
+    release(docs.sparkSession)
     spread = tried.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count(F.lit(1)).alias("c")).where("first <> last")
     found = join_hot(tried.select("h", "template"), materialise(spread.select("template", "first", "c"), "templates"), "template")
     found = found.select("h", "first").unionByName(kinds.where("low <> high").select("h", F.col("low").alias("first")))
@@ -165,6 +164,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), _digest(text).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     lines = materialise(line_rows(rows, least), "lines")
     again = materialise(recurring(rows, lines), "recurring")
+    release(docs.sparkSession)
     hits = join_hot(lines.select("key", "d", "line", "h"), again, "h")
     marks = hits.groupBy("key", "d").agg(F.collect_set(F.when(F.col("key") != F.col("first"), F.col("line"))).alias("gone"), F.count_distinct("line").alias("again"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_recurring", "n_dropped")]

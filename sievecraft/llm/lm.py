@@ -15,7 +15,6 @@ Beside its bits a shard of words holds their exact counts (by 64-bit hash), whic
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from itertools import groupby
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import SLAB_BYTES, list_parts, map_arrow, materialise, offsets_of, slabs, sums_by_row, texts
+from sievecraft.llm.common import SLAB_BYTES, list_parts, map_arrow, materialise, offsets_of, release, slabs, sums_by_row, texts
 
 #: Base of the quantisation, probes of a level, bits for each stored level, levels (from 0 on).
 BASE, PROBES, BITS, LEVELS = 1.5, 4, 16, 64
@@ -359,15 +358,12 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "
     # An upper estimate of the tokens: four bytes each, and the ends.
     shards = shards_for(train.agg(F.sum(F.octet_length("t") / 4 + 1).cast("long").alias("n")).first()["n"] or 0)
     filters = materialise(build_filter(train_blocks(train, shards), shards, bits_a_level), "filter")
-    # Shuffle files of jobs that have ended go with the driver's garbage, Python's references first.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     sizes = filters.agg(F.sum("tokens").alias("n"), F.sum("n").alias("v")).first()
     n, v = sizes["n"] or 0, sizes["v"] or 0
     rows = materialise(slab_rows(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))), "slabs")
     own = rows.where("m IS NOT NULL")
     answers = materialise(probe_filter(filters, slab_queries(own, shards), shards), "answers")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     out = rows.where("m IS NULL").select("row", "key").join(model_scores(own, answers, shards, n, v), "row")
     return out.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

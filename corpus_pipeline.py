@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.llm import minhash, packing, quality, toxicity
-from sievecraft.llm.common import materialise, table
+from sievecraft.llm.common import fresh_name, materialise, table
 from sievecraft.llm.dedup import DigestIndex, digest
 from sievecraft.llm.queries import tokenizer_path
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The documents whose id and text are not among the dropped ones; an id may be null or stand for several texts."""
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest() == F.col("_digest")), "left_anti")
+    id_, of = fresh_name("id", docs), fresh_name("of", docs)
+    gone = dropped.select(F.col("doc_id").alias(id_), F.col("digest").alias(of)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (digest() == F.col(of)), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def unlike_buckets(docs: DataFrame, digested: DataFrame, text: str, key: str) ->
     """
     several = digested.groupBy("wide").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("wide")
     ids = materialise(digested.join(several, "wide").select(F.col(key).alias("_key")).distinct(), "several")
-    again = docs.join(ids, docs[key] == ids["_key"], "left_semi").select(canonical(F.col(text)).alias("canon"))
+    again = docs.join(ids, docs[key].eqNullSafe(ids["_key"]), "left_semi").select(canonical(F.col(text)).alias("canon"))
     again = again.select(lanes(F.col("canon"))["wide"].alias("wide"), F.encode("canon", "UTF-8").alias("bytes"))
     return again.groupBy("wide").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least <> most").select("wide")
 
@@ -140,10 +140,19 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     out = rows.select(
         F.col("key").alias(key), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("digest.wide").alias("wide"), as_text(F.col("digest")).alias("fingerprint"),
         as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("digest"), F.col("changed")).alias("near_edited"), likeness(F.col("digest"), F.col("next.digest")).alias("near_next"),
-        F.sha2(canonical(F.col("t")), 256).alias("exact"),
+        F.sha2(canonical(F.col("t")), 256).alias("exact"), F.col("changed.wide").alias("edited_wide"), F.sha2("canon", 256).alias("edited_exact"),
     )
     out = materialise(out, "fingerprints")
-    unlike = unlike_buckets(docs, out.select(key, "wide"), text, key).withColumn("mark", F.lit(True))
-    out = out.join(unlike, "wide", "left")
-    marked = F.concat("fingerprint", F.when(F.col("mark"), F.concat(F.lit(":"), "exact")).otherwise(""))
-    return out.select(key, "n_chars", "edited_sha256", marked.alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next")
+    # Edited texts, of which the bytes are gone, are told apart from documents and each other by SHA-256.
+    both = out.select("wide", "exact").unionByName(out.select(F.col("edited_wide").alias("wide"), F.col("edited_exact").alias("exact")))
+    apart = both.groupBy("wide").agg(F.min("exact").alias("least"), F.max("exact").alias("most")).where("least <> most").select("wide")
+    unlike = materialise(unlike_buckets(docs, out.select(key, "wide"), text, key).unionByName(apart).distinct(), "unlike")
+    out = _marked(out, unlike, "wide", "fingerprint", "exact")
+    out = _marked(out, unlike, "edited_wide", "edited_fingerprint", "edited_exact")
+    return out.select(key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def _marked(rows: DataFrame, unlike: DataFrame, wide: str, name: str, exact: str) -> DataFrame:
+    """Rows whose fingerprint has the exact digest added where its bucket is among the unlike ones."""
+    out = rows.join(unlike.select(F.col("wide").alias(wide), F.lit(True).alias("mark")), wide, "left")
+    return out.withColumn(name, F.concat(name, F.when(F.col("mark"), F.concat(F.lit(":"), exact)).otherwise(""))).drop("mark")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import list_parts, map_arrow, materialise, offsets_of, slabs, texts
+from sievecraft.llm.common import fresh_name, list_parts, map_arrow, materialise, offsets_of, slabs, texts
 from sievecraft.llm.dedup import digest
 
 #: Bands and coordinates in each. A pair of similarity 0.8 shares no band with probability 2e-6.
@@ -241,10 +241,10 @@ def kept_rows(docs: DataFrame, width: int = 5, threshold: int = 80, text: str =
     others. The smallest key stays, null as the last, and of its texts the one of the smallest digest; rows that
     repeat key and text share their fate.
     """
-    row = F.xxhash64(F.col(key).isNull(), key, digest(text))
-    found = near_duplicates(docs.select(row.alias("_row"), text), width, threshold, text, "_row").select("_row", "component_id").distinct()
+    row, name = F.xxhash64(F.col(key).isNull(), key, digest(text)), fresh_name("row", docs)
+    found = near_duplicates(docs.select(row.alias("row"), F.col(text).alias("text")), width, threshold, "text", "row").select("row", "component_id").distinct()
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("long").alias("key"), digest(text).alias("digest"))
-    found = materialise(found.join(docs.select(row.alias("_row"), rank.alias("rank")).distinct(), "_row"), "found")
+    found = materialise(found.join(docs.select(row.alias("row"), rank.alias("rank")).distinct(), "row"), "found")
     first = found.groupBy("component_id").agg(F.min("rank").alias("first"))
-    dropped = found.join(first, "component_id").where("rank <> first").select("_row")
-    return docs.join(dropped, row == F.col("_row"), "left_anti")
+    dropped = found.join(first, "component_id").where("rank <> first").select(F.col("row").alias(name))
+    return docs.join(dropped, row == F.col(name), "left_anti")

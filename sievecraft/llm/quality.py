@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from sievecraft.llm.common import SLAB_BYTES, list_parts, logistic, map_arrow, offsets_of, sampled, slabs, sums_by_row, texts
 from sievecraft.llm.dedup import digest
 
-#: Labelled documents to fit on (those with the least hash), and the lines of the longest one among them.
-MAX_LABELLED, MAX_LINES = 4_000, 2_000
+#: Labelled documents to fit on (those with the least hash), and lines in all of them: the bounds of what is learnt.
+MAX_LABELLED, MAX_LINES = 4_000, 200_000
 #: Bins of a measure, fits, and steps of each.
 BINS, FITS, STEPS = 8, 3, 120
 MEASURES = 14
@@ -90,7 +90,7 @@ class LineField:
         before[new] = BINS
         after[np.concatenate((new[1:], [True]))] = BINS
         base = np.arange(3 * MEASURES) * (BINS + 1)
-        return np.concatenate((own, before, after), 1) + base
+        return (np.concatenate((own, before, after), 1) + base).astype(np.int32)
 
     def marginals(self, active: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(good) of each line, and the expected transitions, by forward and backward sums over all documents at once."""
@@ -152,18 +152,30 @@ class LineField:
         return np.where(np.isnan(bad), self.share, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(labelled: DataFrame) -> LineField:
-    """A field fitted on documents (key, t, y); see `sampled`."""
-    sample = labelled.select("t", "y")
+def within(labelled: DataFrame, most: int) -> DataFrame:
+    """The documents of a bounded sample (key, t, y), in the order of their hash, as long as their lines fit into `most`."""
+    order = F.xxhash64("key")
+    sizes = labelled.groupBy(order.alias("h")).agg(F.sum(F.size(F.split("t", "\n"))).alias("n")).orderBy("h").collect()
+    out, room = [], most
+    for r in sizes:
+        if r["n"] <= room:
+            room -= r["n"]
+        else:
+            out.append(r["h"])
+    return labelled.where(~order.isin(out)) if out else labelled
+
+
+def train(labelled: DataFrame, most: int = MAX_LINES) -> LineField:
+    """A field fitted on documents (key, t, y), a bounded sample (see `sampled` and `within`), whose lines come together here."""
+    sample = within(labelled, most).select("t", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches, "t", SLAB_BYTES // 4):
             measures, doc, size = lines_of(texts(batch, "t"))
             at = offsets_of(np.bincount(doc, minlength=batch.num_rows))
             for i in range(batch.num_rows):
-                if at[i + 1] - at[i] <= MAX_LINES:
-                    part = measures[at[i] : at[i + 1]].astype("<f4").tobytes()
-                    yield pa.RecordBatch.from_arrays([batch.column("y").slice(i, 1).cast(pa.int32()), pa.array([part], pa.binary()), pa.array([size[at[i] : at[i + 1]].tobytes()], pa.binary())], names=["y", "m", "s"])
+                part = measures[at[i] : at[i + 1]].astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("y").slice(i, 1).cast(pa.int32()), pa.array([part], pa.binary()), pa.array([size[at[i] : at[i + 1]].tobytes()], pa.binary())], names=["y", "m", "s"])
 
     rows = map_arrow(sample, run, "y int, m binary, s binary").collect()
     rows.sort(key=lambda r: (bytes(r["m"]), r["y"]))

@@ -31,20 +31,37 @@ LOOKALIKES = {
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïñòóôöøùúûüÿœ"
 #: Costs (natural logarithm) of a look-alike, of dropping a repeat, of leaving out a blank, of a digit as it stands.
 SUBSTITUTE, COLLAPSE, JOIN, LITERAL = -1.0, -0.3, -0.2, -4.0
-#: Labelled documents that the evidence is counted on, those with the least hash first.
+#: Labelled documents that the evidence is counted on, those with the least hash first: the bound of what is learnt.
 MAX_LABELLED = 20_000
-#: Candidates and final features at most; a feature's least log-likelihood ratio.
-MAX_CANDIDATES, MAX_FEATURES, LEAST_RATIO = 200_000, 20_000, 15.0
+#: A feature's least log-likelihood ratio.
+LEAST_RATIO = 15.0
+#: Stars in a row that no longer stand for letters but part words; characters that are decoded at once.
+STARS, PIECE = 5, 256
 #: Shortest and longest beginnings of words that count as features.
 SHORTEST, LONGEST = 4, 8
 
-_JUNK = re.compile(r"(?:([^\w\s])\1+|[.,;:?!\"')\]}>]+)+$")
+_ENDS = frozenset(".,;:?!\"')]}>")
 _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _MARKS = re.compile(r"[0-9@$!|+(*€£¡аеорсхуі]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"^[\w@$!|+*][.\-_*~·](?:[\w@$!|+*][.\-_*~·])+[\w@$!|+*]$")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def trimmed(word: str) -> str:
+    """A word without punctuation and repeated symbols at its end."""
+    end = len(word)
+    while end:
+        c = word[end - 1]
+        if c in _ENDS:
+            end -= 1
+        elif end > 1 and word[end - 2] == c and not (c.isalnum() or c == "_"):
+            while end and word[end - 1] == c:
+                end -= 1
+        else:
+            break
+    return word[:end]
+
+
 class CharModel:
     """Character trigrams, interpolated with bigrams and single characters."""
 
@@ -137,10 +154,13 @@ class Restorer:
         self.seen: dict[tuple[str, bool], str] = {}
 
     def _decode(self, word: str, spaced: bool) -> str:
+        """The restored word; long ones are decoded piece by piece, and long rows of stars part words."""
         if len(self.seen) > 200_000:
             self.seen = {}
         if (word, spaced) not in self.seen:
-            self.seen[word, spaced] = decode(word, self.model, spaced)
+            parts = [p for p in re.split(r"\*{%d,}" % STARS, word) if p]
+            pieces = [[p[i : i + PIECE] for i in range(0, len(p), PIECE)] for p in parts]
+            self.seen[word, spaced] = " ".join("".join(decode(x, self.model, spaced) for x in p) for p in pieces)
         return self.seen[word, spaced]
 
     def word(self, raw: str) -> list[str]:
@@ -149,7 +169,7 @@ class Restorer:
         if w.isalpha() and (w.isascii() or not _MARKS.search(w)) and not re.search(r"(.)\1\1", w):
             return [w]
         w = _HIDDEN.sub("", w)
-        bare = _JUNK.sub("", w)
+        bare = trimmed(w)
         bare = bare.lstrip("\"'([{<.,;:?#%&~`-_=/\\")
         if not bare or not _LETTER.search(bare) and not any(c in LOOKALIKES for c in bare):
             return []
@@ -259,7 +279,7 @@ def ratio(toxic: int, clean: int, share: float) -> float:
 
 
 def train(labelled: DataFrame, char: np.ndarray) -> Evidence:
-    """Evidence from documents (key, t, y); see `sampled`."""
+    """Evidence from documents (key, t, y), a bounded sample (see `sampled`), which bounds the features collected here."""
     sample = labelled.select("t", "y")
     sample = materialise(sample, "labelled")
     sizes = sample.agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
@@ -268,10 +288,12 @@ def train(labelled: DataFrame, char: np.ndarray) -> Evidence:
     nothing = np.array([math.log(share / (1 - share)), 0, 0, 0, 0])
     if not toxic or toxic == n:
         return Evidence({}, nothing)
-    some = _counts(sample.where("y = 1"), char, None).where("toxic >= 2").orderBy(F.desc("toxic"), "feature").limit(MAX_CANDIDATES).collect()
+    # A feature of fewer toxic documents could not reach the ratio even if no clean one held it.
+    least = LEAST_RATIO / (2 * math.log(n / toxic))
+    some = _counts(sample.where("y = 1"), char, None).where(F.col("toxic") >= least).collect()
     both = _counts(sample, char, {r["feature"] for r in some}).collect()
     kept = sorted(((ratio(r["toxic"], r["clean"], toxic / n), r["feature"], r["toxic"], r["clean"]) for r in both), reverse=True)
-    kept = [x for x in kept if x[0] >= LEAST_RATIO][:MAX_FEATURES]
+    kept = [x for x in kept if x[0] >= LEAST_RATIO]
     weights = {f: max(0.0, math.log((t + 0.5) / (toxic + 1) / ((c + 0.5) / (n - toxic + 1)))) for _, f, t, c in kept}
     rows = _columns(sample.select(F.col("y").alias("key"), "t"), char, Evidence(weights, nothing), False).collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["key"] for r in rows])
@@ -318,8 +340,8 @@ def restore(docs: DataFrame, char: np.ndarray, text: str = "text", key: str = "d
 def classify(docs: DataFrame, labelled: DataFrame, label: str = "toxic", threshold: float = 0.3, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
     """One row per document: key, score (0 to 1, higher: more likely toxic), predicted (score >= threshold).
 
-    `labelled` has key and label of the documents that may be learnt from. Labels other than 0 and 1 and rows
-    without text are ignored there; documents with a null key or text are scored like others (null text:
+    `labelled` has key and label of the documents that may be learnt from. Labels other than 0 and 1 are ignored
+    there, and rows without text count as empty texts; documents with a null key or text are scored like others (null text:
     empty), repeated rows each give a row, and without any toxic label all score low alike. With `digests` each
     row also has the digest of its text, so that rows of one key can be told apart.
     """

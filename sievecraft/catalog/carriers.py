@@ -11,21 +11,29 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.text import BULLET, QUOTES, TOKEN, WS, clean_item, lines
 from sievecraft.operators.similarity import first_of_key
-from sievecraft.sources.records import table
+from sievecraft.sources.records import spread, table
 
 
 def item_rows(rows: DataFrame, key: str) -> DataFrame:
     """key, i and item of the cleaned non-empty lines of text; i is the line's place."""
-    out = rows.select(F.col(key), F.posexplode(lines(F.col("text"))).alias("i", "line"))
-    return out.select(key, "i", clean_item(F.col("line")).alias("item")).where("item <> ''")
+    rest = [c for c in rows.columns if c not in (key, "text")]
+    out = spread(rows).select(F.col(key), *rest, F.posexplode(F.transform(lines(F.col("text")), clean_item)).alias("i", "item"))
+    return out.select(key, *rest, "i", "item").where("item <> ''")
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return item_rows(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("doc_id", "rec")
+    return item_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "rec")
+
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated items with the gold_id of their record."""
+    n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(n)).withColumn("gold_id", F.expr("pmod(doc_id, n)"))
+    return item_rows(docs.select("doc_id", "gold_id", "text"), "doc_id").withColumnRenamed("doc_id", "rec")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return item_rows(table(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("gold_id"), F.col("i").alias("g"), "item")
+    return item_rows(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id").select(F.col("item_id").alias("gold_id"), F.col("i").alias("g"), "item")
 
 
 def pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +47,7 @@ def distinct_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_of_key(generated(spark, sf_dir), "rec")
+    return first_of_key(paired(spark, sf_dir), "rec")
 
 
 def sql_quote(x: str) -> str:

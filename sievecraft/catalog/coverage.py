@@ -16,11 +16,10 @@ TAU, NEAR = 0.5, 0.85
 
 def hits_of(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
     """rec, gold_id, g, item, best, best_i, lang, source of each record's gold items."""
-    gen = c.distinct_generated(spark, sf_dir) if distinct else c.generated(spark, sf_dir)
+    gen = c.distinct_generated(spark, sf_dir) if distinct else c.paired(spark, sf_dir)
     gold = c.distinct_gold(spark, sf_dir) if distinct else c.gold(spark, sf_dir)
     pairs = c.pairing(spark, sf_dir)
-    ids = pairs.select("rec", "gold_id")
-    return s.gold_hits(gold, s.gold_similarity(gold, gen, ids), ids).join(pairs.select("rec", "lang", "source"), "rec")
+    return s.gold_hits(gold, s.gold_similarity(gold, gen, pairs), pairs)
 
 
 def coverage_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec, coverage, blind, redundancy, validity, hallucination, reward, n_gold, n_gen of every record."""
     cov = hits_of(spark, sf_dir).groupBy("rec").agg(F.count(F.lit(1)).alias("n_gold"), F.sum((F.col("best") >= TAU).cast("int")).cast("long").alias("hits"))
     gen = c.generated(spark, sf_dir)
-    red = s.redundancy(gen, s.own_similarity(gen), NEAR)
+    red = s.redundancy(gen, NEAR)
     valid = gen.groupBy("rec").agg(F.avg((v.verify_reason(F.col("item")) == "rule_pass").cast("int")).alias("validity"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec"), "source", "lang")
     rows = rows.join(cov, "rec", "left").join(red, "rec", "left").join(valid, "rec", "left")
@@ -59,8 +58,7 @@ def balanced_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redundancy_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gen = c.generated(spark, sf_dir)
-    return s.redundancy(gen, s.own_similarity(gen), NEAR).select("rec", "n_gen", F.round("redundancy", 6).alias("redundancy"))
+    return s.redundancy(c.generated(spark, sf_dir), NEAR).select("rec", "n_gen", F.round("redundancy", 6).alias("redundancy"))
 
 
 def reward_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +92,12 @@ BUDGETS = (1, 3, 5, 10)
 
 def budget_curve_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage by the first K generated items only, K in several steps."""
-    gen, gold, pairs = c.generated(spark, sf_dir), c.distinct_gold(spark, sf_dir), c.pairing(spark, sf_dir).select("rec", "gold_id")
+    gen, gold, pairs = c.paired(spark, sf_dir), c.distinct_gold(spark, sf_dir), c.pairing(spark, sf_dir).select("rec", "gold_id")
     first = F.row_number().over(s.Window.partitionBy("rec").orderBy("i"))
     gen = gen.withColumn("k", first).where(F.col("k") <= max(BUDGETS))
-    sims = s.gold_similarity(gold, gen.select("rec", "i", "item"), pairs).join(gen.select("rec", "i", "k"), ["rec", "i"])
-    need = sims.where(F.col("sim") >= TAU).groupBy("rec", "g").agg(F.min("k").alias("need"))
+    # The place among the record's items stands for the line.
+    sims = s.gold_similarity(gold, gen.select("rec", "gold_id", F.col("k").alias("i"), "item"), pairs)
+    need = sims.where(F.col("sim") >= TAU).groupBy("rec", "g").agg(F.min("i").alias("need"))
     rows = pairs.join(gold, "gold_id").join(need, ["rec", "g"], "left").select("need", F.explode(F.array(*map(F.lit, BUDGETS))).alias("budget"))
     return rows.groupBy("budget").agg(F.count(F.lit(1)).alias("gold_items"), F.count_if(F.col("need") <= F.col("budget")).alias("hits"))
 
@@ -114,7 +113,7 @@ def reward_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(F.col("w.variant").alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(reward), 6).alias("mean_reward"))
 
 
-def blindspot_category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missed_category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold items and misses by category, categories without items included."""
     hits = hits_of(spark, sf_dir, False).groupBy(v.classify_category(F.col("item")).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("best") < TAU).alias("missed"))
     all_ = spark.sql("SELECT explode(array(" + ",".join(f"'{x}'" for x in v.CATEGORIES) + ")) AS category")
@@ -124,14 +123,15 @@ def blindspot_category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each gold item covered by the record's first half of items (baseline) and by all (candidate)."""
-    gen, gold, pairs = c.generated(spark, sf_dir), c.gold(spark, sf_dir), c.pairing(spark, sf_dir)
+    gen, gold, pairs = c.paired(spark, sf_dir), c.gold(spark, sf_dir), c.pairing(spark, sf_dir)
     ids = pairs.select("rec", "gold_id")
-    sizes = gen.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(s.Window.partitionBy("rec").orderBy("i"))
-    half = gen.withColumn("k", place).join(sizes, "rec")
-    sims = s.gold_similarity(gold, gen, ids).join(half.select("rec", "i", (F.col("k") * 2 <= F.col("n")).alias("first"), (F.col("k") % 3 != 0).alias("second")), ["rec", "i"])
+    rec = s.Window.partitionBy("rec")
+    gen = gen.withColumn("k", F.row_number().over(rec.orderBy("i"))).withColumn("n", F.count(F.lit(1)).over(rec))
+    # Place and half of an item in one number, which takes the place of its line.
+    gen = gen.select("rec", "gold_id", (F.col("k") * 2 + (F.col("k") * 2 <= F.col("n")).cast("int")).alias("i"), "item")
+    sims = s.gold_similarity(gold, gen, ids)
     hit = F.col("sim") >= TAU
-    by = sims.groupBy("rec", "g").agg(F.max(hit & F.col("first")).alias("baseline"), F.max(hit & F.col("second")).alias("candidate"))
+    by = sims.groupBy("rec", "g").agg(F.max(hit & (F.col("i") % 2 == 1)).alias("baseline"), F.max(hit & (F.expr("i div 2") % 3 != 0)).alias("candidate"))
     out = ids.join(gold, "gold_id").join(by, ["rec", "g"], "left")
     return out.select("rec", "g", v.classify_category(F.col("item")).alias("category"), F.coalesce("baseline", F.lit(False)).alias("baseline"), F.coalesce("candidate", F.lit(False)).alias("candidate"))
 
@@ -164,12 +164,11 @@ def max_items_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items kept by greedy deduplication at 0.85 in order."""
-    gen = c.distinct_generated(spark, sf_dir)
-    kept = s.greedy_dedupe(gen, s.own_similarity(gen), NEAR)
+    kept = s.greedy_dedupe(c.distinct_generated(spark, sf_dir), NEAR).where("kept")
     return kept.groupBy("rec").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("i").cast("long").alias("sum_i"))
 
 
-QUERIES = {f.__name__: f for f in (coverage_by_lang, coverage_per_record, balanced_coverage, redundancy_per_record, reward_per_record, bsc_summary, median_blind, threshold_sweep, budget_curve_k, reward_ablation, blindspot_category_map, dimension_transition, transition_rates, exact_dup_marks, max_items_cap, semantic_dedupe)}
+QUERIES = {f.__name__: f for f in (coverage_by_lang, coverage_per_record, balanced_coverage, redundancy_per_record, reward_per_record, bsc_summary, median_blind, threshold_sweep, budget_curve_k, reward_ablation, missed_category_map, dimension_transition, transition_rates, exact_dup_marks, max_items_cap, semantic_dedupe)}
 
 _D = f"WITH {c.GEN}, {c.GOLD}, {c.PAIRING}, {c.DISTINCT}, {c.sql_sims('dgen', 'dgold')}"
 _A = f"WITH {c.GEN}, {c.GOLD}, {c.PAIRING}, {c.sql_sims()}"
@@ -212,7 +211,7 @@ ORACLE_SQL = {
         SELECT budget, count(*) AS gold_items, count(*) FILTER (need <= budget) AS hits FROM pairing p JOIN dgold o ON o.gold_id = p.gold_id LEFT JOIN need n ON n.rec = p.rec AND n.g = o.g, (SELECT unnest([1, 3, 5, 10]) AS budget) GROUP BY budget""",
     "reward_ablation": f"""{RECORDS} SELECT variant, count(*) AS n, round(avg(CASE WHEN n_gen = 0 THEN -1.0 ELSE a * coverage + b * validity - d * redundancy END), 6) AS mean_reward
         FROM r, (VALUES {', '.join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {d}::DOUBLE)" for n, a, b, d in VARIANTS)}) w(variant, a, b, d) GROUP BY variant""",
-    "blindspot_category_map": f"""{_A}, m AS (SELECT {sql_category('item')} AS category, count(*) AS n, count(*) FILTER (best < {TAU}) AS missed FROM hits GROUP BY ALL)
+    "missed_category_map": f"""{_A}, m AS (SELECT {sql_category('item')} AS category, count(*) AS n, count(*) FILTER (best < {TAU}) AS missed FROM hits GROUP BY ALL)
         SELECT a.category, coalesce(n, 0) AS n_gold, coalesce(missed, 0) AS n_blind, round(coalesce(missed / n, 0), 6) AS blind_rate FROM (SELECT unnest([{', '.join(f"'{x}'" for x in v.CATEGORIES)}]) AS category) a LEFT JOIN m ON m.category = a.category""",
     "dimension_transition": f"{_TRANS} SELECT * FROM dt",
     "transition_rates": f"""{_TRANS} SELECT sum(total)::BIGINT AS total, round(coalesce(sum(recovered) / nullif(sum(recovered) + sum(still_blind), 0), 0), 6) AS recovered_rate,

@@ -48,16 +48,15 @@ def filter_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per benchmark row the items of two teachers, exact and near copies of earlier ones left out."""
     pairs = c.pairing(spark, sf_dir).join(c.generated(spark, sf_dir), "rec")
-    sides = [pairs.where(f"lang {op} 'en'").select(F.col("gold_id").alias("rec"), (F.col("rec") * 100_000 + F.col("i")).alias("i"), "item") for op in ("=", "<>")]
+    sides = [pairs.where(f"lang {op} 'en'").select(F.col("gold_id").alias("rec"), F.struct("rec", "i").alias("i"), "item") for op in ("=", "<>")]
     return curate.union_items(sides).groupBy("rec").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.length("item")).cast("long").alias("chars"))
 
 
 def sim_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of benchmark lines that are near each other (0.75), named by their smallest member."""
-    items = c.gold(spark, sf_dir).select((F.col("gold_id") * 100_000 + F.col("g")).alias("id"), "item")
-    counts = s.with_norm(s.token_counts(items, "id"), "id")
-    edges = s.near_pairs(counts, counts, 0.75).where("a <> b")
-    return graph.min_labels(edges, items.select(F.col("id").alias("node"))).select(F.col("node").alias("item"), "component")
+    items = c.gold(spark, sf_dir).select(F.struct(F.col("gold_id").alias("gold_id"), F.col("g").alias("g")).alias("id"), "item")
+    edges = s.near_pairs(items, items, 0.75).where("a <> b")
+    return graph.min_labels(edges, items.select(F.col("id").alias("node"))).select(F.format_string("%d:%d", "node.gold_id", "node.g").alias("item"), F.format_string("%d:%d", "component.gold_id", "component.g").alias("component"))
 
 
 def consolidate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +127,10 @@ ORACLE_SQL = {
     "normalize_query_pool": f"WITH {_REC} SELECT pos, sha256(query) AS query_sha256, 'unknown' AS cells FROM fst",
     "normalize_preference": f"WITH {_REC} SELECT pos, sha256(query) AS query_sha256, sha256(CASE WHEN pos % 3 = 0 THEN r[1] || '|' || r[2] ELSE r[2] || '|' || r[1] END) AS cells FROM fst WHERE pos % 3 < 2 AND nullif(r[1], '') IS NOT NULL AND nullif(r[2], '') IS NOT NULL",
     "normalize_multicandidate": f"WITH {_REC} SELECT pos, sha256(query) AS query_sha256, sha256(array_to_string({_LIST}, '|') || '|0') AS cells FROM fst WHERE len({_LIST}) >= 2",
-    "sim_components": f"""WITH RECURSIVE {c.GOLD}, {c.sql_counts('a', 'gold', 'gold_id, g')}, n AS (SELECT gold_id * 100000 + g AS id FROM gold),
-        e AS (SELECT x.gold_id * 100000 + x.g AS u, y.gold_id * 100000 + y.g AS w FROM a x JOIN a y ON x.token = y.token AND (x.gold_id, x.g) <> (y.gold_id, y.g) GROUP BY x.gold_id, x.g, y.gold_id, y.g HAVING sum(x.c * y.c) / sqrt(any_value(x.nn) * any_value(y.nn)) >= 0.75),
+    "sim_components": f"""WITH RECURSIVE {c.GOLD}, {c.sql_counts('a', 'gold', 'gold_id, g')}, n AS (SELECT row(gold_id, g) AS id FROM gold),
+        e AS (SELECT row(x.gold_id, x.g) AS u, row(y.gold_id, y.g) AS w FROM a x JOIN a y ON x.token = y.token AND (x.gold_id, x.g) <> (y.gold_id, y.g) GROUP BY x.gold_id, x.g, y.gold_id, y.g HAVING sum(x.c * y.c) / sqrt(any_value(x.nn) * any_value(y.nn)) >= 0.75),
         reach(item, v) AS (SELECT id, id FROM n UNION SELECT r.item, e.w FROM reach r JOIN e ON e.u = r.v)
-        SELECT item, min(v) AS component FROM reach GROUP BY item""",
+        SELECT item[1] || ':' || item[2] AS item, min(v)[1] || ':' || min(v)[2] AS component FROM reach GROUP BY item""",
     "task_types": f"""SELECT CASE WHEN role = 'healthbench' OR {_any('l', tasks.MEDICAL)} THEN 'medical_advice' WHEN contains(l, 'keyword') OR contains(l, 'exactly') AND contains(l, 'response') THEN 'instruction_following'
         WHEN {_any('l', tasks.WRITING)} AND {_any('l', tasks.CREATIVE)} THEN 'creative_writing' WHEN {_any('l', tasks.WRITING)} THEN 'writing_task' WHEN {_any('l', tasks.UNSAFE)} THEN 'safety_refusal'
         WHEN {_any("(' ' || l || ' ')", tasks.CODE)} OR regexp_matches(text, '{tasks.SIGNATURE}') THEN 'code_generation' WHEN regexp_matches(l, '{tasks.MATH_WORDS}') OR regexp_matches(l, '{tasks.MATH_TERM}') THEN 'math_problem'

@@ -1,4 +1,4 @@
-"""Queries over joins, contamination, set operations, ablations, judging and gates."""
+"""Queries over joins, contamination, set operations, ablations and judging."""
 
 from __future__ import annotations
 
@@ -65,18 +65,10 @@ def contamination_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     Candidates share a token among the rarest of the benchmark line (a prefix of it: a line that misses all
     of them is below the threshold), so frequent tokens never meet.
     """
-    gold = c.gold(spark, sf_dir)
-    a = s.with_norm(s.token_counts(gold, "gold_id", "g"), "gold_id", "g")
-    freq = a.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    rank = Window.partitionBy("gold_id", "g").orderBy("f", "token")
-    a = a.join(freq, "token").withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("c")).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # The tokens after the prefix hold less than 0.81 of the squared norm: too little for 0.9 by themselves.
-    prefix = a.where(F.col("before") <= 0.19 * F.col("nn") + 1e-9).select("gold_id", "g", "token")
-    gen = s.with_norm(s.token_counts(c.generated(spark, sf_dir), "rec", "i"), "rec", "i")
-    pairs = gen.select("rec", "i", "token").join(prefix, "token").select("rec", "i", "gold_id", "g").distinct()
-    dots = pairs.join(a.select("gold_id", "g", "token", F.col("c").alias("cg"), F.col("nn").alias("ng")), ["gold_id", "g"]).join(gen, ["rec", "i", "token"])
-    sims = dots.groupBy("rec", "i", "gold_id", "g").agg((F.sum(F.col("c") * F.col("cg")) / F.sqrt(F.first("nn") * F.first("ng"))).alias("sim")).where("sim >= 0.9")
-    return sims.groupBy("gold_id", "g").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("rec").alias("n_docs"), F.round(F.max("sim"), 6).alias("best")).select("gold_id", F.col("g").cast("long").alias("g"), "n_lines", "n_docs", "best")
+    gen = c.generated(spark, sf_dir).select(F.struct("rec", "i").alias("id"), "item")
+    sims = s.near_pairs(gen, c.gold(spark, sf_dir).select(F.struct("gold_id", "g").alias("id"), "item"), 0.9)
+    out = sims.groupBy("b").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("a.rec").alias("n_docs"), F.round(F.max("sim"), 6).alias("best"))
+    return out.select("b.gold_id", F.col("b.g").cast("long").alias("g"), "n_lines", "n_docs", "best")
 
 
 def pending_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +99,14 @@ def teacher_union_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gen, gold, pairs = c.generated(spark, sf_dir), c.gold(spark, sf_dir), c.pairing(spark, sf_dir)
+    gen, gold, pairs = c.paired(spark, sf_dir), c.gold(spark, sf_dir), c.pairing(spark, sf_dir)
     sims = s.gold_similarity(gold, gen, pairs.select("rec", "gold_id")).join(pairs.select("rec", "gold_id", "lang"), "rec")
     return sims.groupBy("gold_id", "g", "lang").agg(F.max("sim").alias("best"))
 
 
 def verifier_filter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covered gold items with all items and with valid items only."""
-    gen, gold, pairs = c.generated(spark, sf_dir), c.distinct_gold(spark, sf_dir), c.pairing(spark, sf_dir).select("rec", "gold_id")
+    gen, gold, pairs = c.paired(spark, sf_dir), c.distinct_gold(spark, sf_dir), c.pairing(spark, sf_dir).select("rec", "gold_id")
     valid = gen.select("rec", "i", (v.verify_reason(F.col("item")) == "rule_pass").alias("valid"))
     sims = s.gold_similarity(gold, gen, pairs).where("sim >= 0.5").join(valid, ["rec", "i"])
     hits = sims.groupBy("rec", "g").agg(F.lit(1).alias("raw"), F.max(F.col("valid").cast("int")).alias("filtered"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: White space as Python's `\\s` knows it, spelled out so that every regex engine agrees.
 WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{1C}-\x{1F}]"
+WS_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs that are not one blank already.
+RUN = rf"{WS}{{2,}}|[\t\n\x0B\f\r\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{0085}}\x{{1C}}-\x{{1F}}]"
 BULLET = rf"^(?:[-*•]|[0-9]+[.)]|[a-zA-Z][.)]){WS}+"
 TOKEN = r"[a-zA-Z0-9_\x{4e00}-\x{9fff}]+"
 QUOTES = "^[ \\t\\r\\n\"']+|[ \\t\\r\\n\"']+$"
@@ -14,17 +17,22 @@ TRUE_WORDS, FALSE_WORDS = ("1", "true", "yes", "y", "correct", "pass", "passed")
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(WS_CHARS))
 
 
 def collapse(x: Column) -> Column:
     """Every run of white space as one blank."""
-    return F.regexp_replace(x, f"{WS}+", " ")
+    return F.regexp_replace(x, RUN, " ")
+
+
+def unquote(x: Column) -> Column:
+    """Without quotes and blanks at both ends."""
+    return F.btrim(x, F.lit(" \t\r\n\"'"))
 
 
 def clean_item(x: Column) -> Column:
     """An item without bullet, outer quotes and extra white space."""
-    return F.regexp_replace(collapse(F.regexp_replace(strip(x), BULLET, "")), QUOTES, "")
+    return unquote(collapse(F.regexp_replace(strip(x), BULLET, "")))
 
 
 def item_key(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievecraft.functions.text import QUOTES, BULLET, collapse, strip, tokens
+from sievecraft.functions.text import BULLET, collapse, strip, tokens, unquote
 
 #: Words that say nothing by themselves.
 GENERIC_STANDALONE = ("accurate", "bad", "clear", "clarity", "complete", "concise", "correct", "detailed", "factual", "good", "helpful", "quality", "relevant", "safe", "useful")
@@ -26,7 +26,7 @@ KEYWORDS = {
 
 def normalize_rule_text(x: Column) -> Column:
     """Like cleaning an item, but white space is collapsed before the bullet goes."""
-    return F.regexp_replace(F.regexp_replace(collapse(strip(F.coalesce(x, F.lit("")))), BULLET, ""), QUOTES, "")
+    return unquote(F.regexp_replace(collapse(strip(F.coalesce(x, F.lit("")))), BULLET, ""))
 
 
 def verify_reason(x: Column, reject_generic: bool = False) -> Column:

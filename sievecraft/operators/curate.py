@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.text import item_key
 from sievecraft.functions.verify import verify_reason
-from sievecraft.operators.similarity import greedy_dedupe, own_similarity
+from sievecraft.operators.similarity import greedy_dedupe
 
 
 def filter_items(items: DataFrame, dedup_tau: float = 0.9, most: int | None = None) -> DataFrame:
@@ -16,12 +16,10 @@ def filter_items(items: DataFrame, dedup_tau: float = 0.9, most: int | None = No
     passed = rows.where("rule = 'rule_pass'")
     first = passed.withColumn("first", F.min("i").over(Window.partitionBy("rec", item_key(F.col("item")))))
     fresh = first.where("i = first").select("rec", "i", "item")
-    sims = own_similarity(fresh)
-    kept = greedy_dedupe(fresh, sims, dedup_tau).withColumn("kept", F.lit(True))
     # A near copy points to the first kept item that it is near.
-    near = sims.where(F.col("sim") >= dedup_tau).join(kept, ["rec", "i"]).groupBy("rec", F.col("j").alias("i")).agg(F.min("i").alias("near_of"))
-    out = rows.join(first.select("rec", "i", "first"), ["rec", "i"], "left").join(kept, ["rec", "i"], "left").join(near, ["rec", "i"], "left")
-    reason = F.when(F.col("rule") != "rule_pass", F.col("rule")).when(F.col("first") < F.col("i"), "exact_duplicate").when(F.col("kept").isNull(), "semantic_duplicate")
+    kept = greedy_dedupe(fresh, dedup_tau)
+    out = rows.join(first.select("rec", "i", "first"), ["rec", "i"], "left").join(kept, ["rec", "i"], "left")
+    reason = F.when(F.col("rule") != "rule_pass", F.col("rule")).when(F.col("first") < F.col("i"), "exact_duplicate").when(~F.coalesce("kept", F.lit(False)), "semantic_duplicate")
     out = out.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull().cast("int"))
     place = F.sum("ok").over(Window.partitionBy("rec").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     over = (F.col("ok") == 1) & (place > most) if most else F.lit(False)
@@ -40,7 +38,7 @@ def union_items(sides: list[DataFrame], dedup_tau: float = 0.9) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("rec").orderBy("side", "i")) - 1
     rows = rows.withColumn("i", place).drop("side")
     fresh = rows.withColumn("first", F.min("i").over(Window.partitionBy("rec", item_key(F.col("item"))))).where("i = first").drop("first")
-    return fresh.join(greedy_dedupe(fresh, own_similarity(fresh), dedup_tau), ["rec", "i"])
+    return fresh.join(greedy_dedupe(fresh, dedup_tau).where("kept").select("rec", "i"), ["rec", "i"])
 
 
 def consolidate(items: DataFrame, dimension, score, most: int, dedup_tau: float = 0.9) -> DataFrame:
@@ -51,7 +49,7 @@ def consolidate(items: DataFrame, dimension, score, most: int, dedup_tau: float
     best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("rec", "dimension").orderBy(F.desc("score"), "i"))).where("_n = 1")
     place = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("score"), "i")) - 1
     ranked = best.select("rec", place.alias("i"), "item", "dimension", "score")
-    kept = ranked.join(greedy_dedupe(ranked, own_similarity(ranked), dedup_tau), ["rec", "i"])
+    kept = ranked.join(greedy_dedupe(ranked, dedup_tau).where("kept").select("rec", "i"), ["rec", "i"])
     out = kept.withColumn("place", F.row_number().over(Window.partitionBy("rec").orderBy("i")))
     return out.where(F.col("place") <= most).select("rec", "place", "item", "dimension", "score")
 

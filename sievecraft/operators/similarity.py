@@ -1,7 +1,8 @@
 """Similarity of items by their token counts, and what follows from it for records.
 
-Items are rows (rec, i, item); a record's gold items and generated items meet on shared tokens only, so no
-pair of items is formed that has nothing in common, and nothing but a record's own items meet.
+Items are rows (rec, i, item). Tokens are cut once, in the item's row, with the squared norm beside them. A record's
+gold and generated items meet on shared tokens only; items of one record meet where they share one of their rarest
+tokens, as all do that are near enough.
 """
 
 from __future__ import annotations
@@ -12,14 +13,35 @@ from pyspark.sql import functions as F
 from sievecraft.functions.text import item_key, tokens
 
 
-def token_counts(items: DataFrame, *keys: str) -> DataFrame:
-    """keys, token and its count c in each item."""
-    return items.select(*keys, F.explode(tokens(F.col("item"))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("c"))
+def squared_norm(words: Column) -> Column:
+    """Sum of squared counts of an array's values, in one pass over it in order."""
+    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
 
+    def add(acc: Column, word: Column) -> Column:
+        run = F.when(acc["word"] == word, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(word.alias("word"), run.alias("run"), (acc["total"] + 2 * run - 1).alias("total"))
 
-def with_norm(counts: DataFrame, *keys: str) -> DataFrame:
-    """Token counts with the item's squared norm nn."""
-    return counts.withColumn("nn", F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(*keys)))
+    return F.aggregate(F.array_sort(words), start, add, lambda acc: acc["total"])
+
+
+def dot_of(a: Column, b: Column) -> Column:
+    """Sum over words of the product of their counts in both arrays, in one pass over all words in order."""
+    tagged = F.array_sort(F.concat(F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(0).alias("s"))), F.transform(b, lambda w: F.struct(w.alias("w"), F.lit(1).alias("s")))))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("w"), zero.alias("n"), zero.alias("total"))
+
+    def add(acc: Column, x: Column) -> Column:
+        same = acc["w"] == x["w"]
+        held = F.when(same, acc["n"]).otherwise(zero)  # the word's count in a; words of b come after those
+        return F.struct(x["w"].alias("w"), F.when(x["s"] == 0, held + 1).otherwise(held).alias("n"), (acc["total"] + F.when(x["s"] == 1, held).otherwise(zero)).alias("total"))
+
+    return F.aggregate(tagged, start, add, lambda acc: acc["total"])
+
+
+def with_tokens(items: DataFrame) -> DataFrame:
+    """Adds w, the item's tokens, and nn, their squared norm. Items without tokens are left out."""
+    rows = items.withColumn("w", tokens(F.col("item"))).where(F.size("w") > 0)
+    return rows.withColumn("nn", squared_norm(F.col("w")))
 
 
 def first_of_key(items: DataFrame, *group: str) -> DataFrame:
@@ -36,42 +58,81 @@ def cosine(dot: Column, left: Column, right: Column) -> Column:
 def gold_similarity(gold: DataFrame, gen: DataFrame, pairing: DataFrame) -> DataFrame:
     """rec, g, i, sim of each gold and generated item of a record that share a token.
 
-    gold: (gold_id, g, item); gen: (rec, i, item); pairing: (rec, gold_id).
+    gold: (gold_id, g, item); gen: (rec, i, item), with gold_id or not; pairing: (rec, gold_id). Tokens of generated
+    items go no further than the gold ones that they equal.
     """
-    a = with_norm(token_counts(gold, "gold_id", "g"), "gold_id", "g").select("gold_id", "g", "token", F.col("c").alias("cg"), F.col("nn").alias("ng"))
-    b = with_norm(token_counts(gen, "rec", "i"), "rec", "i").join(pairing, "rec")
-    both = b.join(a, ["gold_id", "token"])
-    dots = both.groupBy("rec", "g", "i").agg(F.sum(F.col("c") * F.col("cg")).alias("dot"), F.first("nn").alias("nn"), F.first("ng").alias("ng"))
+    a = with_tokens(gold).select("gold_id", "g", F.col("nn").alias("ng"), F.explode("w").alias("token")).groupBy("gold_id", "g", "ng", "token").agg(F.count(F.lit(1)).alias("cg"))
+    rows = gen if "gold_id" in gen.columns else gen.join(pairing, "rec")
+    b = with_tokens(rows).select("rec", "gold_id", "i", "nn", F.explode("w").alias("token"))
+    dots = b.join(a, ["gold_id", "token"]).groupBy("rec", "g", "i", "nn", "ng").agg(F.sum("cg").alias("dot"))
     return dots.select("rec", "g", "i", cosine(F.col("dot"), F.col("nn"), F.col("ng")).alias("sim"))
 
 
-def own_similarity(gen: DataFrame) -> DataFrame:
-    """rec, i, j (i < j) and sim of the items of one record that share a token."""
-    a = with_norm(token_counts(gen, "rec", "i"), "rec", "i")
-    b = a.select("rec", "token", F.col("i").alias("j"), F.col("c").alias("cj"), F.col("nn").alias("nj"))
-    dots = a.join(b, ["rec", "token"]).where("i < j").groupBy("rec", "i", "j").agg(F.sum(F.col("c") * F.col("cj")).alias("dot"), F.first("nn").alias("nn"), F.first("nj").alias("nj"))
-    return dots.select("rec", "i", "j", cosine(F.col("dot"), F.col("nn"), F.col("nj")).alias("sim"))
+def token_classes(items: DataFrame) -> DataFrame:
+    """rec, i, w, nn and m of the first of the items of a record that have the same tokens; m is how many these are."""
+    rows = with_tokens(items.select("rec", "i", "item")).withColumn("key", F.md5(F.array_join(F.array_sort("w"), " ")))
+    # A record's rows come together once; all that follows goes by record.
+    rows = rows.repartition("rec")
+    by = Window.partitionBy("rec", "key")
+    rows = rows.withColumn("m", F.count(F.lit(1)).over(by)).withColumn("n", F.row_number().over(by.orderBy("i")))
+    return rows.where("n = 1").select("rec", "i", "w", "nn", "m")
+
+
+def prefix_tokens(rows: DataFrame, group: list[str], key: list[str], tau: float) -> DataFrame:
+    """The rarest tokens (within a group) of each row that hold all but tau^2 of its squared norm.
+
+    Two rows of at least this similarity share one of them: else the tokens that they share would be among those after
+    the prefix of one of them, which are too little by themselves.
+    """
+    each = rows.select(*group, *key, "nn", F.explode("w").alias("token")).groupBy(*group, *key, "nn", "token").agg(F.count(F.lit(1)).alias("c"))
+    each = each.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy(*group, "token")))
+    order = Window.partitionBy(*group, *key).orderBy("f", "token").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("c")).over(order), F.lit(0)))
+    return each.where((F.col("before") <= (1 - tau * tau) * F.col("nn") + 1e-9) & (F.col("f") > 1)).select(*group, *key, "token")
+
+
+def near_classes(classes: DataFrame, tau: float) -> DataFrame:
+    """rec, i, j (i < j), sim of at least tau, and the numbers mi and mj of items, of token_classes of one record."""
+    front = prefix_tokens(classes, ["rec"], ["i"], tau)
+    other = front.select("rec", "token", F.col("i").alias("j"))
+    pairs = front.join(other, ["rec", "token"]).where("i < j").select("rec", "i", "j").distinct()
+    x = classes.select("rec", "i", F.col("w").alias("wi"), F.col("nn").alias("ni"), F.col("m").alias("mi"))
+    y = classes.select("rec", F.col("i").alias("j"), F.col("w").alias("wj"), F.col("nn").alias("nj"), F.col("m").alias("mj"))
+    both = pairs.join(x, ["rec", "i"]).join(y, ["rec", "j"])
+    return both.select("rec", "i", "j", cosine(dot_of(F.col("wi"), F.col("wj")), F.col("ni"), F.col("nj")).alias("sim"), "mi", "mj").where(F.col("sim") >= tau)
 
 
 def gold_hits(gold: DataFrame, sims: DataFrame, pairing: DataFrame) -> DataFrame:
-    """One row per record and gold item: rec, gold_id, g, item, best (0 without any shared token)."""
+    """One row per record and gold item: rec, gold_id, g, item, best (0 without any shared token), and other columns of pairing."""
     best = sims.groupBy("rec", "g").agg(F.max("sim").alias("best"), F.max_by("i", F.struct("sim", -F.col("i"))).alias("best_i"))
-    return pairing.join(gold, "gold_id").join(best, ["rec", "g"], "left").select("rec", "gold_id", "g", "item", F.coalesce("best", F.lit(0.0)).alias("best"), "best_i")
+    rest = [c for c in pairing.columns if c not in ("rec", "gold_id")]
+    return pairing.join(gold, "gold_id").join(best, ["rec", "g"], "left").select("rec", "gold_id", "g", "item", F.coalesce("best", F.lit(0.0)).alias("best"), "best_i", *rest)
 
 
-def redundancy(gen: DataFrame, sims: DataFrame, tau: float) -> DataFrame:
-    """rec, n_gen and redundancy: pairs of at least tau, by the number of items."""
-    pairs = sims.where(F.col("sim") >= tau).groupBy("rec").agg(F.count(F.lit(1)).alias("pairs"))
+def redundancy(gen: DataFrame, tau: float) -> DataFrame:
+    """rec, n_gen and redundancy: pairs of items of at least tau, by the number of items. Equal items are counted, not paired."""
+    classes = token_classes(gen)
+    equal = classes.groupBy("rec").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("pairs"))
+    near = near_classes(classes, tau).groupBy("rec").agg(F.sum(F.col("mi") * F.col("mj")).alias("pairs"))
+    pairs = equal.unionByName(near).groupBy("rec").agg(F.sum("pairs").alias("pairs"))
     return gen.groupBy("rec").agg(F.count(F.lit(1)).alias("n_gen")).join(pairs, "rec", "left").select("rec", "n_gen", (F.coalesce("pairs", F.lit(0)) / F.col("n_gen")).alias("redundancy"))
 
 
-def greedy_dedupe(items: DataFrame, sims: DataFrame, tau: float) -> DataFrame:
-    """Items (rec, i) kept in order, each only if it is below tau with all kept before. Work is by record."""
-    near = sims.where(F.col("sim") >= tau).groupBy("rec", F.col("j").alias("i")).agg(F.collect_list("i").alias("near"))
-    rows = items.select("rec", "i").join(near, ["rec", "i"], "left").select("rec", F.struct("i", F.coalesce("near", F.array().cast("array<int>")).alias("near")).alias("x"))
-    ordered = rows.groupBy("rec").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+def greedy_dedupe(items: DataFrame, tau: float) -> DataFrame:
+    """rec, i, kept and near_of of items: kept in order, each only if it is below tau with all kept before; near_of is the
+    first kept one that a dropped one is near. Work is by record; of items with equal tokens the first stands for all."""
+    rows = items.select("rec", "i", F.md5(F.array_join(F.array_sort(tokens(F.col("item"))), " ")).alias("key"), (F.size(tokens(F.col("item"))) > 0).alias("any"))
+    first = rows.withColumn("first", F.when(F.col("any"), F.min("i").over(Window.partitionBy("rec", "key"))).otherwise(F.col("i")))
+    near = near_classes(token_classes(items), tau).groupBy("rec", F.col("j").alias("i")).agg(F.sort_array(F.collect_list("i")).alias("near"))
+    heads = first.where("i = first").select("rec", "i").join(near, ["rec", "i"], "left")
+    heads = heads.select("rec", F.struct("i", F.coalesce("near", F.array().cast("array<int>")).alias("near")).alias("x"))
+    ordered = heads.groupBy("rec").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     kept = F.aggregate("xs", F.array().cast("array<int>"), lambda acc, x: F.when(F.arrays_overlap(acc, x["near"]), acc).otherwise(F.array_append(acc, x["i"])))
-    return ordered.select("rec", F.explode(kept).alias("i"))
+    told = ordered.select("rec", kept.alias("kept"), F.explode("xs").alias("x"))
+    # Items near none are kept without a look at the others.
+    told = told.select("rec", F.col("x.i").alias("first"), F.when(F.size("x.near") == 0, F.lit(None)).otherwise(F.get(F.array_intersect("x.near", "kept"), F.lit(0))).alias("of"))
+    out = first.join(told, ["rec", "first"])
+    return out.select("rec", "i", (F.col("of").isNull() & (F.col("i") == F.col("first"))).alias("kept"), F.coalesce("of", F.when(F.col("i") > F.col("first"), F.col("first"))).alias("near_of"))
 
 
 def composite_reward(coverage: Column, validity: Column, redundant: Column, weights: tuple[float, float, float] = (1.0, 0.5, 0.5)) -> Column:
@@ -79,17 +140,21 @@ def composite_reward(coverage: Column, validity: Column, redundant: Column, weig
 
 
 def near_pairs(left: DataFrame, right: DataFrame, tau: float) -> DataFrame:
-    """a, b, sim of items of two collections (id, token, c, nn) with a cosine of at least tau.
+    """a, b, sim of items (id, item) of two collections with a cosine of at least tau.
 
     Candidates share a token among the rarest of the right item: its prefix. A left item that misses all of
     them meets the rest only, whose norm is below tau by itself. So frequent tokens never meet, and none is lost.
     """
-    freq = left.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    rank = Window.partitionBy("id").orderBy(F.coalesce("f", F.lit(0)), "token")
-    ranked = right.join(freq, "token", "left").withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("c")).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    prefix = ranked.where(F.col("before") <= (1 - tau * tau) * F.col("nn") + 1e-9).select(F.col("id").alias("b"), "token")
-    pairs = left.select(F.col("id").alias("a"), "token").join(prefix, "token").select("a", "b").distinct()
-    x = left.select(F.col("id").alias("a"), "token", F.col("c").alias("ca"), F.col("nn").alias("na"))
-    y = right.select(F.col("id").alias("b"), "token", F.col("c").alias("cb"), F.col("nn").alias("nb"))
-    dots = pairs.join(y, "b").join(x, ["a", "token"]).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return dots.select("a", "b", cosine(F.col("dot"), F.col("na"), F.col("nb")).alias("sim")).where(F.col("sim") >= tau)
+    left, right = with_tokens(left), with_tokens(right)
+    freq = left.select(F.explode("w").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    counts = right.select("id", "nn", F.explode("w").alias("token")).groupBy("id", "nn", "token").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("id").orderBy("f", "token").rowsBetween(Window.unboundedPreceding, -1)
+    # A token that no left item has comes first in the order and proposes nothing.
+    ranked = counts.join(freq, "token", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    ranked = ranked.withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("c")).over(order), F.lit(0)))
+    prefix = ranked.where((F.col("before") <= (1 - tau * tau) * F.col("nn") + 1e-9) & (F.col("f") > 0)).select(F.col("id").alias("b"), "token")
+    pairs = left.select(F.col("id").alias("a"), F.explode(F.array_distinct("w")).alias("token")).join(prefix, "token").select("a", "b").distinct()
+    x = left.select(F.col("id").alias("a"), F.col("w").alias("wa"), F.col("nn").alias("na"))
+    y = right.select(F.col("id").alias("b"), F.col("w").alias("wb"), F.col("nn").alias("nb"))
+    both = pairs.join(y, "b").join(x, "a")
+    return both.select("a", "b", cosine(dot_of(F.col("wa"), F.col("wb")), F.col("na"), F.col("nb")).alias("sim")).where(F.col("sim") >= tau)

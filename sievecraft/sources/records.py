@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of few splits dealt over all cores, before costly work on each; tables of more splits than cores stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
 def scan_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """record (VARIANT), file and raw of each non-blank line; record is null where a line is no JSON."""
     rows = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))

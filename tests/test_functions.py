@@ -71,7 +71,7 @@ def test_coverage_and_redundancy(spark):
     hits = s.gold_hits(gold, s.gold_similarity(gold, gen, pairs), pairs)
     by = {r["rec"]: r["c"] for r in hits.groupBy("rec").agg(F.avg((F.col("best") >= 0.5).cast("int")).alias("c")).collect()}
     assert by[7] == pytest.approx(2 / 3) and by[8] == 0.0
-    assert s.redundancy(gen, s.own_similarity(gen), 0.99).first()["redundancy"] == pytest.approx(1 / 3)
+    assert s.redundancy(gen, 0.99).first()["redundancy"] == pytest.approx(1 / 3)
 
 
 def test_filter_items(spark):
@@ -143,18 +143,6 @@ def test_stages(spark):
         select_stages(stages, only=["z"])
 
 
-def test_gates(tmp_path):
-    from sievecraft.plans import gates as g
-
-    report = {"a": {"b": [1, 5]}, "rows": [{"method": "x", "score": 0.4}, {"method": "y", "score": 0.6}], "zero": 0}
-    assert g.nested_get(report, "a.b.1") == 5 and g.nested_get(report, "rows[method=y].score") == 0.6 and g.nested_get(report, "a.c") is g.MISSING
-    assert [g.check_value(report, "a.b.0", ">=", 1), g.check_value(report, "a.b.0", ">", 1), g.check_value(report, "q", "==", 1)] == ["pass", "fail", "missing"]
-    assert g.check_pair(report, "rows[method=y].score", "rows[method=x].score", ">", 0.1) == "pass" and g.check_pair(report, "a.b.0", "zero", ">", 1, "ratio") == "fail"
-    (tmp_path / "f").write_text("x")
-    assert g.check_file(tmp_path / "f") == "pass" and g.check_file(tmp_path / "f", "0") == "fail" and g.check_file(tmp_path / "g") == "missing"
-    assert g.claim_status(["pass", "missing"]) == "missing_evidence" and g.claim_status([]) == "not_yet_supported" and g.over_limits({"cost": 3}, {"cost": 2}) == ["cost: 3 > 2"]
-
-
 def test_consolidate(spark):
     rows = items(spark, [(1, 0, "safe"), (1, 1, "avoids unsafe or illegal advice in 2 places."), (1, 2, "cites a source for each claim made."), (1, 3, "nothing")])
     kind = verify.classify_category(F.col("item"))

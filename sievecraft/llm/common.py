@@ -16,12 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievecraft.sources.records import spread
+
 #: Text bytes that one step of a Python worker holds; a longer text is a step of its own.
 SLAB_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; texts of few splits are dealt over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def shared_dir(spark: SparkSession) -> str:

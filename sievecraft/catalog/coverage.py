@@ -50,11 +50,15 @@ def coverage_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits_of(spark, sf_dir).groupBy("rec").agg(F.count(F.lit(1)).alias("n_gold"), F.sum(hit).cast("long").alias("hits"), F.round(F.avg(hit), 6).alias("coverage"))
 
 
-def balanced_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macro average over the categories of a record's gold items, which are not deduplicated."""
+def balanced_by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, n_categories and balanced: the macro average over the categories of a record's gold items, which are not deduplicated."""
     hits = hits_of(spark, sf_dir, False).withColumn("category", v.classify_category(F.col("item")))
     by = hits.groupBy("rec", "category").agg(F.avg((F.col("best") >= TAU).cast("int")).alias("c"))
-    return by.groupBy("rec").agg(F.count(F.lit(1)).alias("n_categories"), F.round(F.avg("c"), 6).alias("balanced"))
+    return by.groupBy("rec").agg(F.count(F.lit(1)).alias("n_categories"), F.avg("c").alias("balanced"))
+
+
+def balanced_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_by_record(spark, sf_dir).withColumn("balanced", F.round("balanced", 6))
 
 
 def redundancy_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +200,7 @@ _TRANS = f"""{_A}, place AS (SELECT rec, i, row_number() OVER (PARTITION BY rec
 tr0 AS (SELECT s.rec, s.g, bool_or(sim >= {TAU} AND k * 2 <= n) AS baseline, bool_or(sim >= {TAU} AND k % 3 <> 0) AS candidate FROM sims s JOIN place p ON p.rec = s.rec AND p.i = s.i GROUP BY ALL),
 tr AS (SELECT {sql_category('o.item')} AS category, coalesce(t.baseline, false) AS a, coalesce(t.candidate, false) AS b FROM pairing p JOIN gold o ON o.gold_id = p.gold_id LEFT JOIN tr0 t ON t.rec = p.rec AND t.g = o.g),
 dt AS (SELECT category, count(*) AS total, count(*) FILTER (NOT a AND b) AS recovered, count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (a AND b) AS retained, count(*) FILTER (NOT a AND NOT b) AS still_blind FROM tr GROUP BY category)"""
+BALANCED = f"{_A} SELECT rec, count(*) AS n_categories, avg(c) AS balanced FROM (SELECT rec, {sql_category('item')} AS category, avg((best >= {TAU})::INT) AS c FROM hits GROUP BY ALL) GROUP BY rec"
 ORACLE_SQL = {
     "coverage_by_lang": f"{_D} SELECT lang, count(*) AS gold_items, count(*) FILTER (best >= {TAU}) AS hits, round(count(*) FILTER (best >= {TAU}) / count(*), 6) AS coverage FROM hits GROUP BY lang",
     "coverage_per_record": f"{_D} SELECT rec, count(*) AS n_gold, count(*) FILTER (best >= {TAU}) AS hits, round(avg((best >= {TAU})::INT), 6) AS coverage FROM hits GROUP BY rec",

@@ -22,8 +22,40 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     left = shares.agg((F.lit(n) - F.sum("base")).alias("left"))
     ranked = shares.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rest"), F.desc(stratum)))).join(F.broadcast(left))
     dealt = ranked.select(stratum, (F.col("base") + F.when((F.col("rank") <= F.col("left")) & (F.col("base") < F.col("c")), 1).otherwise(0)).alias("allocated"))
-    order = Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)), key)
-    return rows.withColumn("_n", F.row_number().over(order)).join(F.broadcast(dealt), stratum).where("_n <= allocated").drop("_n", "allocated")
+    ranked = hash_ranked(rows, key, seed, stratum)
+    return ranked.join(F.broadcast(dealt), stratum).where("_rank <= allocated").drop("_rank", "allocated")
+
+
+#: Buckets of hashes: what a bucket holds is ordered by itself, and the buckets' sizes give the places before it.
+BUCKETS = 1 << 12
+
+
+def hash_ranked(rows: DataFrame, key: str, seed: int, *group: str) -> DataFrame:
+    """Adds _rank, the place (from 1) of a row in the order of its key's hash, among all or in each group of few groups.
+
+    No group is sorted in one task: a window orders one bucket of hashes, and BUCKETS sizes a group are summed up.
+    """
+    h = hash_order(seed, F.col(key))
+    rows = rows.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / (2**32 // BUCKETS)).cast("int"))
+    sizes = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(*group, "_b", F.coalesce(upto, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", key))
+    return rows.withColumn("_in", inside).join(before, [*group, "_b"]).withColumn("_rank", F.col("_in") + F.col("_before")).drop("_h", "_b", "_in", "_before")
+
+
+def exact_split(rows: DataFrame, group: str, counts: list[tuple[str, int | None]], seed: int = 13) -> DataFrame:
+    """Adds split: whole groups in the order of their hash, so many to each split; None takes the rest (the last is None)."""
+    ranked = hash_ranked(rows.select(group).distinct(), group, seed)
+    out, upto = None, 0
+    for name, n in counts:
+        if n is None:
+            continue
+        upto += n
+        out = F.when(F.col("_rank") <= upto, name) if out is None else out.when(F.col("_rank") <= upto, name)
+    rest = next((name for name, n in counts if n is None), None)
+    split = F.lit(rest) if out is None else out.otherwise(rest)
+    return rows.join(ranked.select(group, split.alias("split")), group)
 
 
 def group_split(rows: DataFrame, group: str, shares: list[tuple[str, float]], seed: int = 13) -> DataFrame:

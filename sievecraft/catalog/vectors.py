@@ -17,7 +17,8 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gold category whose mean vector is nearest to each generated vector, and the cosine to it."""
+    """The gold category whose mean vector is nearest to each generated vector, and the cosine to it: an easier question than
+    `vec_nearest_gold`."""
     rows = _rows(spark, sf_dir)
     centres = v.centroid(rows.where("gold"), ["label"], "embedding").select(F.col("label").alias("c"), "centroid")
     # As many rows as categories, held to that by the aggregation.
@@ -26,6 +27,34 @@ def vec_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("vec_id", F.col("b.c").alias("nearest"), F.round("b.sim", 5).alias("similarity"), (F.col("b.c") == F.col("label")).alias("same"))
 
 
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact nearest of all other vectors for each vector whose id is divisible by 50, with both labels."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    found = v.nearest(rows.where("vec_id % 50 = 0"), rows.where("vec_id % 50 <> 0"), "vec_id", "embedding")
+    labels = rows.select("vec_id", "label")
+    found = found.join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("query_label")), "query")
+    return found.join(labels.select(F.col("vec_id").alias("nearest"), F.col("label").alias("nearest_label")), "nearest")
+
+
+def vec_nearest_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each searched vector's nearest vector over all others, its category and the cosine; of equal ones the least id."""
+    return _searched(spark, sf_dir).select("query", "nearest", "nearest_label", F.round("similarity", 5).alias("similarity"), (F.col("query_label") == F.col("nearest_label")).alias("same"))
+
+
+def nearest_label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct categories of the nearest vectors, and their number, per category of the searched ones."""
+    by = _searched(spark, sf_dir).groupBy("query_label")
+    return by.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("nearest_label")), ",").alias("labels"), F.count_if(F.col("query_label") == F.col("nearest_label")).alias("n_same"))
+
+
+def vec_method_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean similarity to the nearest vector of two methods (ids divisible by 100 and the others) and their difference."""
+    one = F.when(F.col("query") % 100 == 0, F.col("similarity"))
+    other = F.when(F.col("query") % 100 != 0, F.col("similarity"))
+    out = _searched(spark, sf_dir).agg(F.avg(one).alias("a"), F.avg(other).alias("b"))
+    return out.select(F.round("a", 5).alias("left_mean"), F.round("b", 5).alias("right_mean"), F.round(F.col("a") - F.col("b"), 5).alias("delta"))
+
+
 def vec_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1 - mean cosine of all pairs of a category."""
     return v.mean_pairwise_cosine(_rows(spark, sf_dir), ["label"], "embedding").select("label", "n", F.round(1 - F.col("mean_cosine"), 5).alias("dispersion"))
@@ -58,13 +87,18 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.col("p")[0] * signs[0], 4).alias("x"), F.round(F.col("p")[1] * signs[1], 4).alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (vec_nearest, vec_dispersion, cluster_entropy, vec_norms, category_nearest_counts, pca_2d)}
+QUERIES = {f.__name__: f for f in (vec_nearest, vec_nearest_gold, nearest_label_sets, vec_method_delta, vec_dispersion, cluster_entropy, vec_norms, category_nearest_counts, pca_2d)}
 
 _U = "list_transform(embedding, lambda x: x::DOUBLE)"
 _NEAR = f"""ct AS (SELECT label AS c, list(m ORDER BY d) AS centroid FROM (SELECT label, d, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL) GROUP BY label),
 s AS (SELECT vec_id, label, c, list_dot_product({_U}, centroid) / sqrt(list_dot_product({_U}, {_U}) * list_dot_product(centroid, centroid)) AS sim FROM embeddings, ct WHERE vec_id % 2 = 1),
 nr AS (SELECT vec_id, c AS nearest, round(sim, 5) AS similarity, c = label AS same FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, c) = 1)"""
+_SEARCH = f"""sq AS (SELECT a.vec_id AS query, a.label AS query_label, b.vec_id AS nearest, b.label AS nearest_label, round(list_dot_product(a.u, b.u) / sqrt(list_dot_product(a.u, a.u) * list_dot_product(b.u, b.u)), 9) AS similarity
+  FROM (SELECT vec_id, label, {_U} AS u FROM embeddings WHERE vec_id % 50 = 0) a, (SELECT vec_id, label, {_U} AS u FROM embeddings WHERE vec_id % 50 <> 0) b QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY similarity DESC, b.vec_id) = 1)"""
 ORACLE_SQL = {
+    "vec_nearest_gold": f"WITH {_SEARCH} SELECT query, nearest, nearest_label, round(similarity, 5) AS similarity, query_label = nearest_label AS same FROM sq",
+    "nearest_label_sets": f"WITH {_SEARCH} SELECT query_label, count(*) AS n, array_to_string(list_sort(list(DISTINCT nearest_label)), ',') AS labels, count(*) FILTER (query_label = nearest_label) AS n_same FROM sq GROUP BY query_label",
+    "vec_method_delta": f"WITH {_SEARCH} SELECT round(avg(similarity) FILTER (query % 100 = 0), 5) AS left_mean, round(avg(similarity) FILTER (query % 100 <> 0), 5) AS right_mean, round(avg(similarity) FILTER (query % 100 = 0) - avg(similarity) FILTER (query % 100 <> 0), 5) AS delta FROM sq",
     "vec_nearest": f"WITH {_NEAR} SELECT * FROM nr",
     "vec_dispersion": f"""SELECT a.label, max(n) AS n, round(1 - avg(list_dot_product(a.u, b.u) / (sqrt(list_dot_product(a.u, a.u)) * sqrt(list_dot_product(b.u, b.u)))), 5) AS dispersion
         FROM (SELECT vec_id, label, {_U} AS u, count(*) OVER (PARTITION BY label) AS n FROM embeddings) a JOIN (SELECT vec_id, label, {_U} AS u FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""",

@@ -23,6 +23,10 @@ KEYWORDS = {
     "completeness": ("include", "cover", "address", "all", "multiple", "comprehensive", "完整", "覆盖", "包括", "全面", "多个"),
 }
 
+#: Words of an answer that refuses, and of an error on the way to one.
+REFUSALS = ("safety", "refuse", "cannot comply", "can't comply", "unable to assist", "not able to help")
+API_ERRORS = ("http", "timeout", "rate", "api", "urlerror", "connection", "server", "quota")
+
 
 def normalize_rule_text(x: Column) -> Column:
     """Like cleaning an item, but white space is collapsed before the bullet goes."""
@@ -57,6 +61,6 @@ def failure_class(error: Column, response: Column, has_items: Column) -> Column:
     def holds(x: Column, terms: tuple[str, ...]) -> Column:
         return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(x, t))
 
-    refusal = holds(both, ("safety", "refuse", "cannot comply", "can't comply", "unable to assist", "not able to help"))
-    api = holds(error, ("http", "timeout", "rate", "api", "urlerror", "connection", "server", "quota"))
+    refusal = holds(both, REFUSALS)
+    api = holds(error, API_ERRORS)
     return F.when(refusal, "safety_refusal").when(api, "api_error").when((response == "") & ~has_items, "empty_output").when((response != "") & ~has_items, "parse_failure").otherwise("other_failure")

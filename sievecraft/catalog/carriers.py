@@ -110,3 +110,9 @@ own AS (SELECT x.rec, x.i, y.i AS j, sum(x.c * y.c) / sqrt(any_value(x.nn) * any
   FROM b x JOIN b y ON x.rec = y.rec AND x.token = y.token AND x.i < y.i GROUP BY ALL)"""
 
 
+def sql_greedy(source: str, tau: float) -> str:
+    """CTEs up to kept (rec, kept): places of a source's items (rec, i, item) kept in order, each below tau with all kept
+    before; and near (rec, j, n) with the earlier items that one is near."""
+    return f"""{sql_own(source)}, near AS (SELECT rec, j, list(i ORDER BY i) AS n FROM own WHERE sim >= {tau} GROUP BY ALL),
+l AS (SELECT g.rec, list({{'i': g.i, 'n': coalesce(n.n, []::BIGINT[])}} ORDER BY g.i) AS xs FROM {source} g LEFT JOIN near n ON n.rec = g.rec AND n.j = g.i GROUP BY g.rec),
+kept AS (SELECT rec, list_reduce(list_prepend([]::BIGINT[], list_transform(xs, lambda x: list_prepend(x.i, x.n))), lambda acc, x: CASE WHEN list_has_any(acc, x[2:]) THEN acc ELSE list_append(acc, x[1]) END) AS kept FROM l)"""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.catalog import carriers as c
+from sievecraft.catalog.coverage import sql_category
+from sievecraft.catalog.scalars import VERIFY
 from sievecraft.functions import tasks
 from sievecraft.functions.verify import KEYWORDS, classify_category
 from sievecraft.operators import curate, graph, normalize
@@ -122,7 +124,23 @@ _STATEMENT = f"""CASE WHEN regexp_matches(b, '(?i)^does the (response|answer) ')
   WHEN regexp_matches(b, '(?i)^is the (response|answer) ') THEN regexp_replace(b, '(?i)^is the (response|answer) ', 'The response should be ')
   WHEN regexp_matches(b, '(?i)^has the (response|answer) ') THEN regexp_replace(b, '(?i)^has the (response|answer) ', 'The response should have ') ELSE {c.sql_strip('y')} END"""
 _STOP = "['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'in', 'is', 'of', 'on', 'or', 'should', 'that', 'the', 'to', 'with']"
+_FILTER = f"""WITH {c.GEN}, {VERIFY}, ps AS (SELECT rec, i, item, min(i) OVER (PARTITION BY rec, {c.sql_collapse('lower(item)')}) AS f FROM ver WHERE reason = 'rule_pass'),
+fresh AS (SELECT rec, i, item FROM ps WHERE i = f), {c.sql_greedy('fresh', 0.9)},
+jd AS (SELECT v.rec, v.i, CASE WHEN v.reason <> 'rule_pass' THEN v.reason WHEN p.f < v.i THEN 'exact_duplicate' WHEN NOT list_contains(k.kept, v.i) THEN 'semantic_duplicate' END AS reason,
+  CASE WHEN p.f < v.i THEN p.f ELSE list_min(list_filter(n.n, lambda x: list_contains(k.kept, x))) END AS of
+  FROM ver v LEFT JOIN ps p ON p.rec = v.rec AND p.i = v.i LEFT JOIN kept k ON k.rec = v.rec LEFT JOIN near n ON n.rec = v.rec AND n.j = v.i),
+fi AS (SELECT rec, i, of, coalesce(reason, CASE WHEN count(*) FILTER (reason IS NULL) OVER (PARTITION BY rec ORDER BY i) > %d THEN 'max_items_exceeded' ELSE 'rule_pass' END) AS reason, reason AS why FROM jd)"""
+_WORDS = f"len({c.sql_tokens('item')})"
 ORACLE_SQL = {
+    "filter_items": f"{_FILTER % 8} SELECT lang, reason, count(*) AS n, count(of) FILTER (why IN ('exact_duplicate', 'semantic_duplicate')) AS n_pointing FROM fi JOIN documents ON doc_id = rec GROUP BY ALL",
+    "staged_summary": f"{_FILTER % 1_000_000_000} SELECT reason = 'rule_pass' AS valid, count(*) AS n, count(DISTINCT rec) AS records FROM fi GROUP BY ALL",
+    "union_items": f"""WITH {c.GEN}, {c.PAIRING}, u AS (SELECT p.gold_id AS rec, row_number() OVER (PARTITION BY p.gold_id ORDER BY p.lang <> 'en', g.rec, g.i) - 1 AS i, item FROM gen g JOIN pairing p ON p.rec = g.rec),
+        fresh AS (SELECT rec, i, item FROM u QUALIFY row_number() OVER (PARTITION BY rec, {c.sql_collapse('lower(item)')} ORDER BY i) = 1), {c.sql_greedy('fresh', 0.9)}
+        SELECT f.rec, count(*) AS n_items, sum(length(item))::BIGINT AS chars FROM fresh f JOIN kept k ON k.rec = f.rec AND list_contains(k.kept, f.i) GROUP BY f.rec""",
+    "consolidate_items": f"""WITH {c.GEN}, sc AS (SELECT rec, i, item, {sql_category('item')} AS dim, {_WORDS} AS n FROM gen), sd AS (SELECT rec, i, item, dim, (n BETWEEN 5 AND 40)::INT * 2 + regexp_matches(item, '[0-9]')::INT + regexp_matches(item, '[.!?]$')::INT + (dim <> 'completeness')::INT - (n < 4)::INT * 2 AS score FROM sc),
+        bs AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY rec, dim ORDER BY score DESC, i) = 1), rk AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY score DESC, i) - 1 AS i, item, score FROM bs), {c.sql_greedy('rk', 0.9)},
+        o AS (SELECT r.rec, r.item, r.score FROM rk r JOIN kept k ON k.rec = r.rec AND list_contains(k.kept, r.i) QUALIFY row_number() OVER (PARTITION BY r.rec ORDER BY r.i) <= 5)
+        SELECT rec, count(*) AS n_items, sum(length(item))::BIGINT AS chars, sum(score)::DOUBLE AS score FROM o GROUP BY rec""",
     "normalize_gold": f"WITH {_REC} SELECT pos, sha256(query) AS query_sha256, sha256(array_to_string({_ITEMS}, chr(10))) AS cells FROM fst WHERE len({_ITEMS}) > 0",
     "normalize_query_pool": f"WITH {_REC} SELECT pos, sha256(query) AS query_sha256, 'unknown' AS cells FROM fst",
     "normalize_preference": f"WITH {_REC} SELECT pos, sha256(query) AS query_sha256, sha256(CASE WHEN pos % 3 = 0 THEN r[1] || '|' || r[2] ELSE r[2] || '|' || r[1] END) AS cells FROM fst WHERE pos % 3 < 2 AND nullif(r[1], '') IS NOT NULL AND nullif(r[2], '') IS NOT NULL",

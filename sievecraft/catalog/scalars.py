@@ -116,7 +116,12 @@ iss AS (SELECT doc_id, coalesce(n, 0) AS n_items, coalesce(n - d, 0) AS exact_du
   list_filter([CASE WHEN coalesce(n, 0) = 0 THEN 'no_parseable_items' END, CASE WHEN coalesce(n, 0) < 3 THEN 'too_few_items' END, CASE WHEN n > 12 THEN 'too_many_items' END,
     CASE WHEN n - d > 0 THEN 'exact_duplicates' END, CASE WHEN gen_hit THEN 'generic_terms' END], lambda x: x IS NOT NULL) AS l
   FROM documents LEFT JOIN found ON rec = doc_id)"""
+_LINES = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {c.sql_clean('x')}), lambda x: x <> '')"
+_MARKED = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {c.sql_strip('x')}), lambda x: regexp_matches(x, {c.sql_quote(t.BULLET)}))"
+_BULLETS = f"list_filter(list_transform({_MARKED}, lambda x: {c.sql_clean('x')}), lambda x: x <> '')"
 ORACLE_SQL = {
+    # None of the documents is JSON or holds any: what is left of the parser are bullets, else lines.
+    "parse_items": f"SELECT doc_id, len(i) AS n_items, sha256(array_to_string(i, chr(10))) AS items_sha256 FROM (SELECT doc_id, CASE WHEN len({_BULLETS}) > 0 THEN {_BULLETS} ELSE {_LINES} END AS i FROM documents)",
     "parse_items_lines": f"WITH {c.GEN} SELECT rec AS doc_id, i AS line, item FROM gen",
     "clean_norm_key": f"SELECT doc_id, sha256({c.sql_strip(c.sql_collapse('''coalesce(text, '')'''))}) AS join_key, sha256({c.sql_collapse('lower(' + c.sql_strip('''coalesce(text, '')''') + ')')}) AS query_key FROM documents",
     "token_counts": f"SELECT doc_id, len({c.sql_tokens('text')}) AS n_tokens, len(list_distinct({c.sql_tokens('text')})) AS n_distinct FROM documents",

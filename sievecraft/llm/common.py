@@ -67,7 +67,7 @@ def release(spark: SparkSession) -> None:
 HOT_SHARE = 1000
 
 
-def join_hot(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, known: DataFrame, key: str | list[str]) -> DataFrame:
     """rows joined with `known`, which has each key once and c, the number of rows that bear it (c does not come along).
 
     At most HOT_SHARE keys are hot: their rows of `known` are broadcast, so their rows stay where they are; all
@@ -77,7 +77,8 @@ def join_hot(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") ->
     least = max(2, -(-total // HOT_SHARE))
     hot = known.where(F.col("c") >= least).drop("c")
     common = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(known.where(F.col("c") < least).drop("c").hint("merge"), key, how)
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(known.where(F.col("c") < least).drop("c").hint("merge"), key)
     return common.unionByName(rest)
 
 

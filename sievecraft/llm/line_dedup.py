@@ -44,14 +44,18 @@ class Lines:
     def __init__(self, lines: pa.Array):
         tokens, counts = list_parts(pc.ascii_split_whitespace(pc.utf8_lower(lines)))
         coded = tokens.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(len(counts)), counts)
-        full = np.array([w != "" for w in names] or [False], bool)[codes]
-        codes, row = codes[full], row[full]
+        blank = pc.index(names, "").as_py()
+        if blank >= 0:  # white space at an end of a line leaves an empty part
+            full = codes != blank
+            codes, row = codes[full], row[full]
         self.size = np.bincount(row, minlength=len(counts)).astype(np.int64)
         self.at = offsets_of(self.size)
-        masked = np.array([FIELDS.sub(FIELD, w) if re.search("[0-9@]", w) else w for w in names], object)
+        masked = names.to_numpy(zero_copy_only=False).copy()
+        marked = np.flatnonzero(pc.match_substring_regex(names, "[0-9@]").to_numpy(zero_copy_only=False)) if len(names) else []
+        masked[marked] = [FIELDS.sub(FIELD, w) for w in masked[marked]]
         word = pd.util.hash_array(masked, categorize=False).astype(np.uint64) if len(masked) else np.zeros(0, np.uint64)
         place = (np.arange(len(codes)) - self.at[row]).astype(np.uint64)
         lane = mix(word[codes] + mix(place + np.uint64(1)))
@@ -62,48 +66,44 @@ class Lines:
     def run(self, a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
         return self.sums[lane][b] - self.sums[lane][a]
 
-    def digests(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """128 bits that know a line's tokens but for those from a to b, and where those are."""
+    def digests(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit halves that know a line's tokens but for those from a to b, and where those are."""
         tag = mix((self.size[line] << 40 | a - self.at[line] << 8 | b - a).astype(np.uint64))
-        both = [mix(self.run(self.at[line], self.at[line + 1], k) - self.run(a, b, k) + tag) for k in (0, 1)]
-        return np.stack(both, 1)
+        return [mix(self.run(self.at[line], self.at[line + 1], k) - self.run(a, b, k) + tag).view(np.int64) for k in (0, 1)]
 
     def leaves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf of each line by its leading tokens and by its trailing ones; 0 for lines too short to have any."""
+        """Leaf of each line by its leading tokens and by its trailing ones; 0 for lines too short for a variable run."""
         d, n = depth_of(self.size), self.size.astype(np.uint64)
         start, end = self.at[:-1], self.at[1:]
         lead, trail = mix(self.run(start, start + d) + mix(2 * n + np.uint64(1))), mix(self.run(end - d, end) + mix(2 * n))
-        return np.where(d > 0, lead, 0).astype(np.uint64), np.where(d > 0, trail, 0).astype(np.uint64)
-
-
-def as_binary(pairs: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs).tobytes())]).cast(pa.binary())
+        long = (1 - CONSTANT) * self.size + 1e-9 >= 1
+        return np.where(long, lead, 0).astype(np.uint64), np.where(long, trail, 0).astype(np.uint64)
 
 
 def line_rows(docs: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
-    """Lines that count of documents (key, d, t): key, d, line (from 0), h (digest of the masked tokens), lead and trail."""
+    """Lines that count of documents (key, d, t): key, d, line (from 0), h1 and h2 (digest of the masked tokens), lead and trail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "t", SLAB_BYTES // 4):
+        for batch in slabs(batches, "t", SLAB_BYTES // 2):
             lines, counts = list_parts(pc.split_pattern(texts(batch, "t"), "\n"))
             doc, first = np.repeat(np.arange(len(counts)), counts), np.repeat(offsets_of(counts)[:-1], counts)
             found = Lines(lines)
             counted = np.flatnonzero((found.size >= least) & (found.fixed > 0))
             none = found.at[counted]
-            h = found.digests(counted, none, none)
+            h1, h2 = found.digests(counted, none, none)
             lead, trail = found.leaves()
             own = pa.array(doc[counted])
-            columns = [batch.column("key").take(own), batch.column("d").take(own), pa.array((counted - first[counted]).astype(np.int32)), as_binary(h), pa.array(lead[counted].view(np.int64)), pa.array(trail[counted].view(np.int64))]
-            out = pa.RecordBatch.from_arrays(columns, names=["key", "d", "line", "h", "lead", "trail"])
+            columns = [batch.column("key").take(own), batch.column("d").take(own), pa.array((counted - first[counted]).astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(lead[counted].view(np.int64)), pa.array(trail[counted].view(np.int64))]
+            out = pa.RecordBatch.from_arrays(columns, names=["key", "d", "line", "h1", "h2", "lead", "trail"])
             for i in range(0, out.num_rows, 50_000):
                 yield out.slice(i, 50_000)
 
-    return map_arrow(docs.select("key", "d", "t"), run, f"key {docs.schema['key'].dataType.simpleString()}, d binary, line int, h binary, lead bigint, trail bigint")
+    return map_arrow(docs.select("key", "d", "t"), run, f"key {docs.schema['key'].dataType.simpleString()}, d bigint, line int, h1 bigint, h2 bigint, lead bigint, trail bigint")
 
 
 def template_rows(wanted: DataFrame) -> DataFrame:
-    """h, low, high and the templates (digests) that each kind may have, one row for each length of their run. Rows are documents (t) with the kinds that are
-    read from them (line, h, low, high, and whether kinds share the leaf of its leading and of its trailing tokens)."""
+    """h1, h2, low, high and the templates (digests) that each kind may have, one row for each length of their run. Rows are
+    documents (t) with the kinds that are read from them (line, h1, h2, low, high, and whether kinds share the leaf of its leading and of its trailing tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches, "t", SLAB_BYTES // 4):
@@ -125,32 +125,38 @@ def template_rows(wanted: DataFrame) -> DataFrame:
                 good = left >= CONSTANT * n[kind] - 1e-9
                 kind, a = kind[good], a[good]
                 many = offsets_of(np.bincount(kind, minlength=len(n)))
-                lists = pa.ListArray.from_arrays(pa.array(many.astype(np.int32)), as_binary(found.digests(kind, a, a + width)))
-                yield pa.RecordBatch.from_arrays([pc.struct_field(kinds, "h"), pc.struct_field(kinds, "low"), pc.struct_field(kinds, "high"), lists], names=["h", "low", "high", "templates"])
+                t1, t2 = found.digests(kind, a, a + width)
+                lists = pa.ListArray.from_arrays(pa.array(many.astype(np.int32)), pa.StructArray.from_arrays([pa.array(t1), pa.array(t2)], names=["t1", "t2"]))
+                yield pa.RecordBatch.from_arrays([*(pc.struct_field(kinds, k) for k in ("h1", "h2", "low", "high")), lists], names=["h1", "h2", "low", "high", "templates"])
 
     kind = wanted.schema["wanted"].dataType.elementType["low"].dataType.simpleString()
-    return map_arrow(wanted.select("t", "wanted"), run, f"h binary, low {kind}, high {kind}, templates array<binary>")
+    return map_arrow(wanted.select("t", "wanted"), run, f"h1 bigint, h2 bigint, low {kind}, high {kind}, templates array<struct<t1:bigint,t2:bigint>>")
 
 
 def recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """h, first (smallest key that has one of its templates) and c (lines) of lines that recur across documents.
+    """h1, h2, first (smallest key that has one of its templates) and c (lines) of lines that recur across documents.
 
     `docs` has key, d and t; `lines` are their line_rows.
     """
-    kinds = lines.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "d", "line")).alias("at"), F.min("lead").alias("lead"), F.min("trail").alias("trail"), F.count(F.lit(1)).alias("c"))
+    h, template = ["h1", "h2"], ["t1", "t2"]
+    kinds = lines.groupBy(*h).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "d", "line")).alias("at"), F.min("lead").alias("lead"), F.min("trail").alias("trail"), F.count(F.lit(1)).alias("c"))
     kinds = materialise(kinds, "kinds")
-    leaves = kinds.where("lead <> 0").select("h", F.explode(F.array(F.struct(F.col("lead").alias("leaf"), F.lit(1).alias("side")), F.struct(F.col("trail").alias("leaf"), F.lit(2).alias("side")))).alias("x")).select("h", "x.*")
-    shared = materialise(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "leaves")
-    sides = join_hot(leaves, shared, "leaf").groupBy("h").agg(F.bit_or("side").alias("sides"))
-    wanted = kinds.join(sides, "h").select(F.col("at.key").alias("key"), F.col("at.d").alias("d"), F.struct(F.col("at.line").alias("line"), "h", "low", "high", F.expr("(sides & 1) > 0").alias("led"), F.expr("(sides & 2) > 0").alias("trailed")).alias("kind"))
+    paths = F.array(F.struct(F.col("lead").alias("leaf"), F.lit(1).alias("side")), F.struct(F.col("trail").alias("leaf"), F.lit(2).alias("side")))
+    leaves = kinds.where("lead <> 0").select(*h, "low", "high", F.explode(paths).alias("x")).select(*h, "low", "high", "x.*")
+    # A leaf that one document alone fills, or one kind, proposes nothing.
+    shared = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("first"), F.max("high").alias("last")).where("c > 1 AND first <> last")
+    shared = materialise(shared.select("leaf", "c"), "leaves")
+    sides = join_hot(leaves.select(*h, "leaf", "side"), shared, "leaf").groupBy(*h).agg(F.bit_or("side").alias("sides"))
+    wanted = kinds.join(sides, h).select(F.col("at.key").alias("key"), F.col("at.d").alias("d"), F.struct(F.col("at.line").alias("line"), *h, "low", "high", F.expr("(sides & 1) > 0").alias("led"), F.expr("(sides & 2) > 0").alias("trailed")).alias("kind"))
     wanted = wanted.groupBy("key", "d").agg(F.collect_list("kind").alias("wanted"))
-    rows = docs.join(wanted, ["key", "d"]).select("t", "wanted")
-    tried = materialise(template_rows(rows).where(F.size("templates") > 0), "tried").select("h", "low", "high", F.explode("templates").alias("template"))
+    # The texts are neither sorted nor copied: a task holds the wanted kinds of its documents.
+    rows = docs.join(wanted.hint("shuffle_hash"), ["key", "d"]).select("t", "wanted")
+    tried = materialise(template_rows(rows).where(F.size("templates") > 0), "tried").select(*h, "low", "high", F.inline("templates"))
     release(docs.sparkSession)
-    spread = tried.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count(F.lit(1)).alias("c")).where("first <> last")
-    found = join_hot(tried.select("h", "template"), materialise(spread.select("template", "first", "c"), "templates"), "template")
-    found = found.select("h", "first").unionByName(kinds.where("low <> high").select("h", F.col("low").alias("first")))
-    return found.groupBy("h").agg(F.min("first").alias("first")).join(kinds.select("h", "c"), "h")
+    spread = tried.groupBy(*template).agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count(F.lit(1)).alias("c")).where("first <> last")
+    found = join_hot(tried.select(*h, *template), materialise(spread.select(*template, "first", "c"), "templates"), template)
+    found = found.select(*h, "first").unionByName(kinds.where("low <> high").select(*h, F.col("low").alias("first")))
+    return found.groupBy(*h).agg(F.min("first").alias("first")).join(kinds.select(*h, "c"), h)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST_TOKENS) -> DataFrame:
@@ -165,12 +171,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     lines = materialise(line_rows(rows, least), "lines")
     again = materialise(recurring(rows, lines), "recurring")
     release(docs.sparkSession)
-    hits = join_hot(lines.select("key", "d", "line", "h"), again, "h")
+    hits = join_hot(lines.select("key", "d", "line", "h1", "h2"), again, ["h1", "h2"])
     marks = hits.groupBy("key", "d").agg(F.collect_set(F.when(F.col("key") != F.col("first"), F.col("line"))).alias("gone"), F.count_distinct("line").alias("again"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_recurring", "n_dropped")]
     name = {c: fresh_name(c, docs) for c in ("key", "d", "gone", "again")}
     marks = marks.select(*[F.col(c).alias(new) for c, new in name.items()])
-    out = docs.join(marks, (docs[key] == F.col(name["key"])) & (_digest(text) == F.col(name["d"])), "left")
+    out = docs.join(marks.hint("shuffle_hash"), (docs[key] == F.col(name["key"])) & (_digest(text) == F.col(name["d"])), "left")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     gone = F.coalesce(name["gone"], F.array().cast("array<int>"))
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(gone, i)), "\n")
@@ -179,4 +185,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
 
 
 def _digest(text: str):
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    """Tells the texts of one key apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -13,6 +13,10 @@ RUN = rf"{WS}{{2,}}|[\t\n\x0B\f\r\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{20
 BULLET = rf"^(?:[-*•]|[0-9]+[.)]|[a-zA-Z][.)]){WS}+"
 TOKEN = r"[a-zA-Z0-9_\x{4e00}-\x{9fff}]+"
 QUOTES = "^[ \\t\\r\\n\"']+|[ \\t\\r\\n\"']+$"
+#: Fields of a JSON object that may hold its list of items, and the text of one item.
+LIST_FIELDS = ("gold_rubrics", "gold", "rubrics", "criteria", "items", "rubric_list", "dimensions")
+TEXT_FIELDS = ("criterion", "criteria", "description", "text", "content")
+#: Words of a flag.
 TRUE_WORDS, FALSE_WORDS = ("1", "true", "yes", "y", "correct", "pass", "passed"), ("0", "false", "no", "n", "incorrect", "fail", "failed")
 
 
@@ -71,12 +75,12 @@ def json_items(x: Column) -> Column:
     inside = F.when(s.rlike(r"^[\[{]"), s).when(s.rlike(r"(?is)```(?:json)?.*```"), strip(F.regexp_extract(s, r"(?is)```(?:json)?\s*(.*?)```", 1))).when(s.rlike(r"(?s)\[.*\]"), F.regexp_extract(s, r"(?s)(\[.*\])", 1)).when(s.rlike(r"(?s)\{.*\}"), F.regexp_extract(s, r"(?s)(\{.*\})", 1))
     whole = F.when(inside.rlike(r"(?s)^[\[{].*[\]}]$"), F.try_parse_json(inside))
     listed = F.coalesce(
-        *[F.try_variant_get(whole, path, "array<variant>") for path in ("$", "$.gold_rubrics", "$.gold", "$.rubrics", "$.criteria", "$.items", "$.rubric_list", "$.dimensions")],
+        *[F.try_variant_get(whole, path, "array<variant>") for path in ("$", *(f"$.{k}" for k in LIST_FIELDS))],
     )
-    one = F.coalesce(*[F.try_variant_get(whole, f"$.{k}", "string") for k in ("criterion", "criteria", "description", "text", "content")])
+    one = F.coalesce(*[F.try_variant_get(whole, f"$.{k}", "string") for k in TEXT_FIELDS])
 
     def value(v: Column) -> Column:
-        return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("criterion", "criteria", "description", "text", "content")], F.try_variant_get(v, "$", "string"))
+        return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in TEXT_FIELDS], F.try_variant_get(v, "$", "string"))
 
     return F.coalesce(F.filter(F.transform(listed, value), lambda s: s.isNotNull()), F.when(one.isNotNull(), F.array(one)))
 

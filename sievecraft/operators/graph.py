@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's shared folder; in one of its own where spark.checkpoint.dir is unset."""
+    """Cuts the lineage in the cluster's shared folder; in a temporary one where spark.checkpoint.dir is unset and Spark runs on one machine."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 

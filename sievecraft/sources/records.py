@@ -55,16 +55,56 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
         rows = spark.read.parquet(path)
         return rows.select(F.parse_json(F.to_json(F.struct("*"))).alias("record"), F.col("_metadata.file_path").alias("file"))
     if kind == "csv":
-        return spark.read.csv(path, header=True, inferSchema=False)
+        rows = spark.read.csv(path, header=True, inferSchema=False)
+        return rows.select(F.parse_json(F.to_json(F.struct(*rows.columns))).alias("record"), F.col("_metadata.file_path").alias("file"))
     raise ValueError(f"unsupported suffix: {path}")
 
 
 def get_path(record: Column, *paths: str, kind: str = "string") -> Column:
     """First value at one of the dotted paths that is neither missing, null nor empty text."""
-    found = [F.try_variant_get(record, "$." + ".".join(f"{p}" if not p.isdigit() else p for p in path.split(".")).replace(".0", "[0]"), kind) for path in paths]
+    steps = ["$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split(".")) for path in paths]
+    found = [F.try_variant_get(record, step, kind) for step in steps]
     return F.coalesce(*[F.nullif(v, F.lit("")) if kind == "string" else v for v in found])
 
 
+def scan_roots(spark: SparkSession, roots: list[str], skip: str | None = None) -> DataFrame:
+    """Records of JSON lines below several folders, with the place of their folder among these (root), file and raw line;
+    files whose path matches `skip` are left out."""
+    out = None
+    for k, root in enumerate(roots):
+        part = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.lit(k).alias("root"))
+        out = part if out is None else out.unionByName(part)
+    out = out.where(F.trim("raw") != "")
+    out = out.where(~F.col("file").rlike(skip)) if skip else out
+    return out.withColumn("record", F.try_parse_json("raw"))
+
+
+def scan_csv(spark: SparkSession, path: str) -> tuple[str, DataFrame | None]:
+    """Status (ok, missing, empty) and the rows of a CSV file, all columns text: a report in place of an exception."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.csv(path, header=True, inferSchema=False)
+    except AnalysisException:
+        return "missing", None
+    return ("ok", rows) if rows.columns else ("empty", None)
+
+
+def table_value(rows: DataFrame, row_key: str, row_value: str, column: str) -> str | None:
+    """The column's value in the first row whose key column has this value."""
+    found = rows.where(F.col(row_key) == row_value).select(column).first()
+    return found[0] if found else None
+
+
+def union_splits(spark: SparkSession, pattern: str, splits: list[str]) -> DataFrame:
+    """Records of all splits (a path pattern with {split}), each with the name of its own."""
+    out = None
+    for name in splits:
+        part = scan(spark, pattern.format(split=name)).withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def write(df: DataFrame, path: str, least: int = 0, partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Sink by suffix (.jsonl, .csv, else Parquet); fails when there are fewer rows than `least`."""
     if least and df.limit(least).count() < least:

@@ -148,3 +148,96 @@ def test_consolidate(spark):
     kind = verify.classify_category(F.col("item"))
     out = curate.consolidate(rows, kind, curate.quality_score(F.col("item"), kind), 2)
     assert [(r["place"], r["dimension"]) for r in out.orderBy("place").collect()] == [(1, "safety"), (2, "evidence_grounding")]
+
+
+def test_flags_and_decisions(spark):
+    from sievecraft.functions import flags as fl
+
+    x = F.col("x")
+    assert [one(spark, fl.lenient_flag(x), x=w) for w in ("Yes", "1.0", "maybe", "0")] == [True, True, False, False]
+    assert one(spark, fl.strict_flag(x), x="invalid") is False
+    with pytest.raises(Exception, match="not a binary flag"):
+        one(spark, fl.strict_flag(x), x="maybe")
+    assert one(spark, fl.answered_flag(x), x="well: {'valid': true}") is True and one(spark, fl.answered_flag(x), x='{"valid": "no"}') is False
+    whole = '{"valid": true, "atomic": true, "decidable": true, "relevant": true, "non_hallucinated": true}'
+    assert tuple(one(spark, fl.decision(x), x=whole)) == (True, "api_pass") and one(spark, fl.decision(x), x="no json")["reason"] == "invalid_json_response"
+    # In a batch the text "false" counts as true, the value false does not.
+    batch = '{"rubrics": [{"idx": 0, "valid": "false", "atomic": 1, "decidable": true, "relevant": true, "non_hallucinated": true}, {"idx": 2, "valid": false}]}'
+    assert [tuple(d) for d in one(spark, fl.decisions(x, F.lit(3)), x=batch)] == [(0, True, "api_pass"), (1, False, "missing_decision"), (2, False, "api_reject")]
+    assert one(spark, fl.unit_count(x), x="[1, 2]") == 2 and one(spark, fl.unit_count(x), x=" ") == 0 and one(spark, fl.unit_count(x), x="[1") == 1
+
+
+def test_flags_that_do_not_align_fail(spark):
+    from sievecraft.operators import training as t
+
+    rows = spark.createDataFrame([(["a b", "c d", "A b"], ["1", "0", "yes"])], "items array<string>, flags array<string>")
+    assert rows.select(t.flagged_items(F.col("items"), F.col("flags"))).first()[0] == ["a b"]
+    with pytest.raises(Exception, match="differ in number"):
+        rows.select(t.flagged_items(F.col("items"), F.slice("flags", 1, 2))).collect()
+
+
+def test_exact_split_and_ranks(spark):
+    from sievecraft.operators import stats
+
+    rows = spark.createDataFrame([(k, k % 3) for k in range(500)], "k long, s long")
+    ranks = sorted(r["_rank"] for r in stats.hash_ranked(rows, "k", 1).collect())
+    assert ranks == list(range(1, 501))
+    by = {r["split"]: r["n"] for r in stats.exact_split(rows, "k", [("a", 7), ("b", 11), ("c", None)]).groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert by == {"a": 7, "b": 11, "c": 482}
+
+
+def test_nearest_is_brute_force(spark):
+    import numpy as np
+
+    from sievecraft.operators import vector as v
+
+    x = np.random.default_rng(0).normal(size=(300, 8)).round(3)
+    x[200:] = x[:100]  # ties go to the least key
+    rows = spark.createDataFrame([(k, [float(f) for f in row]) for k, row in enumerate(x)], "k long, x array<float>").repartition(5)
+    got = {r["query"]: r["nearest"] for r in v.nearest(rows.where("k % 50 = 0"), rows.where("k % 50 <> 0"), "k", "x").collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rest = np.array([k for k in range(300) if k % 50])
+    assert got == {k: int(rest[np.round(u[rest] @ u[k], 9).argmax()]) for k in range(0, 300, 50)}
+
+
+def test_near_items_of_a_record_are_all_found(spark):
+    """The prefix filter loses no pair, and equal items are counted rather than paired."""
+    import itertools
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    lines += [line + " extra" for line in lines[:20]] + lines[:10]
+    gen = items(spark, [(1, i, t) for i, t in enumerate(lines)])
+    counts = [Counter(t.split()) for t in lines]
+
+    def cosine(a, b):
+        return sum(a[w] * b[w] for w in a) / math.sqrt(sum(c * c for c in a.values()) * sum(c * c for c in b.values()))
+
+    pairs = {(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if cosine(counts[i], counts[j]) >= 0.85}
+    assert s.redundancy(gen, 0.85).first()["redundancy"] == pytest.approx(len(pairs) / len(lines))
+    kept = []
+    for i in range(len(lines)):
+        if not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    assert sorted(r["i"] for r in s.greedy_dedupe(gen, 0.85).where("kept").collect()) == kept
+
+
+def test_scans_of_several_roots(spark, tmp_path):
+    from sievecraft.sources import records as r
+
+    for k in (0, 1):
+        (tmp_path / f"r{k}" / "extra_round1").mkdir(parents=True)
+        (tmp_path / f"r{k}" / "a.jsonl").write_text('{"x": %d}\n\n{"x": 9}\n' % k)
+        (tmp_path / f"r{k}" / "extra_round1" / "b.jsonl").write_text('{"x": 7}\n')
+    roots = [str(tmp_path / "r0"), str(tmp_path / "r1")]
+    assert r.scan_roots(spark, roots).count() == 6 and r.scan_roots(spark, roots, "extra_round").groupBy("root").count().count() == 2
+    (tmp_path / "t.csv").write_text("method,cov\na,1\nb,2\n")
+    status, rows = r.scan_csv(spark, str(tmp_path / "t.csv"))
+    assert status == "ok" and r.table_value(rows, "method", "b", "cov") == "2" and r.table_value(rows, "method", "z", "cov") is None
+    assert r.scan_csv(spark, str(tmp_path / "none.csv"))[0] == "missing"
+    assert r.scan(spark, str(tmp_path / "t.csv")).select(r.get_path(F.col("record"), "method")).first()[0] == "a"
+    listed = spark.createDataFrame([('{"a": [{"b": 1}, {"b": 2}], "0x": "y"}',)], "j string").select(F.parse_json("j").alias("v"))
+    assert tuple(listed.select(r.get_path(F.col("v"), "a.1.b"), r.get_path(F.col("v"), "a.0.b")).first()) == ("2", "1")

@@ -90,6 +90,19 @@ def declarative_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("gold_id", F.col("g").cast("long").alias("g"), tasks.declarative(F.col("item")).alias("statement"), F.sha2(tasks.content_key(F.col("item")), 256).alias("content_sha256"))
 
 
+#: Beginnings that make questions of the benchmark lines.
+ASKED = ("Does the answer ", "Is it ", "Are ", "Should the model ", "If asked, does the text ", "How well does the plan ", "Tone: ", "The response should is ")
+
+
+def statement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark lines asked in several forms, as statements that begin with a verb."""
+    g = c.gold(spark, sf_dir)
+    asked = F.concat(F.element_at(F.array(*map(F.lit, ASKED)), (F.col("g") % len(ASKED) + 1).cast("int")), F.col("item"), F.lit("?"))
+    kind = F.when(F.col("g") % 3 == 0, "math_problem").when(F.col("g") % 3 == 1, "simple_fact_qa").otherwise("other")
+    rows = g.select("gold_id", F.col("g").cast("long").alias("g"), tasks.statement(asked).alias("statement"), kind.alias("kind"))
+    return rows.select("gold_id", "g", "statement", tasks.with_verb(F.col("statement"), F.col("kind")).alias("criterion"))
+
+
 def resume_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last order of each (customer, priority) that no finished order has yet."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("pos"), "o_orderstatus")
@@ -106,7 +119,7 @@ def staged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stages(stages, {"documents": table(spark, sf_dir, "documents")})["summary"]
 
 
-QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), filter_items, union_items, sim_components, consolidate_items, nested_profile, keyword_concerns, task_types, declarative_items, resume_pairs, staged_summary)}
+QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), filter_items, union_items, sim_components, consolidate_items, nested_profile, keyword_concerns, task_types, declarative_items, statement_items, resume_pairs, staged_summary)}
 
 
 def _any(x: str, words: tuple[str, ...]) -> str:
@@ -124,6 +137,15 @@ _STATEMENT = f"""CASE WHEN regexp_matches(b, '(?i)^does the (response|answer) ')
   WHEN regexp_matches(b, '(?i)^is the (response|answer) ') THEN regexp_replace(b, '(?i)^is the (response|answer) ', 'The response should be ')
   WHEN regexp_matches(b, '(?i)^has the (response|answer) ') THEN regexp_replace(b, '(?i)^has the (response|answer) ', 'The response should have ') ELSE {c.sql_strip('y')} END"""
 _STOP = "['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'in', 'is', 'of', 'on', 'or', 'should', 'that', 'the', 'to', 'with']"
+def _tidy(x: str) -> str:
+    out = c.sql_quotes(c.sql_collapse(x))
+    for pattern, fixed in tasks.SENTENCE_FIXES:
+        out = f"regexp_replace({out}, '(?i){pattern}', '{fixed}', 'g')"
+    return f"(CASE WHEN rtrim({out}, '.;?') = '' THEN '' ELSE rtrim({out}, '.;?') || '.' END)"
+
+
+_RULES = " ".join(f"WHEN regexp_matches(b, '(?i){p}') THEN regexp_replace(b, '(?i){p}', '{r}')" for p, r in tasks.QUESTION_RULES)
+_VERB = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{w}'" for k, w in tasks.TASK_VERBS.items() if k) + f" ELSE '{tasks.TASK_VERBS['']}' END"
 _FILTER = f"""WITH {c.GEN}, {VERIFY}, ps AS (SELECT rec, i, item, min(i) OVER (PARTITION BY rec, {c.sql_collapse('lower(item)')}) AS f FROM ver WHERE reason = 'rule_pass'),
 fresh AS (SELECT rec, i, item FROM ps WHERE i = f), {c.sql_greedy('fresh', 0.9)},
 jd AS (SELECT v.rec, v.i, CASE WHEN v.reason <> 'rule_pass' THEN v.reason WHEN p.f < v.i THEN 'exact_duplicate' WHEN NOT list_contains(k.kept, v.i) THEN 'semantic_duplicate' END AS reason,
@@ -157,6 +179,11 @@ ORACLE_SQL = {
         s3 AS (SELECT *, {c.sql_strip(c.sql_collapse(_STATEMENT))} AS f FROM s2), s4 AS (SELECT *, upper(substr(f, 1, 1)) || substr(f, 2) AS u FROM s3)
         SELECT gold_id, g, CASE WHEN f = '' THEN '' WHEN regexp_matches(u, '[.!?。！？]$') THEN u ELSE regexp_replace(u, '[,;:]+$', '') || '.' END AS statement,
         sha256(array_to_string(list_filter({c.sql_tokens('item')}, lambda w: NOT list_contains({_STOP}, w)), ' ')) AS content_sha256 FROM s4""",
+    "statement_items": f"""WITH {c.GOLD}, s1 AS (SELECT gold_id, g, {_tidy("[" + ", ".join(f"'{a}'" for a in ASKED) + f"][g % {len(ASKED)} + 1] || item || '?'")} AS x FROM gold),
+        s2 AS (SELECT gold_id, g, CASE WHEN regexp_matches(x, '{tasks.LABEL}') THEN {c.sql_strip(f"regexp_extract(x, '{tasks.LABEL}', 1)")} ELSE x END AS y FROM s1),
+        s3 AS (SELECT gold_id, g, y, {c.sql_strip("regexp_replace(regexp_replace(y, '\\.+$', ''), '\\?+$', '')")} AS b FROM s2), s4 AS (SELECT gold_id, g, CASE {_RULES} END AS m, y FROM s3),
+        s5 AS (SELECT gold_id, g, {_tidy("coalesce(m, y)")} AS statement, CASE g % 3 WHEN 0 THEN 'math_problem' WHEN 1 THEN 'simple_fact_qa' ELSE 'other' END AS kind FROM s4)
+        SELECT gold_id, g, statement, CASE WHEN regexp_matches(lower(statement), '^({'|'.join(tasks.VERB_STARTS)})') THEN statement ELSE {_VERB} || ' ' || lower(substr(statement, 1, 1)) || substr(statement, 2) END AS criterion FROM s5""",
     "keyword_concerns": "SELECT concern, lang, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS concern, lang FROM documents WHERE {_any('lower(text)', w)}" for k, w in KEYWORDS.items()) + ") GROUP BY ALL",
     "resume_pairs": """SELECT o_custkey, o_orderpriority, max(o_orderkey) AS pos FROM orders o WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_orderstatus = 'F' AND d.o_custkey = o.o_custkey AND d.o_orderpriority = o.o_orderpriority) GROUP BY ALL""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievecraft.functions.text import collapse, strip, tokens
+from sievecraft.functions.text import collapse, lower_first, strip, tokens, unquote
 
 #: Keyword lists of the task classifier, in the order of its tests.
 MEDICAL = ("postpartum", "doctor", "medical", "symptom", "medication", "diagnosis", "therapy", "pain", "dose")
@@ -19,6 +19,27 @@ MATH_WORDS = r"\b(solve|equation|calculate|compute|factor|integer|probability|tr
 MATH_TERM = r"[0-9]+\s*[+\-*/=^]\s*[0-9]+"
 SIGNATURE = r"\b[A-Za-z0-9_]+\s*\([^)]*\)\s*(?:->|:)"
 
+#: Question patterns and what a statement makes of them, in the order of the tests; fixes of a sentence.
+QUESTION_RULES = (
+    (r"^Does\s+(?:the\s+)?(?:answer|response|model|assistant|document|snippet|content|source|explanation|information|it)\s+(.+)$", r"\1"),
+    (r"^Is\s+(?:the\s+)?(?:answer|response|model|assistant|document|snippet|content|source|information|explanation|it)\s+(.+)$", r"is \1"),
+    (r"^Are\s+(.+)$", r"\1 are satisfied"),
+    (r"^Should\s+(?:the\s+)?(?:answer|response|model|assistant|it)\s+(.+)$", r"\1"),
+    (r"^(?:If|When|For)\s+(.+?),\s+does\s+(?:the\s+)?(.+)$", r"\1, \2"),
+    (r"^(?:To what extent|How well)\s+does\s+(?:the\s+)?(?:brief|writing|report|teaching plan|plan|article|document|script|response|answer|content|text)\s+(.+)$", r"\1"),
+)
+SENTENCE_FIXES = (
+    (r"\bshould\s+is\b", "should be"),
+    (r"\bshould\s+are\b", "should be"),
+    (r"\bshould\s+does\b", "should"),
+    (r"\bshould\s+has\b", "should have"),
+    (r",\s+and\s+does\s+not\b", ", and should not"),
+)
+LABEL = r"^[A-Z][A-Za-z/ -]{2,40}\s*:\s*(.+)$"
+#: Beginnings that need no verb, and the verb of each kind of task (else the last).
+VERB_STARTS = ("avoid", "refuse", "state", "identif", "provide", "use", "return", "handle", "compute", "implement", "explain", "distinguish", "include", "maintain", "appl", "answer", "describe", "list", "name", "present", "focus")
+TASK_VERBS = {"code_generation": "Implements", "math_problem": "Shows", "safety_refusal": "Avoids", "simple_fact_qa": "States", "ambiguous_fact_qa": "States", "historical_uncertain_fact": "States", "": "Provides"}
+
 
 def holds_any(x: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w))
@@ -74,3 +95,40 @@ def declarative(x: Column) -> Column:
 def content_key(x: Column, stop_words: tuple[str, ...] = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "of", "on", "or", "should", "that", "the", "to", "with")) -> Column:
     """Tokens that carry content, in order, joined by blanks."""
     return F.array_join(F.filter(tokens(x), lambda w: ~w.isin(*stop_words)), " ")
+
+
+def tidy_sentence(x: Column) -> Column:
+    """One line without outer quotes, with the fixes of a sentence and one full stop."""
+    out = unquote(collapse(x))
+    for pattern, fixed in SENTENCE_FIXES:
+        out = F.regexp_replace(out, f"(?i){pattern}", fixed)
+    out = F.rtrim(out, F.lit(".;?"))
+    return F.when(out == "", "").otherwise(F.concat(out, F.lit(".")))
+
+
+def unlabelled(x: Column) -> Column:
+    return F.when(x.rlike(LABEL), strip(F.regexp_extract(x, LABEL, 1))).otherwise(x)
+
+
+def unquestioned(x: Column) -> Column:
+    """A question of one of the patterns as a statement; other texts stay."""
+    bare = strip(F.regexp_replace(F.regexp_replace(x, r"\.+$", ""), r"\?+$", ""))
+    out = None
+    for pattern, form in QUESTION_RULES:
+        made = tidy_sentence(F.regexp_replace(bare, f"(?i){pattern}", form.replace("\\", "$")))
+        out = F.when(bare.rlike(f"(?i){pattern}"), made) if out is None else out.when(bare.rlike(f"(?i){pattern}"), made)
+    return out.otherwise(x)
+
+
+def statement(x: Column) -> Column:
+    """A criterion without label and question form, as one tidy sentence."""
+    return tidy_sentence(unquestioned(unlabelled(tidy_sentence(x))))
+
+
+def with_verb(x: Column, task_type: Column) -> Column:
+    """A criterion that begins with a verb: that of its kind of task where it has none of the known ones."""
+    has = F.lower(x).rlike(f"^({'|'.join(VERB_STARTS)})")
+    verb = F.lit(TASK_VERBS[""])
+    for kind, word in TASK_VERBS.items():
+        verb = F.when(task_type == kind, word).otherwise(verb) if kind else verb
+    return F.when(has, x).otherwise(F.concat(verb, F.lit(" "), lower_first(x)))

@@ -33,14 +33,13 @@ def per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec, coverage, blind, redundancy, validity, hallucination, reward, n_gold, n_gen of every record."""
     cov = hits_of(spark, sf_dir).groupBy("rec").agg(F.count(F.lit(1)).alias("n_gold"), F.sum((F.col("best") >= TAU).cast("int")).cast("long").alias("hits"))
     gen = c.generated(spark, sf_dir)
-    red = s.redundancy(gen, NEAR)
-    valid = gen.groupBy("rec").agg(F.avg((v.verify_reason(F.col("item")) == "rule_pass").cast("int")).alias("validity"))
+    valid = gen.groupBy("rec").agg(F.count(F.lit(1)).alias("n_gen"), F.avg((v.verify_reason(F.col("item")) == "rule_pass").cast("int")).alias("validity"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec"), "source", "lang")
-    rows = rows.join(cov, "rec", "left").join(red, "rec", "left").join(valid, "rec", "left")
+    rows = rows.join(cov, "rec", "left").join(valid, "rec", "left").join(s.redundant_pairs(gen, NEAR), "rec", "left")
     gold, n = F.coalesce("n_gold", F.lit(0)), F.coalesce("n_gen", F.lit(0))
     covered = F.when((n > 0) & (gold > 0), F.col("hits") / F.col("n_gold")).otherwise(0.0)
     blind = F.when(n == 0, F.when(gold > 0, 1.0).otherwise(0.0)).otherwise(1 - covered)
-    red, val = F.coalesce("redundancy", F.lit(0.0)), F.coalesce("validity", F.lit(0.0))
+    red, val = F.coalesce(F.try_divide("pairs", "n_gen"), F.lit(0.0)), F.coalesce("validity", F.lit(0.0))
     reward = F.when(n == 0, -1.0).otherwise(s.composite_reward(covered, val, red))
     return rows.select("rec", "source", "lang", covered.alias("coverage"), blind.alias("blind"), red.alias("redundancy"), val.alias("validity"), (1 - val).alias("hallucination"), reward.alias("reward"), gold.alias("n_gold"), n.alias("n_gen"))
 
@@ -106,7 +105,7 @@ def budget_curve_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("budget").agg(F.count(F.lit(1)).alias("gold_items"), F.count_if(F.col("need") <= F.col("budget")).alias("hits"))
 
 
-VARIANTS = (("full", 1.0, 0.5, 0.5), ("no_validity", 1.0, 0.0, 0.5), ("no_redundancy", 1.0, 0.5, 0.0), ("coverage_only", 1.0, 0.0, 0.0))
+VARIANTS = (("full", 1.0, 0.5, 0.5), ("no_validity", 1.0, 0.0, 0.5), ("no_redundancy", 1.0, 0.5, 0.0), ("coverage_only", 1.0, 0.0, 0.0), ("no_coverage", 0.0, 0.5, 0.5))
 
 
 def reward_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:

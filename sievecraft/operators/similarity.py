@@ -109,13 +109,18 @@ def gold_hits(gold: DataFrame, sims: DataFrame, pairing: DataFrame) -> DataFrame
     return pairing.join(gold, "gold_id").join(best, ["rec", "g"], "left").select("rec", "gold_id", "g", "item", F.coalesce("best", F.lit(0.0)).alias("best"), "best_i", *rest)
 
 
-def redundancy(gen: DataFrame, tau: float) -> DataFrame:
-    """rec, n_gen and redundancy: pairs of items of at least tau, by the number of items. Equal items are counted, not paired."""
+def redundant_pairs(gen: DataFrame, tau: float) -> DataFrame:
+    """rec and its pairs of items of at least tau. Equal items are counted, not paired."""
     classes = token_classes(gen)
     equal = classes.groupBy("rec").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("pairs"))
     near = near_classes(classes, tau).groupBy("rec").agg(F.sum(F.col("mi") * F.col("mj")).alias("pairs"))
-    pairs = equal.unionByName(near).groupBy("rec").agg(F.sum("pairs").alias("pairs"))
-    return gen.groupBy("rec").agg(F.count(F.lit(1)).alias("n_gen")).join(pairs, "rec", "left").select("rec", "n_gen", (F.coalesce("pairs", F.lit(0)) / F.col("n_gen")).alias("redundancy"))
+    return equal.unionByName(near).groupBy("rec").agg(F.sum("pairs").alias("pairs"))
+
+
+def redundancy(gen: DataFrame, tau: float) -> DataFrame:
+    """rec, n_gen and redundancy: pairs of items of at least tau, by the number of items."""
+    sizes = gen.groupBy("rec").agg(F.count(F.lit(1)).alias("n_gen"))
+    return sizes.join(redundant_pairs(gen, tau), "rec", "left").select("rec", "n_gen", (F.coalesce("pairs", F.lit(0)) / F.col("n_gen")).alias("redundancy"))
 
 
 def greedy_dedupe(items: DataFrame, tau: float) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Byte-level BPE by a pair occurrence index.
+"""Byte-level BPE by a pair occurrence index over the distinct pre-tokens of a slab of texts.
 
-Each Arrow batch of a partition is cut into pre-tokens; the distinct ones are laid out as one
+A partition is read in slabs of at most SLAB_BYTES of text. A slab is cut into pre-tokens; the distinct ones are laid out as one
 array of symbols with links to their neighbours. An index maps every mergeable pair (by rank) to all
 its positions in that array. Ranks are applied in ascending order, all positions of a rank at once, and
 only the lists of the pairs beside a merge are updated. A merge of rank r makes a symbol that no pair of

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import SLAB_BYTES, fresh_name, join_hot, list_parts, map_arrow, materialise, offsets_of, release, slabs, texts
+from sievecraft.llm.common import SLAB_BYTES, discard, fresh_name, join_hot, list_parts, map_arrow, materialise, offsets_of, release, slabs, texts
 from sievecraft.llm.lm import mix
 
 #: Share of a line's tokens that leads to a leaf, least share of constant tokens, longest variable run.
@@ -146,17 +146,23 @@ def recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
     # A leaf that one document alone fills, or one kind, proposes nothing.
     shared = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("first"), F.max("high").alias("last")).where("c > 1 AND first <> last")
     shared = materialise(shared.select("leaf", "c"), "leaves")
+    release(docs.sparkSession)
     sides = join_hot(leaves.select(*h, "leaf", "side"), shared, "leaf").groupBy(*h).agg(F.bit_or("side").alias("sides"))
     wanted = kinds.join(sides, h).select(F.col("at.key").alias("key"), F.col("at.d").alias("d"), F.struct(F.col("at.line").alias("line"), *h, "low", "high", F.expr("(sides & 1) > 0").alias("led"), F.expr("(sides & 2) > 0").alias("trailed")).alias("kind"))
     wanted = wanted.groupBy("key", "d").agg(F.collect_list("kind").alias("wanted"))
     # The texts are neither sorted nor copied: a task holds the wanted kinds of its documents.
     rows = docs.join(wanted.hint("shuffle_hash"), ["key", "d"]).select("t", "wanted")
-    tried = materialise(template_rows(rows).where(F.size("templates") > 0), "tried").select(*h, "low", "high", F.inline("templates"))
+    listed = materialise(template_rows(rows).where(F.size("templates") > 0), "tried")
     release(docs.sparkSession)
+    tried = listed.select(*h, "low", "high", F.inline("templates"))
     spread = tried.groupBy(*template).agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count(F.lit(1)).alias("c")).where("first <> last")
-    found = join_hot(tried.select(*h, *template), materialise(spread.select(*template, "first", "c"), "templates"), template)
+    spread = materialise(spread.select(*template, "first", "c"), "templates")
+    found = join_hot(tried.select(*h, *template), spread, template)
     found = found.select(*h, "first").unionByName(kinds.where("low <> high").select(*h, F.col("low").alias("first")))
-    return found.groupBy(*h).agg(F.min("first").alias("first")).join(kinds.select(*h, "c"), h)
+    out = materialise(found.groupBy(*h).agg(F.min("first").alias("first")).join(kinds.select(*h, "c"), h), "recurring")
+    discard(kinds, shared, listed, spread)
+    release(docs.sparkSession)
+    return out
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST_TOKENS) -> DataFrame:
@@ -169,8 +175,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), _digest(text).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     lines = materialise(line_rows(rows, least), "lines")
-    again = materialise(recurring(rows, lines), "recurring")
-    release(docs.sparkSession)
+    again = recurring(rows, lines)
     hits = join_hot(lines.select("key", "d", "line", "h1", "h2"), again, ["h1", "h2"])
     marks = hits.groupBy("key", "d").agg(F.collect_set(F.when(F.col("key") != F.col("first"), F.col("line"))).alias("gone"), F.count_distinct("line").alias("again"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_recurring", "n_dropped")]

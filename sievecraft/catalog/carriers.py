@@ -17,18 +17,22 @@ from sievecraft.sources.records import spread, table
 def item_rows(rows: DataFrame, key: str) -> DataFrame:
     """key, i and item of the cleaned non-empty lines of text; i is the line's place."""
     rest = [c for c in rows.columns if c not in (key, "text")]
-    out = spread(rows).select(F.col(key), *rest, F.posexplode(F.transform(lines(F.col("text")), clean_item)).alias("i", "item"))
+    out = rows.select(F.col(key), *rest, F.posexplode(F.transform(lines(F.col("text")), clean_item)).alias("i", "item"))
     return out.select(key, *rest, "i", "item").where("item <> ''")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return item_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "rec")
+    return item_rows(texts(spark, sf_dir), "doc_id").withColumnRenamed("doc_id", "rec")
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated items with the gold_id of their record."""
     n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(n)).withColumn("gold_id", F.expr("pmod(doc_id, n)"))
+    docs = texts(spark, sf_dir).join(F.broadcast(n)).withColumn("gold_id", F.expr("pmod(doc_id, n)"))
     return item_rows(docs.select("doc_id", "gold_id", "text"), "doc_id").withColumnRenamed("doc_id", "rec")
 
 

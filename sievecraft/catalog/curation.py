@@ -116,7 +116,7 @@ def staged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         Stage("filtered", curate.filter_items, ("items",), {"dedup_tau": 0.9}),
         Stage("summary", lambda rows: rows.groupBy("valid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rec").alias("records")), ("filtered",)),
     ]
-    return run_stages(stages, {"documents": table(spark, sf_dir, "documents")})["summary"]
+    return run_stages(stages, {"documents": c.texts(spark, sf_dir)})["summary"]
 
 
 QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), filter_items, union_items, sim_components, consolidate_items, nested_profile, keyword_concerns, task_types, declarative_items, statement_items, resume_pairs, staged_summary)}

@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of few splits dealt over all cores, before costly work on each; tables of more splits than cores stay as they are."""
+    """Rows of a scan of few splits dealt over all cores, before costly work on each; scans of more splits than cores stay as
+    they are. Not for joined or grouped rows: to count their partitions would run them."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
 

@@ -28,7 +28,7 @@ def texts(spark):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and "pipeline" in entry.queries() and set(ORACLE_SQL) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and "pipeline" in entry.queries() and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_bpe_is_the_library(spark, texts):

@@ -4,7 +4,7 @@ Texts are cut into slabs, written once. A slab's n-grams are hashed from prefix
 words and over the words' hashes for the phrases, and its distinct fingerprints go with their counts and a pointer to
 the slab to the shards of the hash. A shard adds them up and sends those that are frequent back along the pointers. So
 each slab reads from its text only the phrases that may be frequent; there they are told apart by their words, and what
-is counted at the end are texts. A collision therefore costs a text too many on the way and never a wrong count.
+is counted at the end are texts, of each task first. A collision therefore costs a text too many on the way and never a wrong count.
 
 Shards grow in number with the input and keep as many bits of a fingerprint each, so that the share of collisions stays.
 """
@@ -17,6 +17,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ from sievecraft.llm.lm import by_shard, mix, pack_sorted, planes, rows_of, unpac
 #: Words of a phrase at most, occurrences at least, phrases of a language in the report.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Text bytes of a slab, n-grams of a shard about, least shards, bits of a fingerprint in its shard.
-SLAB, SHARD_GRAMS, SHARDS, BITS = 4 << 20, 1 << 23, 8, 32
+SLAB, SHARD_GRAMS, SHARDS, BITS = 2 << 20, 1 << 23, 8, 32
+#: Text bytes of a task that reads phrases about, and phrases it holds before it hands some on.
+TASK, HELD = 48 << 20, 1 << 20
 #: Ends of a piece, and blanks between its words.
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 #: Base of the polynomials (odd, so that it has an inverse), and what a byte adds.
@@ -191,57 +194,92 @@ def frequent(blocks: DataFrame, shards: int, least: int) -> DataFrame:
     return map_arrow(by_shard(blocks, "slab", shards), run, "slab bigint, shard int, n bigint, hashes binary")
 
 
-def read_phrases(slabs_: DataFrame, answers: DataFrame, shards: int, longest: int, bits: int) -> DataFrame:
-    """lang, words, phrase, a of each slab: the phrases that its answers name, read from the text; and the number of its
-    words (words 0, no phrase)."""
+PHRASE = pa.schema([("h", pa.uint64()), ("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+
+
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """Counts of equal phrases together: texts are compared, not hashes."""
+    out = pa.concat_tables(tables).group_by(["h", "lang", "words", "phrase"]).aggregate([("a", "sum")])
+    return out.rename_columns([c.removesuffix("_sum") for c in out.column_names]).select(PHRASE.names)
+
+
+def named(slab: Slab, wanted: np.ndarray, longest: int, shift: int) -> pa.Table:
+    """The slab's phrases whose fingerprints are among the wanted ones, with their counts, and the number of its words."""
+    counts = np.bincount(slab.lang, minlength=len(slab.langs))
+    parts = [pa.table([pa.array(np.zeros(len(counts), np.uint64)), pa.array(slab.langs, pa.string()), pa.array(np.zeros(len(counts), np.int32)), pa.nulls(len(counts), pa.string()), pa.array(counts)], schema=PHRASE)]
+    if not len(wanted):
+        return parts[0]
+    ids, rep = slab.ids()
+    sizes = (slab.ends - slab.starts)[rep]
+    words = pa.StringArray.from_buffers(len(rep), pa.py_buffer(offsets_of(sizes).astype(np.int32)), pa.py_buffer(slab._bytes(slab.starts[rep], sizes)))
+    langs = pa.array(slab.langs, pa.string())
+    # A small table of bits tells most of the others before the search.
+    sieve = np.zeros(1 << 20, bool)
+    sieve[wanted & np.uint64((1 << 20) - 1)] = True
+    for n, first, hashes in slab.grams(longest):
+        keys = hashes >> np.uint64(shift)
+        maybe = np.flatnonzero(sieve[keys & np.uint64((1 << 20) - 1)])
+        at = np.minimum(np.searchsorted(wanted, keys[maybe]), len(wanted) - 1)
+        hit = maybe[wanted[at] == keys[maybe]]
+        first, own = first[hit], hashes[hit]
+        _, begin, which, many = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+        if not all(np.array_equal(ids[first + j], ids[first[begin][which] + j]) for j in range(n)):  # phrases that share a fingerprint
+            _, begin, many = np.unique(np.stack([ids[first + j] for j in range(n)]), axis=1, return_index=True, return_counts=True)
+        at = first[begin]
+        text = pc.binary_join_element_wise(*[words.take(pa.array(ids[at + j])) for j in range(n)], " ")
+        parts.append(pa.table([pa.array(own[begin]), langs.take(pa.array(slab.lang[at])), pa.array(np.full(len(at), n, np.int32)), text, pa.array(many)], schema=PHRASE))
+    return pa.concat_tables(parts)
+
+
+def read_phrases(slabs_: DataFrame, answers: DataFrame, shards: int, tasks: int, longest: int, bits: int) -> DataFrame:
+    """Blocks (shard, data) of phrases and their counts, each task's summed over its slabs: the phrases that the answers name,
+    read from the text."""
     top = shards.bit_length() - 1
 
-    def told(slab: Slab, wanted: np.ndarray) -> list[tuple[str, int, str | None, int]]:
-        out = [(slab.langs[k], 0, None, int(c)) for k, c in enumerate(np.bincount(slab.lang)) if c]
-        if not len(wanted):
-            return out
-        ids, rep = slab.ids()
-        words: dict[int, str] = {}
-        # A small table of bits tells most of the others before the search.
-        sieve = np.zeros(1 << 20, bool)
-        sieve[wanted & np.uint64((1 << 20) - 1)] = True
-        for n, first, hashes in slab.grams(longest):
-            keys = hashes >> np.uint64(64 - top - bits)
-            maybe = np.flatnonzero(sieve[keys & np.uint64((1 << 20) - 1)])
-            at = np.minimum(np.searchsorted(wanted, keys[maybe]), len(wanted) - 1)
-            hit = maybe[wanted[at] == keys[maybe]]
-            if not len(hit):
-                continue
-            first = first[hit]
-            _, begin, which, many = np.unique(hashes[hit], return_index=True, return_inverse=True, return_counts=True)
-            begin = first[begin]
-            if not all(np.array_equal(ids[first + j], ids[begin[which] + j]) for j in range(n)):  # phrases that share a fingerprint
-                _, begin, many = np.unique(np.stack([ids[first + j] for j in range(n)]), axis=1, return_index=True, return_counts=True)
-                begin = first[begin]
-            for i, c in zip(begin.tolist(), many.tolist(), strict=True):
-                parts = []
-                for w in ids[i : i + n].tolist():
-                    if w not in words:
-                        words[w] = slab.data[slab.starts[rep[w]] : slab.ends[rep[w]]].tobytes().decode()
-                    parts.append(words[w])
-                out.append((slab.langs[slab.lang[i]], n, " ".join(parts), c))
-        return out
+    def blocks(found: pa.Table) -> pa.RecordBatch:
+        found = found.sort_by([("h", "ascending")])
+        of = found["h"].to_numpy() >> np.uint64(64 - top)
+        names, at = np.unique(of, return_index=True)
+        rows = []
+        for s, a, b in zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(of)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, PHRASE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(found.slice(a, b - a).sort_by([("phrase", "ascending")]))  # neighbours are alike, so they compress
+            rows.append((s, sink.getvalue().to_pybytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["shard", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, held, size = Powers(), [], 0
         for _, parts in groupby(rows_of(batches), key=lambda row: row[0]):
             _, _, data, n_bytes, sizes, langs, _, _ = next(parts)
             wanted = [unpack_sorted(hashes, n) | np.uint64(shard << bits) for _, shard, *_, n, hashes in parts]
-            rows = told(opened(data, n_bytes, sizes, langs, powers), np.concatenate(wanted) if wanted else np.zeros(0, np.uint64))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "words", "phrase", "a"])
+            held.append(named(opened(data, n_bytes, sizes, langs, powers), np.concatenate(wanted) if wanted else np.zeros(0, np.uint64), longest, 64 - top - bits))
+            size += held[-1].num_rows
+            if size > HELD:
+                held = [summed(held)]
+                if held[0].num_rows > HELD // 2:
+                    yield blocks(held.pop())
+                size = sum(t.num_rows for t in held)
+        if held:
+            yield blocks(summed(held))
 
     none = F.lit(None)
     own = slabs_.select("slab", F.lit(-1).alias("shard"), "data", "n_bytes", "sizes", "langs", none.cast("bigint").alias("n"), none.cast("binary").alias("hashes"))
     rest = answers.select("slab", "shard", none.cast("binary").alias("data"), none.cast("bigint").alias("n_bytes"), none.cast("binary").alias("sizes"), none.cast("array<string>").alias("langs"), "n", "hashes")
     # Shards come in order after the slab itself, so that their fingerprints are in order together.
-    rows = own.unionByName(rest).repartition(shards, "slab").sortWithinPartitions("slab", "shard")
-    return map_arrow(rows, run, "lang string, words int, phrase string, a bigint")
+    rows = own.unionByName(rest).repartition(tasks, "slab").sortWithinPartitions("slab", "shard")
+    return map_arrow(rows, run, "shard int, data binary")
+
+
+def merged(blocks: DataFrame, shards: int, least: int) -> DataFrame:
+    """lang, words, phrase, a of all blocks together; rare ones, that a shared fingerprint has brought, are gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in groupby(rows_of(batches), key=lambda row: row[0]):
+            found = summed([pa.ipc.open_stream(data).read_all() for _, data in parts])
+            yield from found.filter((pc.field("words") == 0) | (pc.field("a") >= least)).drop_columns(["h"]).combine_chunks().to_batches()
+
+    return map_arrow(blocks.repartition(shards, "shard").sortWithinPartitions("shard"), run, "lang string, words int, phrase string, a bigint")
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, bits: int = BITS) -> DataFrame:
@@ -249,12 +287,11 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     table; and the number of all words of each language (words 0, no phrase). Fewer bits make more fingerprints collide."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     kept = materialise(slab_table(rows), "slabs")
-    # An upper estimate of the words: four bytes each.
-    shards = shards_for(int((kept.agg(F.sum("n_bytes")).first()[0] or 0) / 4) + 1, longest)
+    size = kept.agg(F.sum("n_bytes")).first()[0] or 0
+    shards = shards_for(size // 4 + 1, longest)  # an upper estimate of the words: four bytes each
     answers = materialise(frequent(fingerprints(kept, shards, longest, bits), shards, least), "answers")
     release(docs.sparkSession)
-    found = read_phrases(kept, answers, shards, longest, bits).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
-    out = materialise(found.where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
+    out = materialise(merged(read_phrases(kept, answers, shards, max(SHARDS, size // TASK), longest, bits), shards, least), "phrases")
     release(docs.sparkSession)
     return out
 

@@ -102,8 +102,7 @@ def tidy_sentence(x: Column) -> Column:
     out = unquote(collapse(x))
     for pattern, fixed in SENTENCE_FIXES:
         out = F.regexp_replace(out, f"(?i){pattern}", fixed)
-    out = F.rtrim(out, F.lit(".;?"))
-    return F.when(out == "", "").otherwise(F.concat(out, F.lit(".")))
+    return F.regexp_replace(F.rtrim(out, F.lit(".;?")), r"(?s)(?<=.)\z", ".")  # blank stays blank
 
 
 def unlabelled(x: Column) -> Column:

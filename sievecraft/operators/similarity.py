@@ -123,12 +123,15 @@ def redundancy(gen: DataFrame, tau: float) -> DataFrame:
     return sizes.join(redundant_pairs(gen, tau), "rec", "left").select("rec", "n_gen", (F.coalesce("pairs", F.lit(0)) / F.col("n_gen")).alias("redundancy"))
 
 
-def greedy_dedupe(items: DataFrame, tau: float) -> DataFrame:
+def greedy_dedupe(items: DataFrame, tau: float, own: DataFrame | None = None) -> DataFrame:
     """rec, i, kept and near_of of items: kept in order, each only if it is below tau with all kept before; near_of is the
-    first kept one that a dropped one is near. Work is by record; of items with equal tokens the first stands for all."""
+    first kept one that a dropped one is near. Work is by record; of items with equal tokens the first stands for all.
+    Where records have thresholds of their own (rec, tau), none is below `tau`."""
     rows = items.select("rec", "i", F.md5(F.array_join(F.array_sort(tokens(F.col("item"))), " ")).alias("key"), (F.size(tokens(F.col("item"))) > 0).alias("any"))
     first = rows.withColumn("first", F.when(F.col("any"), F.min("i").over(Window.partitionBy("rec", "key"))).otherwise(F.col("i")))
-    near = near_classes(token_classes(items), tau).groupBy("rec", F.col("j").alias("i")).agg(F.sort_array(F.collect_list("i")).alias("near"))
+    near = near_classes(token_classes(items), tau)
+    near = near if own is None else near.join(own.select("rec", F.col("tau").alias("least")), "rec").where("sim >= least")
+    near = near.groupBy("rec", F.col("j").alias("i")).agg(F.sort_array(F.collect_list("i")).alias("near"))
     heads = first.where("i = first").select("rec", "i").join(near, ["rec", "i"], "left")
     heads = heads.select("rec", F.struct("i", F.coalesce("near", F.array().cast("array<int>")).alias("near")).alias("x"))
     ordered = heads.groupBy("rec").agg(F.array_sort(F.collect_list("x")).alias("xs"))

@@ -66,6 +66,28 @@ def test_exact_dedup_in_batches(spark, docs):
     assert index.read().count() == size + 1
 
 
+def test_exact_dedup_by_the_anti_join(spark, docs):
+    """Texts of an earlier part are removed by the anti-join: a part's rows are grouped by themselves, and fewer are added."""
+    rows = spark.createDataFrame([(i, f"text {i % 40}" if i % 3 else f"own {i}") for i in range(300)], "doc_id long, text string")
+    index = DigestIndex(spark)
+    out = {r["doc_id"]: r for r in index.dedup(rows, batch="b", parts=3).collect()}
+    held = {r["batch"]: r["count"] for r in index.read().groupBy("batch").count().collect()}
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    last = {t: max(i for i, x in text.items() if x == t) for t in text.values()}
+    assert {i: r["keep_id"] for i, r in out.items()} == {i: last[t] for i, t in text.items()} and sum(held.values()) == len(last)
+    assert all(r["kept"] == (r["keep_id"] == i) and r["group_size"] == list(text.values()).count(text[i]) for i, r in out.items())
+    # What parts group by themselves is more than what is added: the anti-join has removed the difference.
+    least = {b: min(i for i, r in out.items() if r["kept"] and i in set(x["keep_id"] for x in index.read().where(F.col("batch") == b).collect())) for b in held}
+    first = {t for i, t in text.items() if i >= least["b"]}
+    assert set(held) == {"b", "b/1", "b/2"} and len(first) + len({t for i, t in text.items() if i < least["b"]}) > len(last)
+    again = DigestIndex(spark, index.name)
+    assert again.dedup(rows.limit(5), batch="c").where("kept").count() == 0 and again.buckets == 8
+    index.drop()
+    # Keys of any ordered kind.
+    named = rows.withColumn("doc_id", F.format_string("k%03d", "doc_id"))
+    assert {r["doc_id"]: r["keep_id"] for r in DigestIndex(spark).dedup(named, parts=4).collect()} == {f"k{i:03d}": f"k{last[t]:03d}" for i, t in text.items()}
+
+
 def test_line_dedup(spark, docs, none):
     out = line_dedup.dedup_lines(docs)
     rows = {(r["doc_id"], r["text"]): r for r in out.collect()}

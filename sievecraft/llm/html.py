@@ -3,7 +3,10 @@
 A page is cut into blocks at block-level tags. Each block has its number of words and its link density, those of the
 blocks before and after it, and hints: its place inside an article, tags and class names that speak against it, a
 heading, the end of a sentence, a rights notice outside an article. A decision tree, trained on the small labelled table below, keeps or
-drops each block; in pages without hints it goes by the neighbours.
+drops each block; in pages without hints it goes by the neighbours, and a name that may mean something else weighs half.
+
+Reading takes time in proportion to the page at any depth of tags: each open tag carries what those around it say, and
+the places of open tags are listed by name.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,11 @@ OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 HINT = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 NOTICE = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b|all rights reserved", re.I)
 #: Tags whose content is raw text that is not shown; tags whose content is not shown as text; those among
-#: these that end where a block begins; tags that bound blocks; tags that never close.
+#: these that end where a block begins; those that do so where they are not closed; tags that bound blocks; tags that never close.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 SILENT = frozenset("noscript template svg math object canvas head select option optgroup datalist button audio video".split())
 SHORT = frozenset("svg math select option optgroup datalist".split())
+CLOSED = frozenset("button audio video canvas object noscript template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Surroundings that speak for and against a block, as tags and as words of class, id and role; words that
@@ -40,32 +45,52 @@ AGAINST_WORDS = frozenset(
 )
 THREAD_WORDS = frozenset("comment comments commentlist disqus related recommended reply replies respond sidebar teaser widget widgets".split())
 FOR_WORDS = frozenset("article articlebody content entry main post story".split())
+#: Words that say where something stands or how it looks, and leave a name's meaning as it is.
+FORM_WORDS = frozenset("area bar block body bottom box btn button buttons center close col column container content entry fixed form footer global group header holder icon icons inner item items label left link links list main message module notice outer page panel post posts primary right row secondary section site slot small text title toggle top unit wrap wrapper zone".split())
 STATE_WORDS = frozenset("has with without no is not js".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "outside", "against", "heading", "sentence", "notice")
 
 
-def hints(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether the names of a tag speak for its content, against it, and against articles inside it."""
-    good = bad = thread = False
+def hints(attributes: str) -> tuple[bool, float, bool]:
+    """Whether the names of a tag speak for its content, how much against it, and whether against articles inside it. A name
+    of which a part is an unknown word, or one that speaks for the content, may mean something else and counts half."""
+    good, bad, thread = False, 0.0, False
     for value in HINT.findall(attributes):
         for name in value.strip("\"'").split():
             words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
             if not words or words[0] in STATE_WORDS or "with" in words:
                 continue
             favour = not FOR_WORDS.isdisjoint(words)
-            against = any(w in AGAINST_WORDS and not (favour and w == "header") for w in words)  # an article's own header
+            against = {w for w in words if w in AGAINST_WORDS and not (favour and w == "header")}  # an article's own header
+            plain = all(w in AGAINST_WORDS or w in FORM_WORDS for w in words)
+            sure = against and (plain and not favour or not THREAD_WORDS.isdisjoint(words) and all(w in AGAINST_WORDS or w in FORM_WORDS or w in FOR_WORDS for w in words))
             good |= favour and not against
-            bad |= against
-            thread |= not THREAD_WORDS.isdisjoint(words)
+            bad = max(bad, 1.0 if sure else 0.5 if against else 0.0)
+            thread |= bool(sure) and not THREAD_WORDS.isdisjoint(words)
     return good, bad, thread
 
 
+class Open(NamedTuple):
+    """An open tag and what it and those around it say: `against` within the innermost article, `thread` outside it."""
+
+    tag: str
+    inside: bool
+    heading: bool
+    against: float
+    thread: bool
+    threads: bool  # at any depth
+
+
 class Page:
     """Reads a page once from front to back and keeps its text blocks with what their surroundings say."""
 
     def __init__(self, page: str):
-        self.out: list[tuple[str, int, float, bool, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # open tags: for, against, against articles too
+        self.page = page
+        self.out: list[tuple[str, int, float, bool, float, bool]] = []
+        self.stack = [Open("", False, False, 0.0, False, False)]
+        self.places: dict[str, list[int]] = {}  # of the open tags of a name
+        self.bounds: list[int] = []  # places of the open tags that bound blocks
+        self.next_of: dict[str, int] = {}  # where a name's next tag was found that is not yet read
         self.parts: list[str] = []
         self.linked = self.links = self.silent = 0
         self.read(page)
@@ -76,11 +101,9 @@ class Page:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
             if text:
+                top = self.stack[-1]
                 # What stands around the innermost article says nothing about it, unless articles are what it holds.
-                last = max((k for k, x in enumerate(self.stack) if x[0] in FOR), default=0)
-                against = any(x[2] for x in self.stack[last:]) or any(x[3] for x in self.stack[:last])
-                heading = any(x[0][:1] == "h" and x[0][1:].isdigit() for x in self.stack)
-                self.out.append((text, len(text.split()), min(1.0, self.linked / len(text)), any(x[1] for x in self.stack), against, heading))
+                self.out.append((text, len(text.split()), min(1.0, self.linked / len(text)), top.inside, 1.0 if top.thread else top.against, top.heading))
         self.parts.clear()
         self.linked = 0
 
@@ -92,34 +115,58 @@ class Page:
 
     def pop(self, k: int) -> None:
         """Closes the open tags from place k on."""
-        for tag, *_ in self.stack[k:]:
-            self.links -= tag == "a"
-            self.silent -= tag in SILENT
+        for x in self.stack[k:]:
+            self.places[x.tag].pop()
+            self.links -= x.tag == "a"
+            self.silent -= x.tag in SILENT
+        while self.bounds and self.bounds[-1] >= k:
+            self.bounds.pop()
         del self.stack[k:]
 
-    def last(self, tags: frozenset | tuple, until: frozenset = frozenset()) -> int | None:
-        """Place of the innermost open tag among some, not further out than one of `until`."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                return k
-            if self.stack[k][0] in until:
-                return None
-        return None
-
-    def open(self, tag: str, attributes: str) -> None:
-        if tag in ("p", "li", "dd", "dt", "tr", "td", "th") or tag in BLOCK and self.stack and self.stack[-1][0] == "p":
+    def last(self, tags: frozenset | tuple) -> int | None:
+        """Place of the innermost open tag among some."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=None)
+
+    def push(self, x: Open) -> None:
+        self.places.setdefault(x.tag, []).append(len(self.stack))
+        if x.tag in BLOCK:
+            self.bounds.append(len(self.stack))
+        self.stack.append(x)
+        self.links += x.tag == "a"
+        self.silent += x.tag in SILENT
+
+    def is_closed(self, tag: str, at: int) -> bool:
+        """Whether the next tag of this name closes it. Every stretch of the page is searched once for each name."""
+        found = self.next_of.get(tag, -1)
+        if found < at:
+            match = re.compile(rf"</?{tag}\b", re.I).search(self.page, at)
+            found = self.next_of[tag] = match.start() if match else len(self.page)
+        return self.page.startswith("</", found)
+
+    def open(self, tag: str, attributes: str, at: int) -> None:
+        if tag in ("p", "li", "dd", "dt", "tr", "td", "th") or tag in BLOCK and self.stack[-1].tag == "p":
             own = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "li": ("li",), "tr": ("tr",)}.get(tag, ("p",))
-            k = self.last(own, BLOCK - {"p"} - set(own))
-            if k is not None:
+            k = self.last(own)
+            # Not over a tag that bounds blocks, but for paragraphs.
+            if k is not None and all(self.stack[j].tag == "p" for j in self.inner(k)):
                 self.pop(k)
-        good, bad, thread = hints(attributes) if attributes else (False, False, False)
+        good, bad, thread = hints(attributes) if attributes else (False, 0.0, False)
         whole = tag in ("body", "html") or tag in FOR and not thread
-        against = not whole and (tag in AGAINST or bad)
-        if tag == "header" and not bad and self.last(("article",)) is not None:
-            against = False  # an article's own heading
-        self.stack.append((tag, not against and (tag in FOR or tag in ("div", "section") and good), against, thread and not whole))
-        self.links += tag == "a"
-        self.silent += tag in SILENT
+        against = 0.0 if whole else 1.0 if tag in AGAINST else bad
+        if tag == "header" and not bad and self.places.get("article"):
+            against = 0.0  # an article's own heading
+        around, thread = self.stack[-1], thread and not whole
+        inside = not against and (tag in FOR or tag in ("div", "section") and good)
+        shown = tag if tag not in CLOSED or self.is_closed(tag, at) else "option"  # ends where a block begins
+        within = against if tag in FOR else max(against, around.against)
+        self.push(Open(shown, around.inside or inside, around.heading or tag[:1] == "h" and tag[1:].isdigit(), within, around.threads if tag in FOR else around.thread, around.threads or thread))
+
+    def inner(self, k: int) -> Iterator[int]:
+        """Places further in than k of tags that bound blocks, the innermost first."""
+        for j in reversed(self.bounds):
+            if j <= k:
+                return
+            yield j
 
     def tag(self, page: str, at: int, end: str, tag: str, attributes: str) -> int:
         """Takes a tag that ends before `at`; the place to read on from."""
@@ -130,8 +177,9 @@ class Page:
                 self.parts.append(" ")
             return at
         if tag in BLOCK:
-            if not end and (k := self.last(SHORT)) is not None:
-                self.pop(k)
+            if not end:
+                while (k := self.last(SHORT)) is not None:
+                    self.pop(k)
             if tag == "body" and (k := self.last(("head",))) is not None:
                 self.pop(k)
             self.close()
@@ -142,7 +190,7 @@ class Page:
             if k is not None:
                 self.pop(k)
         elif tag not in VOID and not attributes.endswith("/"):
-            self.open(tag, attributes)
+            self.open(tag, attributes, at)
         return at
 
     def read(self, page: str) -> None:
@@ -183,7 +231,7 @@ def blocks(page: str) -> list[tuple[str, np.ndarray]]:
     pad = lambda x: np.concatenate(([0.0], x, [0.0]))
     against, heading = np.array([b[4] for b in out], float), np.array([b[5] for b in out], float)
     sentence, notice = np.array([b[0][-1] in ".!?:;\"')" for b in out], float), np.array([not b[3] and len(b[0]) < 200 and bool(NOTICE.search(b[0])) for b in out], float)
-    outside = (1 - inside) * ((inside * (1 - against)).sum() > 0)
+    outside = (1 - inside) * ((inside * (against < 1)).sum() > 0)
     table = np.stack([words, links, pad(words)[:-2], pad(links)[:-2], pad(words)[2:], pad(links)[2:], inside, outside, against, heading, sentence, notice], 1)
     return [(b[0], row) for b, row in zip(out, table, strict=True)]
 
@@ -228,7 +276,19 @@ def labelled_table() -> list[tuple[np.ndarray, int]]:
             (f"<div><h3><a href=x>{_words(6, '')}</a></h3><p>{_words(12)}</p><h3><a href=y>{_words(5, '')}</a></h3><p>{_words(14)}</p><h3><a href=z>{_words(7, '')}</a></h3></div><div>{p}<div>{_words(2, '')}</div>{p}{p}</div>", "00000" + "1111"),
             (f"<div>{_menu(2)}</div><div>{_words(3)}</div><div>{_menu(2)}</div><div><h2>{_words(1, '')}</h2>{p}{p}<h2>{_words(2, '')}</h2>{p}</div><div>{_words(5)}</div><div>{_menu(3)}</div>", "00" + "0" + "00" + "11111" + "0" + "000"),
             (f"{p}", "1"),
-            (f"{label}<div>{_menu(3)}</div>{label}<div>{_menu(4)}</div>", "0" + "000" + "0" + "0000"),
+            # Names that may mean something else: what is long and without links stays.
+            (f"<div class=social-studies>{p}{p}</div><div>{_menu(3)}</div>", "11" + "000"),
+            (f"<div id=legal-news>{h}{p}{q}{p}</div><div class=social-tools><div>{_words(2, '')}</div><div>{_words(3, '')}</div></div>", "1111" + "00"),
+            (f"<div class=share-tools><div>{_words(2, '')}</div><div>{_words(1, '')}</div></div><div>{h}{p}{p}</div><div class=search-hints><a href=x>{_words(short)}</a></div>", "00" + "111" + "0"),
+            # Short lines tell by those around them: among paragraphs they belong to the text, among themselves they do not.
+            (f"<div>{h}{p}<p>{_words(3)}</p>{p}{p}</div><div>{_menu(2)}</div><div>{_words(3, '')}</div><div>{_words(4)}</div><div>{_words(3)}</div><div>{_words(2)}</div>", "11111" + "00" + "0000"),
+            (f"<div>{_menu(2)}</div><div>{_words(2, '')}</div><div>{_words(4, '')}</div><div>{_words(3)}</div><div>{_menu(2)}</div><div>{p}<p>{_words(2)}</p>{p}<p>{_words(4)}</p>{p}</div>{rights}", "00" + "000" + "00" + "11111" + "0"),
+            (f"<div>{_words(1, '')}</div><div><h1>{_words(4, '')}</h1>{p}<p>{_words(1)}</p>{p}</div>{rights}", "1" + "1111" + "0"),
+            # Short articles, and short comments inside them.
+            (f"<nav>{_menu(3)}</nav><div class=cookie-notice>{_words(3)}</div><article><h1>{_words(1, '')}</h1><p>{_words(4)}</p><p>{_words(1)}</p><form>{_words(2, '')}</form><div class=comments><p>{_words(2)}</p><p>{_words(6)}</p></div></article><aside>{_words(1, '')}</aside>", "000" + "0" + "111" + "0" + "00" + "0"),
+            (f"<nav>{_words(1, '')}</nav><article><h1>{_words(3, '')}</h1>{_words(2, '')}<p>{_words(1, '')}</p></article>", "0" + "111"),
+            (f"<div>{_words(3, '')}</div><main><h1>{_words(2, '')}</h1><p>{_words(4, '')}</p><ul><li>{_words(1, '')}</li><li>{_words(3, '')}</li></ul></main><div>{_words(2, '')}</div>", "0" + "1111" + "0"),
+            (f"<article><p>{_words(3)}</p><p>{_words(2)}</p><p>{_words(5)}</p><p>{_words(1)}</p><div class=replies><p>{_words(3)}</p></div></article><footer>{_words(4)}</footer>", "1111" + "0" + "0"),
         ]
         for page, marks in pages:
             found = blocks(page)
@@ -238,7 +298,7 @@ def labelled_table() -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def train(spark: SparkSession, depth: int = 6) -> list[tuple]:
+def train(spark: SparkSession, depth: int = 10) -> list[tuple]:
     """Nodes of the decision tree that Spark fits on the labelled table: (feature, threshold, left, right) or (keep,)."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.linalg import Vectors

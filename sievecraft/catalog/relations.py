@@ -12,7 +12,7 @@ from sievecraft.functions import verify as v
 from sievecraft.operators import joins as j
 from sievecraft.operators import judge
 from sievecraft.operators import similarity as s
-from sievecraft.sources.records import table
+from sievecraft.sources.records import spread, table
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,10 @@ def lookup_join_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contamination_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts or lines that stand in documents, with the sources that hold them."""
-    held = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.concat(F.array(t.query_key(F.col("text"))), F.transform(t.lines(F.col("text")), t.query_key)))).alias("key")).where("key <> ''")
-    train = table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(F.concat(F.array(t.query_key(F.col("text"))), F.transform(t.lines(F.col("text")), t.query_key)))).alias("key")).where("key <> ''")
+    keys = F.explode(F.array_distinct(F.concat(F.array(t.query_key(F.col("text"))), F.transform(t.lines(F.col("text")), t.query_key)))).alias("key")
+    held = table(spark, sf_dir, "benchmark").select("item_id", keys).where("key <> ''")
+    # A source's line counts once: copies are gone before anything is joined.
+    train = spread(table(spark, sf_dir, "documents").select("source", "text")).select("source", keys).where("key <> ''").distinct()
     return held.join(train, "key").groupBy("item_id").agg(F.count_distinct("key").alias("n_keys"), F.count_distinct("source").alias("n_sources"), F.min("source").alias("first_source"))
 
 
@@ -62,8 +64,7 @@ def contamination_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contamination_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines that are near a benchmark line (cosine of token counts at least 0.9).
 
-    Candidates share a token among the rarest of the benchmark line (a prefix of it: a line that misses all
-    of them is below the threshold), so frequent tokens never meet.
+    Lines are cut into tokens once and meet where they share one of the rarest tokens of both, so frequent tokens seldom do.
     """
     gen = c.generated(spark, sf_dir).select(F.struct("rec", "i").alias("id"), "item")
     sims = s.near_pairs(gen, c.gold(spark, sf_dir).select(F.struct("gold_id", "g").alias("id"), "item"), 0.9)

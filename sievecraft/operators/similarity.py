@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievecraft.functions.text import item_key, tokens
+from sievecraft.operators.graph import checkpointed
 
 
 def squared_norm(words: Column) -> Column:
@@ -147,22 +148,36 @@ def composite_reward(coverage: Column, validity: Column, redundant: Column, weig
     return weights[0] * coverage + weights[1] * validity - weights[2] * redundant
 
 
+def bags(items: DataFrame) -> DataFrame:
+    """id, bag, w and nn of items (id, item) with tokens: w is in order, and bag a digest that items of equal tokens share."""
+    rows = with_tokens(items.select("id", "item")).withColumn("w", F.array_sort("w"))
+    return rows.select("id", F.md5(F.array_join("w", " ")).alias("bag"), "w", "nn")
+
+
+def rarest(each: DataFrame, freq: DataFrame, tau: float) -> DataFrame:
+    """bag and token of each bag's prefix: the rarest tokens that hold all but tau^2 of its squared norm, of those in freq."""
+    counts = each.select("bag", "nn", F.explode("w").alias("token")).groupBy("bag", "nn", "token").agg(F.count(F.lit(1)).alias("c"))
+    # A token that the other side lacks comes first in the order and proposes nothing.
+    ranked = counts.join(freq, "token", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    order = Window.partitionBy("bag").orderBy("f", "token").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("c")).over(order), F.lit(0)))
+    return ranked.where((F.col("before") <= (1 - tau * tau) * F.col("nn") + 1e-9) & (F.col("f") > 0)).select("bag", "token")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, tau: float) -> DataFrame:
     """a, b, sim of items (id, item) of two collections with a cosine of at least tau.
 
-    Candidates share a token among the rarest of the right item: its prefix. A left item that misses all of
-    them meets the rest only, whose norm is below tau by itself. So frequent tokens never meet, and none is lost.
+    Items are cut into tokens once, and those of equal tokens are one bag. Bags meet where they share a token of both
+    prefixes, the rarest of their tokens in one common order: the first token that two near bags share is in both, as
+    what comes after a prefix is below tau by itself. So frequent tokens seldom meet, and no pair is lost.
     """
-    left, right = with_tokens(left), with_tokens(right)
-    freq = left.select(F.explode("w").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    counts = right.select("id", "nn", F.explode("w").alias("token")).groupBy("id", "nn", "token").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("id").orderBy("f", "token").rowsBetween(Window.unboundedPreceding, -1)
-    # A token that no left item has comes first in the order and proposes nothing.
-    ranked = counts.join(freq, "token", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    ranked = ranked.withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("c")).over(order), F.lit(0)))
-    prefix = ranked.where((F.col("before") <= (1 - tau * tau) * F.col("nn") + 1e-9) & (F.col("f") > 0)).select(F.col("id").alias("b"), "token")
-    pairs = left.select(F.col("id").alias("a"), F.explode(F.array_distinct("w")).alias("token")).join(prefix, "token").select("a", "b").distinct()
-    x = left.select(F.col("id").alias("a"), F.col("w").alias("wa"), F.col("nn").alias("na"))
-    y = right.select(F.col("id").alias("b"), F.col("w").alias("wb"), F.col("nn").alias("nb"))
-    both = pairs.join(y, "b").join(x, "a")
-    return both.select("a", "b", cosine(dot_of(F.col("wa"), F.col("wb")), F.col("na"), F.col("nb")).alias("sim")).where(F.col("sim") >= tau)
+    left, right = checkpointed(bags(left)), checkpointed(bags(right))
+    x, y = (d.select("bag", "w", "nn").dropDuplicates(["bag"]) for d in (left, right))
+    freq = x.select(F.explode(F.array_distinct("w")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    # Tokens that only one side has are shared by no pair.
+    freq = checkpointed(freq.join(y.select(F.explode("w").alias("token")).distinct(), "token"))
+    pairs = rarest(x, freq, tau).withColumnRenamed("bag", "a").join(rarest(y, freq, tau).withColumnRenamed("bag", "b"), "token").select("a", "b").distinct()
+    x, y = x.toDF("a", "wa", "na"), y.toDF("b", "wb", "nb")
+    near = pairs.join(y, "b").join(x, "a").select("a", "b", cosine(dot_of(F.col("wa"), F.col("wb")), F.col("na"), F.col("nb")).alias("sim")).where(F.col("sim") >= tau)
+    out = near.join(left.select(F.col("bag").alias("a"), F.col("id").alias("left")), "a").join(right.select(F.col("bag").alias("b"), F.col("id").alias("right")), "b")
+    return out.select(F.col("left").alias("a"), F.col("right").alias("b"), "sim")

@@ -19,6 +19,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A label with at least 1 / HOT of the nodes is hot; there are at most HOT of them.
+HOT = 1000
+
+
+def _further(step: DataFrame) -> DataFrame:
+    """step (node, component, old) with further, the label of each one's label. One label may be that of most nodes: labels
+    are looked up once each, and what the hot ones have is broadcast, so that their nodes stay where they are."""
+    counts = step.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    up = checkpointed(counts.join(step.select(F.col("node").alias("component"), F.col("component").alias("further")), "component"))
+    least = max(2, -(-(up.agg(F.sum("n")).first()[0] or 0) // HOT))
+    hot = F.broadcast(up.where(F.col("n") >= least).drop("n"))
+    rest = step.join(hot.select("component"), "component", "left_anti").join(up.where(F.col("n") < least).drop("n"), "component")
+    return step.join(hot, "component").unionByName(rest)
+
+
 def min_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and component, the smallest node reachable over edges (a, b); nodes without edges stand alone.
 
@@ -30,8 +45,7 @@ def min_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         low = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"))
         step = labels.join(low, labels["node"] == low["a"], "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = checkpointed(step.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"))
+        step = checkpointed(_further(checkpointed(step)).select("node", F.least("component", "further").alias("component"), "old"))
         if step.where("component <> old").isEmpty():
             return step.select("node", "component")
         labels = step.select("node", "component")

@@ -170,7 +170,7 @@ def train(labelled: DataFrame, most: int = MAX_LINES) -> LineField:
     sample = within(labelled, most).select("t", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "t", SLAB_BYTES // 4):
+        for batch in slabs(batches, "t", SLAB_BYTES // 8):
             measures, doc, size = lines_of(texts(batch, "t"))
             at = offsets_of(np.bincount(doc, minlength=batch.num_rows))
             for i in range(batch.num_rows):
@@ -216,7 +216,7 @@ def label_lines(docs: DataFrame, field: LineField, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        for batch in slabs(batches, "t", SLAB_BYTES // 2):
+        for batch in slabs(batches, "t", SLAB_BYTES // 8):
             measures, doc, _ = lines_of(texts(batch, "t"))
             p, _ = field.marginals(field.active(measures, doc), doc)
             at = offsets_of(np.bincount(doc, minlength=batch.num_rows))
@@ -240,7 +240,7 @@ def classify(docs: DataFrame, labelled: DataFrame, label: str = "quality", thres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        for batch in slabs(batches, "t", SLAB_BYTES // 2):
+        for batch in slabs(batches, "t", SLAB_BYTES // 8):
             measures, doc, size = lines_of(texts(batch, "t"))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(field.score(field.badness(measures, doc, size, batch.num_rows)))], names=["key", "score"])
 

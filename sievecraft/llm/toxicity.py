@@ -245,7 +245,7 @@ def _counts(labelled: DataFrame, char: np.ndarray, only: set[str] | None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         char, only = shared.value
         restorer = restorer_of(char)
-        for batch in slabs(batches, "t"):
+        for batch in slabs(batches, "t", SLAB_BYTES // 4):
             rows, codes, words = restorer.batch(texts(batch, "t"))
             named = [features(w) if only is None else [f for f in features(w) if f in only] for w in words]
             y = batch.column("y").to_pylist()
@@ -307,7 +307,7 @@ def _columns(rows: DataFrame, char: np.ndarray, evidence: Evidence, joined: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         char, weights, final = shared.value
         restorer, model = restorer_of(char), Evidence(weights, final)
-        for batch in slabs(batches, "t", SLAB_BYTES // 4):
+        for batch in slabs(batches, "t", SLAB_BYTES // 8):
             column = texts(batch, "t")
             out = pa.array(model.scores(restorer, column)) if joined else pa.array(model.columns(restorer, column).tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), out], names=["key", "score" if joined else "x"])
@@ -327,7 +327,7 @@ def restore(docs: DataFrame, char: np.ndarray, text: str = "text", key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = restorer_of(shared.value)
-        for batch in slabs(batches, "t"):
+        for batch in slabs(batches, "t", SLAB_BYTES // 4):
             rows, codes, words = restorer.batch(texts(batch, "t"))
             cuts = offsets_of(np.bincount(rows, minlength=batch.num_rows))
             out = [" ".join(w for c in codes[cuts[r] : cuts[r + 1]].tolist() for w in words[c]) for r in range(batch.num_rows)]

@@ -162,3 +162,21 @@ def normalize_label(x: Column) -> Column:
 def hash_order(seed: int, key: Column) -> Column:
     """A 32-bit number that orders rows at random but reproducibly, in any engine with MD5."""
     return F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), F.lit(1), F.lit(8)), 16, 10).cast("long")
+
+
+def expand_items(items: Column, keep_blank: bool = False) -> Column:
+    """Items in order, those that are themselves lists or objects of items replaced by what they hold.
+
+    A list counts up to its last bracket. Blank items go; with `keep_blank` they stay, and a list that gives nothing up to
+    its last bracket is read once more as a whole.
+    """
+
+    def one(x: Column) -> Column:
+        t = strip(x)
+        front = F.when(t.startswith("[") & t.contains("]"), parse_items(F.regexp_extract(t, r"(?s)^(\[.*\])", 1)))
+        whole = F.when(t.rlike(r"^[\[{]" if keep_blank else r"^\{"), parse_items(t))
+        holds = lambda a: (F.size(a) > 0) & (a != F.array(t))
+        own = F.when((t == "") & ~F.lit(keep_blank), F.array().cast("array<string>")).otherwise(F.array(t))
+        return F.when(F.coalesce(holds(front), F.lit(False)), front).when(F.coalesce(holds(whole), F.lit(False)), whole).otherwise(own)
+
+    return F.flatten(F.transform(items, one))

@@ -121,7 +121,7 @@ def failed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns without items, with the class of their failure."""
     x = table(spark, sf_dir, "conversations")
     error, response = F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") != "user", F.col("text"))
-    return x.where("turn % 2 = 0").select("conv_id", "turn", v.failure_class(error, response, F.lit(False)).alias("failure"))
+    return x.select("conv_id", "turn", v.failure_class(error, response, F.lit(False)).alias("failure"))
 
 
 def cached_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ ORACLE_SQL = {
         UNION ALL SELECT 'reason', r, count(*) FROM (SELECT unnest(string_split(reasons, ',')) AS r FROM q) GROUP BY r""",
     "plan_days": "SELECT n_regionkey, n_nationkey, (sum(length(n_name)) OVER w - length(n_name))::BIGINT AS first_day, (sum(length(n_name)) OVER w)::BIGINT AS last_day FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)",
     "failed_turns": f"""SELECT conv_id, turn, CASE WHEN {scalars._in(v.REFUSALS, 'e || chr(10) || r')} THEN 'safety_refusal' WHEN {scalars._in(v.API_ERRORS, 'e')} THEN 'api_error' WHEN r = '' THEN 'empty_output' ELSE 'parse_failure' END AS failure
-        FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN lower(coalesce(text, '')) ELSE '' END AS e, CASE WHEN role <> 'user' THEN lower(coalesce(text, '')) ELSE '' END AS r FROM conversations WHERE turn % 2 = 0)""",
+        FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN lower(coalesce(text, '')) ELSE '' END AS e, CASE WHEN role <> 'user' THEN lower(coalesce(text, '')) ELSE '' END AS r FROM conversations)""",
     "cached_lookup": "SELECT c_custkey, coalesce(arg_max(o_orderstatus, o_orderkey), 'none') AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "dataset_report": f"""WITH {c.GEN}, n AS (SELECT rec, count(*) AS n FROM gen GROUP BY rec), d AS (SELECT source, lang, coalesce(n, 0) AS n FROM documents LEFT JOIN n ON rec = doc_id)
         SELECT source, lang, count(*) AS n_records, min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM d GROUP BY ALL""",

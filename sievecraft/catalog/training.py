@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from sievecraft.catalog import carriers as c
 from sievecraft.catalog import coverage as cov
+from sievecraft.catalog import scalars
 from sievecraft.catalog.scalars import VERIFY
 from sievecraft.functions import dimensions as d
 from sievecraft.functions import flags as fl
 from sievecraft.functions import verify as v
 from sievecraft.functions.tasks import task_type
 from sievecraft.functions.text import lines, parse_items
+from sievecraft.operators import judge as jd
 from sievecraft.operators import similarity as s
 from sievecraft.operators import training as t
 from sievecraft.sources.records import table
@@ -21,9 +23,10 @@ TEMPLATE = "Write criteria for: {query}"
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation as a record: pos, the first user turn q and the first assistant turn a."""
+    """A conversation as a record: pos, all user turns q and all assistant turns a, each a text of its turns in order."""
+    said = "array_join(transform(array_sort(collect_list(struct(turn, text)) FILTER (WHERE role = '{}')), x -> x.text), '\n')"
     x = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("pos"))
-    return x.agg(F.expr("min_by(text, turn) FILTER (WHERE role = 'user')").alias("q"), F.expr("min_by(text, turn) FILTER (WHERE role = 'assistant')").alias("a")).where("trim(q) <> '' AND trim(a) <> ''")
+    return x.agg(F.expr(said.format("user")).alias("q"), F.expr(said.format("assistant")).alias("a")).where("trim(q) <> '' AND trim(a) <> ''")
 
 
 def rl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +36,10 @@ def rl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rl_query_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of the conversations' first words, each once."""
-    rows = _records(spark, sf_dir).select("pos", F.split("q", "[ \n]", 2)[0].alias("query"), F.lit("").alias("source"), (F.col("pos") % 2).alias("half"))
+    """Prompts of what the users of all conversations ask, each once; every tenth asks what the one before it does."""
+    asked = _records(spark, sf_dir).select("pos", "q")
+    asked = asked.unionByName(asked.where("pos % 10 = 0").select(F.col("pos") + 1_000_000_000, F.concat(F.lit(" "), F.replace("q", F.lit(" "), F.lit("  ")))).toDF("pos", "q"))
+    rows = asked.select("pos", F.col("q").alias("query"), F.lit("").alias("source"), (F.col("pos") % 2).alias("half"))
     return t.query_pool_rows(rows, TEMPLATE, "pool", ("half",))
 
 
@@ -107,7 +112,7 @@ def payload_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, listed = F.col("pos") % 4, lines(F.col("a"))
     payload = F.when(k == 0, F.to_json(F.struct(listed.alias("gold_rubrics")))).when(k == 1, F.to_json(F.struct(F.lit("").alias("gold_rubrics"), F.col("a").alias("gold")))).when(k == 2, F.to_json(F.struct(F.struct(listed.alias("rubrics_gold")).alias("ground_truth")))).otherwise(F.lit("{}"))
     gold = t.gold_of(F.try_parse_json(payload))
-    return _records(spark, sf_dir).where("NOT a RLIKE '(?m)^\\\\s*([-*•]|[0-9]+[.)]|[a-zA-Z][.)])\\\\s' AND NOT a RLIKE '[\\\\[{]'").select("pos", F.size(gold).cast("long").alias("n_gold"), F.sha2(F.array_join(gold, "\n"), 256).alias("gold_sha256"))
+    return _records(spark, sf_dir).select("pos", F.size(gold).cast("long").alias("n_gold"), F.sha2(F.array_join(gold, "\n"), 256).alias("gold_sha256"))
 
 
 def hook_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,9 +162,29 @@ def teacher_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("gold_id").agg(F.count(F.lit(1)).alias("n_teachers"), F.array_join(each, " ").alias("teachers"))
 
 
-QUERIES = {f.__name__: f for f in (rl_rows, rl_query_pool, chat_rows, provenance_fields, training_blockers, flag_words, api_decisions, flag_check, flagged_items, payload_gold, hook_rewards, balanced_rewards, gold_sanity, dimension_keys, teacher_disagreement, teacher_outputs)}
+def policy_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewards of assistants' turns by two scorers: criteria are a conversation's own, those of a cache, or none."""
+    # How much longer than ten criteria an answer is, at most 1; of short criteria it cannot tell. (Defined here, so that executors need no copy of this module.)
+    roomy = lambda query, answer, criterion: (answer.str.len() / (10 * criterion.str.len())).clip(upper=1.0).where(criterion.str.len() >= 12)
+    r = _records(spark, sf_dir)
+    rows = r.select(F.col("pos").alias("rec"), F.col("q").alias("query"), F.when(F.col("pos") % 7 == 0, " ").otherwise(F.col("a")).alias("answer"), F.lit("").alias("first"), F.when(F.col("pos") % 3 == 0, F.to_json(lines(F.col("q")))).alias("second"))
+    cache = r.where("pos % 3 = 1").select(t.collapse(F.trim("q")).alias("key"), F.to_json(lines(F.col("a"))).alias("criteria"))
+    scorers = {"keyword": jd.keyword_scorer, "roomy": jd.with_fallback(jd.vectorised(roomy), jd.keyword_scorer)}
+    out = jd.policy_rewards(rows, ["first", "second"], scorers, cache)
+    return out.select("rec", "n_criteria", F.round("keyword", 6).alias("keyword"), F.round("roomy", 6).alias("roomy"))
 
-_CONV = """conv AS (SELECT * FROM (SELECT conv_id AS pos, arg_min(text, turn) FILTER (role = 'user') AS q, arg_min(text, turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id) WHERE trim(q) <> '' AND trim(a) <> '')"""
+
+def payload_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags found in payloads of several shapes, as the share that holds."""
+    k, flags = F.col("pos") % 4, F.transform("items", lambda _, i: F.when(i % 3 == 0, "yes").otherwise("0"))
+    payload = F.when(k == 0, F.to_json(F.struct(flags.alias("valid_flags")))).when(k == 1, F.to_json(F.struct(F.struct(flags.alias("verifier_flags")).alias("ground_truth")))).when(k == 2, F.to_json(F.struct(F.lit("none").alias("validity_flags")))).otherwise(F.lit("{}"))
+    found = t.flags_of(F.try_parse_json(payload))
+    return _flagged(spark, sf_dir).select("pos", F.round(t.share_valid(t.aligned(found, F.col("n")), F.lit(-1.0)), 6).alias("share"), F.coalesce(F.size(found), F.lit(-1)).cast("long").alias("n_flags"))
+
+
+QUERIES = {f.__name__: f for f in (rl_rows, rl_query_pool, chat_rows, provenance_fields, training_blockers, flag_words, api_decisions, flag_check, flagged_items, payload_gold, hook_rewards, balanced_rewards, gold_sanity, dimension_keys, teacher_disagreement, teacher_outputs, policy_rewards, payload_flags)}
+
+_CONV = """conv AS (SELECT * FROM (SELECT conv_id AS pos, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS q, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id) WHERE trim(q) <> '' AND trim(a) <> '')"""
 _ITEMS = f"list_filter(list_transform(string_split(a, chr(10)), lambda x: {c.sql_clean('x')}), lambda x: x <> '')"
 _KEY = lambda x: c.sql_collapse(f"lower({x})")
 _FIRST = lambda items: f"list_filter({items}, lambda x, i: list_position(list_transform({items}, lambda y: {_KEY('y')}), {_KEY('x')}) = i)"
@@ -168,6 +193,11 @@ _REC = f"{_CONV}, itm AS (SELECT pos, q, a, {_ITEMS} AS items FROM conv), fst AS
 _RECORD = """rec AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type || '-Holdout' ELSE event_type END AS src, CASE WHEN event_id % 3 = 0 THEN props END AS source_url,
   CASE WHEN event_id % 11 = 0 THEN 'dev' WHEN event_id % 7 = 0 THEN 'Test' END AS split FROM events)"""
 _WORD = "trim(lower(x))"
+#: The answers that decisions are read from, and what makes a part of one hold: words in a single answer, any value in a batch.
+_PASSED = '"valid": true, "atomic": true, "decidable": 1, "relevant": "%s", "non_hallucinated": true'
+_LENIENT = lambda x: f"coalesce(trim(lower(json_extract_string({x}))) IN ('1', 'true', 'yes', 'valid'), false)"
+_TRUTHY = lambda x: f"coalesce(json_type(json_extract({x})) <> 'NULL' AND json_extract_string({x}) NOT IN ('', '0', 'false'), false)"
+_HOLDS = lambda x, test: "(" + " AND ".join(test(f"{x}, '$.{part}'") for part in fl.DECISION_PARTS) + ")"
 _YES, _NO = "('1', 'true', 'yes', 'valid')", "('0', 'false', 'no', 'invalid')"
 _ANY = lambda x, words: "(" + " OR ".join(f"contains({x}, {c.sql_quote(w)})" for w in words) + ")"
 _SURFACE = lambda x, stop: f"trim(regexp_replace(regexp_replace(lower({x}), '\\b({stop})\\b', ' ', 'g'), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g'))"
@@ -188,8 +218,8 @@ def _dimension_sql() -> str:
 ORACLE_SQL = {
     "rl_rows": f"""WITH {_REC} SELECT pos, sha256(CASE WHEN pos % 2 = 0 THEN {_LINE('q')} ELSE 'Write criteria for: ' || {_LINE('q')} END) AS prompt_sha256, sha256(array_to_string(list_transform(gold, lambda x: {_LINE('x')}), chr(10))) AS gold_sha256,
         len(gold) AS n_gold, CASE WHEN pos % 3 = 0 THEN 'pool' ELSE 'chat' END AS data_source, sha256({_LINE('q')}) AS query_sha256 FROM fst WHERE len(gold) > 0""",
-    "rl_query_pool": f"""WITH {_CONV}, w AS (SELECT pos, string_split_regex(q, '[ \\n]')[1] AS query FROM conv) SELECT pos, 'Write criteria for: ' || query AS prompt, query, 'pool' AS data_source, (pos % 2)::VARCHAR AS half FROM w WHERE query <> ''
-        QUALIFY row_number() OVER (PARTITION BY {c.sql_strip(c.sql_collapse("'Write criteria for: ' || query"))} ORDER BY pos) = 1""",
+    "rl_query_pool": f"""WITH {_CONV}, w AS (SELECT pos, q AS query FROM conv UNION ALL SELECT pos + 1000000000, ' ' || replace(q, ' ', '  ') FROM conv WHERE pos % 10 = 0)
+        SELECT pos, 'Write criteria for: ' || query AS prompt, query, 'pool' AS data_source, (pos % 2)::VARCHAR AS half FROM w QUALIFY row_number() OVER (PARTITION BY {c.sql_strip(c.sql_collapse("'Write criteria for: ' || query"))} ORDER BY pos) = 1""",
     "chat_rows": f"WITH {_CONV} SELECT pos, 3::BIGINT AS n_messages, sha256('system: You write criteria.' || chr(10) || 'user: ' || q || chr(10) || 'assistant: ' || a) AS messages_sha256 FROM conv",
     "provenance_fields": f"WITH {_RECORD} SELECT event_id, source_url, 'v1' AS dataset_version, NULL::VARCHAR AS license, source_url IS NOT NULL AS has_provenance FROM rec",
     "training_blockers": f"""WITH {_RECORD}, b AS (SELECT event_id, 'source=' || lower(src) AS blocker FROM rec WHERE contains(lower(src), 'holdout') UNION ALL SELECT event_id, 'split=' || lower(split) FROM rec WHERE lower(split) IN ('test', 'dev'))
@@ -197,14 +227,31 @@ ORACLE_SQL = {
     "flag_words": f"""WITH w AS (SELECT event_id, coalesce([{', '.join(c.sql_quote(x) for x in WORDS)}][event_id % 13 + 1], props) AS x FROM events), f AS (SELECT *, {_WORD} IN {_YES} OR coalesce(try_cast({_WORD} AS DOUBLE) = 1, false) AS lenient FROM w)
         SELECT event_id, lenient, {_WORD} IN {_YES} OR {_WORD} IN {_NO} AS binary, CASE WHEN {_WORD} = 'true' THEN 1.0 WHEN {_WORD} = 'false' THEN 0.0 ELSE try_cast({_WORD} AS DOUBLE) END AS number,
         CASE WHEN trim(x) = '' THEN 0 WHEN json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x END) = 'ARRAY' THEN json_array_length(CASE WHEN json_valid(x) THEN x END) ELSE 1 END::BIGINT AS units, CASE WHEN contains(x, '{{') THEN false ELSE lenient END AS answered FROM f""",
-    "api_decisions": """SELECT event_id, k = 0 AS valid, CASE k WHEN 0 THEN 'api_pass' WHEN 1 THEN event_type WHEN 2 THEN 'invalid_json_response' WHEN 3 THEN 'non_object_response' ELSE 'api_reject' END AS reason,
-        CASE WHEN k = 2 THEN '0:false:invalid_json_response,1:false:invalid_json_response,2:false:invalid_json_response' ELSE '0:true:api_pass,1:true:' || event_type || ',2:false:missing_decision' END AS batch FROM (SELECT event_id, event_type, event_id % 5 AS k FROM events)""",
-    "flag_check": f"""WITH {_REC} SELECT pos, CASE WHEN pos % 4 = 0 THEN 'valid_flags_missing' ELSE array_to_string(list_filter([CASE WHEN pos % 4 = 2 THEN 'valid_flags_length_mismatch' END, CASE WHEN pos % 4 = 2 THEN 'valid_flags_non_binary' END,
-        CASE WHEN pos % 3 = 0 THEN 'valid_flags_missing_source' END], lambda x: x IS NOT NULL), ',') END AS issues FROM fst""",
+    "api_decisions": f"""WITH t AS (SELECT event_id, CASE k WHEN 0 THEN 'so: {{' || yes || '}}' WHEN 1 THEN '{{' || no || ', "reason": "' || event_type || '"}}' WHEN 2 THEN event_type WHEN 3 THEN '[1, 2]' ELSE '{{"valid": true}}' END AS one,
+          CASE k WHEN 2 THEN event_type ELSE '{{"rubrics": [{{"idx": 1, ' || no || ', "reason": "' || event_type || '"}}, {{"idx": 0, ' || yes || '}}]}}' END AS many
+          FROM (SELECT event_id, event_type, event_id % 5 AS k, {c.sql_quote(_PASSED % "yes")} AS yes, {c.sql_quote(_PASSED % "no")} AS no FROM events)),
+        j AS (SELECT event_id, coalesce(nullif(regexp_extract(one, '(?s)\\{{.*\\}}'), ''), trim(one)) AS one, coalesce(nullif(regexp_extract(many, '(?s)\\{{.*\\}}'), ''), trim(many)) AS many FROM t),
+        p AS (SELECT event_id, CASE WHEN json_valid(one) THEN one::JSON END AS one, CASE WHEN json_valid(many) THEN many::JSON END AS many FROM j),
+        d AS (SELECT event_id, one, coalesce(json_type(one) = 'OBJECT', false) AS object, {_HOLDS('one', _LENIENT)} AS holds, [i for i in range(3)] AS ids, many, json_extract(many, '$.rubrics[*]') AS rows FROM p),
+        b AS (SELECT *, list_transform(ids, lambda i: list_filter(rows, lambda r: json_extract(r, '$.idx')::INT = i)[1]) AS own FROM d)
+        SELECT event_id, object AND holds AS valid, CASE WHEN one IS NULL THEN 'invalid_json_response' WHEN NOT object THEN 'non_object_response' ELSE coalesce(nullif(json_extract_string(one, '$.reason'), ''), CASE WHEN holds THEN 'api_pass' ELSE 'api_reject' END) END AS reason,
+        array_to_string(list_transform(ids, lambda i: i || ':' || (own[i + 1] IS NOT NULL AND {_HOLDS('own[i + 1]', _TRUTHY)})::VARCHAR || ':' || CASE WHEN many IS NULL THEN 'invalid_json_response' WHEN own[i + 1] IS NULL THEN 'missing_decision'
+          ELSE coalesce(nullif(json_extract_string(own[i + 1], '$.reason'), ''), CASE WHEN {_HOLDS('own[i + 1]', _TRUTHY)} THEN 'api_pass' ELSE 'api_reject' END) END), ',') AS batch FROM b""",
+    "flag_check": f"""WITH {_REC}, f AS (SELECT pos, len(items) AS n, CASE pos % 4 WHEN 1 THEN list_transform(items, lambda x: '1') WHEN 2 THEN list_append(list_transform(items, lambda x: 'maybe'), 'maybe') WHEN 3 THEN list_transform(items, lambda x: 'True') END AS flags, CASE WHEN pos % 3 <> 0 THEN 'rule' END AS source FROM fst)
+        SELECT pos, CASE WHEN flags IS NULL THEN 'valid_flags_missing' ELSE array_to_string(list_filter([CASE WHEN len(flags) <> n THEN 'valid_flags_length_mismatch' END, CASE WHEN len(list_filter(flags, lambda x: NOT list_contains(['1', 'true', 'yes', 'valid', '0', 'false', 'no', 'invalid'], trim(lower(x))))) > 0 THEN 'valid_flags_non_binary' END,
+        CASE WHEN coalesce(source, '') = '' THEN 'valid_flags_missing_source' END], lambda x: x IS NOT NULL), ',') END AS issues FROM f""",
     "flagged_items": f"""WITH {_REC}, k AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN items ELSE list_filter(items, lambda x, i: i % 2 = 1) END AS k FROM fst), f AS (SELECT pos, {_FIRST('k')} AS f FROM k)
         SELECT pos, len(f) AS n_kept, sha256(array_to_string(f, chr(10))) AS kept_sha256 FROM f""",
-    "payload_gold": f"""WITH {_REC}, g AS (SELECT pos, CASE WHEN pos % 4 = 3 THEN []::VARCHAR[] ELSE gold END AS g FROM fst WHERE NOT regexp_matches(a, '(?m)^\\s*([-*•]|[0-9]+[.)]|[a-zA-Z][.)])\\s') AND NOT regexp_matches(a, '[\\[{{]'))
+    "payload_gold": f"""WITH {_CONV}, i AS (SELECT pos, CASE WHEN len({scalars._BULLETS}) > 0 THEN {scalars._BULLETS} ELSE {scalars._LINES} END AS found FROM (SELECT pos, a AS text FROM conv)), g AS (SELECT pos, CASE WHEN pos % 4 = 3 THEN []::VARCHAR[] ELSE {_FIRST('found')} END AS g FROM i)
         SELECT pos, len(g) AS n_gold, sha256(array_to_string(g, chr(10))) AS gold_sha256 FROM g""",
+    "policy_rewards": f"""WITH {_REC}, x AS (SELECT pos, q, CASE WHEN pos % 7 = 0 THEN ' ' ELSE a END AS answer, CASE pos % 3 WHEN 0 THEN {_ITEMS.replace('(a,', '(q,')} WHEN 1 THEN (SELECT any_value(f.items) FROM fst f WHERE f.pos % 3 = 1 AND {c.sql_strip(c.sql_collapse('f.q'))} = {c.sql_strip(c.sql_collapse('fst.q'))}) END AS own FROM fst),
+        y AS (SELECT pos, answer, CASE WHEN trim(answer) = '' OR own IS NULL THEN []::VARCHAR[] ELSE {_FIRST('own')} END AS own FROM x),
+        z AS (SELECT pos, answer, unnest(own) AS item FROM y), w AS (SELECT pos, item, answer, list_distinct({c.sql_tokens('item')}) AS t, {c.sql_tokens('answer')} AS u FROM z),
+        v AS (SELECT pos, item, answer, CASE WHEN len(t) = 0 THEN 0 ELSE len(list_filter(t, lambda k: list_contains(u, k))) / len(t) END AS kw FROM w),
+        s AS (SELECT pos, count(*) AS n, avg(kw) AS kw, avg(CASE WHEN length(item) >= 12 THEN least(1.0, length(answer) / (10 * length(item))) ELSE kw END) AS roomy FROM v GROUP BY pos)
+        SELECT y.pos AS rec, coalesce(s.n, 0) AS n_criteria, round(coalesce(s.kw, -1), 6) AS keyword, round(coalesce(s.roomy, -1), 6) AS roomy FROM y LEFT JOIN s ON s.pos = y.pos""",
+    "payload_flags": f"""WITH {_REC}, f AS (SELECT pos, CASE WHEN pos % 4 < 2 THEN list_transform(items, lambda x, k: CASE WHEN (k - 1) % 3 = 0 THEN 'yes' ELSE '0' END) END AS flags FROM fst)
+        SELECT pos, round(CASE WHEN flags IS NULL THEN -1 WHEN len(flags) = 0 THEN 0 ELSE len(list_filter(flags, lambda x: x = 'yes')) / len(flags) END, 6)::DOUBLE AS share, coalesce(len(flags), -1) AS n_flags FROM f""",
     "hook_rewards": f"""{cov.RECORDS}, h AS (SELECT *, CASE WHEN rec % 2 = 0 AND n_gen > 0 THEN (n_gen - n_gen // 4) / n_gen ELSE validity END AS va FROM r)
         SELECT rec, round(va, 6) AS validity, round(CASE WHEN n_gold = 0 OR n_gen = 0 THEN -1.0 ELSE coverage + 0.5 * va - 0.5 * redundancy END, 6) AS reward FROM h""",
     "balanced_rewards": f"""{cov.RECORDS}, bal AS (SELECT * FROM ({cov.BALANCED}))

@@ -66,22 +66,6 @@ def in_cells(units: DataFrame, centres: list[bytes], tau: float) -> DataFrame:
     return units.mapInArrow(run, "cell int, own boolean, id bigint, x binary")
 
 
-def forest(n: int, pairs) -> "np.ndarray":  # noqa: F821
-    """The least member of each one's component, from arrays of linked places."""
-    import numpy as np
-
-    parent = np.arange(n)
-    for i, j in pairs:
-        while len(i):
-            a, b = parent[i], parent[j]
-            differ = a != b
-            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(parent, up := parent[parent]):
-                parent = up
-    return parent
-
-
 def links(rows: DataFrame, key: str, vector: str, tau: float, centres: int = CENTRES, group: int = GROUP) -> DataFrame:
     """Links (a, b) of vectors with a cosine of at least tau (to nine decimals), enough of them for all components."""
     import numpy as np
@@ -102,6 +86,20 @@ def links(rows: DataFrame, key: str, vector: str, tau: float, centres: int = CEN
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("cell", F.least("part", "k").alias("low"), F.greatest("part", "k").alias("high"), "part", "own", "id", "x")
 
+    # Functions that go to the executors are defined here, so that they need no copy of this package there.
+    def forest(n: int, pairs: Iterator[tuple]) -> np.ndarray:
+        """The least member of each one's component, from arrays of linked places."""
+        parent = np.arange(n)
+        for i, j in pairs:
+            while len(i):
+                a, b = parent[i], parent[j]
+                differ = a != b
+                i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+                np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+                while not np.array_equal(parent, up := parent[parent]):
+                    parent = up
+        return parent
+
     def near(table: pa.Table) -> pa.Table:
         ids, own, part = (table[c].to_numpy() for c in ("id", "own", "part"))
         x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f8").reshape(len(ids), -1)

@@ -40,6 +40,15 @@ def _target(target: str):
     return query
 
 
+#: Targets in the order in which they are tried, and how many rows one needs.
+TRIED, ENOUGH = ["multicandidate", "preference", "gold", "query_pool"], 40
+
+
+def schema_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each target the conversations' records make, and the first target with enough."""
+    return normalize.target_counts(_records(spark, sf_dir), TRIED, ENOUGH)
+
+
 def filter_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons of item filtering per language: rules, exact and near copies, a cap of eight."""
     out = curate.filter_items(c.generated(spark, sf_dir), 0.9, 8)
@@ -119,7 +128,7 @@ def staged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stages(stages, {"documents": c.texts(spark, sf_dir)})["summary"]
 
 
-QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), filter_items, union_items, sim_components, consolidate_items, nested_profile, keyword_concerns, task_types, declarative_items, statement_items, resume_pairs, staged_summary)}
+QUERIES = {f.__name__: f for f in (*(_target(t) for t in ("gold", "query_pool", "preference", "multicandidate")), schema_choice, filter_items, union_items, sim_components, consolidate_items, nested_profile, keyword_concerns, task_types, declarative_items, statement_items, resume_pairs, staged_summary)}
 
 
 def _any(x: str, words: tuple[str, ...]) -> str:
@@ -187,3 +196,5 @@ ORACLE_SQL = {
     "keyword_concerns": "SELECT concern, lang, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS concern, lang FROM documents WHERE {_any('lower(text)', w)}" for k, w in KEYWORDS.items()) + ") GROUP BY ALL",
     "resume_pairs": """SELECT o_custkey, o_orderpriority, max(o_orderkey) AS pos FROM orders o WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_orderstatus = 'F' AND d.o_custkey = o.o_custkey AND d.o_orderpriority = o.o_orderpriority) GROUP BY ALL""",
 }
+ORACLE_SQL["schema_choice"] = f"""WITH n AS ({' UNION ALL '.join(f"SELECT {k} AS k, '{t}' AS target, count(*) AS n FROM ({ORACLE_SQL[f'normalize_{t}']})" for k, t in enumerate(TRIED))})
+    SELECT target, n, coalesce(k = (SELECT min(k) FROM n WHERE n >= {ENOUGH}), false) AS chosen FROM n"""

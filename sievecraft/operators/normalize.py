@@ -43,34 +43,64 @@ def label_index(value: Column, candidates: Column) -> Column:
     return F.coalesce(number, F.when(place >= 0, place))
 
 
+#: What makes a row of each target usable.
+USABLE = {
+    "gold": lambda c: F.size(c["gold_rubrics"]) > 0,
+    "query_pool": lambda c: F.lit(True),
+    "preference": lambda c: c["chosen"].isNotNull() & c["rejected"].isNotNull(),
+    "multicandidate": lambda c: (F.size(c["candidates"]) >= 2) & c["label"].isNotNull(),
+}
+
+
+def fields_of(r: Column, target: str) -> dict[str, Column]:
+    """The target's own columns of a record."""
+    if target == "gold":
+        return {"gold_rubrics": parse_items(first_present(*[get_path(r, k) for k in GOLD]))}
+    if target == "query_pool":
+        return {}
+    if target == "preference":
+        won = comparative_winner(get_path(r, "preference", "winner", "label"))
+        a, b = get_path(r, *FIRST), get_path(r, *SECOND)
+        return {"chosen": F.coalesce(get_path(r, *CHOSEN), F.when(won == "A", a).when(won == "B", b)), "rejected": F.coalesce(get_path(r, *REJECTED), F.when(won == "A", b).when(won == "B", a))}
+    if target == "multicandidate":
+        candidates = candidate_texts(r)
+        return {"candidates": candidates, "label": F.coalesce(label_index(get_path(r, *LABEL), candidates), F.when(F.try_variant_get(r, "$.chosen", "array<string>").isNotNull(), 0))}
+    raise ValueError(f"unknown target {target}")
+
+
+def _asked(records: DataFrame, source: str | None = None, dedupe: bool = True) -> DataFrame:
+    """pos, query, data_source and record of records with a query; the first of a query."""
+    r = F.col("record")
+    rows = records.select("pos", strip(get_path(r, *QUERY)).alias("query"), F.coalesce(F.lit(source), get_path(r, *SOURCE), F.lit("unknown")).alias("data_source"), "record").where("query <> ''")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("pos"))).where("_n = 1").drop("_n") if dedupe else rows
+
+
 def normalize(records: DataFrame, target: str, dedupe: bool = True, limit: int | None = None, source: str | None = None) -> DataFrame:
     """Rows of `target`: gold, query_pool, preference or multicandidate.
 
     The first row of a query stays, and is chosen before the target's own fields are looked at, so that an
     unusable first copy hides later ones. Rows that lack a field of the target are left out.
     """
-    r = F.col("record")
-    query = strip(get_path(r, *QUERY))
-    rows = records.select("pos", query.alias("query"), F.coalesce(F.lit(source), get_path(r, *SOURCE), F.lit("unknown")).alias("data_source"), "record").where("query <> ''")
-    if dedupe:
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("pos"))).where("_n = 1").drop("_n")
-    if target == "gold":
-        rows = rows.withColumn("gold_rubrics", parse_items(first_present(*[get_path(r, k) for k in GOLD]))).where("size(gold_rubrics) > 0")
-        out = ["query", "gold_rubrics", "data_source"]
-    elif target == "query_pool":
-        out = ["query", "data_source"]
-    elif target == "preference":
-        won = comparative_winner(get_path(r, "preference", "winner", "label"))
-        a, b = get_path(r, *FIRST), get_path(r, *SECOND)
-        chosen = F.coalesce(get_path(r, *CHOSEN), F.when(won == "A", a).when(won == "B", b))
-        rejected = F.coalesce(get_path(r, *REJECTED), F.when(won == "A", b).when(won == "B", a))
-        rows = rows.withColumns({"chosen": chosen, "rejected": rejected}).where("chosen IS NOT NULL AND rejected IS NOT NULL")
-        out = ["query", "chosen", "rejected", "data_source"]
-    elif target == "multicandidate":
-        rows = rows.withColumn("candidates", candidate_texts(r)).withColumn("label", F.coalesce(label_index(get_path(r, *LABEL), F.col("candidates")), F.when(F.try_variant_get(r, "$.chosen", "array<string>").isNotNull(), 0)))
-        rows = rows.where("size(candidates) >= 2 AND label IS NOT NULL")
-        out = ["query", "candidates", "label", "data_source"]
-    else:
-        raise ValueError(f"unknown target {target}")
+    fields = fields_of(F.col("record"), target)
+    rows = _asked(records, source, dedupe).withColumns(fields).where(USABLE[target]({c: F.col(c) for c in fields}))
     rows = rows.orderBy("pos").limit(limit) if limit else rows
-    return rows.select("pos", *out)
+    return rows.select("pos", "query", *fields, "data_source")
+
+
+def target_counts(records: DataFrame, targets: list[str], least: int) -> DataFrame:
+    """target, n and chosen: how many rows each target would have, and whether it is the first of them with at least `least`.
+
+    All targets are counted in one pass over the records.
+    """
+    counts = _asked(records).agg(*[F.count_if(USABLE[t](fields_of(F.col("record"), t))).alias(t) for t in targets])
+    rows = counts.select(F.posexplode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("n")) for t in targets])).alias("at", "x"))
+    first = F.min(F.when(F.col("x.n") >= least, F.col("at"))).over(Window.partitionBy(F.lit(1)))  # a row for each target
+    return rows.select("x.target", "x.n", F.coalesce(F.col("at") == first, F.lit(False)).alias("chosen"))
+
+
+def normalize_first(records: DataFrame, targets: list[str], least: int = 1) -> DataFrame:
+    """Rows of the first target that the records have enough rows for; fails where there is none."""
+    chosen = [r["target"] for r in target_counts(records, targets, least).where("chosen").collect()]
+    if not chosen:
+        raise ValueError(f"no target of {', '.join(targets)} has {least} rows")
+    return normalize(records, chosen[0])

@@ -10,8 +10,10 @@ score joins the evidence of its distinct words.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ SUBSTITUTE, COLLAPSE, JOIN, LITERAL = -1.0, -0.3, -0.2, -4.0
 MAX_LABELLED = 20_000
 #: A feature's least log-likelihood ratio.
 LEAST_RATIO = 15.0
-#: Stars in a row that no longer stand for letters but part words; characters that are decoded at once.
-STARS, PIECE = 5, 256
+#: Stars in a row that no longer stand for letters but part words; places after which what all paths share is put by.
+STARS, SETTLE = 5, 64
 #: Shortest and longest beginnings of words that count as features.
 SHORTEST, LONGEST = 4, 8
 
@@ -105,9 +107,8 @@ def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return counts
 
 
-def lattice(word: str, spaced: bool) -> list[list[tuple[str, float]]]:
+def lattice(word: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
     """Choices (letters, cost) of each place of a word; between places of a spaced word a blank or none."""
-    out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(word):
         c = word[i]
@@ -118,20 +119,23 @@ def lattice(word: str, spaced: bool) -> list[list[tuple[str, float]]]:
         if c == "*":
             options = [(x, -1.0) for x in ALPHABET[:26]]
         if run >= 3 and c != "*":
-            out.append([(x * m, cost + COLLAPSE) for x, cost in options for m in (1, 2)])
+            yield [(x * m, cost + COLLAPSE) for x, cost in options for m in (1, 2)]
             i += run
         else:
-            out.append(options)
+            yield options
             i += 1
         if spaced and i < len(word):
-            out.append([("", JOIN), (" ", 0.0)])
-    return out
+            yield [("", JOIN), (" ", 0.0)]
 
 
-def decode(word: str, model: CharModel, spaced: bool = False) -> str:
-    """The most probable letters behind a word: Viterbi over its lattice, states being the last two symbols."""
+def decode(word: str, model: CharModel, spaced: bool = False, settle: int = SETTLE) -> str:
+    """The most probable letters behind a word of any length: Viterbi over its lattice, states being the last two symbols.
+
+    What all paths have in common is settled every `settle` places and put by, which changes nothing but keeps them short.
+    """
     best: dict[tuple[int, int], tuple[float, str]] = {(1, 1): (0.0, "")}
-    for options in [*lattice(word, spaced), [(" ", 0.0)]]:
+    out: list[str] = []
+    for place, options in enumerate(chain(lattice(word, spaced), [[(" ", 0.0)]]), 1):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, so_far) in best.items():
             for letters, cost in options:
@@ -143,7 +147,11 @@ def decode(word: str, model: CharModel, spaced: bool = False) -> str:
                 if (x, y) not in after or p > after[x, y][0]:
                     after[x, y] = (p, so_far + letters)
         best = after
-    return max(best.values())[1].strip()
+        if place % settle == 0:
+            common = os.path.commonprefix([so_far for _, so_far in best.values()])
+            out.append(common)
+            best = {state: (p, so_far[len(common) :]) for state, (p, so_far) in best.items()}
+    return ("".join(out) + max(best.values())[1]).strip()
 
 
 class Restorer:
@@ -154,13 +162,12 @@ class Restorer:
         self.seen: dict[tuple[str, bool], str] = {}
 
     def _decode(self, word: str, spaced: bool) -> str:
-        """The restored word; long ones are decoded piece by piece, and long rows of stars part words."""
+        """The restored word; long rows of stars part words."""
         if len(self.seen) > 200_000:
             self.seen = {}
         if (word, spaced) not in self.seen:
             parts = [p for p in re.split(r"\*{%d,}" % STARS, word) if p]
-            pieces = [[p[i : i + PIECE] for i in range(0, len(p), PIECE)] for p in parts]
-            self.seen[word, spaced] = " ".join("".join(decode(x, self.model, spaced) for x in p) for p in pieces)
+            self.seen[word, spaced] = " ".join(decode(p, self.model, spaced) for p in parts)
         return self.seen[word, spaced]
 
     def word(self, raw: str) -> list[str]:

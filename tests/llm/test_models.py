@@ -39,6 +39,21 @@ def test_viterbi_finds_the_best_path(word, spaced):
     assert abs(best[toxicity.decode(word, model, spaced)] - max(best.values())) < 1e-9
 
 
+def test_long_words_are_decoded_whole():
+    """Where paths are settled changes nothing, and time grows with the word."""
+    rng = random.Random(9)
+    counts = np.zeros((len(toxicity.ALPHABET) + 2) ** 3, np.int64)
+    counts[[rng.randrange(len(counts)) for _ in range(20_000)]] += 5
+    model = toxicity.CharModel(counts)
+    for spaced in (False, True):
+        for n in (1, 63, 64, 65, 257, 700):
+            word = "".join(rng.choice("ab1!430*e66ss$$$zzz0|") for _ in range(n))
+            assert len({toxicity.decode(word, model, spaced, settle) for settle in (1, 7, 64, 256, 1 << 30)}) == 1
+    began = time.time()
+    assert len(toxicity.decode("".join(rng.choice("ab1!430e66") for _ in range(100_000)), model)) >= 50_000 and time.time() - began < 60
+
+
+
 def test_long_disguises_take_little_time():
     restorer = toxicity.Restorer(np.random.default_rng(1).integers(0, 50, (len(toxicity.ALPHABET) + 2) ** 3))
     began = time.time()

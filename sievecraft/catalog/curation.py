@@ -161,6 +161,8 @@ jd AS (SELECT v.rec, v.i, CASE WHEN v.reason <> 'rule_pass' THEN v.reason WHEN p
   CASE WHEN p.f < v.i THEN p.f ELSE list_min(list_filter(n.n, lambda x: list_contains(k.kept, x))) END AS of
   FROM ver v LEFT JOIN ps p ON p.rec = v.rec AND p.i = v.i LEFT JOIN kept k ON k.rec = v.rec LEFT JOIN near n ON n.rec = v.rec AND n.j = v.i),
 fi AS (SELECT rec, i, of, coalesce(reason, CASE WHEN count(*) FILTER (reason IS NULL) OVER (PARTITION BY rec ORDER BY i) > %d THEN 'max_items_exceeded' ELSE 'rule_pass' END) AS reason, reason AS why FROM jd)"""
+#: Letters of any alphabet continue a word, which RE2's \\b does not know.
+SIGNED = tasks.SIGNATURE.replace("\\b", "(?:^|[^\\p{L}\\p{N}_])", 1)
 _WORDS = f"len({c.sql_tokens('item')})"
 ORACLE_SQL = {
     "filter_items": f"{_FILTER % 8} SELECT lang, reason, count(*) AS n, count(of) FILTER (why IN ('exact_duplicate', 'semantic_duplicate')) AS n_pointing FROM fi JOIN documents ON doc_id = rec GROUP BY ALL",
@@ -182,7 +184,7 @@ ORACLE_SQL = {
         SELECT item[1] || ':' || item[2] AS item, min(v)[1] || ':' || min(v)[2] AS component FROM reach GROUP BY item""",
     "task_types": f"""SELECT CASE WHEN role = 'healthbench' OR {_any('l', tasks.MEDICAL)} THEN 'medical_advice' WHEN contains(l, 'keyword') OR contains(l, 'exactly') AND contains(l, 'response') THEN 'instruction_following'
         WHEN {_any('l', tasks.WRITING)} AND {_any('l', tasks.CREATIVE)} THEN 'creative_writing' WHEN {_any('l', tasks.WRITING)} THEN 'writing_task' WHEN {_any('l', tasks.UNSAFE)} THEN 'safety_refusal'
-        WHEN {_any("(' ' || l || ' ')", tasks.CODE)} OR regexp_matches(text, '{tasks.SIGNATURE}') THEN 'code_generation' WHEN regexp_matches(l, '{tasks.MATH_WORDS}') OR regexp_matches(l, '{tasks.MATH_TERM}') THEN 'math_problem'
+        WHEN {_any("(' ' || l || ' ')", tasks.CODE)} OR regexp_matches(text, '{SIGNED}') THEN 'code_generation' WHEN regexp_matches({c.sql_marked('l')}, '{tasks.MATH_WORDS}') OR regexp_matches(l, '{tasks.MATH_TERM}') THEN 'math_problem'
         WHEN {_any('l', tasks.HISTORY)} THEN 'historical_uncertain_fact' WHEN {_any('l', tasks.AMBIGUOUS)} THEN 'ambiguous_fact_qa' ELSE 'general_task' END AS task_type, role, count(*) AS n FROM (SELECT role, text, lower(text) AS l FROM conversations) GROUP BY ALL""",
     "declarative_items": f"""WITH {c.GOLD}, s1 AS (SELECT gold_id, g, item, {c.sql_strip("regexp_replace(item, '^[A-Z][A-Za-z /&-]{1,40}:[ ]+', '')")} AS y FROM gold), s2 AS (SELECT *, {_BARE} AS b FROM s1),
         s3 AS (SELECT *, {c.sql_strip(c.sql_collapse(_STATEMENT))} AS f FROM s2), s4 AS (SELECT *, upper(substr(f, 1, 1)) || substr(f, 2) AS u FROM s3)

@@ -118,7 +118,9 @@ iss AS (SELECT doc_id, coalesce(n, 0) AS n_items, coalesce(n - d, 0) AS exact_du
   FROM documents LEFT JOIN found ON rec = doc_id)"""
 _LINES = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {c.sql_clean('x')}), lambda x: x <> '')"
 _MARKED = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {c.sql_strip('x')}), lambda x: regexp_matches(x, {c.sql_quote(t.BULLET)}))"
-_BULLETS = f"list_filter(list_transform({_MARKED}, lambda x: {c.sql_clean('x')}), lambda x: x <> '')"
+# What is left of a line without its bullet is cleaned like any item, so a second bullet goes too.
+_UNBULLETED = f"regexp_replace(x, {c.sql_quote(t.BULLET)}, '')"
+_BULLETS = f"list_filter(list_transform({_MARKED}, lambda x: {c.sql_clean(_UNBULLETED)}), lambda x: x <> '')"
 ORACLE_SQL = {
     # None of the documents is JSON or holds any: what is left of the parser are bullets, else lines.
     "parse_items": f"SELECT doc_id, len(i) AS n_items, sha256(array_to_string(i, chr(10))) AS items_sha256 FROM (SELECT doc_id, CASE WHEN len({_BULLETS}) > 0 THEN {_BULLETS} ELSE {_LINES} END AS i FROM documents)",

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.text import item_key
 from sievecraft.functions.verify import verify_reason
+from sievecraft.operators.graph import checkpointed
 from sievecraft.operators.similarity import greedy_dedupe
 
 
 def filter_items(items: DataFrame, dedup_tau: float = 0.9, most: int | None = None) -> DataFrame:
     """rec, i, item, valid, reason, duplicate_of: every item, with the first test that it fails."""
     rows = items.select("rec", "i", "item", verify_reason(F.col("item")).alias("rule"))
-    passed = rows.where("rule = 'rule_pass'")
-    first = passed.withColumn("first", F.min("i").over(Window.partitionBy("rec", item_key(F.col("item")))))
-    fresh = first.where("i = first").select("rec", "i", "item")
+    # Items that break a rule are each a key of their own.
+    key = F.when(F.col("rule") == "rule_pass", F.md5(item_key(F.col("item")))).otherwise(F.concat(F.lit("-"), F.col("i").cast("string")))
+    rows = checkpointed(rows.withColumn("first", F.min("i").over(Window.partitionBy("rec", key))))
+    fresh = rows.where("rule = 'rule_pass' AND i = first").select("rec", "i", "item")
     # A near copy points to the first kept item that it is near.
-    kept = greedy_dedupe(fresh, dedup_tau)
-    out = rows.join(first.select("rec", "i", "first"), ["rec", "i"], "left").join(kept, ["rec", "i"], "left")
+    out = rows.join(greedy_dedupe(fresh, dedup_tau), ["rec", "i"], "left")
     reason = F.when(F.col("rule") != "rule_pass", F.col("rule")).when(F.col("first") < F.col("i"), "exact_duplicate").when(~F.coalesce("kept", F.lit(False)), "semantic_duplicate")
     out = out.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull().cast("int"))
     place = F.sum("ok").over(Window.partitionBy("rec").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -37,7 +38,7 @@ def union_items(sides: list[DataFrame], dedup_tau: float = 0.9) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
     place = F.row_number().over(Window.partitionBy("rec").orderBy("side", "i")) - 1
     rows = rows.withColumn("i", place).drop("side")
-    fresh = rows.withColumn("first", F.min("i").over(Window.partitionBy("rec", item_key(F.col("item"))))).where("i = first").drop("first")
+    fresh = checkpointed(rows.withColumn("first", F.min("i").over(Window.partitionBy("rec", F.md5(item_key(F.col("item")))))).where("i = first").drop("first"))
     return fresh.join(greedy_dedupe(fresh, dedup_tau).where("kept").select("rec", "i"), ["rec", "i"])
 
 
@@ -48,7 +49,7 @@ def consolidate(items: DataFrame, dimension, score, most: int, dedup_tau: float
     rows = items.select("rec", "i", "item", dimension.alias("dimension"), score.cast("double").alias("score"))
     best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("rec", "dimension").orderBy(F.desc("score"), "i"))).where("_n = 1")
     place = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("score"), "i")) - 1
-    ranked = best.select("rec", place.alias("i"), "item", "dimension", "score")
+    ranked = checkpointed(best.select("rec", place.alias("i"), "item", "dimension", "score"))
     kept = ranked.join(greedy_dedupe(ranked, dedup_tau).where("kept").select("rec", "i"), ["rec", "i"])
     out = kept.withColumn("place", F.row_number().over(Window.partitionBy("rec").orderBy("i")))
     return out.where(F.col("place") <= most).select("rec", "place", "item", "dimension", "score")

@@ -31,6 +31,8 @@ BANDS, ROWS = 56, 7
 #: Bins of the permuted universe.
 BINS = 1 << 20
 SEED = 20_240_229
+#: Text bytes of a step of a worker, whose memory idle workers keep beside the heap of later stages.
+STEP_BYTES = 2 << 20
 
 
 @lru_cache(1)
@@ -97,7 +99,7 @@ def sketches(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
     """key, node (digest of the shingle set, null without words), n (set size), bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "t"):
+        for batch in slabs(batches, "t", STEP_BYTES):
             tokens, counts = token_hashes(texts(batch, "t"))
             at = offsets_of(counts)
             nodes, sizes, bands = [], [], []
@@ -117,7 +119,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """node and its shingles (64-bit hashes) of documents (columns k, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "t"):
+        for batch in slabs(batches, "t", STEP_BYTES):
             tokens, counts = token_hashes(texts(batch, "t"))
             at = offsets_of(counts)
             for i in range(batch.num_rows):

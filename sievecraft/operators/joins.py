@@ -35,10 +35,23 @@ def uncontaminated(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return rows.join(other.select(key).distinct(), key, "left_anti")
 
 
+#: Tasks for each split of a scan: some 40,000 to 700,000 rows of two numbers each, whatever the size of the input.
+TASKS = 16
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a scan by keys, over tasks whose number grows with the scan and which are not merged by their few bytes: rows of two
+    numbers shrink in a shuffle and take many times as much in a sort. Not for joined or grouped rows."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = rows.rdd.getNumPartitions()
+    return rows.repartition(max(least, TASKS * splits) if splits > 1 else least, *keys)
+
+
 def pending(left: DataFrame, right: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Number of pairs of a left and a right row that are not done, per right row, without forming the pairs."""
     l, r = keys
-    done = done.select(*keys).distinct().join(left.select(l).distinct(), l, "left_semi")
+    # An inner join, as left rows are distinct: a semi join would be moved before the pairs are made distinct.
+    done = dealt(done.select(*keys), l).distinct().join(left.select(l).distinct(), l)
     finished = done.groupBy(r).agg(F.count(F.lit(1)).alias("_done"))
     total = left.select(l).distinct().agg(F.count(F.lit(1)).alias("_all"))
     return right.select(r).distinct().join(finished, r, "left").join(F.broadcast(total)).select(r, (F.col("_all") - F.coalesce("_done", F.lit(0))).alias("pending"))

@@ -65,11 +65,13 @@ def policy_rewards(rows: DataFrame, sources: list[str], scorers: dict[str, Score
     """rec, n_criteria and a reward for each scorer of rows (rec, query, answer and columns of criteria text).
 
     Criteria are those of the first column of `sources` that has any, else those of the cache (key, criteria) under the
-    query's key; equal ones count once. A reward is the mean over criteria, where a scorer that cannot tell gives 0.
+    query's key, or under the row's own where rows have a column `key` (null: the cache is not asked); equal ones count once.
+    A reward is the mean over criteria, where a scorer that cannot tell gives 0.
     Rows without query, answer or criteria have the reward `missing`. Criteria are dealt out as rows, so scorers see
     batches of them whatever records they are of.
     """
-    rows = rows.select("rec", "query", "answer", F.coalesce(*[F.nullif(F.col(s), F.lit("")) for s in sources]).alias("own"), join_key(F.col("query")).alias("key"))
+    key = F.col("key") if "key" in rows.columns else join_key(F.col("query"))
+    rows = rows.select("rec", "query", "answer", F.coalesce(*[F.nullif(F.col(s), F.lit("")) for s in sources]).alias("own"), key.alias("key"))
     if cache is not None:
         first = cache.groupBy(F.col("key").alias("at")).agg(F.max("criteria").alias("cached"))
         rows = rows.join(first, F.col("key") == F.col("at"), "left").withColumn("own", F.coalesce("own", "cached")).drop("at", "cached")

@@ -12,10 +12,11 @@ from sievecraft.functions import tasks
 from sievecraft.functions.verify import KEYWORDS, classify_category
 from sievecraft.operators import curate, graph, normalize
 from sievecraft.operators import similarity as s
+from sievecraft.operators.items import items_of
 from sievecraft.operators.joins import match_keywords
 from sievecraft.plans.stages import Stage, run_stages
 from sievecraft.sources.profile import profile
-from sievecraft.sources.records import table
+from sievecraft.sources.records import spread, table
 from sievecraft.streaming.resume import not_done
 
 
@@ -58,9 +59,13 @@ def filter_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per benchmark row the items of two teachers, exact and near copies of earlier ones left out."""
-    pairs = c.pairing(spark, sf_dir).join(c.generated(spark, sf_dir), "rec")
-    sides = [pairs.where(f"lang {op} 'en'").select(F.col("gold_id").alias("rec"), F.struct("rec", "i").alias("i"), "item") for op in ("=", "<>")]
-    return curate.union_items(sides).groupBy("rec").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.length("item")).cast("long").alias("chars"))
+    n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    dealt = lambda rows: rows.join(F.broadcast(n)).withColumn("rec", F.expr("pmod(doc_id, n)")).drop("n")
+    side = F.when(F.col("lang") == "en", 0).when(F.col("lang") != "en", 1).otherwise(2)
+    rows = items_of(dealt(spread(docs)), "doc_id").select("rec", side.alias("side"), F.struct("doc_id", "i").alias("i"), "item")
+    sizes = dealt(docs).groupBy("rec").agg(F.sum(F.octet_length("text")).alias("size"))
+    return curate.union_rows(rows, sizes).groupBy("rec").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.length("item")).cast("long").alias("chars"))
 
 
 def sim_components(spark: SparkSession, sf_dir: str) -> DataFrame:

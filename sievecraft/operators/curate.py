@@ -9,6 +9,7 @@ from sievecraft.functions.text import item_key
 from sievecraft.functions.verify import verify_reason
 from sievecraft.operators.graph import checkpointed
 from sievecraft.operators.similarity import greedy_dedupe
+from sievecraft.operators.whole import WHOLE_BYTES, kept_of_whole
 
 
 def filter_items(items: DataFrame, dedup_tau: float = 0.9, most: int | None = None) -> DataFrame:
@@ -31,15 +32,25 @@ def filter_items(items: DataFrame, dedup_tau: float = 0.9, most: int | None = No
 
 
 def union_items(sides: list[DataFrame], dedup_tau: float = 0.9) -> DataFrame:
-    """Items of several teachers (rec, i, item) in their order, near copies of earlier ones left out."""
+    """rec, i (its place), item of several teachers (rec, i, item) in their order, near copies of earlier ones left out."""
     rows = None
     for k, side in enumerate(sides):
         part = side.select("rec", F.lit(k).alias("side"), "i", "item")
         rows = part if rows is None else rows.unionByName(part)
+    return union_rows(rows, rows.groupBy("rec").agg(F.sum(F.octet_length("item")).alias("size")), dedup_tau)
+
+
+def union_rows(rows: DataFrame, sizes: DataFrame, dedup_tau: float = 0.9, most: int = WHOLE_BYTES) -> DataFrame:
+    """What union_items gives of rows (rec, side, i, item). sizes: rec and the bytes of its items, or more. A record of at most
+    `most` bytes lies whole in one task; the pairs of larger ones are dealt over tasks."""
+    large = checkpointed(sizes.where(F.col("size") > most).select("rec"))
+    if large.isEmpty():
+        return kept_of_whole(rows, ["side", "i"], dedup_tau)
+    whole = kept_of_whole(rows.join(F.broadcast(large), "rec", "left_anti"), ["side", "i"], dedup_tau)
     place = F.row_number().over(Window.partitionBy("rec").orderBy("side", "i")) - 1
-    rows = rows.withColumn("i", place).drop("side")
-    fresh = checkpointed(rows.withColumn("first", F.min("i").over(Window.partitionBy("rec", F.md5(item_key(F.col("item")))))).where("i = first").drop("first"))
-    return fresh.join(greedy_dedupe(fresh, dedup_tau).where("kept").select("rec", "i"), ["rec", "i"])
+    rest = rows.join(F.broadcast(large), "rec", "left_semi").withColumn("i", place).drop("side")
+    fresh = checkpointed(rest.withColumn("first", F.min("i").over(Window.partitionBy("rec", F.md5(item_key(F.col("item")))))).where("i = first").drop("first"))
+    return whole.unionByName(fresh.join(greedy_dedupe(fresh, dedup_tau).where("kept").select("rec", "i"), ["rec", "i"]))
 
 
 def consolidate(items: DataFrame, dimension, score, most: int, dedup_tau: float = 0.9) -> DataFrame:
